@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontamination, mixing, pii, url_filters
+from quadrat.llm import decontamination, language_id, mixing, pii, quality, token_files, topk, url_filters
 from quadrat.llm.common import table
 
 
@@ -21,6 +21,30 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(spark, token_files.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is bad where the label of its id says toxic or low quality."""
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0).alias("bad"))
@@ -34,7 +58,11 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op4_token_files": op4_token_files,
+    "op6_language_id": op6_language_id,
+    "op8_quality": op8_quality,
     "op9_url_filters": op9_url_filters,
+    "op10_topk": op10_topk,
 }
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -44,9 +72,9 @@ ORACLES = {
 WITH b AS (SELECT item_id, w, least(len(w), 13) AS k FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
 wins AS (SELECT DISTINCT k, array_to_string(w[i:i + k - 1], ' ') AS win, item_id FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
 d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
-at AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win
+occ AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win
        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT k FROM wins) WHERE i + k - 1 <= len(w)),
-hit AS (SELECT doc_id, i, k, item_id FROM at JOIN wins USING (k, win)),
+hit AS (SELECT doc_id, i, k, item_id FROM occ JOIN wins USING (k, win)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
