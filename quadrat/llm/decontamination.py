@@ -1,8 +1,8 @@
 """Benchmark decontamination with a hash set of normalised test n-grams.
 
 A benchmark item's windows are its runs of 13 consecutive words (one window if it has fewer). Words are
-hashed once; the hashes of each window's first words set bits in a table of fixed size, which is all that
-is sent to every task. A document's words are hashed in the same way, and only where a bit is set does a
+hashed once; the hashes of each window's first words make a set of bounded size, which is all that is sent
+to every task. A document's words are hashed in the same way, and only where the set holds the hash does a
 window of its words leave the row, to be joined with the benchmark's windows as text: the join verifies
 each hit exactly. The benchmark side of that join is broadcast only if the session's size threshold
 allows it, else both sides are shuffled by window text; hits are few either way.
@@ -22,10 +22,11 @@ from quadrat.llm.common import ascii_lower, stored
 #: What separates words in a text that still has its upper case.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Words whose hash sets a bit: long enough to be rare, so that few positions of a corpus pass.
+#: Words of a window that are hashed: enough to be rare, so that few positions of a corpus pass.
 ANCHOR = 4
-#: Number of bits (kept as bytes): 1 MB for any benchmark; a larger benchmark lets more positions pass.
-BITS = 1 << 20
+#: Bound of the hash set. A benchmark with more distinct hashes has them coarsened to this many values, which
+#: lets more positions pass to the join but loses none.
+SET = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -34,8 +35,8 @@ def words(text: Column) -> Column:
 
 
 def slot(hashes: Column, at: Column, n: int) -> Column:
-    """The bit of the n words from index at (0-based)."""
-    return F.xxhash64(F.lit(n), *[F.get(hashes, at + k) for k in range(n)]).bitwiseAND(F.lit(BITS - 1)).cast("int")
+    """The hash of the n words from index at (0-based)."""
+    return F.xxhash64(F.lit(n), *[F.get(hashes, at + k) for k in range(n)])
 
 
 def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
@@ -58,34 +59,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
         return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(wins.groupBy().agg(F.collect_set("item")).schema[0].dataType).alias("items"))
     anchors = sorted({min(k, ANCHOR) for k in lens})
     w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    # a row of bytes, built from the distinct slots: a value of fixed size, computed once and sent with the plan
-    used = wins.select("slot").distinct().groupBy().agg(F.sort_array(F.collect_list("slot")).alias("s"))
-    bits = used.select(table_of(F.col("s"))).scalar()
-    w = w.withColumn("bits", bits)
-    index = F.sequence(F.lit(0), F.size("w") - 1)
-
-    def passes(i: Column) -> Column:
-        any_of = [(F.substring("bits", slot(F.col("h"), i, k) + 1, 1) == F.lit(b"\x01")) & (i + k <= F.size("w")) for k in anchors]
-        out = any_of[0]
-        for x in any_of[1:]:
-            out = out | x
-        return out
-
-    w = w.select("doc_id", "w", F.when(F.size("w") > 0, F.filter(index, passes)).alias("at"))
+    # the hash set goes with the plan: at most SET numbers, so at most SET rows reach the driver
+    used = [r[0] for r in wins.select("slot").distinct().limit(SET + 1).collect()]
+    coarse = len(used) > SET
+    if coarse:
+        used = [r[0] for r in wins.select(F.pmod("slot", F.lit(SET)).alias("slot")).distinct().collect()]
+    inside = f"IN ({', '.join(f'{x}L' for x in used)})"
+    tests = []
+    for k in anchors:
+        value = f"xxhash64({k}, {', '.join(f'get(h, i + {j})' for j in range(k))})"
+        value = f"pmod({value}, {SET}L)" if coarse else value
+        tests.append(f"({value} {inside} AND i + {k} <= size(w))")
+    w = w.select("doc_id", "w", F.expr(f"CASE WHEN size(w) > 0 THEN filter(sequence(0, size(w) - 1), i -> {' OR '.join(tests)}) END").alias("at"))
     lens_of = F.array(*[F.lit(k) for k in lens])
     cand = F.flatten(F.transform("at", lambda i: F.transform(F.filter(lens_of, lambda k: i + k <= F.size("w")), lambda k: F.struct(i.alias("at"), k.alias("len"), F.array_join(F.slice("w", i + 1, k), " ").alias("window")))))
     w = w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(cand).alias("c")).select("doc_id", "n_words", "c.*")
     return w.join(by_window, ["len", "window"], "left").select("doc_id", "n_words", F.when(F.col("items").isNotNull(), F.col("at")).alias("at"), F.when(F.col("items").isNotNull(), F.col("len")).alias("len"), "items")
 
 
-def table_of(slots: Column) -> Column:
-    """A binary of BITS bytes, 1 at each of the ascending slots: runs of zeros between ones."""
-    gaps = F.transform(slots, lambda s, i: s - F.when(i > 0, F.element_at(slots, F.greatest(i, F.lit(1)))).otherwise(F.lit(-1)) - 1)
-    zeros = F.lit("\x00")
-    body = F.array_join(F.transform(gaps, lambda g: F.concat(F.repeat(zeros, g), F.lit("\x01"))), "")
-    return F.rpad(body, F.lit(BITS), zeros).cast("binary")
-
-
 def judge(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items, spans (word intervals, end exclusive), contaminated: hit words are at least 1 / share of all.
 
