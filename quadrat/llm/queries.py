@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontamination, language_id, mixing, pii, quality, token_files, topk, url_filters
+from quadrat.llm import decontamination, language_id, mixing, ngram_join, pii, quality, token_files, topk, url_filters
 from quadrat.llm.common import table
 
 
@@ -36,6 +38,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.train(docs))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=3, similarity=Fraction(90, 100))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))))
@@ -60,6 +66,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files,
     "op6_language_id": op6_language_id,
+    "op7_ngram_join": op7_ngram_join,
     "op8_quality": op8_quality,
     "op9_url_filters": op9_url_filters,
     "op10_topk": op10_topk,
