@@ -13,7 +13,7 @@ that share the hash at the threshold. Only id, source and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import stored
@@ -23,13 +23,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ((21, 11), (10, 11), (0, 10))
 
 
+def id_hash(doc_id: Column) -> Column:
+    """The first 32 bits of the MD5 of the id as text."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0)).alias("size"),
-        F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("h"),
+        id_hash(F.col(doc_id)).alias("h"),
     )
 
 
@@ -93,3 +97,14 @@ def mix(docs: DataFrame, *, share: float = 1.5, weights=(5, 2, 1), cap: float =
     # at the last level top is the first hash that is not taken
     copies = F.col("whole") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def take(docs: DataFrame, *, share: float = 1.5, weights=(5, 2, 1), cap: float = 2.0, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them. No join by document: a row's source says all."""
+    sizes = stored(sized(docs, doc_id, source, text), "sizes")
+    goals = stored(targets(sizes, share, weights, cap), "targets")
+    cuts = stored(thresholds(sizes, goals), "cuts").select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
+    copies = F.col("_whole").cast("int") + F.when(id_hash(docs[doc_id]) < F.col("_cut"), 1).otherwise(0)
+    joined = docs.join(cuts, docs[source].eqNullSafe(F.col("_source")))
+    many = joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return many.select(*[many[c] for c in docs.columns])

@@ -143,3 +143,21 @@ def score(docs: DataFrame, model, *, doc_id: str = "doc_id", text: str = "text")
 def judge(scored: DataFrame, least: float = 0.5) -> DataFrame:
     """Adds keep: more likely good than not."""
     return scored.withColumn("keep", F.col("p_good") >= least)
+
+
+def select(docs: DataFrame, model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that judge() would keep; one pass, no join."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        (w, t), f = shared.value, Features()
+        for b in batches:
+            eta = np.array([float(w[f.of(x or "")].sum()) for x in b.column(text).to_pylist()])
+            yield b.filter(pa.array(1 / (1 + np.exp(np.clip(t[1] - eta, -40, 40))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
