@@ -74,6 +74,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
     lens_of = F.array(*[F.lit(k) for k in lens])
     cand = F.flatten(F.transform("at", lambda i: F.transform(F.filter(lens_of, lambda k: i + k <= F.size("w")), lambda k: F.struct(i.alias("at"), k.alias("len"), F.array_join(F.slice("w", i + 1, k), " ").alias("window")))))
     w = w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(cand).alias("c")).select("doc_id", "n_words", "c.*")
+    # a document without candidates has a key of its own, which no window has, instead of sharing the null key
+    w = w.withColumns({"window": F.coalesce("window", F.xxhash64("doc_id", "n_words").cast("string")), "len": F.coalesce("len", F.lit(0))})
     return w.join(by_window, ["len", "window"], "left").select("doc_id", "n_words", F.when(F.col("items").isNotNull(), F.col("at")).alias("at"), F.when(F.col("items").isNotNull(), F.col("len")).alias("len"), "items")
 
 

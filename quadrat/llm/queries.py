@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontamination, language_id, mixing, ngram_join, pii, quality, token_files, topk, url_filters
+from quadrat.llm import decontamination, language_id, mixing, ngram_join, pii, quality, suffix_dedup, token_files, topk, url_filters
 from quadrat.llm.common import table
 
 
@@ -33,6 +33,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs))
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_token_files": op4_token_files,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_ngram_join": op7_ngram_join,
     "op8_quality": op8_quality,
