@@ -6,10 +6,10 @@ of the frequent ones, a bounded list; all others are rare) and then by hash: any
 enough share one of their first n - ceil(t n) + 1 n-grams in that order.
 
 Candidates are met by prefix n-gram in two steps, so that a group of many near copies never makes all its
-pairs. First each n-gram's documents, by size, are paired with one of them (the smallest within the length
-bound), verified, and joined to components. Then, per n-gram, the pairs whose documents are still in
-different components are all taken, with the length, positional and suffix (bucket count) filters; pairs
-inside a component cannot change the result. Every pair is verified once, on whole texts, with the exact
+pairs. First each n-gram's documents are paired with a hub of theirs (length and positional filters),
+verified, and joined to components. Then, per n-gram, the pairs whose documents are still in different
+components are all taken, with the length and suffix (bucket count) filters, and kept if they share enough
+prefix n-grams; pairs inside a component cannot change the result. Every pair is verified once, on whole texts, with the exact
 sizes of intersection and union. Components are the contract's; their number of verified links is not all
 links.
 
@@ -32,8 +32,8 @@ from quadrat.llm.common import stored, tasks_for
 from quadrat.llm.components import components
 
 #: Frequent n-grams that are ordered by count, occurrences in a task's slice from which one is told, and its size.
-FREQUENT, TOLD, SLICE = 1 << 16, 3, 1 << 21
-BITMAP, BUCKETS, PARTNERS = 1 << 20, 32, 64
+FREQUENT, TOLD, SLICE = 1 << 19, 2, 1 << 22
+BITMAP, BUCKETS, PARTNERS, HUBS = 1 << 20, 32, 64, 8
 #: Odd multipliers of the words of an n-gram.
 MIX = 0x9E3779B97F4A7C15
 
@@ -77,8 +77,8 @@ def frequent(docs: DataFrame, k: int):
         def told(parts):
             h, c = np.unique(np.concatenate(parts), return_counts=True)
             keep = np.flatnonzero(c >= TOLD)
-            if len(keep) > FREQUENT:
-                keep = keep[np.argsort(-c[keep], kind="stable")[:FREQUENT]]
+            if len(keep) > FREQUENT // 4:
+                keep = keep[np.argsort(-c[keep], kind="stable")[: FREQUENT // 4]]
             return pa.RecordBatch.from_pydict({"h": h[keep].view(np.int64), "c": c[keep]})
 
         parts, size = [], 0
@@ -100,7 +100,7 @@ def frequent(docs: DataFrame, k: int):
 
 
 def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """doc_id, n, digest, prefix (n-grams, rarest first), counts (by bucket of hash)."""
+    """doc_id, n, rare (n-grams per thousand that are not frequent), digest, prefix (n-grams, rarest first), counts (by bucket of hash)."""
     import numpy as np
 
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
@@ -112,12 +112,13 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
 
         known, often = shared.value
         for b in batches:
-            ns, digests, prefixes, counts = [], [], [], []
+            ns, rares, digests, prefixes, counts = [], [], [], [], []
             for doc, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = ngrams(x, k)
                 n = len(s)
                 ns.append(n)
                 if not n or doc is None:
+                    rares.append(None)
                     digests.append(None)
                     prefixes.append(None)
                     counts.append(None)
@@ -127,78 +128,86 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[at] == s, often[at], 0)
+                rares.append(int((rank == 0).sum()) * 1000 // n)
                 first = n + ((-t.numerator * n) // t.denominator) + 1
                 prefixes.append(s[np.lexsort((s, rank))[:first]].view(np.int64))
                 counts.append(np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "prefix", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(rares, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "n", "rare", "digest", "prefix", "counts"])
 
-    return stored(docs.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, counts binary"), "sets")
+    return stored(docs.mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, counts binary"), "sets")
 
 
 def meet(rows: DataFrame, t: Fraction) -> DataFrame:
-    """Of n-grams that several sets have: kind 0, pairs a, b with one set of the n-gram; kind 1, the rows themselves.
+    """Of n-grams that several sets have: kind 0, pairs a, b with a hub of the n-gram; kind 1, the rows themselves.
 
-    Rows arrive sorted by n-gram and size and are read as a stream: one hub is all that is remembered.
+    Rows arrive sorted by n-gram, those with the fewest rare n-grams first: what copies were made from has
+    few, its edited copies have more. Each row is paired with the first hub of a size that fits, or becomes
+    one itself (up to HUBS). The rows are read as a stream: the hubs are all that is remembered.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        hub = None  # g, a, n, pos, shown
+        at, hubs, only = None, [], None
         for b in batches:
             cols = [b.column(c).to_numpy() for c in ("g", "a", "n", "pos")]
             g = cols[0]
-            same = np.zeros(len(g), bool)  # with a neighbour in this batch, or the row before it
+            same = np.zeros(len(g), bool)  # with a neighbour in this batch, or with the batch before or after
             same[1:] |= g[1:] == g[:-1]
             same[:-1] |= g[1:] == g[:-1]
             if len(g):
-                same[-1] = True  # the next batch may go on
-                same[0] |= hub is not None and hub[0] == g[0]
+                same[-1] = True
+                same[0] |= at == g[0]
             out = []
             for g1, a, n, pos in zip(*(c[same].tolist() for c in cols), strict=True):
-                if hub is None or hub[0] != g1:
-                    hub = [g1, a, n, pos, False]
+                if at != g1:
+                    at, hubs, only = g1, [(a, n, pos)], (1, g1, a, None, n, pos)
                     continue
-                if not hub[4]:
-                    out.append((1, g1, hub[1], None, hub[2], hub[3]))
-                    hub[4] = True
+                if only:
+                    out.append(only)
+                    only = None
                 out.append((1, g1, a, None, n, pos))
-                if hub[2] * t.denominator < t.numerator * n:
-                    hub = [g1, a, n, pos, True]
-                elif 1 + min(n - pos, hub[2] - hub[3]) - 1 >= overlap_needed(n, hub[2], t):
-                    out.append((0, g1, min(a, hub[1]), max(a, hub[1]), None, None))
+                for h, hn, hpos in hubs:
+                    if min(hn, n) * t.denominator >= t.numerator * max(hn, n):
+                        if min(n - pos, hn - hpos) >= overlap_needed(n, hn, t):
+                            out.append((0, g1, min(a, h), max(a, h), None, None))
+                        break
+                else:
+                    if len(hubs) < HUBS:
+                        hubs.append((a, n, pos))
             kinds = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(kinds[0], pa.int32()), *[pa.array(x, pa.int64()) for x in kinds[1:]]], ["kind", "g", "a", "b", "n", "pos"])
 
-    spread = rows.repartition(tasks_for(rows.sparkSession), "g").sortWithinPartitions("g", "n", "a")
+    spread = rows.repartition(tasks_for(rows.sparkSession), "g").sortWithinPartitions("g", "rare", "a")
     return stored(spread.mapInArrow(run, "kind int, g long, a long, b long, n long, pos long"), "met")
 
 
 def across(rows: DataFrame, t: Fraction) -> DataFrame:
-    """All pairs of sets that share an n-gram, are in different components and pass the filters.
+    """All pairs of sets that share prefix n-grams, are in different components and pass the filters.
 
-    rows: g, a, n, pos, label, counts, of n-grams that occur in several components.
+    rows: g, a, n, label, counts, of n-grams that occur in several components. A pair comes once per shared
+    prefix n-gram. All n-grams that two sets share up to where the first of their prefixes ends are among
+    these, and at most ceil(t n) - 1 come after a prefix: too few shared ones in the prefixes rule a pair out.
     """
-    schema = "a long, b long"
+    schema = "a long, b long, small long, large long"
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def pairs(a, n, pos, label, counts):
+        def pairs(a, n, label, counts):
             # sorted by n: the partners of row i are the rows after it up to size n / t
             end = np.searchsorted(n, (n * t.denominator) // t.numerator, side="right")
+            full = (counts == 65535).any(1)  # beyond what a counter holds: no bound
             for i in range(len(a)):
-                j = np.arange(i + 1, end[i])
-                j = j[(label[j] != label[i])]
-                need = overlap_needed(n[i], n[j], t)
-                j, need = (x[np.minimum(n[j] - pos[j], n[i] - pos[i]) >= need] for x in (j, need))
-                for lo in range(0, len(j), 1 << 14):
-                    jj = j[lo : lo + (1 << 14)]
-                    jj = jj[np.minimum(counts[jj], counts[i]).sum(1, dtype=np.int64) >= need[lo : lo + (1 << 14)]]
-                    if len(jj):
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(a[i], a[jj]), "b": np.maximum(a[i], a[jj])})
+                every = np.arange(i + 1, end[i])
+                every = every[label[every] != label[i]]
+                for lo in range(0, len(every), 1 << 14):
+                    j = every[lo : lo + (1 << 14)]
+                    j = j[full[j] | full[i] | (np.minimum(counts[j], counts[i]).sum(1, dtype=np.int64) >= overlap_needed(n[i], n[j], t))]
+                    if len(j):
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(a[i], a[j]), "b": np.maximum(a[i], a[j]), "small": np.full(len(j), n[i]), "large": n[j]})
 
         def groups():
             held, at = [], None
@@ -218,10 +227,14 @@ def across(rows: DataFrame, t: Fraction) -> DataFrame:
             x = pa.Table.from_batches(held)
             if x.num_rows > 1:
                 counts = np.frombuffer(b"".join(x.column("counts").to_pylist()), "<u2").reshape(x.num_rows, BUCKETS)
-                yield from pairs(*(x.column(c).to_numpy() for c in ("a", "n", "pos", "label")), counts)
+                yield from pairs(*(x.column(c).to_numpy() for c in ("a", "n", "label")), counts)
 
-    spread = rows.select("g", "a", "n", "pos", "label", "counts").repartition(tasks_for(rows.sparkSession), "g").sortWithinPartitions("g", "n", "a")
-    return spread.mapInArrow(run, schema)
+    spread = rows.select("g", "a", "n", "label", "counts").repartition(tasks_for(rows.sparkSession), "g").sortWithinPartitions("g", "n", "a")
+    shared = spread.mapInArrow(run, schema).groupBy("a", "b", "small", "large").count()
+    up, down = t.numerator, t.numerator + t.denominator
+    needed = F.ceil((F.col("small") + F.col("large")) * up / F.lit(down) - 1e-9)
+    later = F.ceil(F.col("large") * up / F.lit(t.denominator) + 1e-9) - 1
+    return shared.filter(F.col("count") >= needed - later).select("a", "b")
 
 
 def close(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -303,20 +316,20 @@ def join(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10),
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
     docs = ids_and_texts(docs, doc_id, text)
     sets = sets_of(docs, k, similarity)
-    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix", "counts")).alias("r"))
+    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"))
     reps = stored(classes.select("digest", "r.*"), "classes")
-    rows = reps.filter("n > 1").select(F.col("doc_id").alias("a"), "n", F.posexplode("prefix").alias("pos", "g"))
-    met = meet(rows.select("g", "a", F.col("n"), F.col("pos").cast("long")), similarity)
+    rows = reps.filter("n > 1").select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
+    met = meet(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), similarity)
 
     first = stored(close(met.filter("kind = 0").select("a", "b"), reps, similarity), "first")
     links = verified(docs, first, k, similarity)
     labels = components(links)
 
-    shared = met.filter("kind = 1").select("g", "a", "n", "pos")
+    shared = met.filter("kind = 1").select("g", "a", "n")
     named = shared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     mixed = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g")
     left = named.join(mixed, "g", "left_semi").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a")
-    second = stored(across(left, similarity).distinct().join(first, ["a", "b"], "left_anti"), "second")
+    second = stored(across(left, similarity).join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         labels = components(links.union(verified(docs, second, k, similarity)).union(labels.select("node", "label")))
 
