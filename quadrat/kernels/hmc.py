@@ -73,12 +73,13 @@ def move(model: Model, p: dict, noise, step: Step, leaps: int = 10) -> float:
     value, grad = log_density(model, p)
     energy = value - 0.5 * sum((v**2).sum() for v in speed)
     at = [x.copy() for x in start]
-    for _ in range(leaps):
-        speed = [v + step.size / 2 * g for v, g in zip(speed, _flat(grad), strict=True)]
-        at = [x + step.size * v for x, v in zip(at, speed, strict=True)]
-        new, grad = log_density(model, _with(p, at))
-        speed = [v + step.size / 2 * g for v, g in zip(speed, _flat(grad), strict=True)]
-    gain = new - 0.5 * sum((v**2).sum() for v in speed) - energy
+    with np.errstate(over="ignore", invalid="ignore"):  # a trajectory may diverge; it is refused then
+        for _ in range(leaps):
+            speed = [v + step.size / 2 * g for v, g in zip(speed, _flat(grad), strict=True)]
+            at = [x + step.size * v for x, v in zip(at, speed, strict=True)]
+            new, grad = log_density(model, _with(p, at))
+            speed = [v + step.size / 2 * g for v, g in zip(speed, _flat(grad), strict=True)]
+        gain = new - 0.5 * sum((v**2).sum() for v in speed) - energy
     chance = float(np.exp(min(0.0, gain))) if np.isfinite(gain) else 0.0
     if noise.uniform() < chance:
         p.update(_with(p, at))
