@@ -8,7 +8,8 @@ each hit exactly. The benchmark side of that join is broadcast only if the sessi
 allows it, else both sides are shuffled by window text; hits are few either way.
 
 Defined cases: a null text has no words, no hits and no items; items without words have no windows; equal
-items all count; repeated documents are each judged; an empty benchmark hits nothing. Only the id and
+items all count; rows of equal (or null) id are each judged, and clean() drops an id if any of its rows is
+contaminated; an empty benchmark hits nothing. Only the id and
 text columns are read.
 """
 
@@ -49,14 +50,14 @@ def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words and, for each window that occurs, at (word index), len, items; one row of nulls for a document without hits."""
+    """row (a number of its own), doc_id, n_words and, for each window that occurs, at (word index), len, items; one row of nulls for a document without hits."""
     wins = stored(windows(benchmark, item_id, item_text, n), "windows")
     # one row per window; the lengths that occur (at most n values) shape the plan
     by_window = wins.groupBy("len", "window").agg(F.collect_set("item").alias("items"))
     lens = sorted(r["len"] for r in wins.select("len").distinct().collect())
-    w = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
     if not lens:
-        return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(wins.groupBy().agg(F.collect_set("item")).schema[0].dataType).alias("items"))
+        return w.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(wins.groupBy().agg(F.collect_set("item")).schema[0].dataType).alias("items"))
     anchors = sorted({min(k, ANCHOR) for k in lens})
     w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     # the hash set goes with the plan: at most SET numbers, so at most SET rows reach the driver
@@ -70,13 +71,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
         value = f"xxhash64({k}, {', '.join(f'get(h, i + {j})' for j in range(k))})"
         value = f"pmod({value}, {SET}L)" if coarse else value
         tests.append(f"({value} {inside} AND i + {k} <= size(w))")
-    w = w.select("doc_id", "w", F.expr(f"CASE WHEN size(w) > 0 THEN filter(sequence(0, size(w) - 1), i -> {' OR '.join(tests)}) END").alias("at"))
+    w = w.select("row", "doc_id", "w", F.expr(f"CASE WHEN size(w) > 0 THEN filter(sequence(0, size(w) - 1), i -> {' OR '.join(tests)}) END").alias("at"))
     lens_of = F.array(*[F.lit(k) for k in lens])
     cand = F.flatten(F.transform("at", lambda i: F.transform(F.filter(lens_of, lambda k: i + k <= F.size("w")), lambda k: F.struct(i.alias("at"), k.alias("len"), F.array_join(F.slice("w", i + 1, k), " ").alias("window")))))
-    w = w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(cand).alias("c")).select("doc_id", "n_words", "c.*")
+    w = w.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(cand).alias("c")).select("row", "doc_id", "n_words", "c.*")
     # a document without candidates has a key of its own, which no window has, instead of sharing the null key
-    w = w.withColumns({"window": F.coalesce("window", F.xxhash64("doc_id", "n_words").cast("string")), "len": F.coalesce("len", F.lit(0))})
-    return w.join(by_window, ["len", "window"], "left").select("doc_id", "n_words", F.when(F.col("items").isNotNull(), F.col("at")).alias("at"), F.when(F.col("items").isNotNull(), F.col("len")).alias("len"), "items")
+    w = w.withColumns({"window": F.coalesce("window", F.xxhash64("row").cast("string")), "len": F.coalesce("len", F.lit(0))})
+    return w.join(by_window, ["len", "window"], "left").select("row", "doc_id", "n_words", F.when(F.col("items").isNotNull(), F.col("at")).alias("at"), F.when(F.col("items").isNotNull(), F.col("len")).alias("len"), "items")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
@@ -87,7 +88,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, doc_id: str
     """
     found = hits(docs, benchmark, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, n=n)
     hit = F.when(F.col("at").isNotNull(), F.struct("at", (F.col("at") + F.col("len")).alias("end")))
-    by_doc = found.groupBy("doc_id", "n_words").agg(F.array_sort(F.collect_set(hit)).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    by_doc = found.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set(hit)).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     # intervals by start: words that an interval adds beyond the last end
     init = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     grown = F.aggregate("hits", init, lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), (s["n"] + F.greatest(x["end"] - F.greatest(s["end"], x["at"]), F.lit(0))).alias("n")), lambda s: s["n"])

@@ -30,10 +30,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import shared_dir, stored, tasks_for
+from quadrat.llm.common import shared_dir, sliced, stored, tasks_for
 from quadrat.llm.token_files import put
 
-WINDOW, SEED, BLOCKS, CHUNK = 200, 64, 3, 2 << 20
+WINDOW, SEED, BLOCKS, CHUNK = 200, 64, 3, 1 << 20
 #: A perfect difference set modulo 133 (every difference occurs once).
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 BASE = 0x9E3779B97F4A7C15  # odd
@@ -54,7 +54,7 @@ def pack(docs: DataFrame) -> DataFrame:
             ids, wholes, bases, sizes, data = cols
             return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([chunk], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([wholes], pa.list_(pa.string())), pa.array([bases], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary())], [x.split()[0] for x in PIECE_TYPE.split(", ")])
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 name = uuid.uuid4().hex if len(raw) > CHUNK else None
@@ -167,7 +167,7 @@ class Answers:
 
 
 def pieces_of(batches):
-    for b in batches:
+    for b in sliced(batches, 1):
         for r in b.to_pylist():
             yield r["group"], r["chunk"], Piece(r["docs"], r["wholes"], r["bases"], r["sizes"], r["data"])
 
