@@ -132,10 +132,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, the text with each base span's characters replaced by its kind in brackets."""
-    out = F.col(text)
+    step = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"))
     for kind in BASE:
         pattern, _ = PATTERNS[kind]
-        found, between = F.regexp_extract_all(out, F.lit(pattern), F.lit(0)), F.split(out, pattern, -1)
-        shown = F.transform(found, lambda m, kind=kind: F.when(holds(kind, m), F.lit(f"[{kind}]")).otherwise(m))
-        out = F.when(F.size(found) > 0, F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("a"), shown.alias("b")), lambda z: F.array(z["a"], F.coalesce(z["b"], F.lit(""))))), "")).otherwise(out)
-    return docs.withColumn(text, out)
+        step = step.select("row", "t", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("found"), F.split("t", pattern, -1).alias("gaps"))
+        shown = F.zip_with("gaps", "found", _marker(kind))
+        step = step.select("row", F.when(F.size("found") > 0, F.array_join(F.flatten(shown), "")).otherwise(F.col("t")).alias("t"))
+    return step.select(*[F.col("t").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def _marker(kind: str):
+    return lambda gap, m: F.array(gap, F.when(m.isNull(), "").when(holds(kind, m), f"[{kind}]").otherwise(m))
