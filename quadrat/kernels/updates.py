@@ -6,7 +6,7 @@ import numpy as np
 
 from quadrat.kernels import spatial
 from quadrat.kernels.random import polya_gamma_moments
-from quadrat.kernels.state import NORMAL, POISSON, PROBIT, Model, base_design, by_unit, effective, fixed, masked, predictor, random_part, selection_mask, tau
+from quadrat.kernels.state import POISSON, PROBIT, Model, base_design, by_unit, effective, fixed, masked, predictor, random_part, selection_mask, tau
 
 #: Size of the negative binomial that stands for a Poisson.
 NB_R = 1000.0
@@ -331,7 +331,3 @@ def update_beta_eta(model: Model, p: dict, noise) -> None:
         right_e = by_unit(model, r, (p["iD"] * rest) @ lam.T)
         out = noise.from_precision(big, np.r_[right_b.reshape(-1), right_e.reshape(-1)])
         p["Beta"], p["Eta"][r] = out[:nb].reshape(ns, nc).T, out[nb:].reshape(n, nf)
-
-
-def observed_normal(model: Model) -> np.ndarray:
-    return model.family == NORMAL
