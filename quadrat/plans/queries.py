@@ -266,7 +266,7 @@ def predictor_by_unit_covariates(spark: SparkSession, d: str) -> DataFrame:
     """Random part of loadings that depend on a covariate of the unit, summed by level and species."""
     e = E(spark, d)
     lam = grid(e.lam, "k", 2).select("level", "h", "species", "k", (F.col("v") * (F.col("k") + 1)).alias("v"))
-    cov = grid(e.pi.select("level", "unit").distinct(), "k", 2).select("level", "unit", "k", F.when(F.col("k") == 0, 1.0).otherwise(F.col("unit") / 10).alias("v"))
+    cov = grid(e.units, "k", 2).select("level", "unit", "k", F.when(F.col("k") == 0, 1.0).otherwise(F.col("unit") / 10).alias("v"))
     ran = design.random_part_with_covariates(e.pi, e.eta, lam, cov)
     return _round(ran.groupBy("level", "species").agg(F.sum("v").alias("v")), "v", digits=4)
 

@@ -18,8 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _rank(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Distinct values of a low-cardinality column and their place in order."""
-    return df.select(col).distinct().withColumn(name, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    """Distinct values of a low-cardinality column and their place in order. Kept: a few rows that many plans need."""
+    return (df.select(col).distinct().withColumn(name, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))).persist()
 
 
 class E:
@@ -36,7 +36,8 @@ class E:
         self.x = by_user.select(site, F.explode(F.array(F.struct(F.lit(0).alias("cov"), F.lit(1.0).alias("x")), F.struct(F.lit(1).alias("cov"), ((F.col("h") - 12) / 6).alias("x")))).alias("c")).select("site", "c.cov", "c.x")
         self.pi = by_user.select(site, F.explode(F.array(*[F.struct(F.lit(r).alias("level"), (F.col("user_id") % n).cast("int").alias("unit")) for r, n in LEVELS_E])).alias("c")).select("site", "c.level", "c.unit")
         self.beta = grid(self.species.select("species"), "cov", 2).select("cov", "species", (((F.col("cov") * 3 + F.col("species") * 2) % 5 - 2) / 4).alias("v"))
-        self.eta = scores(self.pi)
+        self.units = spark.createDataFrame([(r, u) for r, n in LEVELS_E for u in range(n)], "level int, unit int")
+        self.eta = scores(self.units)
         self.lam = loadings(self.species, 2)
 
 
@@ -68,7 +69,8 @@ class B:
         modal = kinds.groupBy("species").agg(F.min(F.struct((-F.col("n")).alias("n"), "p_type")).alias("m"))
         self.taxonomy = modal.select("species", F.explode(F.array(F.struct(F.lit(0).alias("rank"), (F.col("species") % 5).cast("string").alias("taxon")), F.struct(F.lit(1).alias("rank"), F.col("m.p_type").alias("taxon")))).alias("c")).select("species", "c.rank", "c.taxon")
         self.beta = grid(self.species.select("species"), "cov", self.COVS).select("cov", "species", (((F.col("cov") * 3 + F.col("species") * 2) % 5 - 2) / 4).alias("v"))
-        self.eta = scores(self.pi)
+        self.units = nation.select(F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("c_nationkey").alias("unit")), F.struct(F.lit(1).alias("level"), F.col("n_regionkey").alias("unit")))).alias("c")).select("c.level", "c.unit").distinct()
+        self.eta = scores(self.units)
         self.lam = loadings(self.species, 2)
         gamma = grid(grid(spark.range(1).select(F.lit(0).alias("one")), "cov", self.COVS), "trait", 3)
         self.gamma = gamma.select("cov", "trait", (((F.col("cov") + F.col("trait") * 2) % 3 - 1) / 5).alias("v"))
@@ -93,9 +95,8 @@ def grid(df: DataFrame, axis: str, n: int) -> DataFrame:
     return df.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def scores(pi: DataFrame) -> DataFrame:
-    units = grid(pi.select("level", "unit").distinct(), "h", FACTORS)
-    return units.select("level", "unit", "h", (((F.col("unit") * 7 + F.col("h") * 3 + F.col("level") * 5) % 11 - 5) / 5).alias("v"))
+def scores(units: DataFrame) -> DataFrame:
+    return grid(units, "h", FACTORS).select("level", "unit", "h", (((F.col("unit") * 7 + F.col("h") * 3 + F.col("level") * 5) % 11 - 5) / 5).alias("v"))
 
 
 def loadings(species: DataFrame, levels: int) -> DataFrame:
