@@ -39,3 +39,10 @@ def ascii_lower(c: Column) -> Column:
 
 def tasks_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sliced(batches, rows: int = 512):
+    """Arrow batches in parts, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)

@@ -28,12 +28,12 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import stored, tasks_for
+from quadrat.llm.common import sliced, stored, tasks_for
 from quadrat.llm.components import components
 
-#: Frequent n-grams that are ordered by count, occurrences in a task's slice from which one is told, and its size.
-FREQUENT, TOLD, SLICE = 1 << 19, 2, 1 << 22
-BITMAP, BUCKETS, PARTNERS, HUBS = 1 << 20, 32, 64, 8
+#: Frequent n-grams that are ordered by count; n-grams of a task among which those that occur again are counted at once.
+FREQUENT, SLICE = 1 << 19, 1 << 22
+BITMAP, BUCKETS, PARTNERS, HUBS, HOMES = 1 << 20, 128, 64, 8, 2
 #: Odd multipliers of the words of an n-gram.
 MIX = 0x9E3779B97F4A7C15
 
@@ -75,20 +75,23 @@ def frequent(docs: DataFrame, k: int):
         import pyarrow as pa
 
         def told(parts):
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            keep = np.flatnonzero(c >= TOLD)
-            if len(keep) > FREQUENT // 4:
-                keep = keep[np.argsort(-c[keep], kind="stable")[: FREQUENT // 4]]
+            x = np.concatenate(parts)
+            parts.clear()
+            x.sort()
+            again = x[1:][x[1:] == x[:-1]]  # one less than it occurs
+            h, c = np.unique(again, return_counts=True)
+            c += 1
+            keep = np.arange(len(h)) if len(h) <= FREQUENT // 4 else np.argsort(-c, kind="stable")[: FREQUENT // 4]
             return pa.RecordBatch.from_pydict({"h": h[keep].view(np.int64), "c": c[keep]})
 
         parts, size = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column("text").to_pylist():
                 parts.append(ngrams(t, k))
                 size += len(parts[-1])
                 if size >= SLICE:
                     yield told(parts)
-                    parts, size = [], 0
+                    size = 0
         if parts:
             yield told(parts)
 
@@ -111,7 +114,7 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
         import pyarrow as pa
 
         known, often = shared.value
-        for b in batches:
+        for b in sliced(batches):
             ns, rares, digests, prefixes, counts = [], [], [], [], []
             for doc, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = ngrams(x, k)
@@ -131,7 +134,7 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                 rares.append(int((rank == 0).sum()) * 1000 // n)
                 first = n + ((-t.numerator * n) // t.denominator) + 1
                 prefixes.append(s[np.lexsort((s, rank))[:first]].view(np.int64))
-                counts.append(np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes())
+                counts.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(rares, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "n", "rare", "digest", "prefix", "counts"])
 
     return stored(docs.mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, counts binary"), "sets")
@@ -186,55 +189,86 @@ def meet(rows: DataFrame, t: Fraction) -> DataFrame:
 def across(rows: DataFrame, t: Fraction) -> DataFrame:
     """All pairs of sets that share prefix n-grams, are in different components and pass the filters.
 
-    rows: g, a, n, label, counts, of n-grams that occur in several components. A pair comes once per shared
-    prefix n-gram. All n-grams that two sets share up to where the first of their prefixes ends are among
-    these, and at most ceil(t n) - 1 come after a prefix: too few shared ones in the prefixes rule a pair out.
+    rows: g, home, a, n, label, counts, of n-grams that occur in several components. All n-grams that two
+    sets share up to where the first of their prefixes ends are among these, and at most ceil(t n) - 1 come
+    after a prefix: too few shared ones in the prefixes rule a pair out. N-grams of one home (the smallest
+    id among their sets) are dealt to HOMES tasks, which count shared ones before they tell of a pair.
     """
-    schema = "a long, b long, small long, large long"
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def pairs(a, n, label, counts):
-            # sorted by n: the partners of row i are the rows after it up to size n / t
+        def matches(i, j, n, label, counts, full):
+            ok = (label[i] != label[j]) & (t.denominator * n[i] >= t.numerator * n[j])
+            i, j = i[ok], j[ok]
+            ok = full[i] | full[j] | (np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64) >= overlap_needed(n[i], n[j], t))
+            return i[ok], j[ok]
+
+        def pairs(x):
+            """Of one n-gram, whose rows are sorted by n."""
+            a, n, label = (x.column(c).to_numpy() for c in ("a", "n", "label"))
+            counts = np.frombuffer(b"".join(x.column("counts").to_pylist()), np.uint8).reshape(len(a), BUCKETS)
+            full = (counts == 255).any(1)  # beyond what a counter holds: no bound
             end = np.searchsorted(n, (n * t.denominator) // t.numerator, side="right")
-            full = (counts == 65535).any(1)  # beyond what a counter holds: no bound
-            for i in range(len(a)):
-                every = np.arange(i + 1, end[i])
-                every = every[label[every] != label[i]]
-                for lo in range(0, len(every), 1 << 14):
-                    j = every[lo : lo + (1 << 14)]
-                    j = j[full[j] | full[i] | (np.minimum(counts[j], counts[i]).sum(1, dtype=np.int64) >= overlap_needed(n[i], n[j], t))]
-                    if len(j):
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(a[i], a[j]), "b": np.maximum(a[i], a[j]), "small": np.full(len(j), n[i]), "large": n[j]})
+            many = end - np.arange(len(a)) - 1
+            lo = 0
+            while lo < len(a):  # so many rows at once that their partners are about 16,384
+                hi = max(lo + 1, int(np.searchsorted(np.cumsum(many[lo:]), 1 << 14, side="right")) + lo)
+                i = np.repeat(np.arange(lo, hi), many[lo:hi])
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
+                for at in range(0, len(i), 1 << 15):
+                    k, m = matches(i[at : at + (1 << 15)], j[at : at + (1 << 15)], n, label, counts, full)
+                    if len(k):
+                        yield np.stack([np.minimum(a[k], a[m]), np.maximum(a[k], a[m]), n[k], n[m], np.ones(len(k), np.int64)], 1)
+                lo = hi
+
+        def summed(parts):
+            x = np.concatenate(parts)
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            first = np.flatnonzero(np.r_[True, (x[1:, :2] != x[:-1, :2]).any(1)])
+            return np.c_[x[first, :4], np.add.reduceat(x[:, 4], first)]
+
+        def told(x):
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, c])) for c in range(5)], ["a", "b", "small", "large", "c"])
 
         def groups():
+            """(home, the n-gram's rows) one after the other."""
             held, at = [], None
             for b in batches:
-                g = b.column("g").to_numpy()
+                g, home = b.column("g").to_numpy(), b.column("home").to_numpy()
                 cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, int)
                 for lo, hi in zip(cuts, np.r_[cuts[1:], len(g)], strict=True):
-                    if at != g[lo] and held:
-                        yield held
+                    if held and at[1] != g[lo]:
+                        yield at[0], pa.Table.from_batches(held)
                         held = []
-                    at = g[lo]
+                    at = (home[lo], g[lo])
                     held.append(b.slice(lo, hi - lo))
             if held:
-                yield held
-
-        for held in groups():
-            x = pa.Table.from_batches(held)
-            if x.num_rows > 1:
-                counts = np.frombuffer(b"".join(x.column("counts").to_pylist()), "<u2").reshape(x.num_rows, BUCKETS)
-                yield from pairs(*(x.column(c).to_numpy() for c in ("a", "n", "label")), counts)
+                yield at[0], pa.Table.from_batches(held)
+
+        now, parts, size = None, [], 0
+        for home, x in groups():
+            if parts and (home != now or size > 1 << 18):
+                parts = [summed(parts)]
+                size = len(parts[0])
+                if home != now or size > 1 << 17:
+                    yield told(parts[0])
+                    parts, size = [], 0
+            now = home
+            for p in pairs(x):
+                parts.append(p)
+                size += len(p)
+        if parts:
+            yield told(summed(parts))
 
-    spread = rows.select("g", "a", "n", "label", "counts").repartition(tasks_for(rows.sparkSession), "g").sortWithinPartitions("g", "n", "a")
-    shared = spread.mapInArrow(run, schema).groupBy("a", "b", "small", "large").count()
+    rows = rows.select("home", F.pmod("g", F.lit(HOMES)).alias("salt"), "g", "a", "n", "label", "counts")
+    spread = rows.repartition(tasks_for(rows.sparkSession), "home", "salt").sortWithinPartitions("home", "salt", "g", "n", "a")
+    shared = spread.mapInArrow(run, "a long, b long, small long, large long, c long").groupBy("a", "b", "small", "large").agg(F.sum("c").alias("c"))
     up, down = t.numerator, t.numerator + t.denominator
     needed = F.ceil((F.col("small") + F.col("large")) * up / F.lit(down) - 1e-9)
     later = F.ceil(F.col("large") * up / F.lit(t.denominator) + 1e-9) - 1
-    return shared.filter(F.col("count") >= needed - later).select("a", "b")
+    return shared.filter(F.col("c") >= needed - later).select("a", "b")
 
 
 def close(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -249,10 +283,10 @@ def close(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
         for x in batches:
             if not x.num_rows:
                 continue
-            ca, cb = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS) for c in ("ca", "cb"))
+            ca, cb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ca", "cb"))
             na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
             ok = np.minimum(ca, cb).sum(1, dtype=np.int64) * down >= up * (na + nb)
-            full = (ca == 65535).any(1) | (cb == 65535).any(1)  # beyond what a counter holds: no bound
+            full = (ca == 255).any(1) | (cb == 255).any(1)  # beyond what a counter holds: no bound
             yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(ok | full)), x.column("b").filter(pa.array(ok | full))], ["a", "b"])
 
     return pairs.distinct().join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
@@ -292,7 +326,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFram
         import pyarrow as pa
 
         at, hubs = None, []
-        for b in batches:
+        for b in sliced(batches):
             a, d = [], []
             for hub, part, role, doc, text in zip(*(b.column(c).to_pylist() for c in ("hub", "part", "role", "d", "text")), strict=True):
                 if at != (hub, part):
@@ -327,8 +361,8 @@ def join(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10),
 
     shared = met.filter("kind = 1").select("g", "a", "n")
     named = shared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    mixed = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g")
-    left = named.join(mixed, "g", "left_semi").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a")
+    mixed = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("a").alias("home")).filter("lo <> hi").select("g", "home")
+    left = named.join(mixed, "g").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a")
     second = stored(across(left, similarity).join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         labels = components(links.union(verified(docs, second, k, similarity)).union(labels.select("node", "label")))
