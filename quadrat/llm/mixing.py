@@ -103,8 +103,8 @@ def take(docs: DataFrame, *, share: float = 1.5, weights=(5, 2, 1), cap: float =
     """The rows of docs, all columns, as often as the mix takes them. No join by document: a row's source says all."""
     sizes = stored(sized(docs, doc_id, source, text), "sizes")
     goals = stored(targets(sizes, share, weights, cap), "targets")
-    cuts = stored(thresholds(sizes, goals), "cuts").select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    copies = F.col("_whole").cast("int") + F.when(id_hash(docs[doc_id]) < F.col("_cut"), 1).otherwise(0)
-    joined = docs.join(cuts, docs[source].eqNullSafe(F.col("_source")))
-    many = joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return many.select(*[many[c] for c in docs.columns])
+    cuts = stored(thresholds(sizes, goals), "cuts").select(F.col("source").alias("_source"), "whole", "cut")
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), id_hash(F.col(doc_id)).alias("h"))
+    copies = F.col("whole").cast("int") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+    many = rows.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).select("row", copies.alias("copies")).filter("copies > 0")
+    return many.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
