@@ -42,7 +42,22 @@ def tasks_for(spark: SparkSession) -> int:
 
 
 def sliced(batches, rows: int = 512):
-    """Arrow batches in parts, so that few texts are Python strings at a time."""
+    """Arrow batches in parts, so that few texts are Python strings at a time. At the end of the task, what it freed goes back to the system: workers live on."""
+    import ctypes
+
+    import pyarrow as pa
+
     for b in batches:
         for at in range(0, max(1, b.num_rows), rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: batches of fewer rows than Spark's default of 10,000, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1024")

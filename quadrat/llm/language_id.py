@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.common import sliced, small_batches
+
 BUCKETS, GRAMS, SAMPLE, BLOCK = 1 << 16, (2, 3, 4), 20_000, 1 << 19
 
 
@@ -60,6 +62,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     """The languages, and the log probabilities [BUCKETS, languages]."""
     import numpy as np
 
+    small_batches(docs.sparkSession)
     label = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     n = label.select(F.count("*")).first()[0]
     if not n:
@@ -71,7 +74,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         import pyarrow as pa
 
         sums = {}
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             names = np.array(batch.column("lang").to_pylist(), object)
             buf, starts, ends = buffers(batch.column("text"))
             for slot, first, last, which in gram_blocks(buf, starts, ends):
@@ -96,6 +99,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 def predict(docs: DataFrame, model: tuple[list[str], object] | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score (posterior probability, with equal priors)."""
     spark = docs.sparkSession
+    small_batches(spark)
     t = F.col(text)
     cols = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(t, F.lit("")).alias("text"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if model is None:
@@ -107,7 +111,7 @@ def predict(docs: DataFrame, model: tuple[list[str], object] | None, *, doc_id:
         import pyarrow as pa
 
         names, table = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             buf, starts, ends = buffers(batch.column("text"))
             total = np.zeros((batch.num_rows, len(names)))
             for slot, first, last, which in gram_blocks(buf, starts, ends):

@@ -28,7 +28,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import sliced, stored, tasks_for
+from quadrat.llm.common import sliced, small_batches, stored, tasks_for
 from quadrat.llm.components import components
 
 #: Frequent n-grams that are ordered by count; n-grams of a task among which those that occur again are counted at once.
@@ -153,7 +153,7 @@ def meet(rows: DataFrame, t: Fraction) -> DataFrame:
         import pyarrow as pa
 
         at, hubs, only = None, [], None
-        for b in batches:
+        for b in sliced(batches, 8192):
             cols = [b.column(c).to_numpy() for c in ("g", "a", "n", "pos")]
             g = cols[0]
             same = np.zeros(len(g), bool)  # with a neighbour in this batch, or with the batch before or after
@@ -235,7 +235,7 @@ def across(rows: DataFrame, t: Fraction) -> DataFrame:
         def groups():
             """(home, the n-gram's rows) one after the other."""
             held, at = [], None
-            for b in batches:
+            for b in sliced(batches, 8192):
                 g, home = b.column("g").to_numpy(), b.column("home").to_numpy()
                 cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, int)
                 for lo, hi in zip(cuts, np.r_[cuts[1:], len(g)], strict=True):
@@ -315,7 +315,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFram
         import pyarrow as pa
 
         bits = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(bits[b.column("s").to_numpy()])) for x in (b.column("doc_id"), b.column("text"))], ["doc_id", "text"])
 
     texts = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).cast("int").alias("s")).mapInArrow(wanted, "doc_id long, text string")
@@ -348,6 +348,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFram
 
 def join(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
+    small_batches(docs.sparkSession)
     docs = ids_and_texts(docs, doc_id, text)
     sets = sets_of(docs, k, similarity)
     classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"))
