@@ -6,9 +6,9 @@ within the part, int64) and part-K.doc (document ids, int64). Where a part begin
 prefix sum of the parts' lengths: only one row per part reaches the driver. A part is written under a
 temporary name and renamed, so a task that runs twice leaves one whole file.
 
-A text's pieces "white space, then other characters" are never merged by a byte-level tokenizer, so each
-distinct piece is encoded once per worker and remembered (a bounded cache); other tokenizers, and texts with
-control characters on whose class libraries disagree, are encoded as a whole.
+A byte-level tokenizer never merges over certain cuts (see FINE and COARSE), so each distinct piece between
+two cuts is encoded once per worker and remembered (a bounded cache); other tokenizers, and texts with control
+characters on whose class libraries disagree or with a special token's name, are encoded as a whole.
 
 Defined cases: a null or empty text is just the end id; a null document id comes first and stays null;
 documents of equal id keep a fixed order by a hash of their text; an empty table gives no files and no rows.
@@ -21,14 +21,20 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import shared_dir, tasks_for
+from quadrat.llm.common import shared_dir, sliced, small_batches, tasks_for
 
-PIECE = re.compile(r"\s*\S+|\s+")
-UNSURE = re.compile("[\x1c-\x1f]")
+#: Letters below U+0250. There, a byte-level tokenizer always cuts after a run of letters and before white space
+#: that follows something else, so texts may be cut there too; texts with later characters only before white space.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-\u024f"
+FINE = re.compile(rf"\s*(?:[{LETTERS}]+|[^\s{LETTERS}]+[{LETTERS}]*)|\s+")
+COARSE = re.compile(r"\s*\S+|\s+")
+LATER, UNSURE = re.compile("[\u0250-\U0010ffff]"), re.compile("[\x1c-\x1f\x85]")
 NO_ID = -(1 << 63)
 #: Pieces remembered by a worker, and texts (in characters) encoded at once.
 CACHE, AT_ONCE = 300_000, 1 << 18
@@ -44,17 +50,23 @@ class Encoder:
         pre = spec["pre_tokenizer"] or {}
         self.by_piece = not spec["normalizer"] and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.dtype = np.dtype("<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.array, self.end, self.known = np.array, np.array([end_id], self.dtype).tobytes(), {}
+        self.array, self.end = np.array, np.array([end_id], self.dtype).tobytes()
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.known, self.older = {}, {}
+        self.begins = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.begins[i] = token.startswith("\u0120")  # how a byte-level vocabulary writes a space
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> Iterator[list[str]]:
+        piece = COARSE if LATER.search(text) else FINE
         if len(text) <= 4 * AT_ONCE:
-            yield PIECE.findall(text)
+            yield piece.findall(text)
             return
         part = []
-        for m in PIECE.finditer(text):
+        for m in piece.finditer(text):
             part.append(m.group())
             if len(part) == AT_ONCE:
                 yield part
@@ -78,28 +90,58 @@ class Encoder:
             if not self.by_piece:
                 yield from (x + self.end for x in self.whole(texts_now))
                 continue
-            split = [None if UNSURE.search(x) else self.pieces(x) for x in texts_now]
-            if len(texts_now) > 1:  # small texts: all their new pieces go through the library together
+            split = [None if UNSURE.search(x) or any(s in x for s in self.added) else self.pieces(x) for x in texts_now]
+            many = len(texts_now) > 1
+            if many:  # small texts: all their new pieces go through the library together
                 split = [x and list(x) for x in split]
-                self.learn({p for x in split if x for part in x for p in part})
+                ids = self.ids_of(set(chain.from_iterable(part for x in split if x for part in x)))
             for x, parts in zip(texts_now, split, strict=True):
                 if parts is None:
                     yield self.whole([x])[0] + self.end
                     continue
                 out = []
                 for part in parts:
-                    self.learn(set(part))
-                    out.append(b"".join(map(self.known.__getitem__, part)))
+                    if not many:
+                        ids = self.ids_of(set(part))
+                    out.append(b"".join(map(ids.__getitem__, part)))
                 yield b"".join(out) + self.end
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(pieces)
-        self.known.update(zip(new, self.whole(new), strict=True))
+    def ids_of(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of each piece, in a small table of their own; those of the last CACHE pieces stay at hand."""
+        known, older = self.known, self.older
+        out = {p: known[p] for p in pieces if p in known}
+        new = [p for p in pieces if p not in out]
+        if older:
+            again = {p: older[p] for p in new if p in older}
+            known.update(again)
+            out.update(again)
+            new = [p for p in new if p not in again]
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        ids = self.together(words) if words else None
+        told = dict(zip(words, ids, strict=True)) if ids else {}
+        rest = [p for p in new if p not in told]
+        told.update(zip(rest, self.whole(rest), strict=True))
+        out.update(told)
+        known.update(told)
+        if len(known) > CACHE:
+            self.older, self.known = known, {}
+        return out
+
+    def together(self, words: list[str]) -> list[bytes] | None:
+        """Ids of pieces that are a space and letters: one text, cut where a token begins with the space."""
+        ids = self.array(self.tok.encode("".join(words), add_special_tokens=False).ids, self.dtype)
+        cuts = self.begins[ids].nonzero()[0]
+        if len(cuts) != len(words):
+            return None
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        cuts = [*(cuts * size).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One per worker process: later tasks find the pieces that earlier ones have learnt."""
+    return Encoder(path, end_id)
 
 
 def put(fs, temp: str, final: str) -> None:
@@ -113,6 +155,7 @@ def put(fs, temp: str, final: str) -> None:
 def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 2, out: str | None = None, doc_id: str = "doc_id", text: str = "text") -> dict:
     """Writes the files and returns the manifest: {"path", "dtype", "parts": [{"part", "docs", "tokens", "base"}]}."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = out or f"{shared_dir(spark)}/quadrat/tokens-{uuid.uuid4().hex}"
     spark_docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
     ordered = spark_docs.repartitionByRange(tasks_for(spark), F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
@@ -126,11 +169,11 @@ def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 2, out: str | None
         from pyarrow import fs as pafs
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer, end_id), TaskContext.get().partitionId()
         fs, path = pafs.FileSystem.from_uri(out)
         temp, sizes, docs_n, tokens = f"{path}/.{part}-{uuid.uuid4().hex}", [], 0, 0
         bin_f = off_f = doc_f = None
-        for batch in batches:
+        for batch in sliced(batches):
             if not batch.num_rows:
                 continue
             if bin_f is None:
