@@ -30,10 +30,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.llm.common import shared_dir, sliced, stored, tasks_for
+from quadrat.llm.common import shared_dir, sliced, small_batches, stored, tasks_for
 from quadrat.llm.token_files import put
 
-WINDOW, SEED, BLOCKS, CHUNK = 200, 64, 3, 1 << 20
+WINDOW, SEED, BLOCKS, CHUNK = 200, 64, 3, 1 << 19
 #: A perfect difference set modulo 133 (every difference occurs once).
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 BASE = 0x9E3779B97F4A7C15  # odd
@@ -128,16 +128,20 @@ class Piece:
         return np.flatnonzero(near & (np.cumsum(fits[:-1]) > 0))
 
 
-def by_bucket(keys, buckets: int, block: int, blocks: int):
-    """Of the keys in a block: distinct ones in order, how often each occurs, their buckets' limits, and for each key of the block where it went."""
+def by_bucket(keys, buckets: int, block: int, blocks: int, back: bool = True):
+    """Of the keys in a block: where they are, distinct ones in order, for each key of the block where it went, how often each occurs (both only if back), and the buckets' limits."""
     import numpy as np
 
     lo, hi = ((block + i) * (1 << 64) // blocks for i in (0, 1))
     mine = np.flatnonzero((keys >= np.uint64(lo)) & (keys <= np.uint64(hi - 1)))
-    distinct, back, count = np.unique(keys[mine], return_inverse=True, return_counts=True)
+    if back:
+        distinct, place, count = np.unique(keys[mine], return_inverse=True, return_counts=True)
+    else:
+        distinct, place, count = np.sort(keys[mine]), None, None
+        distinct = distinct[np.r_[True, distinct[1:] != distinct[:-1]]] if len(distinct) else distinct
     edges = np.array([lo + (hi - lo) * i // buckets for i in range(1, buckets)], np.uint64)
     cuts = np.r_[0, np.searchsorted(distinct, edges), len(distinct)]
-    return mine, distinct, back, count, cuts
+    return mine, distinct, place, count, cuts
 
 
 class Answers:
@@ -184,20 +188,22 @@ def settle(told: DataFrame, groups: list[int], buckets: int, root: str) -> None:
             for r in rows:
                 planes = np.frombuffer(r[2], np.uint8).reshape(8, -1)
                 lists.append(np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64))
+            ends = np.cumsum([len(x) for x in lists])
             keys = np.concatenate(lists)
+            lists.clear()
             order = np.argsort(keys, kind="stable")
             k = keys[order]
+            del keys
             twice = np.zeros(len(k), bool)
             twice[1:] = k[1:] == k[:-1]
             twice[:-1] |= twice[1:]
             flags = np.empty(len(k), bool)
             flags[order] = twice
-            ends = np.cumsum([len(x) for x in lists])
             bits = [np.packbits(x).tobytes() for x in np.split(flags, ends[:-1])]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(bits, pa.binary())], ["group", "chunk", "bucket", "bits"])
 
         at, rows = None, []
-        for b in batches:
+        for b in sliced(batches):
             for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "group", "chunk", "keys")), strict=True):
                 if bucket != at and rows:
                     yield one(at, rows)
@@ -224,7 +230,7 @@ def settle(told: DataFrame, groups: list[int], buckets: int, root: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array([group], pa.int32())], ["group"])
 
         at, held = None, []
-        for b in batches:
+        for b in sliced(batches):
             names = b.column("group").to_pylist()
             lo = 0
             while lo < len(names):
@@ -258,7 +264,7 @@ def tell(pieces: DataFrame, step, block: int, blocks: int, buckets: int) -> Data
 
         find = step()
         for group, chunk, piece in pieces_of(batches):
-            _, distinct, _, _, cuts = by_bucket(find(group, chunk, piece), buckets, block, blocks)
+            _, distinct, _, _, cuts = by_bucket(find(group, chunk, piece), buckets, block, blocks, back=False)
             names, blobs = [], []
             for bucket, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if a < b:
@@ -273,6 +279,8 @@ def tell(pieces: DataFrame, step, block: int, blocks: int, buckets: int) -> Data
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
     """RESULT_TYPE rows: per document its bytes, removed bytes, maximal removed runs and a hash of what is kept."""
     spark = docs.sparkSession
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")  # a row is a piece or a bucket's share of one
     buckets = tasks_for(spark)
     root = f"{shared_dir(spark)}/quadrat/answers-{uuid.uuid4().hex}"
     pieces = pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
@@ -314,7 +322,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blocks:
                 again[mine] = (answers.of(group, chunk, block + 1, cuts) | (count > 1))[back]
             yield from results(piece, at[again])
 
-    found = stored(pieces.mapInArrow(last, RESULT_TYPE), "repeats")
+    found = pieces.mapInArrow(last, RESULT_TYPE)
+    if pieces.filter(F.exists("wholes", lambda w: w.isNotNull())).isEmpty():  # every document is in one piece
+        return found
+    found = stored(found, "repeats")
     long = found.filter("whole is not null").groupBy("whole").applyInArrow(together, RESULT_TYPE)
     return found.filter("whole is null").unionByName(long)
 
