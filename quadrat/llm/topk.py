@@ -1,17 +1,20 @@
 """Exact top-k search by inner product with an M-tree, best node first.
 
 Components become floor(64 x), scores are integer inner products. Rows and queries are dealt into blocks of
-bounded size by a hash of the id; every pair of a query block and a row block is one task, which builds the
-row block's tree: pages of vectors around pivots (covering radius, each vector's distance to its pivot), and
-nodes of pages around pivots of pivots (covering radius, each page's distance to its parent). By the
+bounded size by a hash of a number that each row has of its own; every pair of a query block and a row block
+is one task, which builds the row block's tree: pages of vectors around pivots (covering radius, each vector's
+distance to its pivot), and nodes of pages around pivots of pivots (covering radius, each page's distance to
+its parent). By the
 triangle inequality <q, x> <= <q, p> + |q| d(x, p), so a stored distance gives a bound without touching x:
 nodes and pages are visited by falling bound and left out once the bound is under the k-th score so far,
 and in a page only vectors whose own bound reaches that score are multiplied.
 
 Defined cases: null vectors and those that hold a null or a non-finite component take no part, as a query
-or as a row; ties go to the smaller id; a row never finds a row of its own id; with fewer rows than k all are
-returned; a shorter vector counts as padded with zeros; an empty table gives none. Scores are exact while
-they fit 64 bits. Only id and vector are read.
+or as a row; rows without an id neither; ties go to the smaller id; each row is a query or a candidate of its
+own, also if its id or its vector occurs again: a query row has its own k results, listed under its id, among
+all rows but itself, so that it may find other rows of its id, and a repeated candidate counts as often as it is
+there; with fewer rows than k all are returned; a shorter vector counts as padded with zeros; an empty table
+gives none. Scores are exact while they fit 64 bits. Only id and vector are read.
 """
 
 from __future__ import annotations
@@ -25,17 +28,17 @@ ROWS, QUERIES, PAGE, FAN = 8192, 4096, 128, 8
 class Tree:
     """The M-tree of one block: flat arrays of pages and, above them, of nodes."""
 
-    def __init__(self, ids, x):
+    def __init__(self, keys, ids, x):
         import numpy as np
 
-        order = np.lexsort((ids,))
-        ids, x = ids[order], x[order]
+        order = np.lexsort((keys, ids))
+        keys, ids, x = keys[order], ids[order], x[order]
         n = len(x)
         self.pages = pages = max(1, n // PAGE)
         pivots = np.unique(x[(np.arange(pages) * n) // pages], axis=0)
         near, dist = self.nearest(x, pivots)
         order = np.lexsort((dist, near))  # by page, then by distance to the pivot
-        self.ids, self.x, self.dist, near = ids[order], x[order], dist[order], near[order]
+        self.keys, self.ids, self.x, self.dist, near = keys[order], ids[order], x[order], dist[order], near[order]
         used, first = np.unique(near, return_index=True)
         self.pivots, self.first, self.last = pivots[used], first, np.r_[first[1:], n]
         self.radius = self.dist[self.last - 1]
@@ -54,7 +57,7 @@ class Tree:
         # distances are used as upper bounds
         return at, np.sqrt(square[np.arange(len(x)), at]) * (1 + 1e-9) + 1e-6
 
-    def search(self, qids, q, k: int):
+    def search(self, qkeys, q, k: int):
         """Flat arrays query index, id, score: the k best of each query in this block."""
         import numpy as np
 
@@ -88,7 +91,7 @@ class Tree:
                     s = q[who] @ self.x[lo:hi].T
                     a, b = np.nonzero(s >= limit[who, None])
                     new = (who[a], self.ids[lo + b], s[a, b])
-                    ok = new[1] != qids[new[0]]
+                    ok = self.keys[lo + b] != qkeys[new[0]]  # not itself
                     got = tuple(np.concatenate([g, x[ok]]) for g, x in zip(got, new, strict=True))
                     if len(got[0]) > 4 * k * len(q):
                         got = self.best(got, k, limit)
@@ -116,29 +119,32 @@ def whole(batches):
     import pyarrow as pa
 
     for b in batches:
-        ids, out = b.column("id").to_pylist(), []
+        keys, ids, out = b.column("key").to_pylist(), b.column("id").to_pylist(), []
         for v in b.column("v").to_pylist():
             y = None if v is None or any(c is None for c in v) else np.floor(64.0 * np.array(v, np.float64))
             out.append(y.tolist() if y is not None and np.isfinite(y).all() else None)
         keep = [i for i, y in enumerate(out) if y is not None and ids[i] is not None]
-        yield pa.RecordBatch.from_pydict({"id": pa.array([ids[i] for i in keep], pa.int64()), "v": pa.array([out[i] for i in keep], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({"key": pa.array([keys[i] for i in keep], pa.int64()), "id": pa.array([ids[i] for i in keep], pa.int64()), "v": pa.array([out[i] for i in keep], pa.list_(pa.float64()))})
 
 
 def search(vectors: DataFrame, k: int = 20, *, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose id is divisible by every."""
     v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"))
-    good = v.mapInArrow(whole, "id long, v array<double>")
     is_query = F.pmod(F.col("id"), F.lit(every)) == 0
     n, nq = v.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     blocks, qblocks = max(1, -(-n // ROWS)), max(1, -(-nq // QUERIES))
-    rows = good.select("id", "v", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)).cast("array<long>")).alias("qblock"), F.lit(False).alias("query"))
-    queries = good.filter(is_query).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(qblocks)).alias("qblock"), F.lit(True).alias("query"))
+    good = v.select(F.monotonically_increasing_id().alias("key"), "id", "v").mapInArrow(whole, "key long, id long, v array<double>")
+    # a row goes to its tasks as a row and as a query from one scan, with one key
+    block, qblock = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(blocks)), F.pmod(F.xxhash64("key", F.lit(5)), F.lit(qblocks))
+    as_row = F.transform(F.sequence(F.lit(0), F.lit(qblocks - 1)).cast("array<long>"), lambda to: F.struct(block.alias("block"), to.alias("qblock"), F.lit(False).alias("query")))
+    as_query = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"), lambda to: F.struct(to.alias("block"), qblock.alias("qblock"), F.lit(True).alias("query")))
+    dealt = good.select("key", "id", "v", F.explode(F.when(is_query, F.concat(as_row, as_query)).otherwise(as_row)).alias("to")).select("key", "id", "v", "to.*")
 
     def pair(table):
         import numpy as np
         import pyarrow as pa
 
-        ids, is_q = table.column("id").to_numpy(), table.column("query").to_numpy()
+        keys, ids, is_q = table.column("key").to_numpy(), table.column("id").to_numpy(), table.column("query").to_numpy()
         lists = table.column("v").combine_chunks()
         lists = lists.chunk(0) if hasattr(lists, "chunk") else lists
         flat, off = lists.flatten().to_numpy(), np.asarray(lists.offsets)
@@ -153,12 +159,12 @@ def search(vectors: DataFrame, k: int = 20, *, every: int = 20, vec_id: str = "v
             if norms.max() ** 2 >= 2**53:  # beyond exact doubles: every pair in 64-bit integers
                 y = x.astype(np.int64)
                 score = y[is_q] @ y[~is_q].T
-                who, at = np.nonzero(ids[is_q][:, None] != ids[~is_q][None, :])
+                who, at = np.nonzero(keys[is_q][:, None] != keys[~is_q][None, :])
                 found, score = ids[~is_q][at], score[who, at]
             else:
-                who, found, score = Tree(ids[~is_q], x[~is_q]).search(ids[is_q], x[is_q], k)
-        return pa.Table.from_pydict({"query_id": pa.array(ids[is_q][who], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(np.asarray(score).astype(np.int64))})
+                who, found, score = Tree(keys[~is_q], ids[~is_q], x[~is_q]).search(keys[is_q], x[is_q], k)
+        return pa.Table.from_pydict({"query": pa.array(keys[is_q][who], pa.int64()), "query_id": pa.array(ids[is_q][who], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(np.asarray(score).astype(np.int64))})
 
-    found = rows.unionByName(queries).groupBy("block", "qblock").applyInArrow(pair, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = dealt.groupBy("block", "qblock").applyInArrow(pair, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

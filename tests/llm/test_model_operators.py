@@ -298,3 +298,27 @@ def test_search_over_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(640)] + [(20, [1.0, 2.0, 0.0, 0.0])]
     assert {r[:1] + r[2:] for r in found(spark, rows[:640], 5)} == {r[:1] + r[2:] for r in brute.topk(rows[:640], 5)}
+
+
+def test_search_gives_each_repeated_row_its_own_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 100)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(640)]
+    rows += [(20, [1.0, 2.0, 0.0, 0.0]), rows[40], rows[40], rows[7]]  # an id with two vectors, a row three times, a repeated candidate
+    for part, k in ((rows, 5), (rows[20:21] * 90, 20)):
+        df = spark.createDataFrame(part, "vec_id long, embedding array<double>")
+        got = [tuple(r) for r in topk.search(df, k).collect()]
+        # brute force over row numbers, of which the queries' are divisible by every and the others not
+        names, at = {}, {True: 0, False: 1}
+        for i, v in part:
+            q = i % 20 == 0
+            names[at[q]] = (i, v)
+            at[q] += 20 if q else 1
+            at[q] += int(not q and at[q] % 20 == 0)
+        scored = brute.topk([(key, v) for key, (_, v) in names.items()], len(part))
+        lists = {}
+        for q, _, x, s in scored:
+            lists.setdefault(q, []).append((-s, names[x][0]))
+        want = [(names[q][0], r + 1, i, -s) for q, found_ in lists.items() for r, (s, i) in enumerate(sorted(found_)[:k])]
+        assert sorted(got) == sorted(want)
