@@ -8,8 +8,8 @@ each hit exactly. The benchmark side of that join is broadcast only if the sessi
 allows it, else both sides are shuffled by window text; hits are few either way.
 
 Defined cases: a null text has no words, no hits and no items; items without words have no windows; equal
-items all count; rows of equal (or null) id are each judged, and clean() drops an id if any of its rows is
-contaminated; an empty benchmark hits nothing. Only the id and
+items all count; rows of equal (or null) id are each judged, and clean() drops or keeps each for its own text;
+an empty benchmark hits nothing. Only the id and
 text columns are read.
 """
 
@@ -101,7 +101,10 @@ def digest(judged: DataFrame) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = judge(docs, benchmark, doc_id=doc_id, **names).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id] == bad["_bad"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """The rows that are not contaminated, with all their columns."""
+    # what a row is judged by: rows of equal id and text are judged alike, those of one id and another text are not
+    digest = F.unhex(F.sha2(F.coalesce(docs[text], F.lit("")), 256))
+    keyed = docs.select(F.struct(docs[doc_id].alias("id"), digest.alias("digest")).alias("key"), docs[text].alias("text"))
+    bad = judge(keyed, benchmark, doc_id="key", text="text", **names).filter("contaminated").select(F.col("doc_id.id").alias("_bad"), F.col("doc_id.digest").alias("_digest")).distinct()
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]) & (digest == bad["_digest"]), "left_anti")

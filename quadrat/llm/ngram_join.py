@@ -19,6 +19,7 @@ partners is sliced. The scan drops other texts early by a bitmap of fixed size.
 Defined cases: a text that is null or has no words has no set, is linked with nothing and is its own
 component; a null id is linked with nothing and has a null component; rows of equal id are one document as
 far as links go; equal texts are linked; an empty table gives an empty result. Only id and text are read.
+keep_one() decides per row: rows of one id are documents of their own there; rows with a null id all stay.
 """
 
 from __future__ import annotations
@@ -374,6 +375,19 @@ def join(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10),
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents that are the smallest id of their component (and those without an id), with all their columns."""
-    gone = join(docs, doc_id=doc_id, **how).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """One row of each component, that of its smallest id, and the rows without an id, with all columns.
+
+    Where an id occurs again, ids do not tell rows apart: then a copy of the table is stored with a number
+    for each row, and joined by that.
+    """
+    ids = docs.groupBy(F.col(doc_id).alias("id")).count()
+    if ids.filter("id IS NOT NULL AND count > 1").isEmpty():
+        gone = join(docs, doc_id=doc_id, **how).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")), "rows")
+    flat = rows.select("_row", F.col("_doc")[doc_id].alias("_id"), F.col("_doc")[how.get("text", "text")].alias("_text"))
+    named = flat.filter("_id IS NOT NULL")
+    found = join(named, doc_id="_row", **{**how, "text": "_text"})
+    first = named.select("_row", "_id").join(found, F.col("_row") == found["doc_id"]).groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"))
+    first = first.select("_first").union(flat.filter("_id IS NULL").select("_row"))
+    return rows.join(first, rows["_row"] == first["_first"], "left_semi").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quadrat.llm import decontamination, ngram_join
+
 
 @pytest.fixture(scope="module")
 def steps(spark, tables, tmp_path_factory):
@@ -57,3 +59,24 @@ def test_tokens_hold_every_document_of_the_mix(steps):
 def test_run_is_all_stages(spark, tables, steps):
     cols = ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert corpus_pipeline.run(spark, tables).select(cols).exceptAll(steps[5].select(cols)).isEmpty()
+
+
+def kept(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_stages_decide_rows_of_null_and_repeated_ids_by_their_own_texts(spark):
+    passage, other, third = (" ".join(f"{c}{i}" for i in range(20)) for c in "pqr")
+    cols = "doc_id long, text string, digest string, n long"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(None, passage, "a", 1), (None, other, "b", 2), (1, passage, "c", 3), (1, third, "d", 4), (2, passage, "e", 5), (3, None, "f", 6), (None, None, "g", 7), (4, other, "h", 8), (4, other, "i", 9)]
+    clean = decontamination.clean(spark.createDataFrame(rows, cols), bench)
+    assert clean.columns == ["doc_id", "text", "digest", "n"]
+    assert kept(clean) == sorted([r for r in rows if r[1] != passage], key=str)
+
+    near = other.replace("q19", "q19 more")
+    rows = [(7, passage, "a", 1), (7, passage, "a", 1), (None, other, "b", 2), (None, near, "c", 3), (5, third, "d", 4), (6, third, "e", 5), (6, " ".join("uvwxyz"), "f", 6), (None, third, "g", 7), (8, None, "h", 8), (8, None, "i", 9)]
+    for part, want in ((rows, [rows[i] for i in (0, 2, 3, 4, 6, 7, 8, 9)]), (rows[4:6], rows[4:5]), (rows[5:6] * 2 + rows[4:5] + rows[7:8], [rows[4], rows[7]])):
+        one = ngram_join.keep_one(spark.createDataFrame(part, cols).coalesce(1))
+        assert one.columns == ["doc_id", "text", "digest", "n"]
+        assert kept(one) == sorted(want, key=str)
