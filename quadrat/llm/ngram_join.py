@@ -391,3 +391,33 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     first = named.select("_row", "_id").join(found, F.col("_row") == found["doc_id"]).groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"))
     first = first.select("_first").union(flat.filter("_id IS NULL").select("_row"))
     return rows.join(first, rows["_row"] == first["_first"], "left_semi").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+
+
+def links(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """component_id, n_docs, n_links of every component: all pairs of documents that are linked, also inside a component.
+
+    As join(), but no candidate is left out, so that it takes as many pairs as there are: the square of a
+    group of near copies. Copies (equal sets) are counted, not paired. Ids are taken to be distinct; rows
+    without one are left out.
+    """
+    small_batches(docs.sparkSession)
+    docs = ids_and_texts(docs, doc_id, text)
+    sets = sets_of(docs, k, similarity)
+    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"), F.count("*").alias("m"))
+    reps = stored(classes.select("m", "r.*"), "classes")
+    rows = reps.filter("n > 1").select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
+    met = meet(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), similarity)
+    # each set is its own component: nothing is skipped
+    shared = met.filter("kind = 1").select("g", "a", "n", F.col("a").alias("label"))
+    home = shared.groupBy("g").agg(F.min("a").alias("home"))
+    pairs = stored(across(shared.join(home, "g").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a"), similarity), "pairs")
+    found = verified(docs, pairs, k, similarity)
+    labels = components(found)
+
+    m = reps.select("doc_id", "m")
+    between = found.join(m.select(F.col("doc_id").alias("a"), F.col("m").alias("ma")), "a").join(m.select(F.col("doc_id").alias("b"), F.col("m").alias("mb")), "b").groupBy(F.col("a").alias("doc_id")).agg(F.sum(F.col("ma") * F.col("mb")).alias("between"))
+    each = m.join(between, "doc_id", "left").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    equal = F.expr("m * (m - 1) div 2")
+    each = each.select(F.coalesce("label", "doc_id").alias("component_id"), "m", (equal + F.coalesce("between", F.lit(0))).alias("n"))
+    none = sets.filter("digest is null and doc_id is not null").select(F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("n"))
+    return each.union(none).groupBy("component_id").agg(F.sum("m").alias("n_docs"), F.sum("n").cast("long").alias("n_links"))

@@ -322,3 +322,30 @@ def test_search_gives_each_repeated_row_its_own_neighbours(spark, monkeypatch):
             lists.setdefault(q, []).append((-s, names[x][0]))
         want = [(names[q][0], r + 1, i, -s) for q, found_ in lists.items() for r, (s, i) in enumerate(sorted(found_)[:k])]
         assert sorted(got) == sorted(want)
+
+
+def test_all_links_inside_components_are_counted(spark, tables):
+    import random
+
+    rng = random.Random(8)
+    rows, n = [], 0
+    for g in range(6):  # groups of edited copies, some of them equal
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(60)] = f"x{rng.randrange(3)}"
+            rows.append((n := n + 1, " ".join(w)))
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "ONE two"), (904, "alone " * 9)]
+    for part in (rows, texts(spark, tables)[:400]):
+        label = {d: c for d, (_, c) in brute.jaccard(part, 5, 80).items()}
+        sets = {d: (set(zip(*[w[j:] for j in range(5)], strict=False)) if len(w) >= 5 else {tuple(w)} if w else set()) for d, t in part for w in [(t or "").lower().encode().split()]}
+        want = {c: [list(label.values()).count(c), 0] for c in label.values()}
+        for i, a in enumerate(sorted(sets)):
+            for b in sorted(sets)[i + 1 :]:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                    want[label[a]][1] += 1
+        got = {r.component_id: [r.n_docs, r.n_links] for r in ngram_join.links(docs_of(spark, part)).collect()}
+        assert got == want
+    assert max(v[1] for v in want.values()) > 1
