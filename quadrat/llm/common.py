@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage.
 
     A lost executor takes nothing with it: the files are in shared storage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadrat/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -41,6 +42,19 @@ def tasks_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the actions inside; what was set before holds again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def sliced(batches, rows: int = 512):
     """Arrow batches in parts, so that few texts are Python strings at a time. At the end of the task, what it freed goes back to the system: workers live on."""
     import ctypes

@@ -112,6 +112,29 @@ def test_suffix_dedup_of_texts_over_many_pieces(spark, monkeypatch):
     assert got == dict(enumerate(brute.repeats(rows)))
 
 
+@pytest.mark.parametrize("fan", [1, 32])
+def test_suffix_dedup_compares_bytes_where_keys_are_equal(spark, monkeypatch, fan):
+    """Keys of 8 bits: nearly every window has the key of windows with other bytes, in its piece and in others."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 900)
+    monkeypatch.setattr(suffix_dedup, "FAN", fan)
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b = noise(260), noise(420)
+    rows = [noise(700), a + noise(90), noise(640), b, noise(30) + a, noise(200), "q" + b[100:], noise(200), noise(333) + a[:230], "xy" * 200, noise(500) + "xy" * 110, noise(800)]
+    import cloudpickle_by_value
+
+    with cloudpickle_by_value.of(suffix_dedup):
+        got = {r.doc_id: tuple(r[k] for k in COLS5) for r in repeats(spark, list(enumerate(rows)), bits=8).collect()}
+    assert got == dict(enumerate(brute.repeats(rows)))
+
+
+def test_suffix_dedup_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    repeats(spark, [(1, "a" * 500)]).collect()
+    assert spark.conf.get(key) == before
+
+
 def test_cover_meets_every_distance():
     d = {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER}
     assert len(d) == suffix_dedup.PERIOD and suffix_dedup.WINDOW - suffix_dedup.PERIOD + 1 >= suffix_dedup.SEED
