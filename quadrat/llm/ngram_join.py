@@ -9,16 +9,22 @@ Candidates are met by prefix n-gram in two steps, so that a group of many near c
 pairs. First each n-gram's documents are paired with a hub of theirs (length and positional filters),
 verified, and joined to components. Then, per n-gram, the pairs whose documents are still in different
 components are all taken, with the length and suffix (bucket count) filters, and kept if they share enough
-prefix n-grams; pairs inside a component cannot change the result. Every pair is verified once, on whole texts, with the exact
+prefix n-grams; pairs inside a component cannot change the result. The suffix filter is a bound on what two
+sets can share, from their counts in buckets of the hash. Every pair is verified once, on whole texts, with the exact
 sizes of intersection and union. Components are the contract's; their number of verified links is not all
 links.
 
+No n-gram's documents go to one task: those of one that occurs HOT times are dealt into salts, each of which has
+hubs of its own, which then meet as the n-gram's documents in their turn; and the pairs of an n-gram are dealt by
+pairs of blocks of its documents.
+
 Texts travel only for documents in candidate pairs, once per hub and slice of its partners; a hub with many
 partners is sliced. The scan drops other texts early by a bitmap of fixed size.
 
 Defined cases: a text that is null or has no words has no set, is linked with nothing and is its own
 component; a null id is linked with nothing and has a null component; rows of equal id are one document as
-far as links go; equal texts are linked; an empty table gives an empty result. Only id and text are read.
+far as links go; equal texts are linked; ties between hubs go to the smaller id; very long texts are sets like
+any other, compared whole; an empty table gives an empty result. Only id and text are read.
 keep_one() decides per row: rows of one id are documents of their own there; rows with a null id all stay.
 """
 
@@ -34,7 +40,9 @@ from quadrat.llm.components import components
 
 #: Frequent n-grams that are ordered by count; n-grams of a task among which those that occur again are counted at once.
 FREQUENT, SLICE = 1 << 19, 1 << 22
-BITMAP, BUCKETS, PARTNERS, HUBS, HOMES = 1 << 20, 128, 64, 8, 2
+BITMAP, BUCKETS, PARTNERS, HUBS = 1 << 20, 128, 64, 8
+#: Occurrences of an n-gram beyond which its documents are dealt to several tasks, and documents of a block of pairs.
+HOT, BLOCK = 1 << 14, 512
 #: Odd multipliers of the words of an n-gram.
 MIX = 0x9E3779B97F4A7C15
 
@@ -103,11 +111,20 @@ def frequent(docs: DataFrame, k: int):
     return h[order], c[order]
 
 
-def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """doc_id, n, rare (n-grams per thousand that are not frequent), digest, prefix (n-grams, rarest first), counts (by bucket of hash)."""
+def hot_of(known, often) -> list[tuple[int, int]]:
+    """N-grams that are dealt to several tasks, and to how many: at most FREQUENT of them."""
+    import numpy as np
+
+    at = np.flatnonzero(often > HOT)
+    return list(zip(known[at].view(np.int64).tolist(), (-(-often[at] // HOT)).tolist(), strict=True))
+
+
+def sets_of(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The n-grams that are hot, and doc_id, n, rare (n-grams per thousand that are not frequent), digest, prefix (n-grams, rarest first), counts (by bucket of hash)."""
     import numpy as np
 
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
+    known, often = frequent(docs, k)
+    shared = docs.sparkSession.sparkContext.broadcast((known, often))
 
     def run(batches):
         from hashlib import blake2b
@@ -138,15 +155,28 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                 counts.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(rares, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "n", "rare", "digest", "prefix", "counts"])
 
-    return stored(docs.mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, counts binary"), "sets")
+    return stored(docs.mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, counts binary"), "sets"), hot_of(known, often)
+
+
+def met(rows: DataFrame, hot: list[tuple[int, int]], t: Fraction) -> DataFrame:
+    """meet() of rows(g, a, n, rare, pos), with the hubs of a hot n-gram's salts met once more."""
+    spark = rows.sparkSession
+    if not hot:
+        return meet(rows.withColumn("salt", F.lit(0)), t)
+    salts = F.broadcast(spark.createDataFrame(hot, "g long, salts long"))  # at most FREQUENT rows
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("a"), "salts")).cast("int")
+    first = meet(rows.join(salts, "g", "left").select("g", "a", "n", "rare", "pos", salt.alias("salt")), t)
+    hubs = first.filter("kind = 2").select("g", "a", "n", F.lit(0).cast("long").alias("rare"), "pos", F.lit(0).alias("salt"))
+    return first.filter("kind < 2").union(meet(hubs, t).filter("kind = 0"))
 
 
 def meet(rows: DataFrame, t: Fraction) -> DataFrame:
-    """Of n-grams that several sets have: kind 0, pairs a, b with a hub of the n-gram; kind 1, the rows themselves.
+    """Of n-grams that several sets have: kind 0, pairs a, b with a hub of the n-gram; kind 1, the rows themselves; kind 2, the hubs of a salt.
 
     Rows arrive sorted by n-gram, those with the fewest rare n-grams first: what copies were made from has
     few, its edited copies have more. Each row is paired with the first hub of a size that fits, or becomes
-    one itself (up to HUBS). The rows are read as a stream: the hubs are all that is remembered.
+    one itself (up to HUBS). The rows are read as a stream: the hubs are all that is remembered. All rows of a
+    salt are told, as those that share its n-gram may be in other salts.
     """
 
     def run(batches):
@@ -155,18 +185,22 @@ def meet(rows: DataFrame, t: Fraction) -> DataFrame:
 
         at, hubs, only = None, [], None
         for b in sliced(batches, 8192):
-            cols = [b.column(c).to_numpy() for c in ("g", "a", "n", "pos")]
-            g = cols[0]
-            same = np.zeros(len(g), bool)  # with a neighbour in this batch, or with the batch before or after
-            same[1:] |= g[1:] == g[:-1]
-            same[:-1] |= g[1:] == g[:-1]
+            cols = [b.column(c).to_numpy() for c in ("g", "salt", "a", "n", "pos")]
+            g, salt = cols[:2]
+            like = (g[1:] == g[:-1]) & (salt[1:] == salt[:-1])
+            same = salt > 0  # or with a neighbour in this batch, or with the batch before or after
+            same[1:] |= like
+            same[:-1] |= like
             if len(g):
                 same[-1] = True
-                same[0] |= at == g[0]
+                same[0] |= at == (g[0], salt[0])
             out = []
-            for g1, a, n, pos in zip(*(c[same].tolist() for c in cols), strict=True):
-                if at != g1:
-                    at, hubs, only = g1, [(a, n, pos)], (1, g1, a, None, n, pos)
+            for g1, s1, a, n, pos in zip(*(c[same].tolist() for c in cols), strict=True):
+                if at != (g1, s1):
+                    at, hubs, only = (g1, s1), [(a, n, pos)], (1, g1, a, None, n, pos)
+                    if s1:
+                        out += [only, (2, *only[1:])]
+                        only = None
                     continue
                 if only:
                     out.append(only)
@@ -180,35 +214,32 @@ def meet(rows: DataFrame, t: Fraction) -> DataFrame:
                 else:
                     if len(hubs) < HUBS:
                         hubs.append((a, n, pos))
+                        if s1:
+                            out.append((2, g1, a, None, n, pos))
             kinds = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(kinds[0], pa.int32()), *[pa.array(x, pa.int64()) for x in kinds[1:]]], ["kind", "g", "a", "b", "n", "pos"])
 
-    spread = rows.repartition(tasks_for(rows.sparkSession), "g").sortWithinPartitions("g", "rare", "a")
+    spread = rows.select("g", "salt", "a", "n", "rare", "pos").repartition(tasks_for(rows.sparkSession), "g", "salt").sortWithinPartitions("g", "salt", "rare", "a")
     return stored(spread.mapInArrow(run, "kind int, g long, a long, b long, n long, pos long"), "met")
 
 
 def across(rows: DataFrame, t: Fraction) -> DataFrame:
     """All pairs of sets that share prefix n-grams, are in different components and pass the filters.
 
-    rows: g, home, a, n, label, counts, of n-grams that occur in several components. All n-grams that two
-    sets share up to where the first of their prefixes ends are among these, and at most ceil(t n) - 1 come
-    after a prefix: too few shared ones in the prefixes rule a pair out. N-grams of one home (the smallest
-    id among their sets) are dealt to HOMES tasks, which count shared ones before they tell of a pair.
+    rows: g, m (how many rows g has), a, n, label, counts, of n-grams that occur in several components. All
+    n-grams that two sets share up to where the first of their prefixes ends are among these, and at most
+    ceil(t n) - 1 come after a prefix: too few shared ones in the prefixes rule a pair out. An n-gram's rows
+    are dealt into blocks of about BLOCK; each pair of blocks is a group of its own, so that no task needs
+    all rows of an n-gram. What a task finds is counted before it tells of a pair.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def matches(i, j, n, label, counts, full):
-            ok = (label[i] != label[j]) & (t.denominator * n[i] >= t.numerator * n[j])
-            i, j = i[ok], j[ok]
-            ok = full[i] | full[j] | (np.minimum(counts[i], counts[j]).sum(1, dtype=np.int64) >= overlap_needed(n[i], n[j], t))
-            return i[ok], j[ok]
-
-        def pairs(x):
-            """Of one n-gram, whose rows are sorted by n."""
-            a, n, label = (x.column(c).to_numpy() for c in ("a", "n", "label"))
+        def pairs(x, crossed):
+            """Of one group, whose rows are sorted by n; crossed: of different blocks only."""
+            a, n, label, own = (x.column(c).to_numpy() for c in ("a", "n", "label", "own"))
             counts = np.frombuffer(b"".join(x.column("counts").to_pylist()), np.uint8).reshape(len(a), BUCKETS)
             full = (counts == 255).any(1)  # beyond what a counter holds: no bound
             end = np.searchsorted(n, (n * t.denominator) // t.numerator, side="right")
@@ -218,8 +249,14 @@ def across(rows: DataFrame, t: Fraction) -> DataFrame:
                 hi = max(lo + 1, int(np.searchsorted(np.cumsum(many[lo:]), 1 << 14, side="right")) + lo)
                 i = np.repeat(np.arange(lo, hi), many[lo:hi])
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
+                ok = (label[i] != label[j]) & (t.denominator * n[i] >= t.numerator * n[j])
+                if crossed:
+                    ok &= own[i] != own[j]
+                i, j = i[ok], j[ok]
                 for at in range(0, len(i), 1 << 15):
-                    k, m = matches(i[at : at + (1 << 15)], j[at : at + (1 << 15)], n, label, counts, full)
+                    k, m = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+                    ok = full[k] | full[m] | (np.minimum(counts[k], counts[m]).sum(1, dtype=np.int64) >= overlap_needed(n[k], n[m], t))
+                    k, m = k[ok], m[ok]
                     if len(k):
                         yield np.stack([np.minimum(a[k], a[m]), np.maximum(a[k], a[m]), n[k], n[m], np.ones(len(k), np.int64)], 1)
                 lo = hi
@@ -234,37 +271,40 @@ def across(rows: DataFrame, t: Fraction) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, c])) for c in range(5)], ["a", "b", "small", "large", "c"])
 
         def groups():
-            """(home, the n-gram's rows) one after the other."""
+            """(the group's rows, crossed) one after the other."""
             held, at = [], None
             for b in sliced(batches, 8192):
-                g, home = b.column("g").to_numpy(), b.column("home").to_numpy()
-                cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, int)
-                for lo, hi in zip(cuts, np.r_[cuts[1:], len(g)], strict=True):
-                    if held and at[1] != g[lo]:
-                        yield at[0], pa.Table.from_batches(held)
+                keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("g", "one", "two")], 1)
+                cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.empty(0, int)
+                for lo, hi in zip(cuts, np.r_[cuts[1:], len(keys)], strict=True):
+                    key = tuple(keys[lo].tolist())
+                    if held and at != key:
+                        yield pa.Table.from_batches(held), at[1] != at[2]
                         held = []
-                    at = (home[lo], g[lo])
+                    at = key
                     held.append(b.slice(lo, hi - lo))
             if held:
-                yield at[0], pa.Table.from_batches(held)
-
-        now, parts, size = None, [], 0
-        for home, x in groups():
-            if parts and (home != now or size > 1 << 18):
-                parts = [summed(parts)]
-                size = len(parts[0])
-                if home != now or size > 1 << 17:
-                    yield told(parts[0])
-                    parts, size = [], 0
-            now = home
-            for p in pairs(x):
+                yield pa.Table.from_batches(held), at[1] != at[2]
+
+        parts, size = [], 0
+        for x, crossed in groups():
+            for p in pairs(x, crossed):
                 parts.append(p)
                 size += len(p)
+                if size > 1 << 18:
+                    parts = [summed(parts)]
+                    size = len(parts[0])
+                    if size > 1 << 17:
+                        yield told(parts[0])
+                        parts, size = [], 0
         if parts:
             yield told(summed(parts))
 
-    rows = rows.select("home", F.pmod("g", F.lit(HOMES)).alias("salt"), "g", "a", "n", "label", "counts")
-    spread = rows.repartition(tasks_for(rows.sparkSession), "home", "salt").sortWithinPartitions("home", "salt", "g", "n", "a")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("a"), blocks).cast("int")
+    to = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("one"), F.greatest(x, F.col("own")).alias("two")))
+    rows = rows.select("g", "m", own.alias("own"), "a", "n", "label", "counts").select("g", "own", "a", "n", "label", "counts", F.explode(to).alias("to")).select("g", "to.one", "to.two", "own", "a", "n", "label", "counts")
+    spread = rows.repartition(tasks_for(rows.sparkSession), "g", "one", "two").sortWithinPartitions("g", "one", "two", "n", "a")
     shared = spread.mapInArrow(run, "a long, b long, small long, large long, c long").groupBy("a", "b", "small", "large").agg(F.sum("c").alias("c"))
     up, down = t.numerator, t.numerator + t.denominator
     needed = F.ceil((F.col("small") + F.col("large")) * up / F.lit(down) - 1e-9)
@@ -351,19 +391,19 @@ def join(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10),
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
     small_batches(docs.sparkSession)
     docs = ids_and_texts(docs, doc_id, text)
-    sets = sets_of(docs, k, similarity)
+    sets, hot = sets_of(docs, k, similarity)
     classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"))
     reps = stored(classes.select("digest", "r.*"), "classes")
-    rows = reps.filter("n > 1").select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
-    met = meet(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), similarity)
+    rows = reps.select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
+    near = met(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), hot, similarity)
 
-    first = stored(close(met.filter("kind = 0").select("a", "b"), reps, similarity), "first")
+    first = stored(close(near.filter("kind = 0").select("a", "b"), reps, similarity), "first")
     links = verified(docs, first, k, similarity)
     labels = components(links)
 
-    shared = met.filter("kind = 1").select("g", "a", "n")
+    shared = near.filter("kind = 1").select("g", "a", "n")
     named = shared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    mixed = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("a").alias("home")).filter("lo <> hi").select("g", "home")
+    mixed = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("g", "m")
     left = named.join(mixed, "g").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a")
     second = stored(across(left, similarity).join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
@@ -402,15 +442,15 @@ def links(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10)
     """
     small_batches(docs.sparkSession)
     docs = ids_and_texts(docs, doc_id, text)
-    sets = sets_of(docs, k, similarity)
+    sets, hot = sets_of(docs, k, similarity)
     classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"), F.count("*").alias("m"))
     reps = stored(classes.select("m", "r.*"), "classes")
-    rows = reps.filter("n > 1").select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
-    met = meet(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), similarity)
+    rows = reps.select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
+    near = met(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), hot, similarity)
     # each set is its own component: nothing is skipped
-    shared = met.filter("kind = 1").select("g", "a", "n", F.col("a").alias("label"))
-    home = shared.groupBy("g").agg(F.min("a").alias("home"))
-    pairs = stored(across(shared.join(home, "g").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a"), similarity), "pairs")
+    shared = near.filter("kind = 1").select("g", "a", "n", F.col("a").alias("label"))
+    many = shared.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    pairs = stored(across(shared.join(many, "g").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a"), similarity), "pairs")
     found = verified(docs, pairs, k, similarity)
     labels = components(found)
 

@@ -209,6 +209,29 @@ def test_join_of_groups_of_edited_copies(spark, seed):
     assert joined(spark, rows, 2, 70) == brute.jaccard(rows, 2, 70)
 
 
+def test_join_at_low_similarity_keeps_links_of_short_texts(spark):
+    rows = [(1, "a b c"), (2, "a b c d"), (3, "q r"), (4, "x y z"), (5, "w x y z"), (6, "x y z w v"), (7, "q")]
+    assert joined(spark, rows, 3, 50) == brute.jaccard(rows, 3, 50)
+    assert joined(spark, rows, 3, 50)[2][1] == 1
+
+
+def test_join_deals_hot_ngrams_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(3)
+    rows = []
+    for g in range(3):  # near copies of one text, beside texts that share a passage only
+        base = [f"g{g}w{i}" for i in range(40)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(40)] = f"e{rng.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(w)))
+        rows += [(len(rows) + i, " ".join(base[: rng.randint(4, 30)])) for i in range(20)]
+    assert joined(spark, rows, 3, 90) == brute.jaccard(rows, 3, 90)
+    assert joined(spark, rows, 2, 60) == brute.jaccard(rows, 2, 60)
+
+
 def test_join_cases(spark):
     long = " ".join(f"v{i}" for i in range(20000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "a b"), (7, "A\tB"), (8, "a b c d"), (9, long), (10, long + " end"), (11, "x\u00a0y z w"), (12, "x y z w")]
