@@ -1,16 +1,18 @@
 """Benchmark decontamination with a hash set of normalised test n-grams.
 
-A benchmark item's windows are its runs of 13 consecutive words (one window if it has fewer). Words are
-hashed once; the hashes of each window's first words make a set of bounded size, which is all that is sent
-to every task. A document's words are hashed in the same way, and only where the set holds the hash does a
-window of its words leave the row, to be joined with the benchmark's windows as text: the join verifies
+A benchmark item's windows are its runs of 13 consecutive words (one window if it has fewer). The hashes of all
+windows, and of each one's first words, are set bits of one bitmap, sized by their number and of SET bits at
+most, which is all that is sent to every task. A document's words are hashed once; at each word the hash
+of the next few is looked up, and where its bit is set the hash of the whole window. Only what passes both
+leaves the row, to be joined with the benchmark's windows as text: the join verifies
 each hit exactly. The benchmark side of that join is broadcast only if the session's size threshold
-allows it, else both sides are shuffled by window text; hits are few either way.
+allows it, else both sides are shuffled by window text; hits are few either way. A benchmark with more windows
+than the largest bitmap can tell apart lets more words pass to the join, and loses none.
 
 Defined cases: a null text has no words, no hits and no items; items without words have no windows; equal
 items all count; rows of equal (or null) id are each judged, and clean() drops or keeps each for its own text;
-an empty benchmark hits nothing. Only the id and
-text columns are read.
+an empty benchmark hits nothing; an empty table gives an empty result; a very long text is judged whole in its
+row. Only the id and text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,11 +25,10 @@ from quadrat.llm.common import ascii_lower, stored
 #: What separates words in a text that still has its upper case.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Words of a window that are hashed: enough to be rare, so that few positions of a corpus pass.
+#: Words of a window that are looked up first: enough to be rare, so that few positions of a corpus pass.
 ANCHOR = 4
-#: Bound of the hash set. A benchmark with more distinct hashes has them coarsened to this many values, which
-#: lets more positions pass to the join but loses none.
-SET = 1 << 16
+#: Bits of the bitmap for each hash, and how many it has at least and at most (16 MB).
+SPARSE, LEAST, SET = 32, 1 << 16, 1 << 27
 
 
 def words(text: Column) -> Column:
@@ -41,42 +42,71 @@ def slot(hashes: Column, at: Column, n: int) -> Column:
 
 
 def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
-    """item, len, window (its words, by one space), slot; distinct."""
+    """item, len, window (its words, by one space), slot and whole (hashes of its first words, of all); distinct."""
     w = benchmark.select(F.col(item_id).alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     w = w.withColumn("len", F.least(F.size("w"), F.lit(n))).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    at = w.select("item", "len", "w", "h", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("at"))
-    slots = F.coalesce(*[F.when(F.col("len") == k, slot(F.col("h"), F.col("at"), k)) for k in range(1, ANCHOR)], slot(F.col("h"), F.col("at"), ANCHOR))
-    return at.select("item", "len", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("window"), slots.alias("slot")).distinct()
+
+    def window(at: Column) -> Column:
+        first = F.coalesce(*[F.when(F.col("len") == k, slot(F.col("h"), at, k)) for k in range(1, ANCHOR)], slot(F.col("h"), at, ANCHOR))
+        return F.struct(F.array_join(F.slice("w", at + 1, F.col("len")), " ").alias("window"), first.alias("slot"), whole(F.col("h"), at, F.col("len")).alias("whole"))
+
+    each = w.select("item", "len", F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), window).alias("each"))
+    return each.select("item", "len", F.explode_outer("each").alias("x")).select("item", "len", "x.window", "x.slot", "x.whole").distinct()
+
+
+def whole(hashes: Column, at: Column, n: Column) -> Column:
+    """The hash of a whole window."""
+    return F.xxhash64(n, F.slice(hashes, at + 1, n))
+
+
+def hash_set(wins: DataFrame):
+    """Whether a hash may be one of the windows': a function of columns over one bitmap, at most SET bits (64 at least)."""
+    hashes = wins.select(F.explode(F.array("slot", "whole")).alias("x")).distinct()
+    size = max(6, (min(max(LEAST, SPARSE * hashes.count()), SET) - 1).bit_length())
+    bit = lambda x: F.shiftrightunsigned(x, 64 - size)
+    used = hashes.select(F.shiftright(bit(F.col("x")), 6).alias("id"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {64 - size}) & 63 as int))").alias("word"))
+    words_of = wins.sparkSession.range(1 << (size - 6)).join(used.groupBy("id").agg(F.bit_or("word").alias("word")), "id", "left")
+    in_order = words_of.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("a"))
+    bits = stored(in_order.select(F.transform("a", lambda x: x["word"]).alias("bits")), "filter").select("bits").scalar()
+    return lambda x: F.getbit(F.get(bits, F.shiftright(bit(x), 6).cast("int")), bit(x).bitwiseAND(63).cast("int")) == 1
+
+
+def _anchor(k: int):
+    return lambda i: F.when(i + k <= F.col("n"), slot(F.col("h"), i, k))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
-    """row (a number of its own), doc_id, n_words and, for each window that occurs, at (word index), len, items; one row of nulls for a document without hits."""
+    """row (a number of its own), doc_id, n_words and, for each window that occurs, at (word index), len, items; one row of nulls for each document."""
     wins = stored(windows(benchmark, item_id, item_text, n), "windows")
     # one row per window; the lengths that occur (at most n values) shape the plan
     by_window = wins.groupBy("len", "window").agg(F.collect_set("item").alias("items"))
     lens = sorted(r["len"] for r in wins.select("len").distinct().collect())
-    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
+    w = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).withColumn("n", F.size("w"))
     if not lens:
-        return w.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(wins.groupBy().agg(F.collect_set("item")).schema[0].dataType).alias("items"))
+        return w.select("row", "doc_id", F.col("n").cast("long").alias("n_words"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast(wins.groupBy().agg(F.collect_set("item")).schema[0].dataType).alias("items"))
+    inside = hash_set(wins)
     anchors = sorted({min(k, ANCHOR) for k in lens})
     w = w.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    # the hash set goes with the plan: at most SET numbers, so at most SET rows reach the driver
-    used = [r[0] for r in wins.select("slot").distinct().limit(SET + 1).collect()]
-    coarse = len(used) > SET
-    if coarse:
-        used = [r[0] for r in wins.select(F.pmod("slot", F.lit(SET)).alias("slot")).distinct().collect()]
-    inside = f"IN ({', '.join(f'{x}L' for x in used)})"
-    tests = []
-    for k in anchors:
-        value = f"xxhash64({k}, {', '.join(f'get(h, i + {j})' for j in range(k))})"
-        value = f"pmod({value}, {SET}L)" if coarse else value
-        tests.append(f"({value} {inside} AND i + {k} <= size(w))")
-    w = w.select("row", "doc_id", "w", F.expr(f"CASE WHEN size(w) > 0 THEN filter(sequence(0, size(w) - 1), i -> {' OR '.join(tests)}) END").alias("at"))
-    lens_of = F.array(*[F.lit(k) for k in lens])
-    cand = F.flatten(F.transform("at", lambda i: F.transform(F.filter(lens_of, lambda k: i + k <= F.size("w")), lambda k: F.struct(i.alias("at"), k.alias("len"), F.array_join(F.slice("w", i + 1, k), " ").alias("window")))))
-    w = w.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(cand).alias("c")).select("row", "doc_id", "n_words", "c.*")
-    # a document without candidates has a key of its own, which no window has, instead of sharing the null key
-    w = w.withColumns({"window": F.coalesce("window", F.xxhash64("row").cast("string")), "len": F.coalesce("len", F.lit(0))})
+    # the hash at each word, for one length after the other, and a null that stands for the document itself
+    none = F.array(F.lit(None).cast("long"))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    each = [F.transform(places, _anchor(k)) for k in anchors]
+    # a step of its own, so that rows that do not pass are never written out with the words; never empty, and outer so
+    # that no filter on its size is made of it
+    w = w.select("row", "doc_id", "n", "w", "h", F.when(F.col("n") > 0, F.concat(*each, none)).otherwise(none).alias("hashes"))
+    w = w.select("row", "doc_id", "n", "w", "h", F.posexplode_outer("hashes").alias("pos", "x"))
+    is_doc = F.col("pos") == len(anchors) * F.col("n")
+    w = w.filter(is_doc | inside(F.col("x")))
+    # windows of which lengths may begin here
+    lens_of = F.array(*[F.array(*[F.lit(k) for k in lens if min(k, ANCHOR) == a]) for a in anchors])
+    size = F.greatest(F.col("n"), F.lit(1))
+    at = (F.col("pos") % size).cast("int")
+    may = F.when(is_doc, F.array(F.lit(0))).otherwise(F.get(lens_of, F.floor(F.col("pos") / size).cast("int")))
+    w = w.select("row", "doc_id", "n", "w", "h", at.alias("at"), F.explode(may).alias("len"))
+    w = w.filter((F.col("len") == 0) | ((F.col("at") + F.col("len") <= F.col("n")) & inside(whole(F.col("h"), F.col("at"), F.col("len")))))
+    # a document's own row has a key of its own, which no window has, instead of sharing one
+    window = F.when(F.col("len") > 0, F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ")).otherwise(F.xxhash64("row").cast("string"))
+    w = w.select("row", "doc_id", F.col("n").cast("long").alias("n_words"), "at", "len", window.alias("window"))
     return w.join(by_window, ["len", "window"], "left").select("row", "doc_id", "n_words", F.when(F.col("items").isNotNull(), F.col("at")).alias("at"), F.when(F.col("items").isNotNull(), F.col("len")).alias("len"), "items")
 
 

@@ -63,6 +63,20 @@ def test_decontamination_with_a_coarse_set(spark, monkeypatch):
     assert plain(got, *COLS1) == sorted(brute.decontamination(rows, items), key=str)
 
 
+def test_few_words_pass_the_filter_of_a_million_windows(spark):
+    from pyspark.sql import functions as F
+
+    word = lambda c: F.concat(F.lit("w"), F.pmod(F.xxhash64(c), F.lit(200_000)).cast("string"))
+    text = lambda n, seed: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: word(F.struct(F.col("id"), i, F.lit(seed)))), " ")
+    bench = spark.range(2000).select(F.col("id").alias("item_id"), text(512, 1).alias("text"))
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), text(1000, 2).alias("text"))
+    found = decontamination.hits(docs, bench)
+    assert 100 <= found.count() < 300 and found.filter("items is not null").isEmpty()
+    taken = bench.limit(1).select(F.lit(7).cast("long").alias("doc_id"), "text")
+    (row,) = decontamination.judge(docs.filter("doc_id <> 7").union(taken), bench).filter("contaminated").collect()
+    assert (row.doc_id, row.n_hit) == (7, 512)
+
+
 def test_decontamination_of_nothing(spark):
     none, some = docs_of(spark, []), spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert decontamination.judge(none, some).count() == 0
