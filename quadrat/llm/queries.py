@@ -56,7 +56,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is bad where the label of its id says toxic or low quality."""
+    """A page's outcome is bad where the label of its id says toxic or low quality: a stand-in, as no table ties pages to documents."""
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0).alias("bad"))
 
 
@@ -111,8 +111,10 @@ FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN k ON d.source IS NO
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 o AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, array_to_string(str_split(host, '.')[-2:], '.') AS domain, str_split(host, '.')[-1] AS suffix
-      FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+hn AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, regexp_replace(host, '(?s)^.*@|:[0-9]*$|\.+$|\.+(:[0-9]*)$', '', 'g') AS name FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+hk AS (SELECT *, regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') AS ip, regexp_matches(name, '(^|\.)(ac|co|com|edu|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}$') AS cc, str_split(name, '.') AS w FROM hn),
+h AS (SELECT host, n, bad, CASE WHEN ip THEN name WHEN cc THEN array_to_string(w[-3:], '.') ELSE array_to_string(w[-2:], '.') END AS domain,
+             CASE WHEN ip THEN '' WHEN cc THEN array_to_string(w[-2:], '.') ELSE w[-1] END AS suffix FROM hk),
 a AS (SELECT count(*)::DOUBLE AS m, coalesce(sum(n), 0) AS nn, coalesce(sum(n * n), 0) AS n2, coalesce(sum(bad), 0) AS b, coalesce(sum(n * (bad / greatest(n, 1)) * (bad / greatest(n, 1))), 0) AS r2 FROM h WHERE n > 0),
 q AS (SELECT *, CASE WHEN nn > 0 THEN b / greatest(nn, 1) ELSE 0.5 END AS p0, greatest(b - r2, 0) / greatest(nn - m, 1) AS within_, (nn - n2 / greatest(nn, 1)) / greatest(m - 1, 1) AS n0 FROM a),
 q2 AS (SELECT *, greatest(r2 - nn * p0 * p0, 0) / greatest(m - 1, 1) AS between_ FROM q),

@@ -6,9 +6,14 @@ The prior's weight (in pages) is estimated from the hosts by the analysis-of-var
 intra-host correlation. A host is blocked where even the lower posterior bound of its rate of bad pages
 is above the threshold.
 
+The registered domain is the last label and the one before it, or three where a country's registry registers
+under a label of its own (SECOND_LEVEL, a rule in place of a list of suffixes). User, port and a last dot do not count;
+an address is a domain of its own, and all addresses share one suffix.
+
 Defined cases: a null URL or one without "://" has an empty host and path and is allowed unless a rule
-fits; pages without an outcome count for nothing; a null outcome is no outcome; several outcomes of one
-page all count; repeated pages are judged alike and all kept; an empty table gives an empty result.
+fits; pages without an outcome count for nothing; a null outcome is no outcome, and a null id has none; several
+outcomes of one page all count; repeated pages are judged alike and all kept; of rules that fit, the longest counts (no
+two are equally long); very long URLs are judged whole; an empty table gives an empty result.
 Only the id and URL columns are read, so other columns may have any name.
 """
 
@@ -27,8 +32,8 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Suffixes of two labels under which domains are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "co.in", "co.za", "com.cn", "com.mx")
+#: Labels under which a country's registry registers domains, as in co.uk or com.au.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")
 HEAD = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -50,14 +55,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def name_of(host: Column) -> Column:
+    """The host without user, port and the root's dot."""
+    return F.regexp_replace(host, r"(?s)^.*@|:[0-9]*$|\.+$|\.+(?=:[0-9]*$)", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$")
+
+
+def under_country(name: Column) -> Column:
+    """Whether the suffix is two labels: a country's, after one under which it registers domains."""
+    return name.rlike(rf"(?s)(?:^|\.)(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+
+
 def suffix_of(host: Column) -> Column:
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*TWO_LABEL_SUFFIXES), last_two).otherwise(F.substring_index(host, ".", -1))
+    """What domains are registered under; all addresses have the empty one."""
+    name = name_of(host)
+    return F.when(is_address(name), "").when(under_country(name), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(last_two)
+    """The suffix and the label before it; an address is a domain of its own."""
+    name = name_of(host)
+    return F.when(is_address(name), name).when(under_country(name), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
