@@ -16,9 +16,9 @@ The patterns are the stated ones, written so that the matcher needs no recursion
 character a bounded number of times: repetitions that nothing can give back are possessive, and a match
 that must start its run of characters says so (or starts where the last one ended).
 
-Defined cases: a null text has no spans; documents of equal id are each judged alone; spans of one kind
-never overlap, those of different kinds may. Only the id and text are read. All is done inside the row:
-no shuffle.
+Defined cases: a null text has no spans; rows of equal (or null) id are each judged alone; spans of one kind
+never overlap, those of different kinds may; an empty table gives an empty result; very long texts are searched whole, in
+blocks. Only the id and text are read, so other columns may have any name. All is done inside the row: no shuffle.
 """
 
 from __future__ import annotations
@@ -106,15 +106,15 @@ def account(start: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) > 0, ends(w)))
 
 
-def apart(spans: Column, first: Column) -> Column:
-    """Of spans by start those that do not overlap; one that is `first` replaces one before it that is not. In blocks, as running()."""
+def in_blocks(spans: Column, join) -> Column:
+    """Spans by start, one after the other: join(last, x) is what the last one becomes by x, or null if x comes next. In blocks, as running()."""
     none = F.slice(spans, 1, 0)
     n = F.size(spans)
 
     def add(s: Column, x: Column) -> Column:
-        free = s["last"].isNull() | (x["start"] >= s["last"]["end"])
-        out = F.when(free & s["last"].isNotNull(), F.concat(s["out"], F.array(s["last"]))).otherwise(s["out"])
-        return F.struct(F.when(free | (first(x) & ~first(s["last"])), x).otherwise(s["last"]).alias("last"), out.alias("out"))
+        both = F.when(s["last"].isNotNull(), join(s["last"], x))
+        done = F.when(both.isNull() & s["last"].isNotNull(), F.concat(s["out"], F.array(s["last"]))).otherwise(s["out"])
+        return F.struct(F.coalesce(both, x).alias("last"), done.alias("out"))
 
     def block(s: Column, part: Column) -> Column:
         inner = F.aggregate(part, F.struct(s["last"].alias("last"), none.alias("out")), add)
@@ -126,6 +126,11 @@ def apart(spans: Column, first: Column) -> Column:
     return F.when(n > 1, kept).otherwise(spans)
 
 
+def apart(spans: Column, first: Column) -> Column:
+    """Of spans by start those that do not overlap; one that is `first` replaces one before it that is not."""
+    return in_blocks(spans, lambda last, x: F.when(x["start"] < last["end"], F.when(first(x) & ~first(last), x).otherwise(last)))
+
+
 def holds(kind: str, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     return {
@@ -225,16 +230,34 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def merged(spans: Column) -> Column:
+    """Of spans by start, those that overlap as one, of the first one's kind."""
+
+    def over(x: Column, y: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), F.greatest(x["end"], y["end"]).alias("end"))
+
+    return in_blocks(spans, lambda last, x: F.when(x["start"] < last["end"], over(last, x)))
+
+
+def stretch(start: Column, end: Column) -> Column:
+    """The text from start to end, out of its pieces."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice("pieces", first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1)
+    return F.when(end > start, F.substring(F.array_join(some, ""), F.pmod(start, F.lit(BLOCK)).cast("int") + 1, (end - start).cast("int"))).otherwise("")
+
+
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, the text with each base span's characters replaced by its kind in brackets."""
-    step = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"))
-    for kind in BASE:
-        pattern, _ = PATTERNS[kind]
-        step = step.select("row", "t", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("found"), F.split("t", pattern, -1).alias("gaps"))
-        shown = F.zip_with("gaps", "found", _marker(kind))
-        step = step.select("row", F.when(F.size("found") > 0, F.array_join(F.flatten(shown), "")).otherwise(F.col("t")).alias("t"))
-    return step.select(*[F.col("t").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
-
-
-def _marker(kind: str):
-    return lambda gap, m: F.array(gap, F.when(m.isNull(), "").when(holds(kind, m), f"[{kind}]").otherwise(m))
+    """All columns of docs, the text with the characters of each span that find() confirms, of any kind, replaced by its kind in brackets.
+
+    Spans that overlap are replaced together, under the kind of the first one. All are found in the text as it was.
+    """
+    found = find(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), doc_id="row", text="text")
+    every = F.array_sort(F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))) for k in PATTERNS]))
+    plain_text = F.col(f"row.`{text}`")
+    step = found.select(F.col("doc_id").alias("row"), every.alias("every")).select("row", merged(F.transform("every", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
+    step = step.select("row", "spans", plain_text.alias("t"), F.when(F.size("spans") > 0, F.regexp_extract_all(plain_text, F.lit(rf"(?s).{{1,{BLOCK}}}+"), F.lit(0))).alias("pieces"))
+    before = lambda i: F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
+    parts = F.transform("spans", lambda s, i: F.concat(stretch(before(i), s["start"]), F.lit("["), s["kind"], F.lit("]")))
+    rest = stretch(F.get("spans", F.size("spans") - 1)["end"], F.char_length("t").cast("long"))
+    shown = F.when(F.size("spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("t"))
+    return step.select(*[shown.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])

@@ -231,3 +231,38 @@ def test_native_plans_hold_no_python(spark, tables):
     for name in ("op1_decontamination", "op2_pii", "op3_mixing", "op9_url_filters"):
         plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan), name
+
+
+def test_domains_of_addresses_ports_and_countries(spark):
+    from pyspark.sql import functions as F
+
+    want = {
+        "10.0.3.4": ("10.0.3.4", ""), "10.9.3.4:80": ("10.9.3.4", ""), "[2001:db8::1]:8080": ("[2001:db8::1]", ""), "host.com:8080": ("host.com", "com"), "a.host.com.": ("host.com", "com"),
+        "me:pw@x.host.com": ("host.com", "com"), "a.co.kr": ("a.co.kr", "co.kr"), "b.a.co.kr:1": ("a.co.kr", "co.kr"), "co.kr": ("co.kr", "co.kr"), "x.disco.kr": ("disco.kr", "kr"), "": ("", ""), "localhost": ("localhost", "localhost"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string").select("h", url_filters.domain_of(F.col("h")), url_filters.suffix_of(F.col("h")))
+    assert {r[0]: tuple(r[1:]) for r in df.collect()} == want
+
+
+def test_url_reputation_by_address_and_missing_ids(spark):
+    rows = [(i, f"http://10.0.0.{i % 2}/x", "h") for i in range(60)] + [(None, "http://10.0.0.1/y", "h"), (None, "http://new.co.kr/", "h")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad string")
+    outcomes = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 0)], "page_id long, bad int")
+    got = {(r.host, r.verdict) for r in url_filters.judge(pages, outcomes).collect()}
+    assert got == {("10.0.0.0", "allow"), ("10.0.0.1", "block"), ("new.co.kr", "allow")}
+    assert url_filters.judge(pages, outcomes).count() == 62
+
+
+def test_redaction_covers_all_kinds_and_overlaps(spark):
+    iban, wide = "DE89 3704 0044 0532 0130 00", "é🎉" * 300
+    rows = [
+        (1, f"pay to iban {iban} now"), (2, "my ssn 123-45-6789 is secret"), (3, "card +4111 1111 1111 1111 end"), (4, f"{wide} a@b.co {wide} 10.1.2.3{wide}"),
+        (5, "plain"), (6, None), (7, ""), (8, "a@b.co" ), (9, "x " * 5000 + "a@b.co " * 3000),
+    ]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, email int, row string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[1] == "pay to iban [iban] now" and got[2] == "my ssn [ssn] is secret" and got[4] == f"{wide} [email] {wide} [ip]{wide}"
+    assert "1111" not in got[3] and got[3].endswith(" end") and (got[5], got[6], got[7], got[8]) == ("plain", None, "", "[email]")
+    assert got[9] == "x " * 5000 + "[email] " * 3000
