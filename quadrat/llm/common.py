@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (single-machine tests).
+#: Used only where the session names no spark.checkpoint.dir and runs in one process (tests).
 LOCAL_SHARED = "file:///tmp/quadrat-shared"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+    """The folder that the driver and all executors see. On a cluster the session must name it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors on other machines need a folder that all of them see")
+    return named or LOCAL_SHARED
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

@@ -1,13 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Grams are runs of 2 to 4 bytes of the UTF-8 text (A-Z lower-cased), hashed into a table of fixed size. The
-counts come from a bounded sample of the labelled training documents (about SAMPLE of them, chosen by a hash
-of the id); every document is scored whole, in blocks: look up each gram's row of log probabilities and sum
-by document. The model is buckets x languages numbers, broadcast.
+Grams are runs of 1 to 3 characters (code points, A-Z lower-cased), hashed into a table of fixed size. The
+counts come from a bounded sample of the labelled training documents (about SAMPLE of them, dealt evenly to the
+languages so that rare ones are learnt too, chosen by a hash of the id); the priors are counts of all labelled
+training documents, a row for each language. Every document is scored whole, in blocks: look up each gram's row of log
+probabilities and sum by document. The model is buckets x languages numbers, broadcast; that and the counts are
+as many as there are languages, which a label column has few of.
 
 Defined cases: a null text, or one without letters, is "und" with score 0; with no labelled training
-document all are "und"; a null id is not held out and not learnt from; ties go to the first language by code
-point; repeated rows each count; an empty table gives an empty result. Only id, text and label are read; a
+document, or none with a character in it, all are "und"; a null id is not held out and not learnt from; ties go to the
+first language by code point; repeated rows each count; a very long text is scored whole, a block at a time; an empty
+table gives an empty result. Only id, text and label are read, so other columns may have any name; a
 prediction uses the text alone.
 """
 
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 
 from quadrat.llm.common import sliced, small_batches
 
-BUCKETS, GRAMS, SAMPLE, BLOCK = 1 << 16, (2, 3, 4), 20_000, 1 << 19
+BUCKETS, GRAMS, SAMPLE, BLOCK = 1 << 16, (1, 2, 3), 20_000, 1 << 19
+#: Odd multipliers of the characters of a gram.
+MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -37,16 +42,17 @@ def gram_blocks(buf, starts, ends):
             docs = live[a:b]
             if not len(docs):
                 continue
-            code = buf[lo:hi].astype(np.uint32)
-            for k in range(1, n):
-                code |= buf[lo + k : hi + k].astype(np.uint32) << np.uint32(8 * k)
-            slot = ((code ^ np.uint32(n * 0x01000193)) * np.uint32(2654435761)) >> np.uint32(16)
+            code = np.full(hi - lo, n, np.uint32)
+            for k in range(n):
+                code += (buf[lo + k : hi + k] + np.uint32(1)) * np.uint32(MIX[k])
+            code ^= code >> np.uint32(15)
+            slot = (code * np.uint32(2654435761)) >> np.uint32(16)
             first, last = np.maximum(starts[docs], lo) - lo, np.minimum(ends[docs] - n + 1, hi) - lo
             yield slot, first, last, docs
 
 
 def buffers(column):
-    """The lower-cased bytes of a string column and where each text starts and ends."""
+    """The lower-cased code points of a string column and where each text starts and ends."""
     import numpy as np
     import pyarrow as pa
 
@@ -54,21 +60,26 @@ def buffers(column):
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = (data.to_pybytes() if data is not None else b"")[off[0] : off[-1]].lower()
-    off = off - off[0]
-    return np.frombuffer(raw, np.uint8), off[:-1], off[1:]
+    before = np.zeros(len(raw) + 1, np.int64)  # characters that begin before each byte
+    np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=before[1:])
+    off = before[off - off[0]]
+    return np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), off[:-1], off[1:]
 
 
-def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], object] | None:
-    """The languages, and the log probabilities [BUCKETS, languages]."""
+def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], object, object] | None:
+    """The languages, the log probabilities [BUCKETS, languages] and the log priors."""
     import numpy as np
 
     small_batches(docs.sparkSession)
     label = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    n = label.select(F.count("*")).first()[0]
-    if not n:
+    held = label.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("n")).collect()
+    if not held:
         return None
-    share = min(1.0, sample / n)
-    chosen = label.filter(F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    limits = [(r["_lang"], int(min(1.0, sample / len(held) / r["n"]) * (1 << 20)) + 1) for r in held]
+    few = len(limits) <= 4096  # languages: else the session's threshold decides
+    limits = docs.sparkSession.createDataFrame(limits, "_lang string, _limit long")
+    limits = F.broadcast(limits) if few else limits
+    chosen = label.join(limits, F.col(lang) == F.col("_lang")).filter(F.pmod(F.xxhash64(F.col(doc_id), F.lit(17)), F.lit(1 << 20)) < F.col("_limit"))
 
     def count(batches):
         import pyarrow as pa
@@ -88,16 +99,19 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "slot": pa.array(at.astype(np.int32)), "n": pa.array(c[at].astype(np.int64))})
 
-    got = chosen.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(got.column("lang").to_pylist()))
+    got = chosen.select(F.col("_lang").alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    if not got.num_rows:
+        return None
+    names = sorted(r["_lang"] for r in held)
     table = np.full((BUCKETS, len(names)), 0.5)
     where = {x: i for i, x in enumerate(names)}
     np.add.at(table, (got.column("slot").to_numpy(), np.array([where[x] for x in got.column("lang").to_pylist()], int)), got.column("n").to_numpy())
-    return names, np.log(table / table.sum(0)).astype(np.float32)
+    seen = np.array([dict(held)[x] for x in names], float) + 1
+    return names, np.log(table / table.sum(0)).astype(np.float32), np.log(seen / seen.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], object] | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score (posterior probability, with equal priors)."""
+def predict(docs: DataFrame, model: tuple[list[str], object, object] | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred, score (posterior probability)."""
     spark = docs.sparkSession
     small_batches(spark)
     t = F.col(text)
@@ -110,10 +124,10 @@ def predict(docs: DataFrame, model: tuple[list[str], object] | None, *, doc_id:
         import numpy as np
         import pyarrow as pa
 
-        names, table = shared.value
+        names, table, prior = shared.value
         for batch in sliced(batches, 1024):
             buf, starts, ends = buffers(batch.column("text"))
-            total = np.zeros((batch.num_rows, len(names)))
+            total = np.tile(prior, (batch.num_rows, 1))
             for slot, first, last, which in gram_blocks(buf, starts, ends):
                 rows = table[slot]
                 # grams that cross into the next document lie between last and the next first

@@ -11,7 +11,9 @@ which documents are selected.
 
 Defined cases: a null or empty text has no features and the grade that the thresholds alone give; a rating
 with nulls in both columns is none; several ratings of one id: the lowest grade; without ratings every
-document has probability 1 and is kept; repeated documents are each scored; an empty table gives none.
+document has probability 1 and is kept; repeated documents are each scored; rows without an id are scored and judged
+like others, but not learnt from; a probability of exactly the least one is kept; a very long text is scored whole, as one
+set of features; an empty table gives none. Only id, text and the two ratings are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -128,6 +128,17 @@ def test_suffix_dedup_compares_bytes_where_keys_are_equal(spark, monkeypatch, fa
     assert got == dict(enumerate(brute.repeats(rows)))
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from quadrat.llm.common import shared_dir
+
+    session = lambda master, **conf: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    assert shared_dir(session("local[4]")) and shared_dir(session("yarn", **{"spark.checkpoint.dir": "hdfs:///x"})) == "hdfs:///x"
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(session("spark://host:7077"))
+
+
 def test_suffix_dedup_leaves_the_session_as_it_was(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
@@ -167,6 +178,47 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
 
 
+def test_language_equals_plain_naive_bayes(spark, tables):
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "日本語のテキスト", "ja"), (-2, "これは日本語", "ja"), (-3, "日本", None), (-4, "Ünï", None), (-5, "x", None)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    rows = docs.collect()
+
+    def grams(text):
+        x = [ord(c) + 32 if "A" <= c <= "Z" else ord(c) for c in text or ""]
+        for n in language_id.GRAMS:
+            for i in range(len(x) - n + 1):
+                code = (n + sum((c + 1) * m for c, m in zip(x[i : i + n], language_id.MIX, strict=False))) & 0xFFFFFFFF
+                yield ((code ^ code >> 15) * 2654435761 & 0xFFFFFFFF) >> 16
+
+    counts, n = {}, Counter()
+    for r in rows:
+        if r.lang is not None and not brute.held_out(r.doc_id):
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+            n[r.lang] += 1
+    names = sorted(counts)
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    for r in rows:
+        if not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        slots = Counter(grams(r.text))
+        of = {x: math.log((n[x] + 1) / (sum(n.values()) + len(n))) + sum(k * math.log((counts[x][s] + 0.5) / (sum(counts[x].values()) + 0.5 * language_id.BUCKETS)) for s, k in slots.items()) for x in names}
+        best = max(names, key=of.get)
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - 1 / sum(math.exp(of[x] - of[best]) for x in names)) < 1e-3
+
+
+def test_language_without_a_character_to_learn_from(spark):
+    docs = spark.createDataFrame([(i, "", "en") for i in range(9)] + [(20, "some words", None)], "doc_id long, text string, lang string")
+    assert language_id.train(docs) is None
+    one = docs.union(spark.createDataFrame([(30, "a", "de"), (31, "b", "de")], docs.schema))
+    assert {r.lang_pred for r in language_id.predict(one, language_id.train(one)).collect()} <= {"und", "en", "de"}
+
+
 def test_language_scores_equal_a_plain_sum():
     import pyarrow as pa
 
@@ -176,7 +228,7 @@ def test_language_scores_equal_a_plain_sum():
     for slot, first, last, which in language_id.gram_blocks(buf, starts, ends):
         for d, a, b in zip(which, first, last, strict=True):
             seen[d] = seen.get(d, 0) + b - a
-    assert seen == {i: sum(max(0, len(t.encode()) - n + 1) for n in language_id.GRAMS) for i, t in enumerate(some) if len(t.encode()) > 1}
+    assert seen == {i: sum(max(0, len(t) - n + 1) for n in language_id.GRAMS) for i, t in enumerate(some) if t}  # characters, not bytes
 
 
 # n-gram join
@@ -313,6 +365,56 @@ def test_quality_thresholds_are_ordered():
 # top-k
 
 
+def test_quality_scores_equal_a_plain_sum(spark, tables):
+    import math
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (None, "fine words here"), (-3, "word " * 30000 + "| | |"), (-4, "$$$ %%% AAA")]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    w, t = quality.train(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+    got = {r.doc_id: r for r in quality.score(docs, (w, t)).collect()}
+    f = quality.Features()
+    for r in docs.collect():
+        tokens = __import__("re").findall(r"\w+|[^\w\s]+", r.text or "")
+        names = set()
+        for x in tokens:
+            low = x.lower()
+            names |= {low} | {low[:k] + "\x01" for k in (4, 5) if len(low) > k and low.isalpha()}
+        forms = {"upper": [x for x in tokens if len(x) > 1 and x.isupper()], "symbol": [x for x in tokens if len(x) > 1 and not x[0].isalnum()], "bar": [x for x in tokens if x == "|"], "digit": [x for x in tokens if x[0].isdigit()]}
+        names |= {f"\x00{kind}>{share}" for kind, x in forms.items() for share in quality.SHARES if tokens and len(x) > share * len(tokens)}
+        eta = sum(float(w[s]) for s in {f.slot(x) for x in names})
+        tails = [1 / (1 + math.exp(x - eta)) for x in t]
+        assert abs(got[r.doc_id].p_not_toxic - tails[0]) < 1e-4 and abs(got[r.doc_id].p_good - tails[1]) < 1e-4
+        assert abs(got[r.doc_id].expected_grade - sum(tails)) < 2e-4
+
+
+def test_quality_fit_reaches_the_optimum_of_its_likelihood():
+    """Against plain gradient descent with numeric gradients on the penalised likelihood, written out."""
+    rng = np.random.default_rng(2)
+    n, m = 400, 5
+    x = rng.random((n, m)) < 0.5
+    eta = x @ np.array([2.0, -1.5, 1.0, 0.0, -2.5])
+    grades = (eta + rng.logistic(size=n) > -1.5).astype(int) + (eta + rng.logistic(size=n) > 1.0)
+    grades = np.minimum(grades, 2)
+    offsets, slots = np.r_[0, np.cumsum(x.sum(1))], np.concatenate([np.flatnonzero(r) for r in x])
+    often, mean = x.sum(0), np.array([grades[x[:, j]].mean() for j in range(m)])
+    scale = np.minimum(np.abs(mean - grades.mean()) * np.sqrt(often) / grades.std() / 5.0, 1.0) ** 2
+
+    def loss(v):
+        lin, t = x @ (v[:m] * scale), np.r_[-np.inf, v[m], max(v[m], v[m + 1]), np.inf]
+        cdf = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return -np.log(np.maximum(cdf(t[grades + 1] - lin) - cdf(t[grades] - lin), 1e-9)).mean() + 0.5e-3 * (v[:m] ** 2).sum()
+
+    v, rate = np.r_[np.zeros(m), -1.0, 1.0], 1.0
+    for _ in range(1500):
+        g = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in np.eye(m + 2) * 1e-5])
+        while loss(v - rate * g) > loss(v) and rate > 1e-9:
+            rate /= 2
+        v, rate = v - rate * g, rate * 1.5
+    w, t = quality.fit(grades, offsets, slots, rounds=4000, penalty=1e-3)
+    assert np.allclose(w[:m], v[:m] * scale, atol=0.05) and np.allclose(t, v[m:], atol=0.05)
+
+
 def found(spark, rows, k=20):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     return {tuple(r) for r in topk.search(df, k).collect()}
@@ -338,6 +440,23 @@ def test_search_cases(spark):
     assert found(spark, [(0, [3.0e7]), (1, [2.0e7 + 1, 5.0]), (2, [1.0e7])], 2) == {(0, 1, 1, 1920000000 * 1280000064), (0, 2, 2, 1920000000 * 640000000)}
 
 
+def test_search_refuses_scores_beyond_64_bits_and_skips_rows_without_id(spark):
+    for v in (1e200, 1e308):
+        with pytest.raises(Exception, match="64 bits"):
+            found(spark, [(0, [v]), (1, [1.0])])
+    assert found(spark, [(0, [1.0]), (None, [9.0]), (1, [2.0]), (2, []), (3, [1.0, 5.0])]) == {(0, 1, 1, 8192), (0, 2, 3, 4096), (0, 3, 2, 0)}
+
+
+def test_search_over_many_pivots_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 40)
+    monkeypatch.setattr(topk, "QUERIES", 10)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 6)) * 3
+    rows = [(i, (centres[i % 9] + 0.1 * rng.normal(size=6)).tolist()) for i in range(700)] + [(1000 + i, [0.25] * 6) for i in range(300)]
+    assert found(spark, rows, 6) == brute.topk(rows, 6)
+    assert found(spark, [(i, [4.0e6 * x for x in v]) for i, v in rows], 6) == brute.topk([(i, [4.0e6 * x for x in v]) for i, v in rows], 6)
+
+
 def test_search_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 100)
     monkeypatch.setattr(topk, "QUERIES", 7)
