@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from quadrat.kernels import spatial
 from quadrat.kernels.random import log_cdf
 from quadrat.kernels.state import NORMAL, POISSON, PROBIT, Model, by_unit, predictor, tau
-from quadrat.kernels.updates import _beta_precision
+from quadrat.kernels.updates import _columns, beta_prior_times
 
 
 def log_density(model: Model, p: dict) -> tuple[float, dict]:
@@ -25,12 +24,12 @@ def log_density(model: Model, p: dict) -> tuple[float, dict]:
     x = p["Xeff"]
     grad = {"Beta": x.T @ g if x.ndim == 2 else np.einsum("jic,ij->cj", x, g), "Eta": [], "Lambda": []}
     rest = p["Beta"] - p["Gamma"] @ model.T.T
-    pull = p["iV"] @ rest if model.C is None else np.einsum("cjkl,kl->cj", _beta_precision(model, p), rest)
+    pull = beta_prior_times(model, p, rest)
     value -= 0.5 * (rest * pull).sum()
     grad["Beta"] = grad["Beta"] - pull
     for r, level in enumerate(model.levels):
         eta, lam = p["Eta"][r], p["Lambda"][r]
-        w = eta if level.method == "none" else np.stack([spatial.precision(level, a) @ eta[:, h] for h, a in enumerate(p["Alpha"][r])], 1) if lam.shape[0] else eta
+        w = _columns(level, p["Alpha"][r], eta) if lam.shape[0] else eta
         weight = p["Psi"][r] * tau(p["Delta"][r])[:, None]
         value -= 0.5 * (eta * w).sum() + 0.5 * (weight * lam**2).sum()
         grad["Eta"].append(by_unit(model, r, g @ lam.T) - w)

@@ -5,13 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 from quadrat.kernels import spatial
+from quadrat.kernels.linear import blocks_times, root_times, solve
 from quadrat.kernels.random import polya_gamma_moments
 from quadrat.kernels.state import POISSON, PROBIT, Model, base_design, by_unit, effective, fixed, masked, predictor, random_part, selection_mask, tau
 
 #: Size of the negative binomial that stands for a Poisson.
 NB_R = 1000.0
-#: Beyond this many unknowns a joint dense draw is refused, or replaced by draws unit by unit.
-DENSE = 4000
 
 
 def update_z(model: Model, p: dict, noise, marginal: bool = False) -> None:
@@ -50,14 +49,30 @@ def _rho_scales(model: Model, p: dict) -> np.ndarray:
     return (rho[:, None] * model.eC[None] + 1 - rho[:, None]) ** -0.5
 
 
-def _beta_precision(model: Model, p: dict) -> np.ndarray:
-    """Prior precision of Beta with phylogeny, [c, j, k, l]."""
+def beta_prior_times(model: Model, p: dict, x: np.ndarray) -> np.ndarray:
+    """The prior precision of Beta by x [covariates, species]: with phylogeny by way of its eigenvectors."""
+    if model.C is None:
+        return p["iV"] @ x
+    q = _rho_scales(model, p)
+    return (q * (p["iV"] @ (q * (x @ model.VC)))) @ model.VC.T
+
+
+def _beta_prior_noise(model: Model, p: dict, noise) -> np.ndarray:
+    """[covariates, species], with the prior precision of Beta as covariance."""
+    z = np.linalg.cholesky(p["iV"]) @ noise.normal((len(p["iV"]), model.Y.shape[1]))
+    return z if model.C is None else (_rho_scales(model, p) * z) @ model.VC.T
+
+
+def _beta_prior_blocks(model: Model, p: dict) -> np.ndarray:
+    """[species, covariates, covariates]: what the prior precision has for each species by itself."""
+    if model.C is None:
+        return np.broadcast_to(p["iV"], (model.Y.shape[1], *p["iV"].shape))
     q = _rho_scales(model, p)
-    return np.einsum("ck,jm,cm,km,lm->cjkl", p["iV"], model.VC, q, q, model.VC, optimize=True)
+    return np.einsum("jm,cm,km->jck", model.VC**2, q, q, optimize=True) * p["iV"]
 
 
 def update_beta_lambda(model: Model, p: dict, noise) -> None:
-    """Regression coefficients and loadings together: by species, or all at once with phylogeny."""
+    """Regression coefficients and loadings together: by species, or with phylogeny all at once by conjugate gradients."""
     x, ns, nc = p["Xeff"], model.Y.shape[1], model.nc
     etas = [e[model.Pi[:, r]] for r, e in enumerate(p["Eta"])]
     nfs = [e.shape[1] for e in etas]
@@ -70,25 +85,27 @@ def update_beta_lambda(model: Model, p: dict, noise) -> None:
         xe = np.concatenate([x if x.ndim == 2 else x[j], f], 1)
         w = xe * p["iD"][:, j, None]
         gram[j], rhs[j] = w.T @ xe, w.T @ p["Z"][:, j]
+        if model.C is not None:
+            rhs[j] += xe.T @ (np.sqrt(p["iD"][:, j]) * noise.normal(len(xe)))
+    at = np.arange(nc, na)
+    gram[:, at, at] += load.T
+    rhs[:, :nc] += beta_prior_times(model, p, mean).T
+    own = gram.copy()
+    own[:, :nc, :nc] += _beta_prior_blocks(model, p)
     if model.C is None:
-        gram[:, :nc, :nc] += p["iV"]
-        at = np.arange(nc, na)
-        gram[:, at, at] += load.T
-        rhs[:, :nc] += (p["iV"] @ mean).T
-        out = noise.from_precision(gram, rhs)
+        out = noise.from_precision(own, rhs)
     else:
-        if na * ns > DENSE:
-            raise ValueError(f"a joint system of {na * ns} unknowns is too large")
-        big = np.zeros((na, ns, na, ns))
-        j = np.arange(ns)
-        big[:, j, :, j] += gram
-        prior = _beta_precision(model, p)
-        big[:nc, :, :nc, :] += prior
-        for h in range(nc, na):
-            big[h, j, h, j] += load[h - nc]
-        right = rhs.T.copy()
-        right[:nc] += np.einsum("cjkl,kl->cj", prior, mean)
-        out = noise.from_precision(big.reshape(na * ns, na * ns), right.reshape(-1)).reshape(na, ns).T
+        rhs[:, nc:] += np.sqrt(load.T) * noise.normal(load.T.shape)
+        rhs[:, :nc] += _beta_prior_noise(model, p, noise).T
+
+        def times(v):
+            v = v.reshape(ns, na)
+            out = blocks_times(gram, v)
+            out[:, :nc] += beta_prior_times(model, p, v[:, :nc].T).T
+            return out.reshape(-1)
+
+        near = np.linalg.inv(own)
+        out = solve(times, rhs.reshape(-1), lambda v: blocks_times(near, v.reshape(ns, na)).reshape(-1)).reshape(ns, na)
     p["Beta"], at = out[:, :nc].T, nc
     for r, nf in enumerate(nfs):
         p["Lambda"][r], at = out[:, at : at + nf].T, at + nf
@@ -137,14 +154,19 @@ def update_lambda_priors(model: Model, p: dict, noise) -> None:
 
 
 def shrinkage(level, lam: np.ndarray, delta: np.ndarray, noise) -> tuple[np.ndarray, np.ndarray]:
+    """Local precisions given the global ones, then each global one given the rest: a new one rescales the products after it."""
     nf, n = lam.shape
-    delta = delta.copy()
-    psi = noise.gamma(level.nu / 2 + 0.5, level.nu / 2 + 0.5 * lam**2 * tau(delta)[:, None])
-    weight = (psi * lam**2).sum(1)
+    product, delta = tau(delta), delta.copy()
+    psi = noise.gamma((level.nu + 1) / 2, (level.nu + lam**2 * product[:, None]) / 2)
+    size = (psi * lam**2).sum(1)
+    shape = np.full(nf, level.a2) + n * np.arange(nf, 0, -1) / 2
+    rate = np.full(nf, level.b2)
+    shape[:1] += level.a1 - level.a2
+    rate[:1] = level.b1
     for h in range(nf):
-        a, b = (level.a1, level.b1) if h == 0 else (level.a2, level.b2)
-        rest = (tau(delta)[h:] * weight[h:]).sum() / delta[h]
-        delta[h] = noise.gamma(a + 0.5 * n * (nf - h), b + 0.5 * rest)
+        new = noise.gamma(shape[h], rate[h] + product[h:] @ size[h:] / (2 * delta[h]))
+        product[h:] *= new / delta[h]
+        delta[h] = new
     return psi, delta
 
 
@@ -172,7 +194,7 @@ def update_eta(model: Model, p: dict, noise) -> None:
         elif level.method == "gpp":
             p["Eta"][r] = _eta_gpp(level, p["Alpha"][r], mu, data, noise)
         else:
-            p["Eta"][r] = _eta_dense(level, p["Alpha"][r], p["Eta"][r], mu, data, noise)
+            p["Eta"][r] = _eta_spatial(level, p["Alpha"][r], mu, data, noise)
 
 
 def _eta_gpp(level, alpha: np.ndarray, mu: np.ndarray, data: np.ndarray, noise) -> np.ndarray:
@@ -193,23 +215,33 @@ def _eta_gpp(level, alpha: np.ndarray, mu: np.ndarray, data: np.ndarray, noise)
     return own + ib_m @ knots
 
 
-def _eta_dense(level, alpha: np.ndarray, eta: np.ndarray, mu: np.ndarray, data: np.ndarray, noise) -> np.ndarray:
-    """Unit-major: index unit * factors + factor. Beyond DENSE unknowns, unit by unit given the others."""
-    n, nf = mu.shape
-    prior = [spatial.precision(level, g) for g in alpha]
-    if n * nf <= DENSE:
-        big = np.zeros((n, nf, n, nf))
-        for h in range(nf):
-            big[:, h, :, h] = prior[h]
-        u = np.arange(n)
-        big[u, :, u, :] += data
-        return noise.from_precision(big.reshape(n * nf, n * nf), mu.reshape(-1)).reshape(n, nf)
-    eta = eta.copy()
-    for u in range(n):
-        own = np.array([w[u, u] for w in prior])
-        pull = np.array([w[u] @ eta[:, h] for h, w in enumerate(prior)]) - own * eta[u]
-        eta[u] = noise.from_precision(data[u] + np.diag(own), mu[u] - pull)
-    return eta
+def _columns(level, alpha: np.ndarray, eta: np.ndarray) -> np.ndarray:
+    """Each factor's prior precision by its scores [units, factors]."""
+    return eta if level.method == "none" else np.concatenate([spatial.times(level, g, eta[:, h : h + 1]) for h, g in enumerate(alpha)], 1)
+
+
+def _own_precision(level, alpha: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """[units, factors, factors]: what the precision of the scores has for each unit by itself."""
+    nf = data.shape[1]
+    prior = np.ones((len(data), nf)) if level.method == "none" else np.stack([spatial.diagonal(level, g) for g in alpha], 1)
+    return data + prior[:, :, None] * np.eye(nf)
+
+
+def _score_noise(level, alpha: np.ndarray, shape: tuple, noise) -> np.ndarray:
+    """[units, factors], with the prior precision of the scores as covariance."""
+    return noise.normal(shape) if level.method == "none" else np.stack([spatial.precision_noise(level, g, noise) for g in alpha], 1)
+
+
+def _eta_spatial(level, alpha: np.ndarray, mu: np.ndarray, data: np.ndarray, noise) -> np.ndarray:
+    """All scores of a level at once by conjugate gradients: a product costs what the level's own form costs."""
+    near = np.linalg.inv(_own_precision(level, alpha, data))
+
+    def times(v):
+        v = v.reshape(mu.shape)
+        return (blocks_times(data, v) + _columns(level, alpha, v)).reshape(-1)
+
+    rhs = mu + root_times(data, noise.normal(mu.shape)) + _score_noise(level, alpha, mu.shape, noise)
+    return solve(times, rhs.reshape(-1), lambda v: blocks_times(near, v.reshape(mu.shape)).reshape(-1)).reshape(mu.shape)
 
 
 def update_alpha(model: Model, p: dict, noise) -> None:
@@ -230,27 +262,31 @@ def update_sigma(model: Model, p: dict, noise) -> None:
     p["sigma"] = np.where(model.var_free, noise.gamma(shape, rate) ** -0.5, p["sigma"])
 
 
+def factor_choice(level, lam: np.ndarray, iteration: int) -> tuple[np.ndarray, bool]:
+    """Which factors stay, and whether one is added. A factor counts as vanished when all its loadings are below 1e-3."""
+    nf = len(lam)
+    small = (np.abs(lam) < 1e-3).mean(1) if nf else np.zeros(0)
+    every = np.arange(nf)
+    all_in_use = (small < 0.995).all()
+    if nf < level.nf_min or (iteration > 20 and nf < level.nf_max and all_in_use):
+        return every, True
+    spare = max(0, nf - level.nf_min)  # never below the least number
+    return np.delete(every, np.flatnonzero(small >= 1.0)[:spare]), False
+
+
 def update_nf(model: Model, p: dict, noise, iteration: int) -> None:
-    """Adds a factor, or drops those whose loadings have all vanished, ever more rarely."""
+    """Ever more rarely, adds a factor or drops those that have vanished: one selection of factors for all arrays."""
     for r, level in enumerate(model.levels):
         if noise.uniform() >= np.exp(-1 - 0.0005 * iteration):
             continue
-        lam = p["Lambda"][r]
-        nf, ns = lam.shape
-        share = (np.abs(lam) < 1e-3).mean(1) if nf else np.zeros(0)
-        gone = share >= 1.0
-        if nf < level.nf_min or (nf < level.nf_max and iteration > 20 and not gone.any() and (share < 0.995).all()):
-            p["Lambda"][r] = np.r_[lam, np.zeros((1, ns))]
-            p["Psi"][r] = np.r_[p["Psi"][r], noise.gamma(np.full((1, ns), level.nu / 2), level.nu / 2)]
-            p["Delta"][r] = np.r_[p["Delta"][r], noise.gamma(level.a2, level.b2)]
-            p["Eta"][r] = np.c_[p["Eta"][r], noise.normal(len(p["Eta"][r]))]
-            p["Alpha"][r] = np.r_[p["Alpha"][r], 0]
-        elif nf > level.nf_min and gone.any():
-            drop = np.flatnonzero(gone)[: nf - level.nf_min]  # never below the least number
-            keep = np.setdiff1d(np.arange(nf), drop)
-            for k in ("Lambda", "Psi", "Delta", "Alpha"):
-                p[k][r] = p[k][r][keep]
-            p["Eta"][r] = p["Eta"][r][:, keep]
+        stay, more = factor_choice(level, p["Lambda"][r], iteration)
+        ns = p["Lambda"][r].shape[1]
+        half = level.nu / 2
+        new = {"Lambda": np.zeros((1, ns)), "Psi": noise.gamma(np.full((1, ns), half), half), "Delta": np.atleast_1d(noise.gamma(level.a2, level.b2)), "Alpha": np.zeros(1, int), "Eta": noise.normal((1, len(p["Eta"][r])))}
+        for k, extra in new.items():
+            rows = p[k][r].T if k == "Eta" else p[k][r]
+            rows = np.concatenate([rows[stay], extra[: int(more)]])
+            p[k][r] = rows.T if k == "Eta" else rows
 
 
 def selection_log_odds(model: Model, p: dict, i: int, rest: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -301,33 +337,43 @@ def update_rrr_priors(model: Model, p: dict, noise) -> None:
 
 
 def update_beta_eta(model: Model, p: dict, noise) -> None:
-    """Coefficients and one level's scores together, given the loadings: one dense system over both."""
+    """Coefficients and one level's scores together, given the loadings, by conjugate gradients.
+
+    The data's part of the precision is applied by way of sites and species, so no system over both is ever made.
+    """
     x, (ny, ns), nc = p["Xeff"], model.Y.shape, model.nc
-    xs = np.broadcast_to(x, (ns, ny, nc)) if x.ndim == 2 else x
+    by_covariate = lambda w: x.T @ w if x.ndim == 2 else np.einsum("jic,ij->cj", x, w, optimize=True)
     for r, level in enumerate(model.levels):
-        lam = p["Lambda"][r]
+        lam, alpha = p["Lambda"][r], p["Alpha"][r]
         nf, n = lam.shape[0], model.units[r]
-        if nc * ns + n * nf > DENSE:
-            raise ValueError(f"a joint system of {nc * ns + n * nf} unknowns is too large")
+        if not nf:
+            continue
+        cut = nc * ns
+
+        def back(w, lam=lam, r=r):
+            return by_covariate(w), by_unit(model, r, w @ lam.T)
+
+        def flat(beta, eta):
+            return np.r_[beta.T.reshape(-1), eta.reshape(-1)]
+
+        def parts(v, cut=cut, n=n, nf=nf):
+            return v[:cut].reshape(ns, nc).T, v[cut:].reshape(n, nf)
+
+        def times(v, level=level, alpha=alpha, lam=lam, r=r, parts=parts, back=back):
+            beta, eta = parts(v)
+            b, e = back(p["iD"] * (fixed(x, beta) + (eta @ lam)[model.Pi[:, r]]))
+            return flat(b + beta_prior_times(model, p, beta), e + _columns(level, alpha, eta))
+
         rest = p["Z"] - predictor(model, p, without=r) + fixed(x, p["Beta"])
-        bb = np.zeros((ns, nc, ns, nc))
-        j = np.arange(ns)
-        bb[j, :, j, :] = np.einsum("jic,ij,jik->jck", xs, p["iD"], xs, optimize=True)
-        prior = np.einsum("cjkl->jclk", _beta_precision(model, p)) if model.C is not None else np.einsum("jl,ck->jclk", np.eye(ns), p["iV"])
-        bb += prior
-        be = np.zeros((n, ns, nc))
-        np.add.at(be, model.Pi[:, r], np.einsum("ij,jic->ijc", p["iD"], xs))
-        be = np.einsum("hj,ujc->jcuh", lam, be)
-        _, data = eta_statistics(model, p, r)
-        ee = np.zeros((n, nf, n, nf))
-        u = np.arange(n)
-        for h in range(nf):
-            ee[:, h, :, h] = np.eye(n) if level.method == "none" else spatial.precision(level, p["Alpha"][r][h])
-        ee[u, :, u, :] += data
-        nb, ne = ns * nc, n * nf
-        big = np.block([[bb.reshape(nb, nb), be.reshape(nb, ne)], [be.reshape(nb, ne).T, ee.reshape(ne, ne)]])
-        mean = (p["Gamma"] @ model.T.T).T
-        right_b = np.einsum("jic,ij->jc", xs, p["iD"] * rest) + np.einsum("jclk,lk->jc", prior, mean)
-        right_e = by_unit(model, r, (p["iD"] * rest) @ lam.T)
-        out = noise.from_precision(big, np.r_[right_b.reshape(-1), right_e.reshape(-1)])
-        p["Beta"], p["Eta"][r] = out[:nb].reshape(ns, nc).T, out[nb:].reshape(n, nf)
+        b, e = back(p["iD"] * rest + np.sqrt(p["iD"]) * noise.normal((ny, ns)))
+        b = b + beta_prior_times(model, p, p["Gamma"] @ model.T.T) + _beta_prior_noise(model, p, noise)
+        e = e + _score_noise(level, alpha, (n, nf), noise)
+        xs = x[None] if x.ndim == 2 else x
+        own = np.stack([(xs[j % len(xs)] * p["iD"][:, j, None]).T @ xs[j % len(xs)] for j in range(ns)]) + _beta_prior_blocks(model, p)
+        near_b, near_e = np.linalg.inv(own), np.linalg.inv(_own_precision(level, alpha, eta_statistics(model, p, r)[1]))
+
+        def near(v, parts=parts, near_b=near_b, near_e=near_e):
+            beta, eta = parts(v)
+            return flat(blocks_times(near_b, beta.T).T, blocks_times(near_e, eta))
+
+        p["Beta"], p["Eta"][r] = parts(solve(times, flat(b, e), near))

@@ -119,6 +119,82 @@ def test_eta_draws_have_the_posterior_covariance_with_knots():
     np.testing.assert_allclose(np.cov(draws.T), cov, atol=0.12 * np.abs(cov).max() + 0.03)
 
 
+@pytest.mark.parametrize("method", ["full", "nngp"])
+def test_spatial_scores_have_the_posterior_covariance(method):
+    m, p = model(method=method)
+    level, alpha = m.levels[0], p["Alpha"][0]
+    mu, data = u.eta_statistics(m, p, 0)
+    n, nf = mu.shape
+    big = np.zeros((n, nf, n, nf))
+    for h in range(nf):
+        big[:, h, :, h] = spatial.precision(level, alpha[h])
+    big[np.arange(n), :, np.arange(n), :] += data
+    cov = np.linalg.inv(big.reshape(n * nf, -1))
+    draws = np.array([u._eta_spatial(level, alpha, mu, data, loud(s)).reshape(-1) for s in range(3000)])
+    np.testing.assert_allclose(np.cov(draws.T), cov, atol=0.15 * np.abs(cov).max() + 0.03)
+
+
+@pytest.mark.parametrize("method", ["full", "gpp", "nngp"])
+def test_precision_noise_has_the_precision_as_covariance(method):
+    m, _ = model(method=method)
+    want = spatial.precision(m.levels[0], 1)
+    np.testing.assert_allclose(spatial.diagonal(m.levels[0], 1), np.diag(want))
+    draws = np.array([spatial.precision_noise(m.levels[0], 1, loud(s)) for s in range(6000)])
+    np.testing.assert_allclose(np.cov(draws.T), want, atol=0.12 * np.abs(want).max())
+
+
+def test_coefficients_with_phylogeny_have_the_posterior_covariance():
+    m, p = model(phylo=True, ns=3, ny=12)
+    p["rho"][:] = 60
+    nc, ns = m.nc, 3
+    prior, _ = joint_precision(m, p)
+    etas = np.concatenate([e[m.Pi[:, r]] for r, e in enumerate(p["Eta"])], 1)
+    na = nc + etas.shape[1]
+    big = np.zeros((ns, na, ns, na))
+    big[:, :nc, :, :nc] = prior.reshape(ns, nc, ns, nc)
+    load = np.concatenate([psi * np.cumprod(d)[:, None] for psi, d in zip(p["Psi"], p["Delta"], strict=True)])
+    xe = np.c_[m.X, etas]
+    for j in range(ns):
+        big[j, :, j, :] += xe.T @ (p["iD"][:, j, None] * xe)
+        big[j, np.arange(nc, na), j, np.arange(nc, na)] += load[:, j]
+    cov = np.linalg.inv(big.reshape(ns * na, -1)).reshape(ns, na, ns, na)[:, :nc, :, :nc].reshape(ns * nc, -1)
+    draws = []
+    for s in range(3000):
+        q = p | {"Lambda": list(p["Lambda"])}
+        u.update_beta_lambda(m, q, loud(s))
+        draws.append(q["Beta"].T.reshape(-1))
+    np.testing.assert_allclose(np.cov(np.array(draws).T), cov, atol=0.15 * np.abs(cov).max() + 0.02)
+
+
+def test_many_units_with_neighbours_and_many_species_with_phylogeny():
+    rng = np.random.default_rng(3)
+    n, ns = 6000, 300
+    near = [np.arange(max(0, i - 4), i) for i in range(n)]
+    place = np.arange(n) * 0.01
+    dist = [np.abs(np.subtract.outer(place[np.r_[a, i]], place[np.r_[a, i]])) for i, a in enumerate(near)]
+    level = Level(method="nngp", alpha=np.array([[0.0, 0.5], [0.3, 0.5]]), nf_max=2)
+    level.grid = spatial.nngp(near, dist, level.alpha[:, 0])
+    m = Model(Y=rng.normal(size=(n, 4)), X=np.ones((n, 1)), Pi=np.arange(n)[:, None], family=np.ones(4, int), var_free=np.ones(4, bool), levels=[level])
+    p = start(m, loud())
+    p["Alpha"][0][:] = 1
+    u.update_z(m, p, loud())
+    u.update_eta(m, p, quiet())
+    mu, data = u.eta_statistics(m, p, 0)
+    left = np.einsum("uhk,uk->uh", data, p["Eta"][0]) + spatial.times(level, 1, p["Eta"][0]) - mu
+    assert np.abs(left).max() < 1e-6 * np.abs(mu).max()
+    a = rng.normal(size=(ns, 40))
+    c = a @ a.T + np.eye(ns)
+    c /= np.sqrt(np.outer(np.diag(c), np.diag(c)))
+    m = Model(Y=rng.normal(size=(50, ns)), X=np.c_[np.ones(50), rng.normal(size=(50, 2))], Pi=np.arange(50)[:, None] % 10, family=np.ones(ns, int), var_free=np.ones(ns, bool), C=c, levels=[Level(nf_min=12, nf_max=12)])
+    p = start(m, loud())
+    p["rho"][:] = 80
+    u.update_z(m, p, loud())
+    u.update_beta_lambda(m, p, quiet())
+    rest = m.X.T @ (p["iD"] * (p["Z"] - predictor(m, p))) - u.beta_prior_times(m, p, p["Beta"] - p["Gamma"] @ m.T.T)
+    assert p["Lambda"][0].size + p["Beta"].size > 4000
+    assert np.abs(rest).max() < 1e-6 * np.abs(m.X.T @ p["Z"]).max()
+
+
 def test_common_precision_path_equals_the_general_one():
     m, p = model(missing=False, families=(1, 2), ny=36)
     m.Pi[:, 0] = np.arange(36) % 9
@@ -198,7 +274,7 @@ def test_knots_woodbury_and_neighbours_of_all_predecessors():
     xy, k = rng.random((7, 2)), rng.random((3, 2))
     d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
     g = spatial.nngp(*spatial.nearest(xy, 7), np.array([0.4]))
-    np.testing.assert_allclose(g["R"][0].T @ g["R"][0], np.linalg.inv(np.exp(-d / 0.4)), rtol=1e-8)
+    np.testing.assert_allclose(spatial.precision(Level(method="nngp", grid=g), 0), np.linalg.inv(np.exp(-d / 0.4)), rtol=1e-8)
     assert np.isclose(g["log_det"][0], np.linalg.slogdet(np.exp(-d / 0.4))[1])
     d12, d22 = np.sqrt(((xy[:, None] - k[None]) ** 2).sum(-1)), np.sqrt(((k[:, None] - k[None]) ** 2).sum(-1))
     w12, w22 = np.exp(-d12 / 0.4), np.exp(-d22 / 0.4)
