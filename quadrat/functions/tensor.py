@@ -23,6 +23,26 @@ def gather(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(values, on)
 
 
+def with_lists(rows: DataFrame, few: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Each row with each of few's rows of the same key, their fields as the struct _e.
+
+    For a key of few values, on which a shuffle would put all rows into few tasks: few becomes one row, a map from
+    key to list, and goes to all tasks. few holds parameters of the model, of which a chain's state has no more.
+    """
+    lists = few.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("_l")).agg(F.map_from_entries(F.collect_list(F.struct(key, "_l"))).alias("_m"))
+    return rows.crossJoin(F.broadcast(lists)).select(*rows.columns, F.explode(F.col("_m")[F.col(key)]).alias("_e"))
+
+
+def as_map(key: str, value: Column | str) -> Column:
+    """Aggregate: key to value."""
+    return F.map_from_entries(F.collect_list(F.struct(F.col(key), (F.col(value) if isinstance(value, str) else value).alias("_v"))))
+
+
+def dot(cells: Column, axis: str, value: str, weights: Column) -> Column:
+    """Sum of value * weights[axis] over an array of structs; cells without a weight, or without a value, add nothing."""
+    return F.aggregate(cells, F.lit(0.0), lambda s, c: s + F.coalesce(c[value] * weights[c[axis]], F.lit(0.0)))
+
+
 def scatter(rows: DataFrame, to: list[str], name: str = "v", how: str = "sum") -> DataFrame:
     """Values that fall on the same index are summed (or how else is asked for)."""
     return rows.groupBy(*to).agg(getattr(F, how)(name).alias(name))

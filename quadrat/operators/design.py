@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.tensor import contract, gather
+from quadrat.functions.tensor import as_map, contract, dot, gather, with_lists
+
+
+def by_site(x: DataFrame) -> DataFrame:
+    """site, xs: the site's covariates as one list."""
+    return x.groupBy("site").agg(F.collect_list(F.struct("cov", "x")).alias("xs"))
 
 
 def fixed_part(x: DataFrame, beta: DataFrame) -> DataFrame:
-    """site, species, v of x(site, cov, x), or of a design by species x(species, site, cov, x), and beta(cov, species, v)."""
-    on = ["cov", "species"] if "species" in x.columns else ["cov"]
-    return contract(x, beta, on, ["site", "species"], va="x")
+    """site, species, v of x(site, cov, x), or of a design by species x(species, site, cov, x), and beta(cov, species, v).
+
+    Covariates are few, so nothing is shuffled by them: a site is one row, and so are the coefficients of all species.
+    """
+    if "species" in x.columns:
+        return contract(x, beta, ["cov", "species"], ["site", "species"], va="x")
+    every = beta.groupBy("species").agg(as_map("cov", "v").alias("b")).agg(F.collect_list(F.struct("species", "b")).alias("all"))
+    cells = by_site(x).crossJoin(F.broadcast(every)).select("site", "xs", F.explode("all").alias("c"))
+    return cells.select("site", "c.species", dot(F.col("xs"), "cov", "x", F.col("c.b")).alias("v"))
 
 
 def random_part(pi: DataFrame, eta: DataFrame, lam: DataFrame) -> DataFrame:
@@ -44,8 +55,9 @@ def selection_mask(covs: DataFrame, species: DataFrame, groups: DataFrame, activ
 
 def effective_design(x: DataFrame, mask: DataFrame) -> DataFrame:
     """species, site, cov, x: the design that each species sees."""
-    on = ["cov", "species"] if "species" in x.columns else ["cov"]
-    return x.join(mask, on).select("species", "site", "cov", (F.col("x") * F.col("mask")).alias("x"))
+    if "species" in x.columns:
+        return x.join(mask, ["cov", "species"]).select("species", "site", "cov", (F.col("x") * F.col("mask")).alias("x"))
+    return with_lists(x, mask, "cov", ["species", "mask"]).select("_e.species", "site", "cov", (F.col("x") * F.col("_e.mask")).alias("x"))
 
 
 def reduced_rank(xr: DataFrame, w: DataFrame) -> DataFrame:

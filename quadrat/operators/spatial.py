@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.scalar import decay
+from quadrat.functions.tensor import as_map
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -43,7 +44,7 @@ def one_neighbour_log_likelihood(nearest: DataFrame, eta: DataFrame, grid: DataF
 
 
 def neighbour_weights(units: DataFrame, neighbours: DataFrame, grid: DataFrame) -> DataFrame:
-    """g, i, j, v: cells of D^-1/2 (I - A), one small solve per unit and grid point, units in parallel."""
+    """g, i, j, v: cells of D^-1/2 (I - A), units of a batch with equally many neighbours solved together."""
     near = neighbours.join(units.select(F.col("i").alias("j"), F.col("p").alias("q")), "j").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "q"))).alias("near"))
     rows = units.join(near, "i", "left").crossJoin(F.broadcast(grid)).select("g", "alpha", "i", "p", F.col("near.j").alias("j"), F.col("near.q").alias("q"))
 
@@ -51,20 +52,21 @@ def neighbour_weights(units: DataFrame, neighbours: DataFrame, grid: DataFrame)
         import numpy as np
         import pandas as pd
 
-        from quadrat.kernels.spatial import decay as np_decay
-
         for b in batches:
-            out = []
-            for g, alpha, i, p, j, q in b.itertuples(index=False):
-                if j is None or not alpha > 0:
-                    out.append((g, i, i, 1.0))
+            count = np.array([0 if j is None or not alpha > 0 else len(j) for j, alpha in zip(b["j"], b["alpha"], strict=True)], int)
+            for m in np.unique(count):
+                some = b[count == m]
+                g, i, alpha = (some[c].to_numpy() for c in ("g", "i", "alpha"))
+                if m == 0:
+                    yield pd.DataFrame({"g": g, "i": i, "j": i, "v": 1.0})
                     continue
-                xy = np.array([*[list(x) for x in q], list(p)])
-                k = np_decay(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)), alpha)
-                w = np.linalg.solve(k[:-1, :-1], k[:-1, -1])
-                s = 1 / np.sqrt(k[-1, -1] - k[:-1, -1] @ w)
-                out += [(g, i, int(n), -x * s) for n, x in zip(j, w, strict=True)] + [(g, i, i, s)]
-            yield pd.DataFrame(out, columns=["g", "i", "j", "v"])
+                xy = np.array([[*(list(x) for x in q), list(p)] for q, p in zip(some["q"], some["p"], strict=True)])
+                apart = np.sqrt(((xy[:, :, None] - xy[:, None]) ** 2).sum(-1))
+                k = np.exp(-apart / alpha[:, None, None])
+                w = np.linalg.solve(k[:, :-1, :-1], k[:, :-1, -1:])[..., 0]
+                own = (k[:, -1, -1] - (k[:, :-1, -1] * w).sum(1)) ** -0.5
+                near = np.array([list(j) for j in some["j"]])
+                yield pd.DataFrame({"g": np.repeat(g, m + 1), "i": np.repeat(i, m + 1), "j": np.c_[near, i].ravel(), "v": np.c_[-w * own[:, None], own].ravel()})
 
     return rows.mapInPandas(solve, "g int, i long, j long, v double")
 
@@ -87,7 +89,13 @@ def inverse_and_log_det(cells: DataFrame) -> DataFrame:
 
 
 def similarity(taxonomy: DataFrame) -> DataFrame:
-    """sp1, sp2, c: share of ranks on which two species agree. taxonomy(species, rank, taxon)."""
-    a = taxonomy.select(F.col("species").alias("sp1"), "rank", F.col("taxon").alias("_a"))
-    b = taxonomy.select(F.col("species").alias("sp2"), "rank", F.col("taxon").alias("_b"))
-    return a.join(b, "rank").groupBy("sp1", "sp2").agg(F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("c"))
+    """sp1, sp2, c: share of ranks on which two species agree. taxonomy(species, rank, taxon), a row for each rank.
+
+    A species is one row that holds its taxa; ranks are few, so nothing is joined by them. All pairs are what is asked.
+    """
+    taxa = taxonomy.groupBy("species").agg(F.collect_list(F.struct("rank", "taxon")).alias("l"), as_map("rank", "taxon").alias("m"))
+    pairs = taxa.select(F.col("species").alias("sp1"), "l").crossJoin(taxa.select(F.col("species").alias("sp2"), "m"))
+    shared = F.filter("l", lambda x: F.map_contains_key("m", x["rank"]))
+    same = F.filter(F.transform(shared, lambda x: (x["taxon"] == F.col("m")[x["rank"]]).cast("double")), lambda x: x.isNotNull())
+    mean = F.when(F.size(same) > 0, F.aggregate(same, F.lit(0.0), lambda s, x: s + x) / F.size(same))
+    return pairs.filter(F.size(shared) > 0).select("sp1", "sp2", mean.alias("c"))

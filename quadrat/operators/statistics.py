@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions.scalar import polya_gamma
-from quadrat.functions.tensor import contract, cumulative_product, gram, softmax, suffix_sum, widen
+from quadrat.functions.tensor import as_map, contract, cumulative_product, dot, gram, softmax, suffix_sum, widen, with_lists
+from quadrat.operators.design import by_site
 
 NB_R = 1000.0
 
@@ -58,15 +59,34 @@ def self_product(rows: DataFrame, axis: str, over: list[str], value: str = "v")
     return a.join(b, over).groupBy(f"{axis}1", f"{axis}2").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
 
 
-def score_statistics(pi: DataFrame, cells: DataFrame, lam: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """level, unit, h, mu and level, unit, h, k, v. cells(level, site, species, s, id): s without the level's own part.
+def level_residuals(fixed: DataFrame, ran: DataFrame, cells: DataFrame) -> DataFrame:
+    """level, unit, site, species, s, id: what is left of cells(site, species, z, id) for each level without its own part.
 
-    Sites fold into units before anything meets the loadings.
+    fixed(site, species, v) and ran(level, unit, site, species, v). All three meet in one aggregate by site and species.
     """
-    folded = cells.join(pi, ["level", "site"]).groupBy("level", "unit", "species").agg(F.sum(F.col("id") * F.coalesce("s", F.lit(0.0))).alias("ds"), F.sum("id").alias("id"))
-    mu = folded.join(lam, ["level", "species"]).groupBy("level", "unit", "h").agg(F.sum(F.col("ds") * F.col("v")).alias("mu"))
-    pairs = lam.join(lam.select("level", "species", F.col("h").alias("k"), F.col("v").alias("w")), ["level", "species"])
-    return mu, folded.join(pairs, ["level", "species"]).groupBy("level", "unit", "h", "k").agg(F.sum(F.col("id") * F.col("v") * F.col("w")).alias("v"))
+    none = lambda t: F.lit(None).cast(t)
+    own = F.struct("level", "unit", "v")
+    rows = fixed.select("site", "species", F.col("v").alias("f"), none("double").alias("z"), none("double").alias("id"), none("struct<level:int,unit:int,v:double>").alias("own"))
+    rows = rows.unionByName(cells.select("site", "species", none("double").alias("f"), "z", "id", none("struct<level:int,unit:int,v:double>").alias("own")))
+    rows = rows.unionByName(ran.select("site", "species", none("double").alias("f"), none("double").alias("z"), none("double").alias("id"), own.cast("struct<level:int,unit:int,v:double>").alias("own")))
+    met = rows.groupBy("site", "species").agg(F.sum("f").alias("f"), F.max("z").alias("z"), F.max("id").alias("id"), F.sum("own.v").alias("all"), F.collect_list("own").alias("owns"))
+    left = F.col("z") - F.col("f") - F.col("all") + F.col("o.v")
+    return met.filter("id is not null").select("site", "species", "z", "id", "f", "all", F.explode("owns").alias("o")).select("o.level", "o.unit", "site", "species", left.alias("s"), "id")
+
+
+def score_statistics(cells: DataFrame, lam: DataFrame) -> DataFrame:
+    """level, unit, h, k, v: precision of the scores, and the linear part as k = -1. cells(level, unit, species, s, id): s
+    without the level's own part.
+
+    Sites fold into units before anything meets the loadings, and one pass over the units makes both parts.
+    """
+    folded = cells.groupBy("level", "unit", "species").agg(F.sum(F.col("id") * F.coalesce("s", F.lit(0.0))).alias("ds"), F.sum("id").alias("id"))
+    wide = lam.groupBy("level", "species").agg(F.collect_list(F.struct("h", "v")).alias("ls"))
+    out = lambda a, k, v: F.struct(a["h"].alias("h"), k.alias("k"), v.alias("v"))
+    linear = F.transform("ls", lambda a: out(a, F.lit(-1), F.col("ds") * a["v"]))
+    square = F.flatten(F.transform("ls", lambda a: F.transform("ls", lambda b: out(a, b["h"], F.col("id") * a["v"] * b["v"]))))
+    parts = folded.join(wide, ["level", "species"]).select("level", "unit", F.explode(F.concat(linear, square)).alias("c"))
+    return parts.groupBy("level", "unit", "c.h", "c.k").agg(F.sum("c.v").alias("v"))
 
 
 def common_precision(pi: DataFrame, cells: DataFrame) -> DataFrame:
@@ -108,13 +128,14 @@ def factor_action(lam: DataFrame, bounds: DataFrame, iteration: int) -> DataFram
 def selection_odds(x: DataFrame, beta: DataFrame, cells: DataFrame, mask_parts: DataFrame, groups: DataFrame, species: DataFrame, prior: DataFrame) -> DataFrame:
     """sel, grp, ll0, ll1, p1. mask_parts(sel, cov, species, mask): the mask with all selections but sel.
 
-    A cell's predictor without and with the selection comes from one pass: the covariates outside of it, and all.
+    A cell holds its site's covariates as a list, so both its fits, without and with the selection, are made in its row.
     """
     inside = groups.select("sel", "cov", F.lit(True).alias("inside"))
-    terms = x.join(beta, "cov").join(mask_parts, ["cov", "species"]).join(inside, ["sel", "cov"], "left")
-    part = F.col("x") * F.col("v") * F.col("mask")
-    fits = terms.groupBy("sel", "site", "species").agg(F.sum(F.when(F.col("inside").isNull(), part).otherwise(0.0)).alias("off"), F.sum(part).alias("on"))
-    cell = fits.join(cells, ["site", "species"]).join(species, ["sel", "species"])
+    own = F.col("v") * F.col("mask")
+    terms = mask_parts.join(beta, ["cov", "species"]).join(inside, ["sel", "cov"], "left").groupBy("sel", "species")
+    terms = terms.agg(as_map("cov", F.when(F.col("inside").isNull(), own).otherwise(0.0)).alias("b0"), as_map("cov", own).alias("b1")).join(species, ["sel", "species"])
+    rows = with_lists(cells.join(by_site(x), "site"), terms, "species", ["sel", "grp", "b0", "b1"])
+    cell = rows.select("z", "id", "_e.sel", "_e.grp", dot(F.col("xs"), "cov", "x", F.col("_e.b0")).alias("off"), dot(F.col("xs"), "cov", "x", F.col("_e.b1")).alias("on"))
     ll = lambda f: F.sum(-0.5 * F.col("id") * (F.col("z") - F.col(f)) * (F.col("z") - F.col(f)))
     out = cell.groupBy("sel", "grp").agg(ll("off").alias("l0"), ll("on").alias("l1")).join(prior, ["sel", "grp"])
     ll0, ll1 = F.col("l0") + F.ln(1 - F.col("q")), F.col("l1") + F.ln("q")

@@ -61,19 +61,11 @@ def gamma_v_scatter(spark: SparkSession, d: str) -> DataFrame:
     return _round(a.unionByName(tt).unionByName(bt), "v")
 
 
-def _eta_cells(b: B) -> DataFrame:
-    """level, site, species, s, id: what is left for each level without its own part."""
-    fixed = design.fixed_part(b.x, b.beta)
-    ran = design.random_part(b.pi, b.eta, b.lam)
-    both = ran.groupBy("site", "species").agg(F.sum("v").alias("all"))
-    rest = ran.join(both, ["site", "species"]).join(fixed.withColumnRenamed("v", "f"), ["site", "species"])
-    return rest.join(b.cells, ["site", "species"]).select("level", "site", "species", (F.col("z") - F.col("f") - F.col("all") + F.col("v")).alias("s"), "id")
-
-
 def eta_scatter(spark: SparkSession, d: str) -> DataFrame:
     b = B(spark, d)
-    mu, prec = statistics.score_statistics(b.pi, _eta_cells(b), b.lam)
-    return _round(mu.select("level", "unit", "h", F.lit(-1).alias("k"), F.col("mu").alias("v")).unionByName(prec), "v", digits=4)
+    ran = b.pi.join(contract(b.eta, b.lam, ["level", "h"], ["level", "unit", "species"]), ["level", "unit"])
+    cells = statistics.level_residuals(design.fixed_part(b.x, b.beta), ran, b.cells)
+    return _round(statistics.score_statistics(cells, b.lam), "v", digits=4)
 
 
 def eta_common_flag(spark: SparkSession, d: str) -> DataFrame:
