@@ -8,19 +8,21 @@ import time
 
 def main(argv: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(prog="quadrat", description="Fits a community model by Gibbs sampling.")
-    a.add_argument("input", help="model as JSON")
+    a.add_argument("input", help="model as JSON, or JSON in an .rds file")
     a.add_argument("output", help="directory for draws")
     a.add_argument("--samples", type=int, default=2, help="recorded draws per chain")
     a.add_argument("--transient", type=int, default=0, help="iterations before the first draw")
     a.add_argument("--thin", type=int, default=1, help="iterations per draw")
     a.add_argument("--chains", type=int, nargs="*", help="chains to run; all if left out")
     a.add_argument("--seed", type=int, default=0)
-    a.add_argument("--format", choices=("parquet", "json"), default="parquet")
+    a.add_argument("--format", choices=("parquet", "json", "rds"), default="parquet")
     a.add_argument("--no-eta", action="store_true", help="leave factor scores out")
     a.add_argument("--joint", action="store_true", help="also draw coefficients and scores jointly")
     a.add_argument("--hmc-every", type=int, default=0, help="iterations between Hamiltonian moves; 0: none")
     a.add_argument("--leaps", type=int, default=10, help="leapfrog steps of a Hamiltonian move")
     a.add_argument("--marginal-counts", action="store_true", help="integrate the residual out of counts")
+    a.add_argument("--fp", type=int, choices=(32, 64), default=64, help="precision in which draws are recorded; they are made in 64 bits")
+    a.add_argument("--verbose", type=int, default=0, help="tell of every so many draws on the tasks' standard error; 0: never")
     o = a.parse_args(argv)
 
     from pyspark.sql import SparkSession
@@ -29,13 +31,19 @@ def main(argv: list[str] | None = None) -> None:
     from quadrat.sources import draws, model_json
 
     spark = SparkSession.builder.appName("quadrat").getOrCreate()
-    began = time.time()
     model, states = model_json.load(model_json.read_text(spark, o.input).first()["json"])
-    out = fit(spark, model, max(1, len(states)), o.samples, o.transient, o.thin, o.seed, states=states, only=o.chains, keep_eta=not o.no_eta, joint=o.joint, hmc_every=o.hmc_every, leaps=o.leaps, marginal_counts=o.marginal_counts)
+    out = fit(spark, model, max(1, len(states)), o.samples, o.transient, o.thin, o.seed, states=states, only=o.chains, keep_eta=not o.no_eta, verbose=o.verbose, joint=o.joint, hmc_every=o.hmc_every, leaps=o.leaps, marginal_counts=o.marginal_counts)
+    if o.fp == 32:
+        out = out.withColumn("v", out["v"].cast("float"))
+    began = time.time()
     if o.format == "parquet":
         draws.write(out, o.output)
-    else:
-        draws.write_json(out, o.output, round(time.time() - began, 3))
+        return
+    # the fit runs when its draws are written: they are kept as Parquet, so the files hold the time that it took
+    kept = f"{o.output.rstrip('/')}.draws"
+    draws.write(out, kept)
+    took = round(time.time() - began, 3)
+    (draws.write_json if o.format == "json" else draws.write_rds)(draws.read(spark, kept), o.output, took)
 
 
 if __name__ == "__main__":

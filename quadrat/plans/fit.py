@@ -11,16 +11,19 @@ from quadrat.kernels.state import Model
 from quadrat.sources.draws import SCHEMA
 
 
-def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, transient: int = 0, thin: int = 1, seed: int = 0, *, states: list[dict] | None = None, only: list[int] | None = None, keep_eta: bool = True, **how) -> DataFrame:
+def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, transient: int = 0, thin: int = 1, seed: int = 0, *, states: list[dict] | None = None, only: list[int] | None = None, keep_eta: bool = True, verbose: int = 0, **how) -> DataFrame:
     """Draws of all chains. Chains are independent tasks; a lost one is drawn again, with the same values.
 
     The model's arrays go out once per executor as a broadcast: their size is fixed by the model and is
-    what any chain needs in memory anyway. Draws leave a task one at a time.
+    what any chain needs in memory anyway. Draws leave a task one at a time. With verbose, a task tells of every
+    verbose-th draw on its standard error.
     """
     chosen = [c for c in range(chains) if only is None or c in only]
     shared = spark.sparkContext.broadcast((model, states or []))
 
     def draw(batches):
+        import sys
+
         import pyarrow as pa
 
         model, states = shared.value
@@ -28,6 +31,8 @@ def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, t
             for c in b.column("chain").to_pylist():
                 first = states[c] if c < len(states) else None
                 for d, p in run(model, c, samples, transient, thin, seed, first=first, **how):
+                    if verbose and (d + 1) % verbose == 0:
+                        print(f"chain {c}: draw {d + 1} of {samples}", file=sys.stderr, flush=True)
                     out = {k: [] for k in ("param", "level", "i", "j", "v")}
                     for name, level, m in cells(p, keep_eta):
                         i, j = (x.ravel() for x in np.indices(m.shape))

@@ -72,6 +72,20 @@ SHR = """cell AS (SELECT level, h, species, lam.v AS lv, psi.v AS psi, delta, ta
 DRAWS = "d AS (SELECT (i % 2)::INT AS chain, (i // 2)::INT AS draw, param, ((i * 37) % 101) / 100.0::DOUBLE AS v FROM (SELECT unnest(range(400)) AS i), (SELECT unnest(['Beta', 'sigma']) AS param))"
 KNN = f"nn AS (SELECT a.i, b.i AS j, {D2} AS d, row_number() OVER (PARTITION BY a.i ORDER BY {D2}, b.i) AS rank FROM u a JOIN u b ON b.i < a.i)"
 
+MODEL_DRAWS = f"""{E}, ds AS (
+    SELECT chain, draw, 'Beta' AS param, -1 AS level, cov AS i, species AS j, v + draw / 10.0::DOUBLE + chain AS v FROM beta, (SELECT unnest(range(10)) AS draw), (SELECT unnest([0, 1]) AS chain)
+    UNION ALL SELECT chain, draw, 'rho', -1, 0, 0, (SELECT count(*) FROM beta) % 7 FROM (SELECT unnest(range(10)) AS draw), (SELECT unnest([0, 1]) AS chain)
+    UNION ALL SELECT chain, draw, 'Eta', level, unit, h, v * (1 + draw) FROM
+        (SELECT level, unit, h, ((unit * 7 + h * 3 + level * 5) % 11 - 5) / 5.0::DOUBLE AS v FROM (SELECT 0 AS level, unnest(range(10)) AS unit UNION ALL SELECT 1, unnest(range(7))), (SELECT unnest([0, 1, 2]) AS h)),
+        (SELECT unnest(range(10)) AS draw), (SELECT unnest([0, 1]) AS chain))"""
+PLACE = "st AS (SELECT site, (row_number() OVER (ORDER BY site) - 1)::INT AS place FROM (SELECT DISTINCT site FROM x))"
+TWO = f"""{G}, {KNN},
+    p AS (SELECT u.i, u.px, u.py, a.j AS j1, a.d AS d1, b.j AS j2, b.d AS d2 FROM u LEFT JOIN nn a ON a.i = u.i AND a.rank = 1 LEFT JOIN nn b ON b.i = u.i AND b.rank = 2),
+    q AS (SELECT p.*, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) AS d12 FROM p LEFT JOIN u a ON a.i = j1 LEFT JOIN u b ON b.i = j2),
+    k AS (SELECT g, i, j1, j2, exp(-d1 / alpha) AS k1, exp(-d2 / alpha) AS k2, exp(-d12 / alpha) AS k12 FROM q, grid WHERE alpha > 0),
+    w AS (SELECT *, CASE WHEN j2 IS NULL THEN k1 ELSE (k1 - k12 * k2) / (1 - k12 * k12) END AS w1, CASE WHEN j2 IS NOT NULL THEN (k2 - k12 * k1) / (1 - k12 * k12) END AS w2 FROM k),
+    s AS (SELECT *, 1 / sqrt(1 - coalesce(k1 * w1, 0) - coalesce(k2 * w2, 0)) AS s FROM w)"""
+
 ORACLES = {
     "y_matrix_long": on(E, f"SELECT site, species, {r('y')} AS y, y IS NOT NULL AS observed FROM y"),
     "design_matrix": on(B, f"SELECT site, cov, {r('x')} AS x FROM x"),
@@ -152,4 +166,17 @@ ORACLES = {
         SELECT param, {r('sqrt((avg(n) - 1) / avg(n) + var_samp(m) / avg(s2))')} AS r_hat FROM c GROUP BY param""",
     "posterior_ess": f"""WITH {DRAWS}, e AS (SELECT *, v - avg(v) OVER (PARTITION BY param, chain) AS e FROM d), f AS (SELECT *, lag(e) OVER (PARTITION BY param, chain ORDER BY draw) AS b FROM e)
         SELECT param, count(*) AS n, {r('count(*) * (1 - sum(e * b) / sum(e * e)) / (1 + sum(e * b) / sum(e * e))', 4)} AS ess FROM f GROUP BY param""",
+    "model_file_responses": on(f"{E}, {PLACE}", f"SELECT place AS site, espec.species::INT AS species, {r('y')} AS y FROM st CROSS JOIN espec LEFT JOIN y ON y.site = st.site AND y.species = espec.species"),
+    "model_file_design": on(f"{E}, {PLACE}", f"SELECT place AS site, cov::INT AS cov, {r('x')} AS x FROM x JOIN st USING (site)"),
+    "model_file_dims": on(E, "SELECT (SELECT count(DISTINCT site) FROM x)::INT AS ny, (SELECT count(*) FROM esp)::INT AS ns, 2::INT AS nc, 2::INT AS nr"),
+    "draws_json_round_trip": on(MODEL_DRAWS, f"SELECT chain::INT AS chain, draw::INT AS draw, param, level::INT AS level, i::INT AS i, j::INT AS j, {r('v')} AS v FROM ds"),
+    "draws_summary": on(MODEL_DRAWS, f"SELECT param, level::INT AS level, i::INT AS i, j::INT AS j, count(*) AS n, {r('avg(v)')} AS mean, {r('stddev_samp(v)')} AS sd, {r('quantile_cont(v, 0.5)')} AS median FROM ds GROUP BY param, level, i, j"),
+    "nngp_weights_two": on(TWO, f"""SELECT g, i, i AS j, {r('s', 5)} AS v FROM s UNION ALL SELECT g, i, j1, {r('-w1 * s', 5)} FROM s WHERE j1 IS NOT NULL UNION ALL SELECT g, i, j2, {r('-w2 * s', 5)} FROM s WHERE j2 IS NOT NULL
+        UNION ALL SELECT g, i, i, 1.0::DOUBLE FROM u, grid WHERE alpha = 0"""),
+    "gpp_knot_identity": on(G, "SELECT g, a.j::BIGINT AS i, b.j::BIGINT AS k, (a.j = b.j)::INT::DOUBLE AS v FROM kn a, kn b, grid"),
+    "rrr_prior_params": on(f"""{B}, dl AS (SELECT trait AS h, 1 + trait * 0.5::DOUBLE AS delta FROM (SELECT DISTINCT trait FROM tr)), tu AS (SELECT h, delta, product(delta) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) AS tau FROM dl),
+        c AS (SELECT h, species, t, (1 + (h + species) % 3 * 0.5)::DOUBLE AS psi, delta, tau FROM tr JOIN tu ON h = trait),
+        m AS (SELECT h, delta, tau, sum(psi * t * t) AS m, count(*) AS n FROM c GROUP BY ALL)""",
+        f"""SELECT h, species, {r('2.0::DOUBLE', 5)} AS a, {r('1.5 + t * t * tau / 2', 5)} AS b FROM c
+        UNION ALL SELECT h, -1, {r('CASE WHEN h = 0 THEN 1 ELSE 50 END + n * count(*) OVER w / 2', 5)}, {r('1 + sum(tau * m) OVER w / delta / 2', 5)} FROM m WINDOW w AS (ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""),
 }

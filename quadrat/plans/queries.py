@@ -11,6 +11,8 @@ from quadrat.functions.tensor import contract, densify, split, stack
 from quadrat.operators import design, spatial, statistics
 from quadrat.plans.fit import effective_size, fit, r_hat, summary
 from quadrat.plans.testbed import B, E, G, global_precisions, grid, loadings, local_precisions, read
+from quadrat.sources import draws as draw_files
+from quadrat.sources import model_json
 
 
 def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -299,6 +301,79 @@ def gibbs_fit(spark: SparkSession, d: str) -> DataFrame:
     return summary(fit(spark, model_of(E(spark, d)), chains=2, samples=20, transient=20, seed=1), "param", "level", "i", "j")
 
 
+def _model_text(e: E) -> DataFrame:
+    """The responses and design of a bed as a model's JSON text: one row, as such a file is one text."""
+    def rows(df: DataFrame, axis: str, name: str) -> DataFrame:
+        by = df.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct(axis, F.coalesce(F.col(name).cast("string"), F.lit("NA")).alias("v")))), lambda x: x["v"]).alias("r"))
+        return by.agg(F.transform(F.array_sort(F.collect_list(F.struct("site", "r"))), lambda x: x["r"]).alias(name))
+
+    every = e.x.select("site").distinct().crossJoin(e.species.select("species")).join(e.y.select("site", "species", "y"), ["site", "species"], "left")
+    both = rows(every, "species", "y").crossJoin(rows(e.x, "cov", "x"))
+    one = lambda c: F.array(F.size(c))
+    hm = F.struct(F.col("y").alias("YScaled"), F.col("x").alias("XScaled"), one(F.col("y")).alias("ny"), one(F.col("y")[0]).alias("ns"), one(F.col("x")[0]).alias("nc"), F.lit(2).alias("nr"))
+    return both.select(F.to_json(F.struct(hm.alias("hM"))).alias("json"))
+
+
+def model_file_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Responses written as a model's JSON text and read back, sites and species by their place."""
+    text = _model_text(E(spark, d))
+    return _round(model_json.matrix(text, "YScaled", "site", "species", "y"), "y")
+
+
+def model_file_design(spark: SparkSession, d: str) -> DataFrame:
+    return _round(model_json.matrix(_model_text(E(spark, d)), "XScaled", "site", "cov", "x"), "x")
+
+
+def model_file_dims(spark: SparkSession, d: str) -> DataFrame:
+    return model_json.dims(_model_text(E(spark, d))).select("ny", "ns", "nc", "nr")
+
+
+def _draws_of(e: E, chain: int) -> DataFrame:
+    """A draws table made of coefficients and scores by a fixed rule: ten draws that drift."""
+    drawn = grid(e.beta.select(F.lit("Beta").alias("param"), F.lit(-1).alias("level"), F.col("cov").alias("i"), F.col("species").alias("j"), "v"), "draw", 10)
+    rho = e.beta.agg(F.count("*").alias("n")).select(F.lit("rho").alias("param"), F.lit(-1).alias("level"), F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("n") % 7).cast("double").alias("v"))
+    scores = e.eta.select(F.lit("Eta").alias("param"), "level", F.col("unit").alias("i"), F.col("h").alias("j"), "v")
+    moved = drawn.withColumn("v", F.col("v") + F.col("draw") / 10 + chain).unionByName(grid(rho, "draw", 10)).unionByName(grid(scores, "draw", 10).withColumn("v", F.col("v") * (1 + F.col("draw"))))
+    return moved.select(F.lit(chain).alias("chain"), F.col("draw").cast("int").alias("draw"), "param", "level", "i", "j", "v")
+
+
+def draws_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Draws of two results, merged, as JSON texts by chain and read back: with levels and without."""
+    e = E(spark, d)
+    text = draw_files.to_json(_draws_of(e, 0).unionByName(_draws_of(e, 1)), 1.5)
+    return _round(draw_files.from_json(text).unionByName(draw_files.from_json(text, True)), "v")
+
+
+def draws_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of every parameter over the draws of two results."""
+    e = E(spark, d)
+    both = _draws_of(e, 0).unionByName(_draws_of(e, 1))
+    return _round(summary(both, "param", "level", "i", "j").select("param", "level", "i", "j", "n", "mean", "sd", "median"), "mean", "sd", "median")
+
+
+def nngp_weights_two(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of two neighbours, which can be written out."""
+    g = G(spark, d)
+    return _round(spatial.neighbour_weights(g.units, spatial.preceding_neighbours(g.units, 2), g.grid.select("g", "alpha")), "v", digits=5)
+
+
+def gpp_knot_identity(spark: SparkSession, d: str) -> DataFrame:
+    """The knots' correlation by its inverse, at each range."""
+    g = G(spark, d)
+    w = spatial.correlations(g.knots.withColumnRenamed("j", "i"), g.knots, g.grid)
+    inverse = spatial.inverse_and_log_det(w).select("g", F.col("i").alias("j"), F.col("j").alias("k"), "w")
+    return _round(contract(w, inverse, ["g", "j"], ["g", "i", "k"], "w", "w"), "v", digits=4)
+
+
+def rrr_prior_params(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of the local and global precisions of reduced-rank weights of the traits: the same rule as for loadings."""
+    w = B(spark, d).traits.select(F.lit(0).alias("level"), F.col("trait").alias("h"), "species", F.col("t").alias("v"))
+    constants = spark.createDataFrame([(0, 3.0, 1.0, 1.0, 50.0, 1.0)], "level int, nu double, a1 double, b1 double, a2 double, b2 double")
+    local, over = statistics.shrinkage(w, local_precisions(w), global_precisions(w), constants)
+    rows = local.select("h", "species", F.col("a_psi").alias("a"), F.col("b_psi").alias("b"))
+    return _round(rows.unionByName(over.select("h", F.lit(-1).alias("species"), F.col("ad").alias("a"), F.col("bd").alias("b"))), "a", "b", digits=5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -306,5 +381,6 @@ QUERIES = {
         loading_prior_precision, shrinkage_local_params, shrinkage_global_params, nf_redundancy, nf_reindex, selection_mask, effective_design, selection_loglik, rrr_normal_equations, rrr_design,
         gp_covariance_grid, gpp_cross_covariance, gpp_knot_covariance, gpp_knot_inverse, knn_neighbours, nngp_loglik_1nn, nngp_weights, alpha_loglik_grid, rho_loglik_grid, taxonomic_similarity,
         draw_schedule, partition_cumcounts, partition_rows, normalised_times, predictor_by_unit_covariates, posterior_summary, posterior_r_hat, posterior_ess, gibbs_fit,
+        model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
     )
 }

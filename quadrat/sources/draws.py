@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.sources import rds
+
 SCHEMA = "chain int, draw int, param string, level int, i int, j int, v double"
 #: Parameters whose values are grid indices, from 0 here and from 1 in files for others.
 INDICES = ("rho", "Alpha")
@@ -44,3 +46,30 @@ def to_json(draws: DataFrame, seconds: float | None = None) -> DataFrame:
 def write_json(draws: DataFrame, path: str, seconds: float | None = None) -> None:
     """A text file per chain, in directories chain=K."""
     to_json(draws, seconds).write.mode("overwrite").partitionBy("chain").text(path)
+
+
+def from_json(text: DataFrame, of_level: bool = False) -> DataFrame:
+    """chain, draw, param, level, i, j, v of texts(chain, json) as to_json() makes them: parameters without levels, or
+    (of_level) with them. Indices count from 0 again."""
+    kind = "map<string,string>"
+    draws = text.select("chain", F.explode(F.from_json("json", kind)).alias("draw", "d")).filter("draw <> 'time'")
+    params = draws.select("chain", F.col("draw").cast("int").alias("draw"), F.explode(F.from_json("d", kind)).alias("param", "m"))
+    params = params.filter(F.col("m").startswith("[[[") if of_level else ~F.col("m").startswith("[[["))
+    levels = F.from_json("m", "array<array<array<double>>>") if of_level else F.array(F.from_json("m", "array<array<double>>"))
+    rows = params.select("chain", "draw", "param", F.posexplode(levels).alias("level", "r")).select("chain", "draw", "param", F.col("level") if of_level else F.lit(-1).alias("level"), F.posexplode("r").alias("i", "c"))
+    cells = rows.select("chain", "draw", "param", "level", "i", F.posexplode("c").alias("j", "v"))
+    return cells.withColumn("v", F.col("v") - F.when(F.col("param").isin(*INDICES), 1.0).otherwise(0.0))
+
+
+def write_rds(draws: DataFrame, path: str, seconds: float | None = None) -> None:
+    """A file chain=K.rds per chain, the JSON text as R's serialised string. One chain's text at a time is on the driver."""
+    spark = draws.sparkSession
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in to_json(draws, seconds).toLocalIterator():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"chain={row['chain']}.rds"), True)
+        try:
+            out.write(rds.of_text(row["json"]))
+        finally:
+            out.close()

@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from quadrat.kernels import spatial
 from quadrat.kernels.state import Level, Model
+from quadrat.sources import rds
 
 MATRIX = "array<array<string>>"
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row, the whole text."""
+    """One row, the whole text; of an .rds file, the text in it."""
+    if path.endswith(".rds"):
+        raw = spark.read.format("binaryFile").load(path).select("content").first()
+        return spark.createDataFrame([(rds.text_of(bytes(raw["content"])),)], "json string")
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
 
 

@@ -107,6 +107,48 @@ def test_command_line_fits_a_file(spark, tmp_path):
     assert "Eta" not in one["0"] and "time" in one
 
 
+def test_the_time_in_a_result_is_that_of_the_fit(spark, tmp_path, monkeypatch):
+    from quadrat import cli
+    from quadrat.plans import fit as plans
+
+    real = plans.fit
+
+    def slow(*a, **k):
+        def wait(batches):
+            import time
+
+            time.sleep(2)
+            yield from batches
+
+        return real(*a, **k).mapInArrow(wait, draws.SCHEMA)
+
+    monkeypatch.setattr(plans, "fit", slow)
+    cli.main([file_of(tmp_path), str(tmp_path / "json"), "--samples", "1", "--format", "json", "--chains", "0", "--verbose", "1"])
+    assert json.loads(spark.read.text(str(tmp_path / "json")).first()["value"])["time"] >= 2
+
+
+def test_serialised_texts(spark, tmp_path):
+    from quadrat.cli import main
+    from quadrat.sources import rds
+
+    path = file_of(tmp_path)
+    text = open(path).read()
+    for x in ("", "a", "\u00e4\u4e16 \U0001f600", text):
+        assert rds.text_of(rds.of_text(x)) == x
+    # list("x"), with a names attribute, of version 3, not compressed
+    name = b"\x00\x04\x00\x09\x00\x00\x00\x01n"
+    raw = b"X\n" + bytes.fromhex("00000003 00040300 00030500 00000005") + b"UTF-8" + bytes.fromhex("00000213 00000001 00000010 00000001 00040009 00000001") + b"x"
+    raw += bytes.fromhex("00000402 00000001 00040009 00000005") + b"names" + bytes.fromhex("00000010 00000001") + name + bytes.fromhex("000000fe")
+    assert rds.text_of(raw) == "x"
+    for bad in (b"", b"RDX3\n", b"X\n\x00\x00\x00\x09" + bytes(8)):
+        with pytest.raises(ValueError):
+            rds.text_of(bad)
+    (tmp_path / "model.rds").write_bytes(rds.of_text(text))
+    main([str(tmp_path / "model.rds"), str(tmp_path / "out"), "--samples", "1", "--format", "rds", "--chains", "1", "--fp", "32"])
+    one = json.loads(rds.text_of((tmp_path / "out" / "chain=1.rds").read_bytes()))
+    assert np.array(one["0"]["Beta"]).shape == (2, 3) and one["time"] > 0
+
+
 def test_bad_files_are_refused(tmp_path):
     for key in ("YScaled", "distr"):
         with pytest.raises(ValueError):
