@@ -6,6 +6,9 @@ Gaussian process is made of. Knots and neighbours keep the rest linear in the nu
 
 from __future__ import annotations
 
+from itertools import product
+from math import isqrt, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +27,43 @@ def correlations(a: DataFrame, b: DataFrame, grid: DataFrame) -> DataFrame:
     return pairs.crossJoin(F.broadcast(grid)).select("g", "i", "j", decay(F.col("d"), F.col("alpha")).alias("w"))
 
 
+#: Cells of the coarse levels that are broadcast when units look for their level; finer levels are joined.
+COARSE_CELLS = 8192
+
+
 def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
-    """i, j, rank, d: the k nearest units of smaller index, ties to the smaller. units(i, p)."""
-    other = units.select(F.col("i").alias("j"), F.col("p").alias("_q"))
-    pairs = units.join(other, F.col("j") < F.col("i")).select("i", "j", distance(F.col("p"), F.col("_q")).alias("d"))
+    """i, j, rank, d: the k nearest units of smaller index, ties to the smaller. units(i, p).
+
+    Space is cut into cells, halved from level to level. A unit's level is the finest where its own cell holds k units
+    before it: they lie within the cell's diagonal, so its neighbours are in the cells around, and only those are
+    searched. A unit with fewer than k before it searches the coarsest level, which is all of space. Of units at one
+    place only the first k can be anyone's neighbours. The driver sees the extent and the number of units, no more.
+    """
+    size = units.select(F.size("p").alias("n")).first()
+    dims = range(size["n"] if size else 0)
+    seen = units.agg(F.count("*").alias("n"), *[f(F.col("p")[c]).alias(f"{f.__name__}{c}") for c in dims for f in (F.min, F.max)]).first()
+    low = [seen[f"min{c}"] for c in dims]
+    extent = max((seen[f"max{c}"] - low[c] for c in dims), default=0.0) or 1.0
+    finest = int(log2(max(1.0, seen["n"] / k)) / max(1, len(dims))) + 2
+    ring = isqrt(len(dims)) + 1
+    cell = lambda t, off: F.array(*[F.floor((F.col("p")[c] - low[c]) / (F.lit(extent) / F.pow(F.lit(2.0), t))) + off[c] for c in dims])
+    level = F.explode(F.sequence(F.lit(0), F.lit(finest)))
+
+    placed = units.withColumn("t", level).filter("t > 0").select("i", "t", cell(F.col("t"), [0] * len(dims)).alias("cell"))
+    kth = placed.withColumn("n", F.row_number().over(Window.partitionBy("t", "cell").orderBy("i"))).filter(F.col("n") == k).select("t", "cell", F.col("i").alias("_k"))
+    coarse = max((t for t in range(finest + 1) if (2**t + 1) ** len(dims) <= COARSE_CELLS), default=0)
+    found = placed.filter(F.col("t") <= coarse).join(F.broadcast(kth.filter(F.col("t") <= coarse)), ["t", "cell"])
+    found = found.unionByName(placed.filter(F.col("t") > coarse).join(kth.filter(F.col("t") > coarse), ["t", "cell"]))
+    best = found.filter(F.col("_k") < F.col("i")).groupBy("i").agg(F.max("t").alias("t"))
+    mine = units.join(best, "i", "left").select("i", "p", F.coalesce("t", F.lit(0)).alias("t"))
+
+    around = F.array(*[cell(F.col("t"), off) for off in product(range(-ring, ring + 1), repeat=len(dims))])
+    searching = mine.select("i", "p", "t", F.explode(around).alias("cell"))
+    last = mine.groupBy("t").agg(F.max("i").alias("last"))  # one row per level
+    first = units.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("i"))).filter(F.col("n") <= k).drop("n")
+    others = first.withColumn("t", level).join(F.broadcast(last), "t").filter(F.col("i") < F.col("last"))
+    others = others.select(F.col("i").alias("j"), F.col("p").alias("_q"), "t", cell(F.col("t"), [0] * len(dims)).alias("cell"))
+    pairs = searching.join(others, ["t", "cell"]).filter(F.col("j") < F.col("i")).select("i", "j", distance(F.col("p"), F.col("_q")).alias("d"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")))
     return ranked.filter(F.col("rank") <= k).select("i", "j", "rank", "d")
 

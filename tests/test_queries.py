@@ -49,3 +49,20 @@ def test_neighbour_weights_with_all_predecessors_give_the_full_inverse(spark):
     d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
     np.testing.assert_allclose(r.T @ r, np.linalg.inv(np.exp(-d / 0.5)), rtol=1e-8)
     assert spatial.correlations(units, units.withColumnRenamed("i", "j"), grid).filter(F.col("i") == F.col("j")).agg(F.min("w")).first()[0] == 1.0
+
+
+def test_neighbours_equal_those_of_all_pairs(spark):
+    import numpy as np
+
+    from quadrat.operators import spatial
+
+    rng = np.random.default_rng(8)
+    clusters = np.r_[rng.normal(size=(150, 2)) * 0.01, rng.normal(size=(60, 2)), np.tile([[0.5, 0.5]], (40, 1)), [[50.0, -3.0]]]
+    for xy in (clusters[rng.permutation(len(clusters))], rng.random((90, 1)), np.zeros((7, 2)), rng.random((1, 2)), rng.random((60, 3))):
+        units = spark.createDataFrame([(3 * i, [float(x) for x in p]) for i, p in enumerate(xy)], "i long, p array<double>")
+        got = sorted((r.i, r.rank, r.j) for r in spatial.preceding_neighbours(units, 4).collect())
+        d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+        want = [(3 * i, r + 1, 3 * int(j)) for i in range(len(xy)) for r, j in enumerate(np.lexsort((np.arange(i), d[i, :i]))[:4])]
+        assert got == sorted(want)
+    assert spatial.preceding_neighbours(units.limit(0), 4).isEmpty()
+    assert "NestedLoop" not in spatial.preceding_neighbours(units, 4)._jdf.queryExecution().toString()
