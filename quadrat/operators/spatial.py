@@ -69,7 +69,10 @@ def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
 
 
 def one_neighbour_log_likelihood(nearest: DataFrame, eta: DataFrame, grid: DataFrame) -> DataFrame:
-    """g, h, ll with one neighbour: weight a = exp(-d / alpha), variance 1 - a^2. nearest(i, j, d), j null for the first."""
+    """g, h, ll with one neighbour: weight a = exp(-d / alpha), variance 1 - a^2. nearest(i, j, d), j null for the first.
+
+    Units at one place leave no variance: 1e-9 stands for it, as its logarithm is needed.
+    """
     own = eta.select(F.col("unit").alias("i"), "h", "v")
     before = eta.select(F.col("unit").alias("j"), "h", F.col("v").alias("w"))
     rows = nearest.join(own, "i").join(before, ["j", "h"], "left").crossJoin(F.broadcast(grid))
