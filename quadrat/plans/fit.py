@@ -70,3 +70,23 @@ def effective_size(draws: DataFrame, *by: str, lag: int = 1) -> DataFrame:
     out = d.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.sum(F.col("_d") * F.col("_d")) > 0, rho).alias("rho"))
     r = F.greatest(F.least(F.coalesce("rho", F.lit(0.0)), F.lit(0.999)), F.lit(-0.999))
     return out.select(*by, "n", (F.col("n") * (1 - r) / (1 + r)).alias("ess"))
+
+
+def sequence_effective_size(draws: DataFrame, *by: str) -> DataFrame:
+    """Draws divided by their autocorrelation time: all lags, pooled over chains, in pairs up to the first pair that is not positive.
+
+    A chain's draws of one value are one array, in order; lags are sums over it. The time is at least
+    1 / log10 of the draws; values that never move have as many effective draws as draws.
+    """
+    chain = draws.groupBy(*by, "chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "v"))), lambda x: x["v"]).alias("x"), F.avg("v").alias("m"))
+    chain = chain.select(*by, F.transform("x", lambda v: v - F.col("m")).alias("x"))
+    last = F.size("x") - 1
+    lags = F.transform(F.sequence(F.lit(0), last), lambda t: F.aggregate(F.sequence(F.lit(0), last - t), F.lit(0.0), lambda s, i: s + F.get("x", i) * F.get("x", i + t)))
+    of = chain.select(*by, F.size("x").alias("n"), lags.alias("c")).groupBy(*by).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.collect_list("c").alias("c"))
+    at = lambda t: F.aggregate("c", F.lit(0.0), lambda s, c: s + F.coalesce(F.get(c, t), F.lit(0.0)))
+    of = of.withColumn("c0", at(F.lit(0)))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.col("most") - 1) / 2).cast("int")), lambda k: (at(2 * k) + at(2 * k + 1)) / F.col("c0"))
+    state = lambda total, on: F.struct(total.alias("total"), on.alias("on"))
+    grown = F.aggregate(pairs, state(F.lit(0.0), F.lit(True)), lambda s, p: state(s["total"] + F.when(s["on"] & (p > 0), p).otherwise(0.0), s["on"] & (p > 0)), lambda s: s["total"])
+    time = F.when(F.col("c0") > 0, F.greatest(2 * grown - 1, 1 / F.greatest(F.log10("n"), F.lit(1.0)))).otherwise(1.0)
+    return of.select(*by, "n", (F.col("n") / time).alias("ess"))

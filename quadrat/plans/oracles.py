@@ -78,6 +78,7 @@ MODEL_DRAWS = f"""{E}, ds AS (
     UNION ALL SELECT chain, draw, 'Eta', level, unit, h, v * (1 + draw) FROM
         (SELECT level, unit, h, ((unit * 7 + h * 3 + level * 5) % 11 - 5) / 5.0::DOUBLE AS v FROM (SELECT 0 AS level, unnest(range(10)) AS unit UNION ALL SELECT 1, unnest(range(7))), (SELECT unnest([0, 1, 2]) AS h)),
         (SELECT unnest(range(10)) AS draw), (SELECT unnest([0, 1]) AS chain))"""
+EVENT_DRAWS = "d AS (SELECT event_type AS param, user_id // 2 AS i, (user_id % 2)::INT AS chain, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS draw, value AS v FROM events)"
 PLACE = "st AS (SELECT site, (row_number() OVER (ORDER BY site) - 1)::INT AS place FROM (SELECT DISTINCT site FROM x))"
 TWO = f"""{G}, {KNN},
     p AS (SELECT u.i, u.px, u.py, a.j AS j1, a.d AS d1, b.j AS j2, b.d AS d2 FROM u LEFT JOIN nn a ON a.i = u.i AND a.rank = 1 LEFT JOIN nn b ON b.i = u.i AND b.rank = 2),
@@ -179,4 +180,14 @@ ORACLES = {
         m AS (SELECT h, delta, tau, sum(psi * t * t) AS m, count(*) AS n FROM c GROUP BY ALL)""",
         f"""SELECT h, species, {r('2.0::DOUBLE', 5)} AS a, {r('1.5 + t * t * tau / 2', 5)} AS b FROM c
         UNION ALL SELECT h, -1, {r('CASE WHEN h = 0 THEN 1 ELSE 50 END + n * count(*) OVER w / 2', 5)}, {r('1 + sum(tau * m) OVER w / delta / 2', 5)} FROM m WINDOW w AS (ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""),
+    "event_draws_summary": f"WITH {EVENT_DRAWS} SELECT param, i, count(*) AS n, {r('avg(v)')} AS mean, {r('stddev_samp(v)')} AS sd, {r('quantile_cont(v, 0.025)')} AS q025, {r('quantile_cont(v, 0.5)')} AS median, {r('quantile_cont(v, 0.975)')} AS q975 FROM d GROUP BY param, i",
+    "event_draws_r_hat": f"""WITH {EVENT_DRAWS}, c AS (SELECT param, i, chain, avg(v) AS m, var_samp(v) AS s2, count(*) AS n FROM d GROUP BY ALL)
+        SELECT param, i, {r('CASE WHEN avg(s2) > 0 THEN sqrt((avg(n) - 1) / avg(n) + var_samp(m) / avg(s2)) END')} AS r_hat FROM c GROUP BY param, i""",
+    "event_draws_ess": f"""WITH {EVENT_DRAWS}, e AS (SELECT *, v - avg(v) OVER (PARTITION BY param, i, chain) AS e FROM d),
+        c AS (SELECT param, i, (b.draw - a.draw) // 2 AS k, sum(a.e * b.e) AS c, coalesce(sum(a.e * b.e) FILTER (a.draw = b.draw), 0) AS c0, count(*) FILTER (a.draw = b.draw) AS n
+              FROM e a JOIN e b USING (param, i, chain) WHERE b.draw >= a.draw GROUP BY ALL),
+        p AS (SELECT param, i, k, c, max(c0) OVER w AS c0, sum(n) OVER w AS n FROM c WINDOW w AS (PARTITION BY param, i)),
+        f AS (SELECT *, max((c <= 0)::INT) OVER (PARTITION BY param, i ORDER BY k) AS off FROM p),
+        t AS (SELECT param, i, max(n)::BIGINT AS n, max(c0) AS c0, coalesce(sum(c) FILTER (off = 0), 0) AS s FROM f GROUP BY ALL)
+        SELECT param, i, n, {r('n / CASE WHEN c0 > 0 THEN greatest(2 * s / c0 - 1, 1 / greatest(log10(n), 1.0::DOUBLE)) ELSE 1 END', 4)} AS ess FROM t""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.scalar import draw_of, rounded, recorded
 from quadrat.functions.tensor import contract, densify, split, stack
 from quadrat.operators import design, spatial, statistics
-from quadrat.plans.fit import effective_size, fit, r_hat, summary
+from quadrat.plans.fit import effective_size, fit, r_hat, sequence_effective_size, summary
 from quadrat.plans.testbed import B, E, G, global_precisions, grid, loadings, local_precisions, read
 from quadrat.sources import draws as draw_files
 from quadrat.sources import model_json
@@ -281,6 +281,27 @@ def posterior_ess(spark: SparkSession, d: str) -> DataFrame:
     return _round(effective_size(_closed_draws(spark), "param"), "ess", digits=4)
 
 
+def _event_draws(spark: SparkSession, d: str) -> DataFrame:
+    """All events as draws: users by twos are the chains of a value of each event type, events in order its draws."""
+    from pyspark.sql import Window
+
+    ev = read(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("param"), F.col("value").alias("v"))
+    draw = F.row_number().over(Window.partitionBy("user_id", "param").orderBy("event_id"))
+    return ev.select("param", F.floor(F.col("user_id") / 2).alias("i"), (F.col("user_id") % 2).cast("int").alias("chain"), draw.alias("draw"), "v")
+
+
+def event_draws_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _round(summary(_event_draws(spark, d), "param", "i"), "mean", "sd", "q025", "median", "q975")
+
+
+def event_draws_r_hat(spark: SparkSession, d: str) -> DataFrame:
+    return _round(r_hat(_event_draws(spark, d), "param", "i"), "r_hat")
+
+
+def event_draws_ess(spark: SparkSession, d: str) -> DataFrame:
+    return _round(sequence_effective_size(_event_draws(spark, d), "param", "i"), "ess", digits=4)
+
+
 def model_of(e: E):
     """Arrays of the normal and presence species of a bed, counts as logs: dense, as a chain needs them."""
     from quadrat.kernels.state import Level, Model
@@ -382,5 +403,6 @@ QUERIES = {
         gp_covariance_grid, gpp_cross_covariance, gpp_knot_covariance, gpp_knot_inverse, knn_neighbours, nngp_loglik_1nn, nngp_weights, alpha_loglik_grid, rho_loglik_grid, taxonomic_similarity,
         draw_schedule, partition_cumcounts, partition_rows, normalised_times, predictor_by_unit_covariates, posterior_summary, posterior_r_hat, posterior_ess, gibbs_fit,
         model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
+        event_draws_summary, event_draws_r_hat, event_draws_ess,
     )
 }

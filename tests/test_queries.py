@@ -66,3 +66,26 @@ def test_neighbours_equal_those_of_all_pairs(spark):
         assert got == sorted(want)
     assert spatial.preceding_neighbours(units.limit(0), 4).isEmpty()
     assert "NestedLoop" not in spatial.preceding_neighbours(units, 4)._jdf.queryExecution().toString()
+
+
+def test_effective_size_by_all_lags(spark):
+    import numpy as np
+
+    from quadrat.plans.fit import sequence_effective_size
+
+    rng = np.random.default_rng(4)
+    noise = rng.normal(size=(2, 300))
+    slow = np.zeros_like(noise)
+    for t in range(1, 300):
+        slow[:, t] = 0.8 * slow[:, t - 1] + noise[:, t]
+    values = {"noise": noise, "slow": slow, "still": np.ones((2, 5)), "one": np.ones((1, 1))}
+    rows = [(p, c, t, float(v)) for p, x in values.items() for c, chain in enumerate(x) for t, v in enumerate(chain)]
+    got = {r.param: (r.n, r.ess) for r in sequence_effective_size(spark.createDataFrame(rows, "param string, chain int, draw int, v double").repartition(3), "param").collect()}
+    for p in ("noise", "slow"):
+        e = values[p] - values[p].mean(1, keepdims=True)
+        rho = np.array([(e[:, : 300 - t] * e[:, t:]).sum() for t in range(300)]) / (e * e).sum()
+        pairs = rho.reshape(-1, 2).sum(1)
+        stop = np.flatnonzero(pairs <= 0)[0]
+        np.testing.assert_allclose(got[p], (600, 600 / (2 * pairs[:stop].sum() - 1)))
+    assert got["slow"][1] < 200 < got["noise"][1]
+    assert got["still"] == (10, 10.0) and got["one"] == (1, 1.0)
