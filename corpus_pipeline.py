@@ -1,4 +1,11 @@
-"""Corpus preparation: each stage works on what the stage before kept, and on all of it."""
+"""Corpus preparation: each stage works on what the stage before kept, and on all of it.
+
+Defined cases, from stage to stage: without ratings every document is good; a null or empty text is near to none, holds no
+benchmark passage, has no words to mix and becomes the end id alone; of copies, one row stays, also where they share an id,
+but all rows without an id stay and come first in the token files; very long texts are judged, mixed and encoded whole; an
+empty benchmark removes nothing; an empty table makes no files and no rows. Columns that documents have beyond those read
+(id, text, source) are carried to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 

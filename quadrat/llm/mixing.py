@@ -8,7 +8,8 @@ its hash is at most the threshold. No sort of documents, no random state: reruns
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; documents of
 equal id (or equal hash) share their fate; an empty table, or one without words, gives targets of 0.
 The distance between a source's taken words and its target is at most half of the size of the documents
-that share the hash at the threshold. Only id, source and text are read.
+that share the hash at the threshold. A very long text is counted whole and taken or left as one. Only id, source and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

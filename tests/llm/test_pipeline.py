@@ -80,3 +80,40 @@ def test_stages_decide_rows_of_null_and_repeated_ids_by_their_own_texts(spark):
         one = ngram_join.keep_one(spark.createDataFrame(part, cols).coalesce(1))
         assert one.columns == ["doc_id", "text", "digest", "n"]
         assert kept(one) == sorted(want, key=str)
+
+
+def folder(spark, path, docs, labels=(), benchmark=()):
+    tables = {
+        "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long, row string, size string, digest string, h string, copies string, part string"),
+        "labels": (list(labels), "doc_id long, quality int, toxic int"), "benchmark": (list(benchmark), "item_id long, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from quadrat.llm.queries import tokenizer_path
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    copied, long = " ".join(f"c{i}" for i in range(30)), " ".join(f"v{i}" for i in range(150_000))
+    texts = [(1, copied), (2, copied), (2, copied + " end"), (3, passage), (None, passage), (None, copied), (4, None), (4, ""), (5, long), (6, long + " more"), (7, long + " " + passage), (8, "日本 語 \U0001f389"), (None, None)]
+    extra = ("r", "s", "d", "h", "c", "p")
+    docs = [(i, t, None, "web", None, *extra) for i, t in texts]
+    path = folder(spark, tmp_path / "odd", docs, [(1, None, None), (None, 1, 0)], [(1, passage), (2, None), (None, "")])
+    got = corpus_pipeline.run(spark, path).select("doc_id", "start", "n_tokens").orderBy("start").collect()
+    # copies and contaminated rows go; 7 holds the passage, but in under 5 % of its words, and is near to 5
+    want = {(None, copied), (None, None), (1, copied), (4, None), (4, ""), (5, long), (8, texts[11][1])}
+    encode = Tokenizer.from_file(tokenizer_path()).encode
+    sizes = {(i, len(encode(t or "", add_special_tokens=False).ids) + 1) for i, t in want}
+    assert {(r.doc_id, r.n_tokens) for r in got} == sizes
+    assert [r.doc_id is None for r in got] == sorted((r.doc_id is None for r in got), reverse=True)
+    assert got[0].start == 0 and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path / "none", [])).isEmpty()
+    one = folder(spark, tmp_path / "one", [(1, "a few words", None, None, None, *"rsdhcp")])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, one).collect()} == {1}

@@ -181,6 +181,20 @@ def test_mixing_cases(spark):
     assert {r.size for r in one} == {4} and abs(sum(r.taken for r in one) - 1200) <= 4
 
 
+def test_mixing_counts_very_long_texts_and_keeps_columns_of_its_own_names(spark):
+    long = "word " * 400_000
+    docs = spark.createDataFrame([(1, long, "x", "r", 7, 8), (2, "a b", "x", "r", 7, 8), (3, None, None, "r", 7, 8)], "doc_id long, text string, source string, row string, copies int, whole int")
+    assert plain(mixing.mix(docs), "doc_id", "size", "taken")[0][1] == 400_000
+    (first, *_) = sorted(mixing.take(docs).filter("doc_id = 1").collect())
+    assert first.text == long and (first.row, first.copies, first.whole) == ("r", 7, 8)
+
+
+def test_pii_of_rows_without_an_id(spark):
+    docs = docs_of(spark, [(None, "mail a@b.co", "s"), (None, None, "s"), (3, "mail a@b.co", "s"), (3, "mail a@b.co", "s")])
+    assert plain(pii.digest(pii.find(docs)), "doc_id", "n_email", "spans") == [(3, 1, "email:5:11"), (3, 1, "email:5:11"), (None, 0, ""), (None, 1, "email:5:11")]
+    assert {r.text for r in pii.redact(docs).collect()} == {"mail [email]", None}
+
+
 def test_mixing_takes_rows_as_often_as_it_says(spark):
     rows = [(i, "word " * (i % 7), f"s{i % 3}") for i in range(400)]
     want = {r.doc_id: r.copies for r in mixed(spark, rows).collect()}
