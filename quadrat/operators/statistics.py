@@ -165,6 +165,22 @@ def rho_log_likelihood(rotated: DataFrame, eigen: DataFrame, iv: DataFrame, grid
     return _normalised(ll.select("g", (F.ln("pw") - F.col("s") / 2).alias("ll")), [])
 
 
+def log_density_terms(cells: DataFrame, residuals: DataFrame, iv: DataFrame, eta: DataFrame, lam: DataFrame, precision: DataFrame) -> DataFrame:
+    """term, v: the parts of the joint log density of coefficients, scores and loadings of normal responses, up to a constant.
+
+    cells(site, species, z, id, l), z null and id 0 where missing; residuals(cov, species, v) of the coefficients from their
+    mean; iv(c1, c2, v); precision(level, h, species, prec). Each part is one sum.
+    """
+    half = lambda df, name, x: df.agg((-0.5 * F.coalesce(F.sum(x), F.lit(0.0))).alias("v")).select(F.lit(name).alias("term"), "v")
+    e = F.col("z") - F.col("l")
+    a = residuals.select(F.col("cov").alias("c1"), "species", F.col("v").alias("a"))
+    b = residuals.select(F.col("cov").alias("c2"), "species", F.col("v").alias("b"))
+    data = half(cells, "responses", F.col("id") * e * e)
+    coefficients = half(a.join(iv, "c1").join(b, ["c2", "species"]), "coefficients", F.col("a") * F.col("v") * F.col("b"))
+    weighted = lam.join(precision, ["level", "h", "species"])
+    return data.unionByName(coefficients).unionByName(half(eta, "scores", F.col("v") * F.col("v"))).unionByName(half(weighted, "loadings", F.col("prec") * F.col("v") * F.col("v")))
+
+
 def _normalised(ll: DataFrame, by: list[str]) -> DataFrame:
     return ll.withColumn("p", softmax(F.col("ll"), by))
 

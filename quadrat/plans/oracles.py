@@ -190,4 +190,12 @@ ORACLES = {
         f AS (SELECT *, max((c <= 0)::INT) OVER (PARTITION BY param, i ORDER BY k) AS off FROM p),
         t AS (SELECT param, i, max(n)::BIGINT AS n, max(c0) AS c0, coalesce(sum(c) FILTER (off = 0), 0) AS s FROM f GROUP BY ALL)
         SELECT param, i, n, {r('n / CASE WHEN c0 > 0 THEN greatest(2 * s / c0 - 1, 1 / greatest(log10(n), 1.0::DOUBLE)) ELSE 1 END', 4)} AS ess FROM t""",
+    "csv_responses": on(E, f"SELECT s.site, 'sp' || espec.species AS species, {r('y')} AS y FROM (SELECT DISTINCT site FROM y) s CROSS JOIN espec LEFT JOIN y ON y.site = s.site AND y.species = espec.species"),
+    "log_density_terms": on(f"""{B},
+        fx AS (SELECT site, species, sum(x * v) AS f FROM x JOIN beta USING (cov) GROUP BY ALL),
+        rn AS (SELECT site, lam.species, sum(eta.v * lam.v) AS r FROM pi JOIN eta USING (level, unit) JOIN lam USING (level, h) GROUP BY ALL)""",
+        f"""SELECT 'responses' AS term, {r('-0.5 * sum(id * (z - f - r) * (z - f - r))', 3)} AS v FROM cells JOIN fx USING (site, species) JOIN rn USING (site, species)
+        UNION ALL SELECT 'coefficients', {r('-0.5 * sum(a.v * iv.v * b.v)', 3)} FROM resid a JOIN iv ON a.cov = c1 JOIN resid b ON b.cov = c2 AND b.species = a.species
+        UNION ALL SELECT 'scores', {r('-0.5 * sum(v * v)', 3)} FROM (SELECT ((unit * 7 + h * 3 + level * 5) % 11 - 5) / 5.0::DOUBLE AS v FROM (SELECT 0 AS level, n_nationkey AS unit FROM nation UNION SELECT 1, n_regionkey FROM nation), (SELECT unnest([0, 1, 2]) AS h))
+        UNION ALL SELECT 'loadings', {r('-0.5 * sum(psi.v * tau * lam.v * lam.v)', 3)} FROM lam JOIN psi USING (level, h, species) JOIN tau USING (level, h)"""),
 }

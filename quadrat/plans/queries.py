@@ -12,7 +12,7 @@ from quadrat.operators import design, spatial, statistics
 from quadrat.plans.fit import effective_size, fit, r_hat, sequence_effective_size, summary
 from quadrat.plans.testbed import B, E, G, global_precisions, grid, loadings, local_precisions, read
 from quadrat.sources import draws as draw_files
-from quadrat.sources import model_json
+from quadrat.sources import csv, model_json
 
 
 def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -349,6 +349,24 @@ def model_file_dims(spark: SparkSession, d: str) -> DataFrame:
     return model_json.dims(_model_text(E(spark, d))).select("ny", "ns", "nc", "nr")
 
 
+def csv_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Responses as lines of a wide CSV table, a site each, and read back: of cells that are not there, and missing ones, NA."""
+    e = E(spark, d)
+    names = [f"sp{r.species}" for r in e.species.select("species").orderBy("species").collect()]
+    seen = e.y.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("species", F.col("y").cast("string").alias("y")))).alias("m"))
+    cells = [F.coalesce(F.col("m")[F.lit(k)], F.lit("NA")) for k in range(len(names))]
+    lines = seen.select(F.concat_ws(",", F.col("site").cast("string"), *cells).alias("value"))
+    got = csv.from_lines(lines, ["site", *names], "site", "species", "y")
+    return _round(got.select(F.col("site").cast("long").alias("site"), "species", "y"), "y")
+
+
+def log_density_terms(spark: SparkSession, d: str) -> DataFrame:
+    b = B(spark, d)
+    cells = b.cells.join(design.predictor(b.x, b.beta, b.pi, b.eta, b.lam), ["site", "species"])
+    precision = statistics.loading_precision(local_precisions(b.lam), global_precisions(b.lam))
+    return _round(statistics.log_density_terms(cells, statistics.coefficient_residuals(b.beta, b.gamma, b.traits), b.iv, b.eta, b.lam, precision), "v", digits=3)
+
+
 def _draws_of(e: E, chain: int) -> DataFrame:
     """A draws table made of coefficients and scores by a fixed rule: ten draws that drift."""
     drawn = grid(e.beta.select(F.lit("Beta").alias("param"), F.lit(-1).alias("level"), F.col("cov").alias("i"), F.col("species").alias("j"), "v"), "draw", 10)
@@ -403,6 +421,6 @@ QUERIES = {
         gp_covariance_grid, gpp_cross_covariance, gpp_knot_covariance, gpp_knot_inverse, knn_neighbours, nngp_loglik_1nn, nngp_weights, alpha_loglik_grid, rho_loglik_grid, taxonomic_similarity,
         draw_schedule, partition_cumcounts, partition_rows, normalised_times, predictor_by_unit_covariates, posterior_summary, posterior_r_hat, posterior_ess, gibbs_fit,
         model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
-        event_draws_summary, event_draws_r_hat, event_draws_ess,
+        event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
     )
 }
