@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontamination, language_id, mixing, ngram_join, pii, quality, suffix_dedup, token_files, topk, url_filters
+from quadrat.llm import decontamination, filter_audit, language_id, mixing, ngram_join, pii, quality, suffix_dedup, token_files, topk, url_filters
 from quadrat.llm.common import table
 
 
@@ -64,6 +64,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), outcomes(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = filter_audit.audit(filter_audit.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return told.drop("filter")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_url_filters": op9_url_filters,
     "op10_topk": op10_topk,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -131,4 +137,21 @@ r AS (SELECT *, CASE
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
 SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR bl.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM r LEFT JOIN bl ON r.host = bl.host""",
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t),
+             regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+j AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+e AS (SELECT unnest(range(1, 6)) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, z.x] AS o, array_to_string(list_transform([a.x, b.x, c.x, d.x, z.x], lambda k: 'ABCDE'[k]), '') AS filter_order
+      FROM e a, e b, e c, e d, e z WHERE len(list_distinct([a.x, b.x, c.x, d.x, z.x])) = 5),
+s AS (SELECT o, filter_order, x AS step, o[x] AS flt FROM o, e),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM j GROUP BY ALL),
+r AS (SELECT part, filter_order, step, flt, fails[flt] AS f, len(list_filter(o[1:step - 1], lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda k: k)) AS many, good, toxic, n FROM g, s),
+a AS (SELECT part, filter_order, step, flt, sum(CASE WHEN NOT gone AND NOT f THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND f THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN gone AND f THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f AND many = 1 THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN NOT gone AND f AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND f AND toxic THEN n ELSE 0 END) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, flt))::BIGINT AS shapley FROM a""",
 }
