@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontamination, filter_audit, language_id, mixing, ngram_join, pii, quality, suffix_dedup, token_files, topk, url_filters
+from quadrat.llm import decontamination, filter_audit, language_id, merkle, mixing, ngram_join, pii, quality, suffix_dedup, token_files, topk, url_filters
 from quadrat.llm.common import table
 
 
@@ -69,6 +69,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.drop("filter")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering adds 1 to n_chars of the rows whose id 7 tells."""
+    docs = table(spark, sf_dir, "documents")
+    changed = merkle.leaf_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS])
+    told = merkle.manifest(docs, carry={"tampered": F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, changed)})
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = told.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -81,10 +91,14 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_topk": op10_topk,
     "op11_filter_audit": op11_filter_audit,
+    "op12_merkle": op12_merkle,
 }
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: A leaf of a row whose n_chars is {n}.
+LEAF_SQL = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST({n} AS VARCHAR)", "text")) + ")"
+
 ORACLES = {
     "op1_decontamination": f"""
 WITH b AS (SELECT item_id, w, least(len(w), 13) AS k FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
@@ -154,4 +168,26 @@ a AS (SELECT part, filter_order, step, flt, sum(CASE WHEN NOT gone AND NOT f THE
              sum(CASE WHEN NOT gone AND f AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND f AND toxic THEN n ELSE 0 END) AS toxic_lost FROM r GROUP BY ALL)
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
        good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, flt))::BIGINT AS shapley FROM a""",
+    "op12_merkle": f"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {LEAF_SQL.format(n="n_chars")} AS leaf, {LEAF_SQL.format(n="(n_chars + 1)")} AS changed,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(str_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+                             lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295) AS c FROM documents, crc),
+l AS (SELECT doc_id, g, leaf, CASE WHEN c % 7 = 0 THEN changed ELSE leaf END AS claimed, row_number() OVER () AS rid, count(*) OVER (PARTITION BY g) AS n,
+             row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+low(lvl, g, pos, n, h) AS (SELECT 0, g, pos, n, leaf FROM l UNION ALL
+  SELECT lvl + 1, g, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lvl, g, pos // 2, n),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+top(lvl, pos, n, h) AS (SELECT 0, pos, n, subroot FROM s UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n),
+way AS (SELECT rid, v.lvl AS step, (l.pos >> v.lvl) & 1 AS odd, x.h FROM l JOIN (SELECT DISTINCT g, lvl FROM low WHERE n > 1) v USING (g)
+          LEFT JOIN low x ON x.g = l.g AND x.lvl = v.lvl AND x.pos = xor(l.pos >> v.lvl, 1)
+        UNION ALL SELECT rid, 1000 + v.lvl, (s.pos >> v.lvl) & 1, x.h FROM l JOIN s USING (g), (SELECT DISTINCT lvl FROM top WHERE n > 1) v
+          LEFT JOIN top x ON x.lvl = v.lvl AND x.pos = xor(s.pos >> v.lvl, 1)),
+p AS (SELECT rid, list({{'odd': odd, 'h': h}} ORDER BY step) AS path FROM way GROUP BY rid),
+f AS (SELECT doc_id, leaf, subroot, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.h), ''), '')) AS proof_sha256,
+             list_reduce(list_prepend({{'odd': 0::BIGINT, 'h': claimed}}, coalesce(path, [])), lambda a, x: {{'odd': 0::BIGINT,
+               'h': sha256(CASE WHEN x.h IS NULL THEN a.h WHEN x.odd = 1 THEN x.h || a.h ELSE a.h || x.h END)}}).h AS folded_root
+      FROM l JOIN s USING (g) LEFT JOIN p USING (rid))
+SELECT doc_id, leaf, subroot, r.h AS root, proof_sha256, folded_root, folded_root = r.h AS verified FROM f, (SELECT h FROM top WHERE n = 1) r""",
 }
