@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontamination, filter_audit, language_id, merkle, mixing, ngram_join, pii, quality, suffix_dedup, token_files, topk, url_filters
+from quadrat.llm import decontamination, filter_audit, language_id, merkle, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_files, topk, url_filters
 from quadrat.llm.common import table
 
 
@@ -79,6 +79,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(spark, packing.encode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
@@ -92,6 +96,7 @@ QUERIES = {
     "op10_topk": op10_topk,
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle": op12_merkle,
+    "op13_packing": op13_packing,
 }
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

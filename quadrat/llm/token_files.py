@@ -217,13 +217,18 @@ def put(fs, temp: str, final: str) -> None:
         fs.delete_file(temp)
 
 
-def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 2, out: str | None = None, doc_id: str = "doc_id", text: str = "text") -> dict:
-    """Writes the files and returns the manifest: {"path", "dtype", "parts": [{"part", "docs", "tokens", "base"}]}."""
+def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 2, out: str | None = None, doc_id: str = "doc_id", text: str = "text", ordered: bool = True) -> dict:
+    """Writes the files and returns the manifest: {"path", "dtype", "parts": [{"part", "docs", "tokens", "base"}]}.
+
+    Without `ordered`, documents stay in the partitions and the order in which docs has them, and nothing is shuffled.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     out = out or f"{shared_dir(spark)}/quadrat/tokens-{uuid.uuid4().hex}"
     spark_docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    ordered = spark_docs.repartitionByRange(tasks_for(spark), F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
+    if ordered:
+        spark_docs = spark_docs.repartitionByRange(tasks_for(spark), F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    spark_docs = spark_docs.select("doc_id", "text")
 
     def write(batches):
         import os
@@ -257,7 +262,7 @@ def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 2, out: str | None
                 put(fs, f"{temp}.{x}", f"{path}/part-{part:06d}.{x}")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": [docs_n], "tokens": [tokens], "dtype": [encoder.dtype.str]})
 
-    rows = sorted(ordered.mapInArrow(write, "part int, docs long, tokens long, dtype string").collect())
+    rows = sorted(spark_docs.mapInArrow(write, "part int, docs long, tokens long, dtype string").collect())
     parts, base = [], 0
     for r in rows:
         parts.append({"part": r["part"], "docs": r["docs"], "tokens": r["tokens"], "base": base})
@@ -265,12 +270,29 @@ def encode(docs: DataFrame, tokenizer: str, *, end_id: int = 2, out: str | None
     return {"path": out, "dtype": rows[0]["dtype"] if rows else "<u2", "parts": parts}
 
 
+def reader(fs, name: str, kind: str):
+    """A file's numbers from a to b: mapped where the system can, else read by range."""
+    import numpy as np
+    from pyarrow import fs as pafs
+
+    kind = np.dtype(kind)
+    if isinstance(fs, pafs.LocalFileSystem):
+        mapped = np.memmap(name, kind, "r")
+        return lambda a, b: mapped[a:b]
+    f = fs.open_input_file(name)
+    return lambda a, b: np.frombuffer(f.read_at((b - a) * kind.itemsize, a * kind.itemsize), kind)
+
+
+def parts_of(spark: SparkSession, manifest: dict) -> DataFrame:
+    """part, base, docs, tokens of each part, one to a task."""
+    rows = [(p["part"], p["base"], p["docs"], p["tokens"]) for p in manifest["parts"]]
+    parts = spark.createDataFrame(rows, "part int, base long, docs long, tokens long")
+    return parts.repartition(len(rows)) if rows else parts
+
+
 def read(spark: SparkSession, manifest: dict) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files: one task per part, mapped, not loaded."""
     root, dtype = manifest["path"], manifest["dtype"]
-    rows = [(p["part"], p["base"], p["docs"]) for p in manifest["parts"]]
-    parts = spark.createDataFrame(rows, "part int, base long, docs long")
-    parts = parts.repartition(len(rows)) if rows else parts
 
     def look(batches):
         import numpy as np
@@ -278,24 +300,14 @@ def read(spark: SparkSession, manifest: dict) -> DataFrame:
         from pyarrow import fs as pafs
 
         fs, path = pafs.FileSystem.from_uri(root)
-
-        def reader(name: str, kind: str):
-            """The file's numbers from a to b: mapped where the system can, else read by range."""
-            kind = np.dtype(kind)
-            if isinstance(fs, pafs.LocalFileSystem):
-                mapped = np.memmap(name, kind, "r")
-                return lambda a, b: mapped[a:b]
-            f = fs.open_input_file(name)
-            return lambda a, b: np.frombuffer(f.read_at((b - a) * kind.itemsize, a * kind.itemsize), kind)
-
         for batch in batches:
             for part, base, docs_n in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "docs")), strict=True):
                 stem = f"{path}/part-{part:06d}"
-                ids, off, doc = reader(f"{stem}.bin", dtype), reader(f"{stem}.off", "<i8"), reader(f"{stem}.doc", "<i8")
+                ids, off, doc = reader(fs, f"{stem}.bin", dtype), reader(fs, f"{stem}.off", "<i8"), reader(fs, f"{stem}.doc", "<i8")
                 for at in range(0, docs_n, 1024):
                     to = min(at + 1024, docs_n)
                     d, o = doc(at, to), off(at, to + 1)
                     crc = [zlib.crc32(ids(a, b).astype("<u4")) for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.asarray(d), pa.int64(), mask=d == NO_ID), "start": pa.array(o[:-1] + base), "n_tokens": pa.array(np.diff(o)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return parts.mapInArrow(look, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return parts_of(spark, manifest).mapInArrow(look, "doc_id long, start long, n_tokens long, ids_crc32 long")

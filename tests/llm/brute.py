@@ -1,6 +1,7 @@
 """The operators once more, the slow and plain way."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -94,3 +95,56 @@ def topk(rows, k=20, every=20):
 
 def held_out(i):
     return i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def filter_audit(docs, labels):
+    """docs: doc_id, text, source; labels: doc_id, quality, toxic."""
+    good, toxic = ({i for i, *x in labels if i is not None and x[k] == 1} for k in (0, 1))
+    rows = []
+    for i, t, s in docs:
+        t = t or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        same = any(j is not None and i is not None and j < i and (u or "") == t for j, u, _ in docs)
+        fails = {f for f, bad in zip("ABCDE", (len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), bool(re.search("[#$%&*|]", t)), same), strict=True) if bad}
+        rows.append((s or "", fails, i in good, i in toxic))
+    out, shapley = {}, Counter()
+    for part in {r[0] for r in rows}:
+        for order in itertools.permutations("ABCDE"):
+            left = [r for r in rows if r[0] == part]
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if f in r[1]]
+                left = [r for r in left if f not in r[1]]
+                every = [r for r in rows if r[0] == part and f in r[1]]
+                out[part, "".join(order), step] = (len(left), len(gone), len(every) - len(gone), sum(len(r[1]) == 1 for r in every), sum(r[2] for r in gone), sum(r[3] for r in gone))
+                shapley[part, f] += len(gone)
+    return {(*k, *v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def merkle(docs):
+    """docs: doc_id, source, lang, n_chars, text; what the contract's query returns."""
+    written = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda d: sha("".join(map(written, d)))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i : i + 2])) for i in range(0, len(out[-1]), 2)])
+        return out
+
+    def way(tree, at):
+        return [(at >> k & 1, x[at >> k ^ 1] if at >> k ^ 1 < len(x) else None) for k, x in enumerate(tree[:-1])]
+
+    langs = sorted({d[2] for d in docs}, key=lambda x: (x is not None, (x or "").encode()))
+    groups = [sorted((d for d in docs if d[2] == x), key=lambda d: (d[0] is not None, d[0] or 0, leaf(d))) for x in langs]
+    trees = [levels([leaf(d) for d in g]) for g in groups]
+    over = levels([t[-1][0] for t in trees])
+    out = []
+    for a, (g, t) in enumerate(zip(groups, trees, strict=True)):
+        for b, d in enumerate(g):
+            path = way(t, b) + way(over, a)
+            changed = d[0] is not None and d[3] is not None and zlib.crc32(str(d[0]).encode()) % 7 == 0
+            node = leaf((*d[:3], d[3] + 1, d[4])) if changed else leaf(d)
+            for right, x in path:
+                node = sha(node if x is None else x + node if right else node + x)
+            out.append((d[0], leaf(d), t[-1][0], over[-1][0], sha("".join(x for _, x in path if x)), node, node == over[-1][0]))
+    return sorted(out, key=str)
