@@ -9,9 +9,9 @@ one that stands last all that fail nothing else.
 Filters (a word is a maximal run without ASCII white space; case counts): A, under 50 words; B, under 65 % distinct
 words; C, over 5 % of the code points are A-Z; D, any of # $ % & * |; E, the same text as a row of smaller id.
 
-Equal texts are met by their SHA-256. Texts that HEAVY or a larger share of all rows have number under 1 / HEAVY,
-so these are broadcast; the other repeated texts are joined by a shuffle, in which no key can be hot. Texts
-themselves are read once and never shuffled.
+Equal texts are met by their SHA-256. Texts that a larger share of all rows than HEAVY have number under 1 / HEAVY, so
+these are broadcast; the other repeated texts are joined by a shuffle, in which no key can be hot. Ids and their labels
+are met in the same way. Texts themselves are read once and never shuffled.
 
 Defined cases: a null text is an empty one, which fails A and equals other empty texts; a null source is the part
 of empty name; a null id is not smaller than any and none is smaller than it, so such a row never fails E, and
@@ -61,25 +61,40 @@ def own_failures(text: Column) -> Column:
     return reduce(lambda a, b: a + b, (f.cast("int") * (1 << i) for i, f in enumerate(fails)))
 
 
+def told_of(rows: DataFrame, key: str, facts: DataFrame, heavy: DataFrame) -> DataFrame:
+    """rows and what facts(k_, value) tell of their keys, as `value`; heavy: k_ of at most 1 / HEAVY keys, looked up in every task.
+
+    Rows of a heavy key, and rows without a key, find nothing in the shuffled join and go to any of its tasks.
+    """
+    heavy = F.broadcast(heavy)
+    often = F.broadcast(facts.join(heavy, "k_", "left_semi").select(F.col("k_").alias("of_"), F.col("value").alias("hot_value")))
+    rest = facts.join(heavy, "k_", "left_anti").select(F.concat(F.lit("="), F.col("k_")).alias("at_"), "value")
+    marked = rows.join(heavy.withColumn("hot_", F.lit(True)), F.col(key) == F.col("k_"), "left").join(often, F.col(key) == F.col("of_"), "left")
+    place = F.when(F.col("hot_").isNotNull() | F.col(key).isNull(), F.col("spread").cast("string")).otherwise(F.concat(F.lit("="), F.col(key)))
+    met = marked.withColumn("place_", place).join(rest, F.col("place_") == F.col("at_"), "left")
+    return met.withColumn("value", F.coalesce("hot_value", "value")).select(*rows.columns, "value")
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, part, failed (bits: A 1, B 2, C 4, D 8, E 16), good, toxic of every row."""
+    """doc_id (as text), part, failed (bits: A 1, B 2, C 4, D 8, E 16), good, toxic of every row."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = stored(
-        docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(whole, 256)).alias("same"), own_failures(whole).alias("failed"), F.rand(11).alias("spread")),
+        docs.select(
+            F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("part"),
+            F.sha2(whole, 256).alias("same"), own_failures(whole).alias("failed"), F.rand(11).alias("spread"),
+        ),
         "filters",
-    )
-    again = rows.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("smallest")).filter("n > 1")
-    heavy = F.col("n") > HEAVY * rows.count()
-    hot = F.broadcast(again.filter(heavy).select("same", F.col("smallest").alias("of_hot"), F.lit(True).alias("hot")))
-    # a row whose text has been looked up goes to any task
-    spread = F.when(F.col("hot"), F.col("spread")).otherwise(0.0)
-    rare = again.filter(~heavy).select(F.col("same").alias("rare"), "smallest", F.lit(0.0).alias("at"))
-    met = rows.join(hot, "same", "left").withColumn("at_", spread).join(rare, (F.col("same") == F.col("rare")) & (F.col("at_") == F.col("at")), "left")
-    told = met.select("doc_id", "part", "spread", (F.col("failed") + F.when(F.col("doc_id") > F.coalesce("of_hot", "smallest"), 1 << FILTERS.index("E")).otherwise(0)).alias("failed"))
-    said = labels.groupBy(F.col("doc_id").alias("of")).agg(*(F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(name) for c, name in (("quality", "good"), ("toxic", "toxic"))), F.lit(0.0).alias("at"))
-    # rows without an id have no label and go to any task
-    keyed = told.withColumn("at_", F.when(F.col("doc_id").isNull(), F.col("spread")).otherwise(0.0))
-    return keyed.join(said, (F.col("doc_id") == F.col("of")) & (F.col("at_") == F.col("at")), "left").select("doc_id", "part", "failed", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")))
+    )
+    many = HEAVY * rows.count()
+    texts = rows.groupBy(F.col("same").alias("k_")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("value")).filter("n > 1")
+    met = told_of(rows, "same", texts.select("k_", "value"), texts.filter(F.col("n") > many).select("k_"))
+    told = met.select("id", "part", "spread", (F.col("failed") + F.when(F.col("doc_id") > F.col("value"), 1 << FILTERS.index("E")).otherwise(0)).alias("failed"))
+    said = (F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)) for c in ("quality", "toxic"))
+    of_ids = labels.groupBy(F.col("doc_id").cast("string").alias("k_")).agg(reduce(lambda a, b: a + 2 * b, said).alias("value"))
+    ids = rows.groupBy(F.col("id").alias("k_")).count().filter(F.col("count") > many).select("k_")
+    found = told_of(told, "id", of_ids, ids)
+    value = F.coalesce(F.col("value"), F.lit(0))
+    return found.select(F.col("id").alias("doc_id"), "part", "failed", (value % 2 == 1).alias("good"), (value >= 2).alias("toxic"))
 
 
 def counts(judged: DataFrame) -> DataFrame:
