@@ -1,21 +1,24 @@
 """N-gram Jaccard self-join: rare-first prefix filtering, exact verification, components of links.
 
-A document is the set of its word k-grams as 64-bit hashes. Documents of equal sets (a 128-bit digest) are
-one class; only its smallest id goes on. N-grams are ordered by how often they occur (exact partial counts
-of the frequent ones, a bounded list; all others are rare) and then by hash: any two sets that are similar
-enough share one of their first n - ceil(t n) + 1 n-grams in that order.
+A document is the set of its word k-grams. Documents of the same words in the same order (by SHA-256) are one class;
+only its smallest id goes on. To find candidates, k-grams are hashed to 64 bits and ordered by how often they occur (partial
+counts of the frequent ones, a bounded list; all others are rare) and then by hash: any two sets that are similar
+enough share one of their first n - ceil(t n) + 1 n-grams in that order. Hashes only find candidates: sizes and
+similarity are those of the words. Colliding hashes make a candidate more, and could hide a link only of two texts
+each of which has different k-grams of equal hash itself.
 
 Candidates are met by prefix n-gram in two steps, so that a group of many near copies never makes all its
 pairs. First each n-gram's documents are paired with a hub of theirs (length and positional filters),
 verified, and joined to components. Then, per n-gram, the pairs whose documents are still in different
 components are all taken, with the length and suffix (bucket count) filters, and kept if they share enough
 prefix n-grams; pairs inside a component cannot change the result. The suffix filter is a bound on what two
-sets can share, from their counts in buckets of the hash. Every pair is verified once, on whole texts, with the exact
-sizes of intersection and union. Components are the contract's; their number of verified links is not all
+sets can share, from their counts in buckets of the hash. Every pair is verified once, on the words of whole texts, with
+the exact sizes of intersection and union. Components are the contract's; their number of verified links is not all
 links.
 
-No n-gram's documents go to one task: those of one that occurs HOT times are dealt into salts, each of which has
-hubs of its own, which then meet as the n-gram's documents in their turn; and the pairs of an n-gram are dealt by
+No n-gram's documents go to one task: all prefix n-grams are counted, and the documents of one that occurs HOT times (of a
+very large table: so often that at most MOST n-grams do) are dealt into salts, each of which has hubs of its own,
+which then meet as the n-gram's documents in their turn; and the pairs of an n-gram are dealt by
 pairs of blocks of its documents.
 
 Texts travel only for documents in candidate pairs, once per hub and slice of its partners; a hub with many
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import sliced, small_batches, stored, tasks_for
@@ -43,16 +46,20 @@ FREQUENT, SLICE = 1 << 19, 1 << 22
 BITMAP, BUCKETS, PARTNERS, HUBS = 1 << 20, 128, 64, 8
 #: Occurrences of an n-gram beyond which its documents are dealt to several tasks, and documents of a block of pairs.
 HOT, BLOCK = 1 << 14, 512
+MOST = 1 << 14
 #: Odd multipliers of the words of an n-gram.
 MIX = 0x9E3779B97F4A7C15
 
 
-def ngrams(text: str, k: int):
-    """Sorted distinct hashes of the k-word n-grams (the whole sequence if it is shorter), as uint64."""
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def hashed(words: list[bytes], k: int):
+    """The hash of each k-gram in turn (the whole sequence if it is shorter), as uint64."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
@@ -63,7 +70,38 @@ def ngrams(text: str, k: int):
     for j in range(k):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(MIX) + h[j : j + n]
     out ^= out >> np.uint64(32)
-    return np.unique(out * np.uint64(MIX))
+    return out * np.uint64(MIX)
+
+
+def ngrams(text: str, k: int):
+    """Sorted distinct hashes of the k-word n-grams, as uint64."""
+    import numpy as np
+
+    return np.unique(hashed(words_of(text), k))
+
+
+def size_of(words: list[bytes], k: int, positions: int, distinct: int) -> int:
+    """How many different k-grams there are; of hashes that are all different, there are as many."""
+    return distinct if positions == distinct else len(set(zip(*(words[j:] for j in range(k)), strict=False)))
+
+
+def overlap(a: list[bytes], b: list[bytes], k: int) -> tuple[int, int, int]:
+    """The numbers of k-grams of two texts' words, and of those in both: words become numbers, k-grams numbers of numbers."""
+    import numpy as np
+
+    if min(len(a), len(b)) < k:
+        return 1, 1, int(a == b)  # if one has k words or more, the other's only one is shorter
+    known: dict[bytes, int] = {}
+    of = np.fromiter((known.setdefault(w, len(known)) for x in (a, b) for w in x), np.int64, len(a) + len(b))
+    n, most = len(of) - k + 1, len(known)
+    gram, upto = of[:n], len(known)
+    for j in range(1, k):
+        if upto >= (1 << 62) // most:
+            seen, gram = np.unique(gram, return_inverse=True)
+            upto = len(seen)
+        gram, upto = gram * most + of[j : j + n], upto * most
+    one, two = np.unique(gram[: len(a) - k + 1]), np.unique(gram[len(a) :])
+    return len(one), len(two), len(np.intersect1d(one, two, assume_unique=True))
 
 
 def overlap_needed(na, nb, t: Fraction):
@@ -111,23 +149,23 @@ def frequent(docs: DataFrame, k: int):
     return h[order], c[order]
 
 
-def hot_of(known, often) -> list[tuple[int, int]]:
-    """N-grams that are dealt to several tasks, and to how many: at most FREQUENT of them."""
-    import numpy as np
-
-    at = np.flatnonzero(often > HOT)
-    return list(zip(known[at].view(np.int64).tolist(), (-(-often[at] // HOT)).tolist(), strict=True))
+def hot_of(rows: DataFrame) -> list[tuple[int, int]]:
+    """Of rows(g, ...), the n-grams that are dealt to several tasks, and to how many: at most MOST of them, by exact counts."""
+    counts = rows.groupBy("g").count()
+    often = counts.filter(F.col("count") > HOT).withColumn("all", F.sum("count").over(Window.partitionBy()))
+    share = F.greatest(F.lit(HOT), F.ceil(F.col("all") / MOST))
+    return [tuple(r) for r in often.filter(F.col("count") > share).select("g", F.ceil(F.col("count") / share)).collect()]
 
 
-def sets_of(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """The n-grams that are hot, and doc_id, n, rare (n-grams per thousand that are not frequent), digest, prefix (n-grams, rarest first), counts (by bucket of hash)."""
+def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """doc_id, n, rare (n-grams per thousand that are not frequent), digest (of the words), prefix (n-grams, rarest first), counts (by bucket of hash)."""
     import numpy as np
 
     known, often = frequent(docs, k)
     shared = docs.sparkSession.sparkContext.broadcast((known, often))
 
     def run(batches):
-        from hashlib import blake2b
+        from hashlib import sha256
 
         import pyarrow as pa
 
@@ -135,16 +173,18 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, list[tuple
         for b in sliced(batches):
             ns, rares, digests, prefixes, counts = [], [], [], [], []
             for doc, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = ngrams(x, k)
+                words = words_of(x)
+                every = hashed(words, k)
+                s = np.unique(every)
                 n = len(s)
-                ns.append(n)
+                ns.append(size_of(words, k, len(every), n))
                 if not n or doc is None:
                     rares.append(None)
                     digests.append(None)
                     prefixes.append(None)
                     counts.append(None)
                     continue
-                digests.append(blake2b(s.tobytes(), digest_size=16).digest())
+                digests.append(sha256(b" ".join(words)).digest())
                 rank = np.zeros(n, np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -155,15 +195,15 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, list[tuple
                 counts.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(rares, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "n", "rare", "digest", "prefix", "counts"])
 
-    return stored(docs.mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, counts binary"), "sets"), hot_of(known, often)
+    return stored(docs.mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, counts binary"), "sets")
 
 
-def met(rows: DataFrame, hot: list[tuple[int, int]], t: Fraction) -> DataFrame:
+def met(rows: DataFrame, t: Fraction) -> DataFrame:
     """meet() of rows(g, a, n, rare, pos), with the hubs of a hot n-gram's salts met once more."""
-    spark = rows.sparkSession
+    spark, hot = rows.sparkSession, hot_of(rows)
     if not hot:
         return meet(rows.withColumn("salt", F.lit(0)), t)
-    salts = F.broadcast(spark.createDataFrame(hot, "g long, salts long"))  # at most FREQUENT rows
+    salts = F.broadcast(spark.createDataFrame(hot, "g long, salts long"))  # at most MOST rows
     salt = F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("a"), "salts")).cast("int")
     first = meet(rows.join(salts, "g", "left").select("g", "a", "n", "rare", "pos", salt.alias("salt")), t)
     hubs = first.filter("kind = 2").select("g", "a", "n", F.lit(0).cast("long").alias("rare"), "pos", F.lit(0).alias("salt"))
@@ -363,6 +403,9 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFram
     sent = items.join(texts, items["d"] == texts["doc_id"]).select("hub", "part", "role", "d", "text")
     spread = sent.repartition(tasks_for(spark), "hub", "part").sortWithinPartitions("hub", "part", "role")
 
+    def enough(one: int, two: int, both: int) -> bool:
+        return both > 0 and t.denominator * both >= t.numerator * (one + two - both)
+
     def run(batches):
         import pyarrow as pa
 
@@ -372,13 +415,15 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFram
             for hub, part, role, doc, text in zip(*(b.column(c).to_pylist() for c in ("hub", "part", "role", "d", "text")), strict=True):
                 if at != (hub, part):
                     at, hubs = (hub, part), []
-                s = ngrams(text, k)
+                words = words_of(text)
+                s = np.unique(hashed(words, k))
                 if role == 0:
-                    hubs.append(s)
+                    hubs.append((s, words))
                     continue
-                for h in hubs:
+                for h, of_hub in hubs:
                     both = len(np.intersect1d(h, s, assume_unique=True))
-                    if both and t.denominator * both >= t.numerator * (len(h) + len(s) - both):
+                    # hashes first, which cannot tell less than the words; then the words
+                    if enough(len(h), len(s), both) and enough(*overlap(of_hub, words, k)):
                         a.append(min(hub, doc))
                         d.append(max(hub, doc))
                         break
@@ -391,11 +436,11 @@ def join(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10),
     """doc_id, n_shingles, component_id (the smallest id reachable by links) of every row."""
     small_batches(docs.sparkSession)
     docs = ids_and_texts(docs, doc_id, text)
-    sets, hot = sets_of(docs, k, similarity)
+    sets = sets_of(docs, k, similarity)
     classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"))
     reps = stored(classes.select("digest", "r.*"), "classes")
     rows = reps.select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
-    near = met(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), hot, similarity)
+    near = met(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), similarity)
 
     first = stored(close(near.filter("kind = 0").select("a", "b"), reps, similarity), "first")
     links = verified(docs, first, k, similarity)
@@ -442,11 +487,11 @@ def links(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10)
     """
     small_batches(docs.sparkSession)
     docs = ids_and_texts(docs, doc_id, text)
-    sets, hot = sets_of(docs, k, similarity)
+    sets = sets_of(docs, k, similarity)
     classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"), F.count("*").alias("m"))
     reps = stored(classes.select("m", "r.*"), "classes")
     rows = reps.select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
-    near = met(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), hot, similarity)
+    near = met(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), similarity)
     # each set is its own component: nothing is skipped
     shared = near.filter("kind = 1").select("g", "a", "n", F.col("a").alias("label"))
     many = shared.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")

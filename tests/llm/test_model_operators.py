@@ -284,6 +284,29 @@ def test_join_deals_hot_ngrams_to_several_tasks(spark, monkeypatch):
     assert joined(spark, rows, 2, 60) == brute.jaccard(rows, 2, 60)
 
 
+def test_join_compares_words_where_hashes_collide(spark, monkeypatch):
+    import cloudpickle_by_value
+
+    rows = [(1, "alpha beta gamma"), (2, "delta epsilon zeta"), (3, "Alpha  beta gamma"), (4, "a a a a"), (5, "a a a"), (7, "two words"), (8, "words two"), (9, "one")]
+    monkeypatch.setattr(ngram_join, "hashed", lambda words, k: np.zeros(max(len(words) - k + 1, 1) if words else 0, np.uint64))
+    with cloudpickle_by_value.of(ngram_join):
+        found = joined(spark, rows, 3, 90)
+    assert found == brute.jaccard(rows, 3, 90)
+    assert found[2] == (1, 2) and found[3] == (1, 1) and found[5] == (1, 4)
+
+
+def test_overlap_is_that_of_words():
+    rng = random.Random(5)
+    for k in (1, 2, 3, 5, 12):
+        for _ in range(60):
+            a, b = ([rng.choice([b"a", b"b", b"c", b"long", *(b"w%d" % i for i in range(rng.choice([0, 900])))]) for _ in range(rng.randint(1, 60))] for _ in "ab")
+            if rng.random() < 0.5:
+                b = a[: rng.randint(1, len(a))] + b[:3]
+            sets = [set(zip(*(x[j:] for j in range(k)), strict=False)) if len(x) >= k else {tuple(x)} for x in (a, b)]
+            got = ngram_join.overlap(a, b, k)
+            assert got[2] == len(sets[0] & sets[1]) and (min(len(a), len(b)) < k or got[:2] == (len(sets[0]), len(sets[1])))
+
+
 def test_join_cases(spark):
     long = " ".join(f"v{i}" for i in range(20000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One"), (5, "one"), (6, "a b"), (7, "A\tB"), (8, "a b c d"), (9, long), (10, long + " end"), (11, "x\u00a0y z w"), (12, "x y z w")]
