@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.scalar import decay
 from quadrat.functions.tensor import as_map
+from quadrat.kernels.spatial import regressed
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -83,7 +84,10 @@ def one_neighbour_log_likelihood(nearest: DataFrame, eta: DataFrame, grid: DataF
 
 
 def neighbour_weights(units: DataFrame, neighbours: DataFrame, grid: DataFrame) -> DataFrame:
-    """g, i, j, v: cells of D^-1/2 (I - A), units of a batch with equally many neighbours solved together."""
+    """g, i, j, v: cells of D^-1/2 (I - A), units of a batch with equally many neighbours solved together.
+
+    Of neighbours at one place, the weights of least squares are taken; a unit at a neighbour's place keeps a variance of 1e-9.
+    """
     near = neighbours.join(units.select(F.col("i").alias("j"), F.col("p").alias("q")), "j").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "q"))).alias("near"))
     rows = units.join(near, "i", "left").crossJoin(F.broadcast(grid)).select("g", "alpha", "i", "p", F.col("near.j").alias("j"), F.col("near.q").alias("q"))
 
@@ -102,14 +106,25 @@ def neighbour_weights(units: DataFrame, neighbours: DataFrame, grid: DataFrame)
                 xy = np.array([[*(list(x) for x in q), list(p)] for q, p in zip(some["q"], some["p"], strict=True)])
                 apart = np.sqrt(((xy[:, :, None] - xy[:, None]) ** 2).sum(-1))
                 k = np.exp(-apart / alpha[:, None, None])
-                w = np.linalg.solve(k[:, :-1, :-1], k[:, :-1, -1:])[..., 0]
-                own = (k[:, -1, -1] - (k[:, :-1, -1] * w).sum(1)) ** -0.5
+                w, left = regressed(k)
+                own = left**-0.5
                 near = np.array([list(j) for j in some["j"]])
                 yield pd.DataFrame({"g": np.repeat(g, m + 1), "i": np.repeat(i, m + 1), "j": np.c_[near, i].ravel(), "v": np.c_[-w * own[:, None], own].ravel()})
 
     return rows.mapInPandas(solve, "g int, i long, j long, v double")
 
 
+def sparse_log_likelihood(weights: DataFrame, eta: DataFrame, grid: DataFrame) -> DataFrame:
+    """g, h, log_det, quad, ll of each factor over all units, from cells(g, i, j, v) of D^-1/2 (I - A) and grid(g, pw).
+
+    The log determinant is the diagonal's; the quadratic form is the sum of squares of the rows by the scores.
+    """
+    rows = weights.join(eta.select(F.col("unit").alias("j"), "h", F.col("v").alias("e")), "j").groupBy("g", "i", "h").agg(F.sum(F.col("v") * F.col("e")).alias("e"))
+    quad = rows.groupBy("g", "h").agg(F.sum(F.col("e") * F.col("e")).alias("quad"))
+    det = weights.filter("i = j").groupBy("g").agg((-2 * F.sum(F.ln("v"))).alias("log_det"))
+    return quad.join(det, "g").join(grid, "g").select("g", "h", "log_det", "quad", (F.ln("pw") - F.col("log_det") / 2 - F.col("quad") / 2).alias("ll"))
+
+
 def inverse_and_log_det(cells: DataFrame) -> DataFrame:
     """g, i, j, w (inverse), log_det: one task per grid point; a dense matrix must fit a task, as for any full process."""
 

@@ -7,9 +7,11 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions import draws
 from quadrat.functions.scalar import polya_gamma
 from quadrat.functions.tensor import as_map, contract, cumulative_product, dot, gram, softmax, suffix_sum, widen, with_lists
 from quadrat.operators.design import by_site
+from quadrat.operators.solve import equations
 
 NB_R = 1000.0
 
@@ -31,6 +33,44 @@ def augmentation(cells: DataFrame) -> DataFrame:
     )
 
 
+def latent_responses(cells: DataFrame, cell: Column, seed: int, chain: int, iteration: int) -> DataFrame:
+    """site, species, z: a draw of each latent response. cells(site, species, family, y, l, sigma); cell: a number of its own.
+
+    Normal: as observed. Presence: a normal on its side of 0. Count: with a drawn Polya-Gamma weight. Missing: from the
+    predictor, 0 for a count. Two streams a cell, and no shuffle.
+    """
+    df = cells.select("site", "species", "family", "y", "l", "sigma", cell.alias("cell"))
+    for k in (0, 1):
+        df = draws.with_normal(draws.with_uniform(df, f"u{k}", seed, chain, iteration, F.col("cell"), k), f"n{k}", f"u{k}")
+    df = draws.with_truncated_normal(df, "t", F.col("l"), F.col("sigma"), F.when(F.col("y") > 0, 0.0), F.when(F.col("y") <= 0, 0.0), "u0")
+    m, s = polya_gamma(F.col("y") + NB_R, F.col("l") - log(NB_R))
+    prior = 1 / (F.col("sigma") * F.col("sigma"))
+    df = df.withColumn("w", F.abs(m + s * F.col("n0"))).withColumn("var", 1 / (prior + F.col("w")))
+    count = F.col("var") * ((F.col("y") - NB_R) / 2 + F.col("w") * log(NB_R) + F.col("l") * prior) + F.sqrt("var") * F.col("n1")
+    free = F.when(F.col("family") == 3, 0.0).otherwise(F.col("l") + F.col("sigma") * F.col("n0"))
+    z = F.when(F.col("y").isNull(), free).when(F.col("family") == 1, F.col("y")).when(F.col("family") == 2, F.col("t")).otherwise(count)
+    return df.select("site", "species", z.alias("z"))
+
+
+def joint_equations(x: DataFrame, covs: list[int], scores: DataFrame, factors: list[int], cells: DataFrame) -> DataFrame:
+    """species, p, r: the normal equations of coefficients and loadings together, coefficients first.
+
+    scores(site, factor, v): each site's scores, factors of all levels numbered in a row. A site is one wide row.
+    """
+    wide = widen(x, "site", "cov", covs, "x", "x").join(widen(scores, "site", "factor", factors, "v", "e"), "site")
+    return equations(cells.join(wide, "site"), [*(f"x{c}" for c in covs), *(f"e{f}" for f in factors)], F.col("id"), "species", F.coalesce("z", F.lit(0.0)))
+
+
+def coefficient_priors(iv: DataFrame, gamma: DataFrame, traits: DataFrame, precision: DataFrame, covs: int) -> DataFrame:
+    """species, a, b, v: what the priors add to joint_equations, to the right side as b = -1. precision(species, factor, prec)."""
+    species = traits.select("species").distinct()
+    block = species.crossJoin(iv).select("species", F.col("c1").alias("a"), F.col("c2").alias("b"), "v")
+    mean = contract(gamma, traits, ["trait"], ["cov", "species"], vb="t").withColumnRenamed("cov", "c2")
+    pull = contract(iv, mean, ["c2"], ["c1", "species"]).select("species", F.col("c1").alias("a"), F.lit(-1).alias("b"), "v")
+    own = precision.select("species", (F.col("factor") + covs).alias("a"), (F.col("factor") + covs).alias("b"), F.col("prec").alias("v"))
+    return block.unionByName(pull).unionByName(own)
+
+
 def residual_precision(cells: DataFrame, a: Column, b: Column) -> DataFrame:
     """species, shape, rate of the Gamma from which a residual precision is drawn; cells(species, z, l), z null if missing."""
     e = F.col("z") - F.col("l")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quadrat.functions import draws
+
 E = """
 ev AS (SELECT user_id, event_type, value, hour(ts) AS hour FROM events),
 ecell AS (SELECT user_id, event_type, count(*) AS n, avg(value) AS av FROM ev GROUP BY ALL),
@@ -87,6 +89,68 @@ TWO = f"""{G}, {KNN},
     w AS (SELECT *, CASE WHEN j2 IS NULL THEN k1 ELSE (k1 - k12 * k2) / (1 - k12 * k12) END AS w1, CASE WHEN j2 IS NOT NULL THEN (k2 - k12 * k1) / (1 - k12 * k12) END AS w2 FROM k),
     s AS (SELECT *, 1 / sqrt(1 - coalesce(k1 * w1, 0) - coalesce(k2 * w2, 0)) AS s FROM w)"""
 
+
+
+def uniform_sql(rows: str, seed: int, chain: str, iteration: str, cell: str, name: str, stream: int = 0) -> str:
+    """rows, with a uniform number: Threefry's rounds, each a select around the one before."""
+    m = draws.WORD
+
+    def rounds(inner: str) -> str:
+        for n in range(draws.ROUNDS):
+            t = draws.ROTATIONS[n % 8]
+            inner = f"(SELECT * REPLACE ((x0 + x1) & {m} AS x0, xor(((x1 << {t}) & {m}) | (x1 >> {32 - t}), (x0 + x1) & {m}) AS x1) FROM {inner})"
+            if n % 4 == 3:
+                i = n // 4 + 1
+                k = ("k0", "k1", f"xor(xor(k0, k1), {draws.PARITY})")
+                inner = f"(SELECT * REPLACE ((x0 + {k[i % 3]}) & {m} AS x0, (x1 + {k[(i + 1) % 3]} + {i}) & {m} AS x1) FROM {inner})"
+        return inner
+
+    one = rounds(f"(SELECT *, {seed & m}::BIGINT AS k0, {seed >> 32 & m}::BIGINT AS k1, (({chain})::BIGINT + {seed & m}) & {m} AS x0, (({iteration})::BIGINT + {seed >> 32 & m}) & {m} AS x1 FROM {rows})")
+    two = f"(SELECT * REPLACE (x0 AS k0, xor(x1, {stream}) AS k1, ((({cell})::BIGINT >> 32) + x0) & {m} AS x0, ((({cell})::BIGINT & {m}) + xor(x1, {stream})) & {m} AS x1) FROM {one})"
+    return f"(SELECT * EXCLUDE (k0, k1, x0, x1), ((x0 >> 5) * 67108864.0::DOUBLE + (x1 >> 6) + 0.5) / 9007199254740992.0::DOUBLE AS {name} FROM {rounds(two)})"
+
+
+def horner(x: str, terms) -> str:
+    return "".join(["("] * (len(terms) - 1)) + f"{terms[-1]!r}::DOUBLE" + "".join(f" * ({x}) + {t!r}::DOUBLE)" for t in reversed(terms[:-1]))
+
+
+def quantile_sql(p: str) -> str:
+    """The normal quantile."""
+    of = lambda x, f: f"{horner(x, f[0])} / {horner(x, f[1])}"
+    root = f"sqrt(-ln(least({p}, 1 - {p})))"
+    centre = f"0.180625::DOUBLE - ({p} - 0.5::DOUBLE) * ({p} - 0.5::DOUBLE)"
+    return f"(CASE WHEN abs({p} - 0.5::DOUBLE) <= 0.425 THEN ({p} - 0.5::DOUBLE) * {of(centre, draws.CENTRE)} ELSE sign({p} - 0.5::DOUBLE) * (CASE WHEN {root} <= 5 THEN {of(f'{root} - 1.6::DOUBLE', draws.NEAR)} ELSE {of(f'{root} - 5', draws.FAR)} END) END)"
+
+
+def tail_sql(a: str) -> str:
+    """The probability of a normal beyond a > 0."""
+    return f"(exp(-({a}) * ({a}) / 2) * CASE WHEN {a} < 7.07106781186547 THEN {horner(a, draws.TAIL[0])} / {horner(a, draws.TAIL[1])} ELSE 1 / (({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65::DOUBLE))))) * 2.506628274631::DOUBLE) END)"
+
+
+def inverse_sql(name: str, matrices: str, out: str) -> str:
+    """Recursive tables: matrices(g, a), lists of rows, by Gauss and Jordan into out(g, n, a, ld), a being the inverse and ld the log of the determinant."""
+    step = """list_transform(a, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / a[k + 1][k + 1])
+        ELSE list_transform(row, lambda v, j: v - row[k + 1] * a[k + 1][j] / a[k + 1][k + 1]) END)"""
+    return f"""{name}(g, n, k, a, ld) AS (SELECT g, len(a), 0, list_transform(a, lambda row, i: list_concat(row, list_transform(range(len(a)), lambda j: CASE WHEN j = i - 1 THEN 1.0::DOUBLE ELSE 0 END))), 0.0::DOUBLE FROM {matrices}
+        UNION ALL SELECT g, n, k + 1, {step}, ld + ln(a[k + 1][k + 1]) FROM {name} WHERE k < n),
+    {out} AS (SELECT g, n, list_transform(a, lambda row: row[n + 1:]) AS a, ld FROM {name} WHERE k = n)"""
+
+
+KNOTS = f"""{G},
+    w22 AS (SELECT g, list(r ORDER BY i) AS a FROM (SELECT g, a.j AS i, list({W} ORDER BY b.j) AS r FROM kn a, kn b, grid GROUP BY g, a.j) GROUP BY g),
+    {inverse_sql("gj", "w22", "i22")},
+    w12 AS (SELECT g, a.i, list({W} ORDER BY b.j) AS w FROM u a, kn b, grid GROUP BY g, a.i),
+    dd AS (SELECT g, i, w, greatest(1 - list_dot_product(w, list_transform(a, lambda row: list_dot_product(row, w))), 1e-9) AS dd FROM w12 JOIN i22 USING (g)),
+    sc AS (SELECT g, i, k, w[k] AS wk, w, dd FROM dd, (SELECT unnest(range(1, 11)) AS k)),
+    fm AS (SELECT g, k, l, w22.a[k][l] + v AS v FROM (SELECT g, k, l, sum(wk * w[l] / dd) AS v FROM sc, (SELECT unnest(range(1, 11)) AS l) GROUP BY ALL) JOIN w22 USING (g))"""
+
+SEED, CHAIN, ITERATION = 20240607, 1, 17
+CELL_DRAWS = uniform_sql(uniform_sql("pgm", SEED, str(CHAIN), str(ITERATION), "site * 64 + species", "u0"), SEED, str(CHAIN), str(ITERATION), "site * 64 + species", "u1", 1)
+JOINT = f"""{B},
+    f AS (SELECT site, cov AS k, x FROM x UNION ALL SELECT site, 6 + level * 3 + h, v FROM pi JOIN eta USING (level, unit)),
+    rhs AS (SELECT species, k AS a, sum(id * x * coalesce(z, 0)) AS v FROM cells JOIN f USING (site) GROUP BY ALL
+            UNION ALL SELECT species, c1, sum(iv.v * gamma.v * t) FROM iv JOIN gamma ON cov = c2 JOIN tr USING (trait) GROUP BY ALL)"""
+
 ORACLES = {
     "y_matrix_long": on(E, f"SELECT site, species, {r('y')} AS y, y IS NOT NULL AS observed FROM y"),
     "design_matrix": on(B, f"SELECT site, cov, {r('x')} AS x FROM x"),
@@ -198,4 +262,37 @@ ORACLES = {
         UNION ALL SELECT 'coefficients', {r('-0.5 * sum(a.v * iv.v * b.v)', 3)} FROM resid a JOIN iv ON a.cov = c1 JOIN resid b ON b.cov = c2 AND b.species = a.species
         UNION ALL SELECT 'scores', {r('-0.5 * sum(v * v)', 3)} FROM (SELECT ((unit * 7 + h * 3 + level * 5) % 11 - 5) / 5.0::DOUBLE AS v FROM (SELECT 0 AS level, n_nationkey AS unit FROM nation UNION SELECT 1, n_regionkey FROM nation), (SELECT unnest([0, 1, 2]) AS h))
         UNION ALL SELECT 'loadings', {r('-0.5 * sum(psi.v * tau * lam.v * lam.v)', 3)} FROM lam JOIN psi USING (level, h, species) JOIN tau USING (level, h)"""),
+    "z_draws": on(f"""{PG},
+        dr AS (SELECT *, {quantile_sql("u0")} AS n0, {quantile_sql("u1")} AS n1, CASE WHEN y > 0 THEN 1 ELSE -1 END AS side FROM {CELL_DRAWS}),
+        o AS (SELECT *, abs(m + sd * n0) AS w, -side * l / sigma AS cut FROM dr),
+        b AS (SELECT *, 1 / (1 / (sigma * sigma) + w) AS var, CASE WHEN cut > 0 THEN {tail_sql("abs(cut)")} * CASE WHEN side > 0 THEN u0 ELSE u0 END ELSE NULL END AS beyond,
+                     CASE WHEN cut <= 0 THEN {tail_sql("abs(cut)")} END AS short FROM o),
+        q AS (SELECT *, CASE WHEN cut > 0 THEN CASE WHEN side > 0 THEN beyond ELSE beyond END WHEN side > 0 THEN short + u0 * (1 - short) ELSE u0 * (1 - short) END AS p FROM b)""",
+        f"""SELECT site, species, {r(f"""CASE WHEN y IS NULL THEN CASE WHEN family = 3 THEN 0 ELSE l + sigma * n0 END WHEN family = 1 THEN y
+            WHEN family = 2 THEN l + sigma * CASE WHEN side > 0 AND cut > 0 THEN -1 ELSE 1 END * {quantile_sql("p")}
+            ELSE var * ((y - 1000) / 2 + w * ln(1000.0::DOUBLE) + l / (sigma * sigma)) + sqrt(var) * n1 END""", 5)} AS z FROM q"""),
+    "alpha_draws": on(f"""{G}, {KNN},
+        a AS (SELECT g, pw, u.i, nn.j, CASE WHEN nn.j IS NULL THEN 0.0 WHEN alpha = 0 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE exp(-d / alpha) END AS a FROM u LEFT JOIN nn ON nn.i = u.i AND rank = 1 CROSS JOIN grid),
+        e AS (SELECT g, o.h AS h, pw, greatest(1 - a * a, 1e-9) AS var, o.v - a * coalesce(p.v, 0) AS e FROM a JOIN eta o ON o.unit = a.i LEFT JOIN eta p ON p.unit = a.j AND p.h = o.h),
+        ll AS (SELECT g, h, (ln(pw) - sum(ln(var) + e * e / var) / 2) * (20.0::DOUBLE / (SELECT count(*) FROM u)) AS ll FROM e GROUP BY g, h, pw),
+        it AS (SELECT * FROM ll, (SELECT unnest([0, 1]) AS chain), (SELECT unnest(range(200)) AS iteration))""",
+        f"""SELECT chain::INT AS chain, iteration::INT AS iteration, h, arg_max(g, ll - ln(-ln(u))) AS g FROM {uniform_sql("it", SEED, "chain", "iteration", "h * 64 + g", "u")} GROUP BY chain, iteration, h"""),
+    "beta_lambda_mean": on(JOINT, f"SELECT species, a::INT AS a, {r('sum(v)', 4)} AS v FROM rhs GROUP BY species, a"),
+    "beta_lambda_draws": on(f"{B}, k AS (SELECT species, unnest(range(12)) AS k FROM spec)", f"SELECT species, {r(f'sum({quantile_sql("u")} * {quantile_sql("u")})', 4)} AS v FROM {uniform_sql('k', SEED, str(CHAIN), str(ITERATION), 'species * 12 + k', 'u')} GROUP BY species"),
+    "gpp_variances": f"WITH RECURSIVE {KNOTS} SELECT g, i, {r('dd', 5)} AS dd FROM dd",
+    "gpp_information": f"WITH RECURSIVE {KNOTS}, nm AS (SELECT j, row_number() OVER (ORDER BY j) AS k FROM kn) SELECT g, a.j::BIGINT AS k, b.j::BIGINT AS l, {r('v / 100', 4)} AS v FROM fm JOIN nm a USING (k) JOIN nm b ON b.k = fm.l",
+    "gpp_loglik": f"""WITH RECURSIVE {KNOTS},
+        ff AS (SELECT g, list(r ORDER BY k) AS a FROM (SELECT g, k, list(v ORDER BY l) AS r FROM fm GROUP BY g, k) GROUP BY g),
+        {inverse_sql("gf", "ff", "fi")},
+        s AS (SELECT g, h, list(v ORDER BY k) AS s FROM (SELECT g, h, k, sum(wk * v / dd) AS v FROM sc JOIN eta ON unit = i GROUP BY ALL) GROUP BY g, h),
+        q AS (SELECT g, h, sum(v * v / dd) AS q FROM dd JOIN eta ON unit = i GROUP BY g, h),
+        dt AS (SELECT g, sum(ln(dd)) AS d FROM dd GROUP BY g),
+        o AS (SELECT g, h, pw, d - i22.ld + fi.ld AS log_det, q - list_dot_product(s, list_transform(fi.a, lambda row: list_dot_product(row, s))) AS quad FROM s JOIN q USING (g, h) JOIN dt USING (g) JOIN i22 USING (g) JOIN fi USING (g) JOIN grid USING (g))
+        SELECT g, h, {r('log_det', 3)} AS log_det, {r('quad', 3)} AS quad, {r('ln(pw) - log_det / 2 - quad / 2', 3)} AS ll FROM o""",
+    "gpp_knot_inverse": f"""WITH RECURSIVE {KNOTS}, nm AS (SELECT j, row_number() OVER (ORDER BY j) AS k FROM kn)
+        SELECT g, x.j::BIGINT AS i, y.j::BIGINT AS j, {r('a[x.k][y.k]')} AS w, {r('ld')} AS log_det FROM i22, nm x, nm y""",
+    "nngp_loglik_two": on(TWO, f"""SELECT g, h, {r('log_det', 3)} AS log_det, {r('quad', 3)} AS quad, {r('ln(pw) - log_det / 2 - quad / 2', 3)} AS ll
+        FROM (SELECT g, o.h AS h, -2 * sum(ln(s)) AS log_det, sum(s * s * (o.v - coalesce(w1 * a.v, 0) - coalesce(w2 * b.v, 0)) * (o.v - coalesce(w1 * a.v, 0) - coalesce(w2 * b.v, 0))) AS quad
+              FROM (SELECT g, i, j1, j2, w1, w2, s FROM s UNION ALL SELECT g, i, NULL, NULL, NULL, NULL, 1.0 FROM u, grid WHERE alpha = 0) x
+              JOIN eta o ON o.unit = x.i LEFT JOIN eta a ON a.unit = j1 AND a.h = o.h LEFT JOIN eta b ON b.unit = j2 AND b.h = o.h GROUP BY g, o.h) JOIN grid USING (g)"""),
 }

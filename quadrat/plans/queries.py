@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.scalar import draw_of, rounded, recorded
 from quadrat.functions.tensor import contract, densify, split, stack
-from quadrat.operators import design, spatial, statistics
+from quadrat.functions import draws
+from quadrat.operators import design, predictive, solve, spatial, statistics
 from quadrat.plans.fit import effective_size, fit, r_hat, sequence_effective_size, summary
-from quadrat.plans.testbed import B, E, G, global_precisions, grid, loadings, local_precisions, read
+from quadrat.plans.testbed import FACTORS, B, E, G, global_precisions, grid, loadings, local_precisions, read
 from quadrat.sources import draws as draw_files
 from quadrat.sources import csv, model_json
 
@@ -413,6 +414,85 @@ def rrr_prior_params(spark: SparkSession, d: str) -> DataFrame:
     return _round(rows.unionByName(over.select("h", F.lit(-1).alias("species"), F.col("ad").alias("a"), F.col("bd").alias("b"))), "a", "b", digits=5)
 
 
+#: Of the queries that draw: seed, chain, iteration.
+DRAWN = (20240607, 1, 17)
+
+
+def z_draws(spark: SparkSession, d: str) -> DataFrame:
+    """A draw of every latent response."""
+    return _round(statistics.latent_responses(_e_cells(E(spark, d)), F.col("site") * 64 + F.col("species"), *DRAWN), "z", digits=5)
+
+
+def alpha_draws(spark: SparkSession, d: str) -> DataFrame:
+    """The range of each factor in 200 iterations of 2 chains, from its likelihood over all units."""
+    g = G(spark, d)
+    ll = spatial.one_neighbour_log_likelihood(_nearest(g), g.eta, g.grid)
+    rows = grid(grid(ll, "chain", 2), "iteration", 200)
+    # over so many units one range takes all: the likelihood is tempered to that of 20, so that several are drawn
+    units = g.units.count()
+    rows = rows.withColumn("ll", F.col("ll") * (20.0 / units))
+    rows = draws.with_uniform(rows, "u", DRAWN[0], F.col("chain"), F.col("iteration"), F.col("h") * 64 + F.col("g"))
+    return draws.categorical(rows, ["chain", "iteration", "h"], "g", "ll", "u")
+
+
+def _joint(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The systems of all species' coefficients and loadings, and what the priors add."""
+    b = B(spark, d)
+    factor = (F.col("level") * FACTORS + F.col("h")).alias("factor")
+    scores = b.pi.join(b.eta, ["level", "unit"]).select("site", factor, "v")
+    precision = statistics.loading_precision(local_precisions(b.lam), global_precisions(b.lam)).select("species", factor, "prec")
+    systems = statistics.joint_equations(b.x, list(range(b.COVS)), scores, list(range(2 * FACTORS)), b.cells)
+    return systems, statistics.coefficient_priors(b.iv, b.gamma, b.traits, precision, b.COVS)
+
+
+def _matrix_cells(systems: DataFrame, priors: DataFrame) -> DataFrame:
+    """species, a, b, v of the whole matrix."""
+    n = F.size("r")
+    cells = systems.select("species", F.posexplode("p").alias("at", "v"), n.alias("n")).select("species", F.floor(F.col("at") / F.col("n")).cast("int").alias("a"), (F.col("at") % F.col("n")).cast("int").alias("b"), "v")
+    return cells.unionByName(priors.filter("b >= 0").select("species", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "v")).groupBy("species", "a", "b").agg(F.sum("v").alias("v"))
+
+
+def beta_lambda_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients and loadings of each species solved for, and put back into its system: what comes out is the right side."""
+    systems, priors = _joint(spark, d)
+    mean = solve.posterior(systems, "species", priors, *DRAWN).select("species", F.posexplode("mean").alias("b", "v"))
+    return _round(contract(_matrix_cells(systems, priors), mean, ["species", "b"], ["species", "a"]), "v", digits=4)
+
+
+def beta_lambda_draws(spark: SparkSession, d: str) -> DataFrame:
+    """How far a draw of each species' coefficients and loadings is from their mean, by their precision: the square of its noise."""
+    systems, priors = _joint(spark, d)
+    both = solve.posterior(systems, "species", priors, *DRAWN).select("species", F.posexplode(F.zip_with("draw", "mean", lambda x, m: x - m)).alias("a", "v"))
+    left = contract(_matrix_cells(systems, priors), both, ["species", "a"], ["species", "b"])
+    return _round(contract(left, both.withColumnRenamed("a", "b"), ["species", "b"], ["species"]), "v", digits=4)
+
+
+def gpp_variances(spark: SparkSession, d: str) -> DataFrame:
+    """What the knots leave of every unit's variance, at each range."""
+    g = G(spark, d)
+    return _round(predictive.left_variances(g.units, g.knots, g.grid), "dd", digits=5)
+
+
+def gpp_information(spark: SparkSession, d: str) -> DataFrame:
+    """The knot-sized matrix that stands for all units, at each range."""
+    g = G(spark, d)
+    found = predictive.information(g.units, g.knots, g.grid)
+    return _round(found.withColumn("v", F.col("v") / 100), "v", digits=4)
+
+
+def gpp_loglik(spark: SparkSession, d: str) -> DataFrame:
+    """Each factor's likelihood over all units by way of the knots, at each range."""
+    g = G(spark, d)
+    return _round(predictive.log_likelihood(g.units, g.knots, g.grid, g.eta), "log_det", "quad", "ll", digits=3)
+
+
+def nngp_loglik_two(spark: SparkSession, d: str) -> DataFrame:
+    """Each factor's likelihood over all units by two neighbours, at each range."""
+    g = G(spark, d)
+    weights = spatial.neighbour_weights(g.units, spatial.preceding_neighbours(g.units, 2), g.grid.select("g", "alpha"))
+    return _round(spatial.sparse_log_likelihood(weights, g.eta, g.grid), "log_det", "quad", "ll", digits=3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -422,5 +502,6 @@ QUERIES = {
         draw_schedule, partition_cumcounts, partition_rows, normalised_times, predictor_by_unit_covariates, posterior_summary, posterior_r_hat, posterior_ess, gibbs_fit,
         model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
         event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
+        z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two,
     )
 }
