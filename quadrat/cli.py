@@ -22,20 +22,27 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--leaps", type=int, default=10, help="leapfrog steps of a Hamiltonian move")
     a.add_argument("--marginal-counts", action="store_true", help="integrate the residual out of counts")
     a.add_argument("--fp", type=int, choices=(32, 64), default=64, help="precision in which draws are recorded; they are made in 64 bits")
+    a.add_argument("--commit-every", type=int, default=0, help="iterations after which chains are stored beside the output; a fit that was ended goes on from there. 0: not")
     a.add_argument("--verbose", type=int, default=0, help="tell of every so many draws on the tasks' standard error; 0: never")
     o = a.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
+    from quadrat.plans.durable import fit_durably
     from quadrat.plans.fit import fit
     from quadrat.sources import draws, model_json
 
     spark = SparkSession.builder.appName("quadrat").getOrCreate()
     model, states = model_json.load(model_json.read_text(spark, o.input).first()["json"])
-    out = fit(spark, model, max(1, len(states)), o.samples, o.transient, o.thin, o.seed, states=states, only=o.chains, keep_eta=not o.no_eta, verbose=o.verbose, joint=o.joint, hmc_every=o.hmc_every, leaps=o.leaps, marginal_counts=o.marginal_counts)
+    how = dict(states=states, only=o.chains, keep_eta=not o.no_eta, joint=o.joint, hmc_every=o.hmc_every, leaps=o.leaps, marginal_counts=o.marginal_counts)
+    size = (max(1, len(states)), o.samples, o.transient, o.thin, o.seed)
+    began = time.time()
+    if o.commit_every:
+        out = fit_durably(spark, model, f"{o.output.rstrip('/')}.segments", *size, every=o.commit_every, **how)
+    else:
+        out = fit(spark, model, *size, verbose=o.verbose, **how)
     if o.fp == 32:
         out = out.withColumn("v", out["v"].cast("float"))
-    began = time.time()
     if o.format == "parquet":
         draws.write(out, o.output)
         return

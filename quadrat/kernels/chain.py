@@ -15,14 +15,17 @@ from quadrat.kernels.state import Model, start
 RECORDED = ("Beta", "Gamma", "iV", "rho", "sigma", "Eta", "Lambda", "Psi", "Delta", "Alpha", "BetaSel", "wRRR", "PsiRRR", "DeltaRRR")
 
 
-def run(model: Model, chain: int, samples: int, transient: int = 0, thin: int = 1, seed: int = 0, *, first: dict | None = None, marginal_counts: bool = False, joint: bool = False, hmc_every: int = 0, leaps: int = 10) -> Iterator[tuple[int, dict]]:
+def run(model: Model, chain: int, samples: int, transient: int = 0, thin: int = 1, seed: int = 0, *, first: dict | None = None, marginal_counts: bool = False, joint: bool = False, hmc_every: int = 0, leaps: int = 10, held: dict | None = None, until: int | None = None) -> Iterator[tuple[int, dict]]:
     """(draw, parameters) for each recorded iteration: those after the transient phase, every thin-th.
 
-    The generator of each update depends on seed, chain, iteration and update only.
+    The generator of each update depends on seed, chain, iteration and update only. held: where the chain stands, kept up
+    to date after each iteration; with it, a chain that was ended before iteration `until` goes on as if it had not been.
     """
-    p = {k: v for k, v in (first or start(model, Noise(seed, chain, 0, 99))).items()}
-    step = hmc.Step()
-    for it in range(transient + samples * thin):
+    held = {} if held is None else held
+    if "p" not in held:
+        held.update(p={k: v for k, v in (first or start(model, Noise(seed, chain, 0, 99))).items()}, step=hmc.Step(), next=0)
+    p, step, last = held["p"], held["step"], transient + samples * thin
+    for it in range(held["next"], last if until is None else min(until, last)):
         noise = lambda k, it=it: Noise(seed, chain, it + 1, k)
         if hmc_every and it % hmc_every == 0:
             chance = hmc.move(model, p, noise(0), step, leaps)
@@ -49,6 +52,7 @@ def run(model: Model, chain: int, samples: int, transient: int = 0, thin: int =
             u.update_nf(model, p, noise(15), it)
         if it >= transient and (it - transient + 1) % thin == 0:
             yield (it - transient + 1) // thin - 1, p
+        held["next"] = it + 1
 
 
 def cells(p: dict, keep_eta: bool = True) -> Iterator[tuple[str, int, np.ndarray]]:

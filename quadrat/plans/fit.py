@@ -11,6 +11,21 @@ from quadrat.kernels.state import Model
 from quadrat.sources.draws import SCHEMA
 
 
+def batch_of(chain: int, draw: int, p: dict, keep_eta: bool):
+    """A draw as an Arrow batch of its cells."""
+    import pyarrow as pa
+
+    out = {k: [] for k in ("param", "level", "i", "j", "v")}
+    for name, level, m in cells(p, keep_eta):
+        i, j = (x.ravel() for x in np.indices(m.shape))
+        for k, x in zip(out, (np.full(m.size, name, object), np.full(m.size, level), i, j, m.ravel()), strict=True):
+            out[k].append(x)
+    cat = {k: np.concatenate(v) for k, v in out.items()}
+    n = len(cat["v"])
+    ints = [pa.array(x.astype(np.int32)) for x in (np.full(n, chain), np.full(n, draw))]
+    return pa.RecordBatch.from_arrays([*ints, pa.array(cat["param"], pa.string()), *[pa.array(cat[k].astype(np.int32)) for k in ("level", "i", "j")], pa.array(cat["v"].astype(float))], ["chain", "draw", "param", "level", "i", "j", "v"])
+
+
 def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, transient: int = 0, thin: int = 1, seed: int = 0, *, states: list[dict] | None = None, only: list[int] | None = None, keep_eta: bool = True, verbose: int = 0, **how) -> DataFrame:
     """Draws of all chains. Chains are independent tasks; a lost one is drawn again, with the same values.
 
@@ -24,8 +39,6 @@ def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, t
     def draw(batches):
         import sys
 
-        import pyarrow as pa
-
         model, states = shared.value
         for b in batches:
             for c in b.column("chain").to_pylist():
@@ -33,15 +46,7 @@ def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, t
                 for d, p in run(model, c, samples, transient, thin, seed, first=first, **how):
                     if verbose and (d + 1) % verbose == 0:
                         print(f"chain {c}: draw {d + 1} of {samples}", file=sys.stderr, flush=True)
-                    out = {k: [] for k in ("param", "level", "i", "j", "v")}
-                    for name, level, m in cells(p, keep_eta):
-                        i, j = (x.ravel() for x in np.indices(m.shape))
-                        for k, x in zip(out, (np.full(m.size, name, object), np.full(m.size, level), i, j, m.ravel()), strict=True):
-                            out[k].append(x)
-                    cat = {k: np.concatenate(v) for k, v in out.items()}
-                    n = len(cat["v"])
-                    ints = [pa.array(x.astype(np.int32)) for x in (np.full(n, c), np.full(n, d))]
-                    yield pa.RecordBatch.from_arrays([*ints, pa.array(cat["param"], pa.string()), *[pa.array(cat[k].astype(np.int32)) for k in ("level", "i", "j")], pa.array(cat["v"].astype(float))], ["chain", "draw", "param", "level", "i", "j", "v"])
+                    yield batch_of(c, d, p, keep_eta)
 
     tasks = spark.createDataFrame([(c,) for c in chosen], "chain int").repartition(max(1, len(chosen)), "chain")
     return tasks.mapInArrow(draw, SCHEMA)

@@ -295,4 +295,5 @@ ORACLES = {
         FROM (SELECT g, o.h AS h, -2 * sum(ln(s)) AS log_det, sum(s * s * (o.v - coalesce(w1 * a.v, 0) - coalesce(w2 * b.v, 0)) * (o.v - coalesce(w1 * a.v, 0) - coalesce(w2 * b.v, 0))) AS quad
               FROM (SELECT g, i, j1, j2, w1, w2, s FROM s UNION ALL SELECT g, i, NULL, NULL, NULL, NULL, 1.0 FROM u, grid WHERE alpha = 0) x
               JOIN eta o ON o.unit = x.i LEFT JOIN eta a ON a.unit = j1 AND a.h = o.h LEFT JOIN eta b ON b.unit = j2 AND b.h = o.h GROUP BY g, o.h) JOIN grid USING (g)"""),
+    "gp_solution": on(G, f"SELECT g, unit AS i, h, {r('v', 4)} AS v FROM eta, grid"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.scalar import draw_of, rounded, recorded
 from quadrat.functions.tensor import contract, densify, split, stack
 from quadrat.functions import draws
-from quadrat.operators import design, predictive, solve, spatial, statistics
+from quadrat.operators import dense, design, predictive, solve, spatial, statistics
 from quadrat.plans.fit import effective_size, fit, r_hat, sequence_effective_size, summary
 from quadrat.plans.testbed import FACTORS, B, E, G, global_precisions, grid, loadings, local_precisions, read
 from quadrat.sources import draws as draw_files
@@ -493,6 +493,20 @@ def nngp_loglik_two(spark: SparkSession, d: str) -> DataFrame:
     return _round(spatial.sparse_log_likelihood(weights, g.eta, g.grid), "log_det", "quad", "ll", digits=3)
 
 
+def gp_solution(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all units by the inverse of their full correlation, by tiles, and by the correlation again: what comes out are the scores."""
+    g = G(spark, d)
+    x = dense.solutions(g.units, g.grid, g.eta, 256)
+    w = spatial.correlations(g.units, g.units.withColumnRenamed("i", "unit").select(F.col("unit").alias("j"), "p"), g.grid)
+    return _round(contract(w, x.withColumnRenamed("unit", "j"), ["g", "j"], ["g", "i", "h"], va="w"), "v", digits=4)
+
+
+def gp_loglik(spark: SparkSession, d: str) -> DataFrame:
+    """Each factor's likelihood over all units by their full correlation, at each range."""
+    g = G(spark, d)
+    return _round(dense.log_likelihood(dense.cholesky(dense.tiles(g.units, g.grid, g.eta, 256)), g.grid), "log_det", "quad", "ll", digits=3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -502,6 +516,6 @@ QUERIES = {
         draw_schedule, partition_cumcounts, partition_rows, normalised_times, predictor_by_unit_covariates, posterior_summary, posterior_r_hat, posterior_ess, gibbs_fit,
         model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
         event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
-        z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two,
+        z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik,
     )
 }

@@ -175,3 +175,37 @@ def test_neighbours_at_one_place(spark):
     assert len(own) == 6 and all(np.isfinite(r.v) for r in got) and np.isclose(own[5], 1e-9**-0.5) and np.isclose(own[2], 1e-9**-0.5)
     rows = nngp(*nearest(xy, 3), np.array([0.5]))
     assert np.isfinite(rows["log_det"]).all() and np.isclose(rows["R"][0].own[5], 1e-9**-0.5)
+
+
+# tiles
+
+
+@pytest.mark.parametrize("n, tile", [(23, 5), (10, 10), (3, 8)])
+def test_tiles_equal_dense_algebra(spark, n, tile):
+    from quadrat.operators import dense
+
+    rng = np.random.default_rng(n)
+    xy, eta = rng.random((n, 2)), rng.normal(size=(n, 2))
+    ids = rng.permutation(n) * 3
+    units = spark.createDataFrame([(int(i), [float(v) for v in p]) for i, p in zip(ids, xy, strict=True)], "i long, p array<double>").repartition(3)
+    scores = spark.createDataFrame([(int(ids[k]), h, float(eta[k, h])) for k in range(n) for h in range(2)], "unit long, h int, v double")
+    grid = spark.createDataFrame([(0, 0.0, 0.5), (1, 0.4, 0.5)], "g int, alpha double, pw double")
+    got = {(r.g, r.h): r for r in dense.log_likelihood(dense.cholesky(dense.tiles(units, grid, scores, tile)), grid).collect()}
+    solved = {(r.g, r.unit, r.h): r.v for r in dense.solutions(units, grid, scores, tile).collect()}
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    for g, w in ((0, np.eye(n)), (1, np.exp(-d / 0.4))):
+        x = np.linalg.solve(w, eta)
+        np.testing.assert_allclose([[solved[g, int(i), h] for h in range(2)] for i in ids], x, rtol=1e-7, atol=1e-9)
+        for h in range(2):
+            np.testing.assert_allclose([got[g, h].log_det, got[g, h].quad], [np.linalg.slogdet(w)[1], eta[:, h] @ x[:, h]], rtol=1e-7, atol=1e-9)
+
+
+def test_tiles_of_no_units_and_of_units_at_one_place(spark):
+    from quadrat.operators import dense
+
+    units, grid = place(spark, np.array([[0.1, 0.2], [0.1, 0.2], [0.3, 0.3]]), "i long, p array<double>"), spark.createDataFrame([(0, 0.5, 1.0)], "g int, alpha double, pw double")
+    scores = spark.createDataFrame([(0, 0, 1.0)], "unit long, h int, v double")
+    with pytest.raises(Exception, match="one place"):
+        dense.cholesky(dense.tiles(units, grid, scores, 2)).collect()
+    assert dense.cholesky(dense.tiles(units.limit(0), grid, scores, 2)).isEmpty()
+    assert [r.unit for r in dense.solutions(units.filter("i > 0"), grid, scores, 1).orderBy("unit").collect()] == [1, 2]
