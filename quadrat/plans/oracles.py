@@ -296,4 +296,6 @@ ORACLES = {
               FROM (SELECT g, i, j1, j2, w1, w2, s FROM s UNION ALL SELECT g, i, NULL, NULL, NULL, NULL, 1.0 FROM u, grid WHERE alpha = 0) x
               JOIN eta o ON o.unit = x.i LEFT JOIN eta a ON a.unit = j1 AND a.h = o.h LEFT JOIN eta b ON b.unit = j2 AND b.h = o.h GROUP BY g, o.h) JOIN grid USING (g)"""),
     "gp_solution": on(G, f"SELECT g, unit AS i, h, {r('v', 4)} AS v FROM eta, grid"),
+    "nngp_scores": f"""SELECT vec_id AS unit, h, {r("sum(4 * embedding[5 + s]::DOUBLE * ((s * 5 + h * 3) % 7 - 3) / 4.0::DOUBLE)", 4)} AS v
+        FROM embeddings, (SELECT unnest([0, 1]) AS h), (SELECT unnest(range(8)) AS s) GROUP BY vec_id, h""",
 }

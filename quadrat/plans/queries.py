@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.scalar import draw_of, rounded, recorded
 from quadrat.functions.tensor import contract, densify, split, stack
 from quadrat.functions import draws
-from quadrat.operators import dense, design, predictive, solve, spatial, statistics
+from quadrat.operators import dense, design, predictive, scores, solve, spatial, statistics
 from quadrat.plans.fit import effective_size, fit, r_hat, sequence_effective_size, summary
 from quadrat.plans.testbed import FACTORS, B, E, G, global_precisions, grid, loadings, local_precisions, read
 from quadrat.sources import draws as draw_files
@@ -507,6 +507,26 @@ def gp_loglik(spark: SparkSession, d: str) -> DataFrame:
     return _round(dense.log_likelihood(dense.cholesky(dense.tiles(g.units, g.grid, g.eta, 256)), g.grid), "log_det", "quad", "ll", digits=3)
 
 
+def _observed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cells of eight components of each vector as responses, and their loadings on two factors."""
+    e = read(spark, d, "embeddings")
+    cells = e.select(F.col("vec_id").alias("unit"), F.posexplode(F.slice("embedding", 5, 8)).alias("species", "s")).select(F.lit(0).alias("level"), "unit", "species", F.col("s").cast("double").alias("s"), F.lit(4.0).alias("id"))
+    lam = grid(grid(spark.range(1).select(F.lit(0).alias("level")), "h", 2), "species", 8)
+    return cells, lam.select("level", "h", "species", (((F.col("species") * 5 + F.col("h") * 3) % 7 - 3) / 4).alias("v"))
+
+
+def nngp_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Mean scores of all units by two neighbours, by the precision again: what comes out is the right side."""
+    g = G(spark, d)
+    cells, lam = _observed(spark, d)
+    weights = spatial.neighbour_weights(g.units, spatial.preceding_neighbours(g.units, 2), g.grid.filter("g = 1").select("g", "alpha"))
+    found = statistics.score_statistics(cells, lam).drop("level")
+    matrix = scores.precision(scores.rows_of_factors(weights, spark.createDataFrame([(0, 1), (1, 1)], "h int, g int")), found.filter("k >= 0"))
+    right = found.filter("k < 0").select("unit", "h", "v")
+    x = scores.solve(matrix, right, 1e-11).select(F.col("unit").alias("unit2"), F.col("h").alias("h2"), "v")
+    return _round(contract(matrix, x, ["unit2", "h2"], ["unit", "h"]), "v", digits=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -516,6 +536,6 @@ QUERIES = {
         draw_schedule, partition_cumcounts, partition_rows, normalised_times, predictor_by_unit_covariates, posterior_summary, posterior_r_hat, posterior_ess, gibbs_fit,
         model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
         event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
-        z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik,
+        z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik, nngp_scores,
     )
 }
