@@ -155,6 +155,21 @@ def shrinkage(lam: DataFrame, psi: DataFrame, delta: DataFrame, constants: DataF
     return local, m.select("level", "h", "tau", "m", (F.when(first, F.col("a1")).otherwise(F.col("a2")) + F.col("n") * left / 2).alias("ad"), (F.when(first, F.col("b1")).otherwise(F.col("b2")) + rest / 2).alias("bd"))
 
 
+def sequential_delta(over: DataFrame, constants: DataFrame, draw: Column) -> DataFrame:
+    """level, h, v: global precisions drawn one after the other, each with those before it as drawn and those after it as
+    they were. over: shrinkage()'s second table; draw: of each, a standard Gamma draw of its shape `ad`.
+
+    A level's factors are one short array; the fold carries the product of what has been drawn.
+    """
+    rest = suffix_sum(F.col("tau") * F.col("m"), ["level"], "h") / F.col("tau")
+    rows = over.join(constants.select("level", "b1", "b2"), "level").select("level", F.struct("h", F.when(F.col("h") == 0, F.col("b1")).otherwise(F.col("b2")).alias("b"), rest.alias("rest"), draw.cast("double").alias("g")).alias("x"))
+    state = lambda before, out: F.struct(before.alias("before"), out.alias("out"))
+    one = lambda s, x: x["g"] / (x["b"] + s["before"] * x["rest"] / 2)
+    begin = state(F.lit(1.0), F.array().cast("array<struct<h:int,v:double>>"))
+    done = F.aggregate("xs", begin, lambda s, x: state(s["before"] * one(s, x), F.concat(s["out"], F.array(F.struct(x["h"].cast("int").alias("h"), one(s, x).alias("v"))))), lambda s: s["out"])
+    return rows.groupBy("level").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("level", F.inline(done))
+
+
 def factor_action(lam: DataFrame, bounds: DataFrame, iteration: int) -> DataFrame:
     """level, h, share, redundant, action (add, drop or keep, of the level). bounds(level, nf_min, nf_max)."""
     share = lam.groupBy("level", "h").agg(F.avg((F.abs("v") < 1e-3).cast("double")).alias("share"))

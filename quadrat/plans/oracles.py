@@ -298,4 +298,10 @@ ORACLES = {
     "gp_solution": on(G, f"SELECT g, unit AS i, h, {r('v', 4)} AS v FROM eta, grid"),
     "nngp_scores": f"""SELECT vec_id AS unit, h, {r("sum(4 * embedding[5 + s]::DOUBLE * ((s * 5 + h * 3) % 7 - 3) / 4.0::DOUBLE)", 4)} AS v
         FROM embeddings, (SELECT unnest([0, 1]) AS h), (SELECT unnest(range(8)) AS s) GROUP BY vec_id, h""",
+    "delta_draws": f"""WITH RECURSIVE {B}, {SHR},
+        m AS (SELECT level, h, delta, tau, sum(psi * lv * lv) AS m, count(*) AS n FROM cell GROUP BY ALL),
+        o AS (SELECT level, h, (50 + n * (count(*) OVER w) / 2) * (0.8::DOUBLE + h * 0.3::DOUBLE) AS g, sum(tau * m) OVER w / tau AS rest FROM m WINDOW w AS (PARTITION BY level ORDER BY h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+        f(level, h, upto, v) AS (SELECT level, h, g / (1 + rest / 2), g / (1 + rest / 2) FROM o WHERE h = 0
+            UNION ALL SELECT o.level, o.h, f.upto * o.g / (1 + f.upto * o.rest / 2), o.g / (1 + f.upto * o.rest / 2) FROM f JOIN o ON o.level = f.level AND o.h = f.h + 1)
+        SELECT level, h, {r('v')} AS v FROM f""",
 }

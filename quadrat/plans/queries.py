@@ -527,6 +527,12 @@ def nngp_scores(spark: SparkSession, d: str) -> DataFrame:
     return _round(contract(matrix, x, ["unit2", "h2"], ["unit", "h"]), "v", digits=4)
 
 
+def delta_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Global precisions one after the other, with Gamma draws that are their shape times a rule of the factor."""
+    constants = spark.createDataFrame([(r, 3.0, 50.0, 1.0, 50.0, 1.0) for r in range(2)], "level int, nu double, a1 double, b1 double, a2 double, b2 double")
+    return _round(statistics.sequential_delta(_shrinkage(spark, d)[1], constants, F.col("ad") * (0.8 + F.col("h") * 0.3)), "v")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -536,6 +542,6 @@ QUERIES = {
         draw_schedule, partition_cumcounts, partition_rows, normalised_times, predictor_by_unit_covariates, posterior_summary, posterior_r_hat, posterior_ess, gibbs_fit,
         model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
         event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
-        z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik, nngp_scores,
+        z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik, nngp_scores, delta_draws,
     )
 }

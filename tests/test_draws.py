@@ -209,3 +209,19 @@ def test_tiles_of_no_units_and_of_units_at_one_place(spark):
         dense.cholesky(dense.tiles(units, grid, scores, 2)).collect()
     assert dense.cholesky(dense.tiles(units.limit(0), grid, scores, 2)).isEmpty()
     assert [r.unit for r in dense.solutions(units.filter("i > 0"), grid, scores, 1).orderBy("unit").collect()] == [1, 2]
+
+
+def test_global_precisions_are_drawn_one_after_the_other(spark):
+    from quadrat.operators.statistics import sequential_delta
+
+    tau_m = [(0, 0, 1.5, 4.0), (0, 1, 3.0, 2.0), (0, 2, 3.3, 0.5), (1, 0, 0.7, 1.0)]
+    over = spark.createDataFrame([(*x, 1.0) for x in tau_m], "level int, h int, tau double, m double, ad double").repartition(3)
+    constants = spark.createDataFrame([(0, 2.0, 3.0), (1, 1.0, 9.0)], "level int, b1 double, b2 double")
+    got = {(r.level, r.h): r.v for r in sequential_delta(over, constants, F.col("h") + 2).collect()}
+    for level, b in ((0, (2.0, 3.0)), (1, (1.0, 9.0))):
+        rows = [x for x in tau_m if x[0] == level]
+        delta = [rows[h][2] / (rows[h - 1][2] if h else 1) for h in range(len(rows))]
+        for h in range(len(rows)):
+            rest = sum(np.prod([delta[k] for k in range(j + 1) if k != h]) * rows[j][3] for j in range(h, len(rows)))
+            delta[h] = (h + 2) / (b[h > 0] + rest / 2)
+            assert np.isclose(got[level, h], delta[h])
