@@ -277,7 +277,7 @@ ORACLES = {
         ll AS (SELECT g, h, (ln(pw) - sum(ln(var) + e * e / var) / 2) * (20.0::DOUBLE / (SELECT count(*) FROM u)) AS ll FROM e GROUP BY g, h, pw),
         it AS (SELECT * FROM ll, (SELECT unnest([0, 1]) AS chain), (SELECT unnest(range(200)) AS iteration))""",
         f"""SELECT chain::INT AS chain, iteration::INT AS iteration, h, arg_max(g, ll - ln(-ln(u))) AS g FROM {uniform_sql("it", SEED, "chain", "iteration", "h * 64 + g", "u")} GROUP BY chain, iteration, h"""),
-    "beta_lambda_mean": on(JOINT, f"SELECT species, a::INT AS a, {r('sum(v)', 4)} AS v FROM rhs GROUP BY species, a"),
+    "beta_lambda_mean": on(JOINT, f"SELECT species, a::INT AS a, {r('sum(v) * sqrt(2.0::DOUBLE)', 4)} AS v FROM rhs GROUP BY species, a"),
     "beta_lambda_draws": on(f"{B}, k AS (SELECT species, unnest(range(12)) AS k FROM spec)", f"SELECT species, {r(f'sum({quantile_sql("u")} * {quantile_sql("u")})', 4)} AS v FROM {uniform_sql('k', SEED, str(CHAIN), str(ITERATION), 'species * 12 + k', 'u')} GROUP BY species"),
     "gpp_variances": f"WITH RECURSIVE {KNOTS} SELECT g, i, {r('dd', 5)} AS dd FROM dd",
     "gpp_information": f"WITH RECURSIVE {KNOTS}, nm AS (SELECT j, row_number() OVER (ORDER BY j) AS k FROM kn) SELECT g, a.j::BIGINT AS k, b.j::BIGINT AS l, {r('v / 100', 4)} AS v FROM fm JOIN nm a USING (k) JOIN nm b ON b.k = fm.l",
