@@ -79,14 +79,16 @@ def _with_words(df: DataFrame, k: tuple[Column, Column], c: tuple[Column, Column
 def with_uniform(df: DataFrame, name: str, seed: int, chain: int | Column, iteration: int | Column, cell: Column, stream: int = 0) -> DataFrame:
     """df with a uniform number inside (0, 1). cell: a whole number; stream: which of a cell's numbers.
 
-    A chain or an iteration that all rows share is given as a number, not as a literal column: from literals the planner
-    would write all rounds into one term.
+    A chain or an iteration that all rows share is best given as a number: then its rounds are done once. The cell must not
+    be a literal column.
     """
     own = df.columns
     df = df.withColumn("_cell", cell.cast("long"))
     if isinstance(chain, Column) or isinstance(iteration, Column):
         chain, iteration = (x if isinstance(x, Column) else F.lit(x) for x in (chain, iteration))
-        df = _with_words(df, (F.lit(seed & WORD), F.lit(seed >> 32 & WORD)), (chain, iteration)).withColumnsRenamed({"_x0": "_key0", "_x1": "_key1"})
+        # a zero that no planner folds: it would write all rounds of literals into one term
+        zero = F.col("_cell") - F.col("_cell")
+        df = _with_words(df, (F.lit(seed & WORD), F.lit(seed >> 32 & WORD)), (chain + zero, iteration + zero)).withColumnsRenamed({"_x0": "_key0", "_x1": "_key1"})
         key = F.col("_key0"), F.col("_key1").bitwiseXOR(F.lit(stream))
     else:
         k0, k1 = key_of(seed, chain, iteration)

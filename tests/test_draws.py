@@ -26,6 +26,8 @@ def test_columns_and_arrays_draw_the_same(spark):
         got = {r.cell: r.u for r in draws.with_uniform(df, "u", *KEY, F.col("cell"), stream).collect()}
         keyed = spark.createDataFrame([(c, *KEY[1:]) for c in cells], "cell long, chain int, iteration int").repartition(3)
         again = {r.cell: r.u for r in draws.with_uniform(keyed, "u", KEY[0], F.col("chain"), F.col("iteration"), F.col("cell"), stream).collect()}
+        literal = draws.with_uniform(df, "u", KEY[0], F.lit(KEY[1]), F.lit(KEY[2]), F.col("cell"), stream)
+        assert {r.cell: r.u for r in literal.collect()} == got
         assert list(got.values()) == draws.uniforms(*KEY, cells, stream).tolist() and got == again
         assert all(0 < u < 1 for u in got.values()) and len(set(got.values())) == len(cells)
     assert "PythonUDF" not in draws.with_uniform(df, "u", *KEY, F.col("cell"))._jdf.queryExecution().toString()
