@@ -150,6 +150,21 @@ JOINT = f"""{B},
     f AS (SELECT site, cov AS k, x FROM x UNION ALL SELECT site, 6 + level * 3 + h, v FROM pi JOIN eta USING (level, unit)),
     rhs AS (SELECT species, k AS a, sum(id * x * coalesce(z, 0)) AS v FROM cells JOIN f USING (site) GROUP BY ALL
             UNION ALL SELECT species, c1, sum(iv.v * gamma.v * t) FROM iv JOIN gamma ON cov = c2 JOIN tr USING (trait) GROUP BY ALL)"""
+ALIKE = f"""{B},
+    alike AS (SELECT a.species AS s1, b.species AS s2, avg((a.taxon = b.taxon)::INT::DOUBLE) AS c FROM tax a JOIN tax b USING (rank) GROUP BY ALL),
+    gr AS (SELECT g::INT AS g, g / 12.0::DOUBLE AS rho, CASE WHEN g = 0 THEN 0.5 ELSE 0.05 END::DOUBLE AS pw FROM (SELECT unnest(range(11)) AS g)),
+    qm AS (SELECT g, list(r ORDER BY s1) AS a FROM (SELECT g, s1, list(rho * c + CASE WHEN s1 = s2 THEN 1 - rho ELSE 0 END ORDER BY s2) AS r FROM alike, gr GROUP BY g, s1) GROUP BY g),
+    {inverse_sql("gq", "qm", "qi")}"""
+CHI = f"""ki AS (SELECT i, unnest(range((n + 9) // 2)) AS k, n FROM (SELECT count(*) AS n FROM spec), (SELECT unnest(range(6)) AS i)),
+    kk AS MATERIALIZED (SELECT i, k, n + 7 - i - 2 * k AS left_over FROM ki WHERE n + 7 - i - 2 * k > 0),
+    ku AS MATERIALIZED (SELECT * FROM {uniform_sql("kk", SEED, str(CHAIN), str(ITERATION), "(i::BIGINT << 32) + k", "u", 2)}),
+    kw AS MATERIALIZED (SELECT * FROM {uniform_sql("ku", SEED, str(CHAIN), str(ITERATION), "i", "w", 3)}),
+    kz AS MATERIALIZED (SELECT *, {quantile_sql("w")} AS z FROM kw),
+    ch AS (SELECT i, sum(CASE WHEN left_over = 1 THEN z * z ELSE -2 * ln(u) END) AS v FROM kz GROUP BY i),
+    lo AS MATERIALIZED (SELECT a * 6 + b AS cell FROM (SELECT unnest(range(6)) AS a), (SELECT unnest(range(6)) AS b) WHERE a > b),
+    lv AS (SELECT sum({quantile_sql("u")} * {quantile_sql("u")}) AS v FROM {uniform_sql("lo", SEED, str(CHAIN), str(ITERATION), "cell", "u", 4)}),
+    sm AS (SELECT 0 AS g, list(r ORDER BY a) AS a FROM (SELECT x.cov AS a, list(x.v + iv.v ORDER BY x.cov2) AS r FROM (SELECT p.cov, q.cov AS cov2, sum(p.v * q.v) AS v FROM resid p JOIN resid q USING (species) GROUP BY ALL) x JOIN iv ON x.cov = c1 AND x.cov2 = c2 GROUP BY x.cov)),
+    {inverse_sql("gs", "sm", "si")}"""
 
 ORACLES = {
     "y_matrix_long": on(E, f"SELECT site, species, {r('y')} AS y, y IS NOT NULL AS observed FROM y"),
@@ -304,4 +319,20 @@ ORACLES = {
         f(level, h, upto, v) AS (SELECT level, h, g / (1 + rest / 2), g / (1 + rest / 2) FROM o WHERE h = 0
             UNION ALL SELECT o.level, o.h, f.upto * o.g / (1 + f.upto * o.rest / 2), o.g / (1 + f.upto * o.rest / 2) FROM f JOIN o ON o.level = f.level AND o.h = f.h + 1)
         SELECT level, h, {r('v')} AS v FROM f""",
+    "gamma_mean": on(f"{B}, bt AS (SELECT cov, trait, sum(v * t) AS v FROM beta JOIN tr USING (species) GROUP BY ALL)",
+        f"SELECT (trait * 6 + c1)::INT AS a, {r('(sum(iv.v * bt.v) + 0.1::DOUBLE) * sqrt(2.0::DOUBLE)', 4)} AS v FROM iv JOIN bt ON cov = c2 GROUP BY trait, c1"),
+    "gamma_draws": f"WITH k AS (SELECT unnest(range(18)) AS k) SELECT 0 AS model, {r(f'sum({quantile_sql("u")} * {quantile_sql("u")})', 4)} AS v FROM {uniform_sql('k', SEED, str(CHAIN), str(ITERATION), 'k', 'u')}",
+    "iv_draws": f"""WITH RECURSIVE {B}, {CHI}
+        SELECT 'trace' AS term, {r('(SELECT sum(v) FROM ch) + lv.v', 5)} AS v FROM lv UNION ALL SELECT 'log_det', {r('(SELECT sum(ln(v)) FROM ch) - ld', 5)} FROM si""",
+    "similarity_rebuilt": on(B, f"SELECT a.species::BIGINT AS sp1, b.species::BIGINT AS sp2, {r('avg((a.taxon = b.taxon)::INT::DOUBLE)')} AS c FROM tax a JOIN tax b USING (rank) GROUP BY ALL"),
+    "rho_loglik_rotated": f"""WITH RECURSIVE {ALIKE},
+        rs AS (SELECT cov, list(v ORDER BY species) AS x FROM resid GROUP BY cov),
+        qd AS (SELECT g, sum(iv.v * list_dot_product(p.x, list_transform(qi.a, lambda row: list_dot_product(row, q.x)))) AS quad FROM qi, iv JOIN rs p ON p.cov = c1 JOIN rs q ON q.cov = c2 GROUP BY g),
+        ll AS (SELECT g, ln(pw) - 6 * ld / 2 - quad / 2 AS ll FROM qd JOIN qi USING (g) JOIN gr USING (g))
+        SELECT g, {r('ll', 4)} AS ll, {r('exp(ll - (SELECT max(ll) FROM ll)) / (SELECT sum(exp(ll - (SELECT max(ll) FROM ll))) FROM ll)', 4)} AS p FROM ll""",
+    "gamma_mean_phylogeny": f"""WITH RECURSIVE {ALIKE},
+        bl AS (SELECT cov, list(v ORDER BY species) AS x FROM beta GROUP BY cov),
+        tl AS (SELECT trait, list(t ORDER BY species) AS t FROM tr GROUP BY trait),
+        bt AS (SELECT cov, trait, list_dot_product(x, list_transform(qi.a, lambda row: list_dot_product(row, t))) AS v FROM qi, bl, tl WHERE g = 6)
+        SELECT (trait * 6 + c1)::INT AS a, {r('(sum(iv.v * bt.v) + 0.1::DOUBLE) * sqrt(2.0::DOUBLE)', 4)} AS v FROM iv JOIN bt ON cov = c2 GROUP BY trait, c1""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.scalar import draw_of, rounded, recorded
 from quadrat.functions.tensor import contract, densify, split, stack
 from quadrat.functions import draws
-from quadrat.operators import dense, design, predictive, scores, solve, spatial, statistics
+from quadrat.operators import covariance, dense, design, eigen, predictive, scores, solve, spatial, statistics
 from quadrat.plans.fit import effective_size, fit, r_hat, sequence_effective_size, summary
 from quadrat.plans.testbed import FACTORS, B, E, G, global_precisions, grid, loadings, local_precisions, read
 from quadrat.sources import draws as draw_files
@@ -534,6 +534,79 @@ def delta_draws(spark: SparkSession, d: str) -> DataFrame:
     return _round(statistics.sequential_delta(_shrinkage(spark, d)[1], constants, F.col("ad") * (0.8 + F.col("h") * 0.3)), "v")
 
 
+def _effects(b: B, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The system of the traits' effects, its prior, and both as cells."""
+    n = 3 * b.COVS
+    own = cells.sparkSession.range(n).select(F.lit(0).alias("model"), F.col("id").cast("int").alias("a"))
+    prior = own.select("model", "a", F.col("a").alias("b"), F.lit(0.5).alias("v")).unionByName(own.select("model", "a", F.lit(-1).alias("b"), F.lit(0.1).alias("v")))
+    return covariance.one_system(cells, n), prior, cells.unionByName(prior.drop("model"))
+
+
+def _put_back(b: B, cells: DataFrame) -> DataFrame:
+    systems, prior, every = _effects(b, cells)
+    mean = solve.posterior(systems, "model", prior, *DRAWN).select(F.posexplode("mean").alias("b", "v"))
+    return _round(contract(every.filter("b >= 0"), mean, ["b"], ["a"]).withColumn("v", F.col("v") * 2**0.5), "v", digits=4)
+
+
+def gamma_mean(spark: SparkSession, d: str) -> DataFrame:
+    """The traits' effects solved for and put back into their system: what comes out is the right side."""
+    b = B(spark, d)
+    return _put_back(b, covariance.effect_cells(b.beta, b.traits, b.iv, b.COVS))
+
+
+def gamma_draws(spark: SparkSession, d: str) -> DataFrame:
+    """How far a draw of the traits' effects is from their mean, by their precision: the square of its noise."""
+    b = B(spark, d)
+    systems, prior, every = _effects(b, covariance.effect_cells(b.beta, b.traits, b.iv, b.COVS))
+    far = solve.posterior(systems, "model", prior, *DRAWN).select(F.posexplode(F.zip_with("draw", "mean", lambda x, m: x - m)).alias("a", "v"))
+    left = contract(every.filter("b >= 0"), far, ["a"], ["b"])
+    return _round(contract(left, far.withColumnRenamed("a", "b").withColumn("model", F.lit(0)), ["b"], ["model"]), "v", digits=4)
+
+
+def iv_draws(spark: SparkSession, d: str) -> DataFrame:
+    """The covariates' precision drawn: its trace with the inverse scale and the log of its determinant, which the draw's triangle gives as well."""
+    b = B(spark, d)
+    prior = b.iv.select(F.col("c1").alias("cov1"), F.col("c2").alias("cov2"), "v")
+    scale = statistics.self_product(statistics.coefficient_residuals(b.beta, b.gamma, b.traits), "cov", ["species"]).unionByName(prior)
+    scale = scale.groupBy("cov1", "cov2").agg(F.sum("v").alias("v")).select(F.col("cov1").alias("c1"), F.col("cov2").alias("c2"), "v")
+    w = covariance.wishart(scale, 7 + b.species.count(), b.COVS, *DRAWN)
+    trace = w.join(scale.withColumnRenamed("v", "s"), ["c1", "c2"]).agg(F.sum(F.col("v") * F.col("s")).alias("v")).select(F.lit("trace").alias("term"), "v")
+    return _round(trace.unionByName(covariance.log_determinant(w, F.lit(0), b.COVS).select(F.lit("log_det").alias("term"), "v")), "v", digits=5)
+
+
+def _by_eigenvectors(spark: SparkSession, d: str, block: int | None = None) -> tuple[B, DataFrame, DataFrame]:
+    b = B(spark, d)
+    values, vectors = eigen.decompose(spatial.similarity(b.taxonomy).select(F.col("sp1").alias("i"), F.col("sp2").alias("j"), F.col("c").alias("v")), block)
+    return b, values, vectors.withColumnRenamed("i", "species")
+
+
+def _rotated(rows: DataFrame, vectors: DataFrame, axis: str, value: str = "v") -> DataFrame:
+    return contract(rows, vectors, ["species"], [axis, "j"], va=value, name=value)
+
+
+def similarity_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The species' similarity made again of its eigenvalues and eigenvectors."""
+    _, values, vectors = _by_eigenvectors(spark, d, 8)
+    one = vectors.join(values, "j").select("j", F.col("species").alias("sp1"), (F.col("v") * F.col("e")).alias("v"))
+    return _round(contract(one, vectors.withColumnRenamed("species", "sp2"), ["j"], ["sp1", "sp2"], name="c"), "c")
+
+
+def rho_loglik_rotated(spark: SparkSession, d: str) -> DataFrame:
+    """The likelihood of the phylogeny's share over a grid, of residuals in the base of the similarity's eigenvectors."""
+    b, values, vectors = _by_eigenvectors(spark, d)
+    rho = spark.range(11).select(F.col("id").cast("int").alias("g"), (F.col("id") / 12).alias("rho"), F.when(F.col("id") == 0, 0.5).otherwise(0.05).alias("pw"))
+    rotated = _rotated(statistics.coefficient_residuals(b.beta, b.gamma, b.traits), vectors, "cov")
+    return _round(statistics.rho_log_likelihood(rotated, values, b.iv, rho), "ll", "p", digits=4)
+
+
+def gamma_mean_phylogeny(spark: SparkSession, d: str) -> DataFrame:
+    """As gamma_mean, where species are alike by their phylogeny: in the base of its eigenvectors, at a share of one half."""
+    b, values, vectors = _by_eigenvectors(spark, d)
+    scales = covariance.phylogenetic_scales(values, b.beta.select("cov").distinct().withColumn("rho", F.lit(0.5)))
+    beta, traits = (_rotated(x, vectors, axis, v).withColumnRenamed("j", "species") for x, axis, v in ((b.beta, "cov", "v"), (b.traits, "trait", "t")))
+    return _put_back(b, covariance.effect_cells(beta, traits, b.iv, b.COVS, scales))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -544,5 +617,6 @@ QUERIES = {
         model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
         event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
         z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik, nngp_scores, delta_draws,
+        gamma_mean, gamma_draws, iv_draws, similarity_rebuilt, rho_loglik_rotated, gamma_mean_phylogeny,
     )
 }
