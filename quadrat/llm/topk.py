@@ -11,7 +11,7 @@ score so far, and in a page only vectors whose own bound reaches that score are
 
 Two rounds: a query first searches one part of the node of its best bound; its k-th score there is the bound it
 takes along to all others, and nodes that cannot reach it are never visited. Queries that visit a part come in
-blocks of bounded size.
+blocks of bounded size; a part is copied once for each block of the queries that visit its node, and nowhere else.
 
 Defined cases: null vectors and those that hold a null or a non-finite component take no part, as a query
 or as a row; rows without an id neither; ties go to the smaller id; each row is a query or a candidate of its
@@ -230,16 +230,17 @@ def search(vectors: DataFrame, k: int = 20, *, every: int = 20, vec_id: str = "v
 
     in_parts = F.get(F.array(*[F.lit(int(x)) for x in np.maximum(parts, 1)]), F.col("node"))
     pages = stored(rows.withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), in_parts).cast("int")).groupBy("node", "part").applyInArrow(build, "node int, part int, tree binary"), "pages")
-    qblocks = max(1, -(-nq // QUERIES))
 
-    def route(first: bool):
-        """Which parts a query visits: one of the node of its best bound, or all those of nodes that can reach its limit."""
+    def route(first: bool, counted: bool):
+        """Which nodes a query visits: that of its best bound, or all that can reach its limit. Counted: how many queries visit a
+        node; else a row for each part of the nodes, of the first round one part."""
 
         def run(batches):
             import pyarrow as pa
 
             p, tops, parent, to_parent = shared.value
             cover = np.array([np.max((to_parent + radius)[parent == t], initial=0) for t in range(len(tops))])
+            visits = np.zeros(len(parts), np.int64)
             for b in batches:
                 q = matrix(b.column("v"), size)
                 norm = np.sqrt((q * q).sum(1)) * (1 + 1e-9)
@@ -253,12 +254,18 @@ def search(vectors: DataFrame, k: int = 20, *, every: int = 20, vec_id: str = "v
                     part = np.zeros(len(q), np.int64)
                 else:
                     who, node = np.nonzero((bound >= limit[:, None]) & (parts > 0)[None, :])
+                if counted:
+                    visits += np.bincount(node, minlength=len(visits))
+                    continue
+                if not first:
                     times = parts[node]
                     who, node = np.repeat(who, times), np.repeat(node, times)
                     part = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
                 for lo in range(0, len(who), 8192):
                     at = pa.array(who[lo : lo + 8192])
                     yield pa.RecordBatch.from_arrays([pa.array(node[lo : lo + 8192].astype(np.int32)), pa.array(part[lo : lo + 8192].astype(np.int32)), *[b.column(c).take(at) for c in ("key", "id", "v", "limit")]], ["node", "part", "key", "id", "v", "limit"])
+            if counted:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(visits), dtype=np.int32)), pa.array(visits)], ["node", "n"])
 
         return run
 
@@ -274,9 +281,14 @@ def search(vectors: DataFrame, k: int = 20, *, every: int = 20, vec_id: str = "v
         return pa.Table.from_pydict({"query": pa.array(keys[who], pa.int64()), "query_id": pa.array(ids[who], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score)})
 
     def looked(queries: DataFrame, first: bool) -> DataFrame:
-        block = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(qblocks)).cast("int").alias("block")
-        to = queries.mapInArrow(route(first), "node int, part int, key long, id long, v array<double>, limit long").select("*", block)
-        of = (pages.filter("part = 0") if first else pages).select("*", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("block"))
+        # a node's parts are copied once for every QUERIES queries that visit it, and to nobody if none does
+        blocks = np.zeros(len(parts), np.int64)
+        for node, visits in queries.mapInArrow(route(first, True), "node int, n long").groupBy("node").agg(F.sum("n")).collect():  # a row for each pivot
+            blocks[node] = -(-visits // QUERIES)
+        of_node = F.get(F.array(*[F.lit(int(x)) for x in blocks]), F.col("node"))
+        block = F.pmod(F.xxhash64("key", F.lit(5)), of_node).cast("int").alias("block")
+        to = queries.mapInArrow(route(first, False), "node int, part int, key long, id long, v array<double>, limit long").select("*", block)
+        of = (pages.filter("part = 0") if first else pages).filter(of_node > 0).select("*", F.explode(F.sequence(F.lit(0), (of_node - 1).cast("int"))).alias("block"))
         return to.groupBy("node", "part", "block").cogroup(of.groupBy("node", "part", "block")).applyInArrow(look, "query long, query_id long, vec_id long, score long")
 
     queries = rows.filter(is_query).select("key", "id", "v")
