@@ -1,16 +1,47 @@
-"""Hamiltonian moves of coefficients, scores and loadings together, with dual-averaging of the step size."""
+"""Hamiltonian moves of coefficients, scores and loadings together, with dual-averaging of the step size.
+
+Their target does not hold the local precisions and the ranges: those are integrated out, so a move may cross from one to
+another. Both must be drawn anew after a move, before anything is drawn given them.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+from quadrat.kernels import spatial
 from quadrat.kernels.random import log_cdf
 from quadrat.kernels.state import NORMAL, POISSON, PROBIT, Model, by_unit, predictor, tau
-from quadrat.kernels.updates import _columns, beta_prior_times
+from quadrat.kernels.updates import beta_prior_times
+
+
+def loading_density(level, lam: np.ndarray, product: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loadings with their local precisions integrated out: Student's t with nu degrees, and its gradient."""
+    weight, nu = product[:, None], level.nu
+    value = 0.5 * lam.shape[1] * np.log(product).sum() - (nu + 1) / 2 * np.log1p(weight * lam**2 / nu).sum()
+    return float(value), -(nu + 1) * weight * lam / (nu + weight * lam**2)
+
+
+def score_density(level, eta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Scores with each factor's range integrated out over its grid, and the gradient: that of each range by its share.
+
+    Ranges whose share is less than rounding add nothing, and are not multiplied.
+    """
+    if level.method == "none" or not eta.shape[1]:
+        return -0.5 * float((eta * eta).sum()), -eta
+    ll = spatial.log_likelihood(level, eta)
+    top = ll.max(1, keepdims=True)
+    share = np.exp(ll - top)
+    total = share.sum(1, keepdims=True)
+    share = share / total
+    slope = np.zeros_like(eta)
+    for g in np.flatnonzero((share > 1e-17).any(0)):
+        own = np.flatnonzero(share[:, g] > 1e-17)
+        slope[:, own] -= share[own, g] * spatial.times(level, g, eta[:, own])
+    return float((top + np.log(total)).sum()), slope
 
 
 def log_density(model: Model, p: dict) -> tuple[float, dict]:
-    """Up to a constant, and its gradient by Beta, Eta and Lambda. The latent responses are integrated out."""
+    """Up to a constant, and its gradient by Beta, Eta and Lambda. Latent responses, local precisions and ranges are integrated out."""
     if (model.family == POISSON).any():
         raise ValueError("Hamiltonian moves need normal or presence responses: counts have no closed likelihood")
     lin, seen = predictor(model, p), ~np.isnan(model.Y)
@@ -29,11 +60,11 @@ def log_density(model: Model, p: dict) -> tuple[float, dict]:
     grad["Beta"] = grad["Beta"] - pull
     for r, level in enumerate(model.levels):
         eta, lam = p["Eta"][r], p["Lambda"][r]
-        w = _columns(level, p["Alpha"][r], eta) if lam.shape[0] else eta
-        weight = p["Psi"][r] * tau(p["Delta"][r])[:, None]
-        value -= 0.5 * (eta * w).sum() + 0.5 * (weight * lam**2).sum()
-        grad["Eta"].append(by_unit(model, r, g @ lam.T) - w)
-        grad["Lambda"].append(eta[model.Pi[:, r]].T @ g - weight * lam)
+        of_scores, pull = score_density(level, eta)
+        of_loadings, shrink = loading_density(level, lam, tau(p["Delta"][r]))
+        value += of_scores + of_loadings
+        grad["Eta"].append(by_unit(model, r, g @ lam.T) + pull)
+        grad["Lambda"].append(eta[model.Pi[:, r]].T @ g + shrink)
     return float(value), grad
 
 

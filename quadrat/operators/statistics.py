@@ -236,6 +236,21 @@ def log_density_terms(cells: DataFrame, residuals: DataFrame, iv: DataFrame, eta
     return data.unionByName(coefficients).unionByName(half(eta, "scores", F.col("v") * F.col("v"))).unionByName(half(weighted, "loadings", F.col("prec") * F.col("v") * F.col("v")))
 
 
+def integrated_density_terms(lam: DataFrame, delta: DataFrame, constants: DataFrame, ll: DataFrame) -> DataFrame:
+    """term, v: the joint log density's parts of loadings and scores without their local precisions and ranges, up to a constant.
+
+    Loadings are Student's t with nu degrees, scaled by the running product of delta; scores take the log of the sum over
+    the grid of ll(h, g, ll), the likelihood of each factor's ranges. constants(level, nu).
+    """
+    scale = delta.select("level", "h", cumulative_product(F.col("v"), ["level"], "h").alias("tau"))
+    t = 0.5 * F.ln("tau") - (F.col("nu") + 1) / 2 * F.log1p(F.col("tau") * F.col("v") * F.col("v") / F.col("nu"))
+    loadings = lam.join(scale, ["level", "h"]).join(constants.select("level", "nu"), "level").agg(F.coalesce(F.sum(t), F.lit(0.0)).alias("v"))
+    tops = ll.groupBy("h").agg(F.max("ll").alias("top"))
+    by_factor = ll.join(tops, "h").groupBy("h", "top").agg(F.sum(F.exp(F.col("ll") - F.col("top"))).alias("s"))
+    scores = by_factor.agg(F.coalesce(F.sum(F.col("top") + F.ln("s")), F.lit(0.0)).alias("v"))
+    return loadings.select(F.lit("loadings").alias("term"), "v").unionByName(scores.select(F.lit("scores").alias("term"), "v"))
+
+
 def _normalised(ll: DataFrame, by: list[str]) -> DataFrame:
     return ll.withColumn("p", softmax(F.col("ll"), by))
 

@@ -335,4 +335,11 @@ ORACLES = {
         tl AS (SELECT trait, list(t ORDER BY species) AS t FROM tr GROUP BY trait),
         bt AS (SELECT cov, trait, list_dot_product(x, list_transform(qi.a, lambda row: list_dot_product(row, t))) AS v FROM qi, bl, tl WHERE g = 6)
         SELECT (trait * 6 + c1)::INT AS a, {r('(sum(iv.v * bt.v) + 0.1::DOUBLE) * sqrt(2.0::DOUBLE)', 4)} AS v FROM iv JOIN bt ON cov = c2 GROUP BY trait, c1""",
+    "integrated_density": f"""SELECT 'loadings' AS term, {r('v', 3)} AS v FROM (WITH {B} SELECT sum(0.5::DOUBLE * ln(tau) - 2 * ln(1 + tau * v * v / 3)) AS v FROM lam JOIN tau USING (level, h))
+        UNION ALL SELECT 'scores', {r('v', 3)} FROM (WITH {G}, {KNN},
+            a AS (SELECT g, pw, u.i, nn.j, CASE WHEN nn.j IS NULL THEN 0.0 WHEN alpha = 0 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE exp(-d / alpha) END AS a FROM u LEFT JOIN nn ON nn.i = u.i AND rank = 1 CROSS JOIN grid),
+            e AS (SELECT g, o.h AS h, pw, greatest(1 - a * a, 1e-9) AS var, o.v - a * coalesce(p.v, 0) AS e FROM a JOIN eta o ON o.unit = a.i LEFT JOIN eta p ON p.unit = a.j AND p.h = o.h),
+            ll AS (SELECT g, h, ln(pw) - sum(ln(var) + e * e / var) / 2 AS ll FROM e GROUP BY g, h, pw),
+            tp AS (SELECT h, max(ll) AS top FROM ll GROUP BY h)
+            SELECT sum(x) AS v FROM (SELECT top + ln(sum(exp(ll - top))) AS x FROM ll JOIN tp USING (h) GROUP BY h, top))""",
 }

@@ -607,6 +607,14 @@ def gamma_mean_phylogeny(spark: SparkSession, d: str) -> DataFrame:
     return _put_back(b, covariance.effect_cells(beta, traits, b.iv, b.COVS, scales))
 
 
+def integrated_density(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of the target of Hamiltonian moves: loadings without local precisions, scores of all units without their range."""
+    g, lam = G(spark, d), B(spark, d).lam
+    constants = spark.createDataFrame([(r, 3.0) for r in range(2)], "level int, nu double")
+    ll = spatial.one_neighbour_log_likelihood(_nearest(g), g.eta, g.grid)
+    return _round(statistics.integrated_density_terms(lam, global_precisions(lam), constants, ll), "v", digits=3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -617,6 +625,6 @@ QUERIES = {
         model_file_responses, model_file_design, model_file_dims, draws_json_round_trip, draws_summary, nngp_weights_two, gpp_knot_identity, rrr_prior_params,
         event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
         z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik, nngp_scores, delta_draws,
-        gamma_mean, gamma_draws, iv_draws, similarity_rebuilt, rho_loglik_rotated, gamma_mean_phylogeny,
+        gamma_mean, gamma_draws, iv_draws, similarity_rebuilt, rho_loglik_rotated, gamma_mean_phylogeny, integrated_density,
     )
 }

@@ -375,6 +375,29 @@ def test_hamiltonian_gradient(phylo):
         assert np.isclose((hmc.log_density(m, q)[0] - value) / 1e-5, g[at], rtol=1e-3, atol=1e-3)
 
 
+@pytest.mark.parametrize("method", ["none", "full", "gpp", "nngp"])
+def test_integrated_densities_equal_sums_over_what_is_left_out(method):
+    m, p = model(families=(1, 2), **({} if method == "none" else {"method": method}))
+    level, eta, lam = m.levels[0], p["Eta"][0], p["Lambda"][0]
+    value, slope = hmc.score_density(level, eta)
+    if method == "none":
+        assert np.isclose(value, -0.5 * (eta**2).sum())
+    else:
+        assert np.isclose(value, np.log(np.exp(spatial.log_likelihood(level, eta)).sum(1)).sum())
+    for at in ((0, 0), (3, 1)):
+        near = [eta.copy(), eta.copy()]
+        near[0][at] -= 1e-5
+        near[1][at] += 1e-5
+        assert np.isclose((hmc.score_density(level, near[1])[0] - hmc.score_density(level, near[0])[0]) / 2e-5, slope[at], rtol=1e-5, atol=1e-6)
+    # loadings: over precisions on a fine grid, up to the same constant for all loadings
+    psi = np.linspace(1e-4, 60, 600001)
+    prior = psi ** (level.nu / 2 - 1) * np.exp(-level.nu * psi / 2)
+    product = np.ones(len(lam)) * 1.7
+    summed = [np.log((prior * np.sqrt(psi * 1.7) * np.exp(-psi * 1.7 * x**2 / 2)).sum()) for x in (0.0, 0.4, -2.0)]
+    closed = [hmc.loading_density(level, np.array([[x]]), product[:1])[0] for x in (0.0, 0.4, -2.0)]
+    np.testing.assert_allclose(np.diff(closed), np.diff(summed), rtol=1e-3)
+
+
 def test_hamiltonian_moves_are_accepted_and_refuse_counts():
     m, p = model(families=(1, 2))
     step = hmc.Step()
