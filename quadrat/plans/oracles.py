@@ -71,7 +71,7 @@ pg AS (SELECT *, coalesce(y, 0) AS y0, {PG_S} AS s, abs(l - ln(1000.0::DOUBLE))
 pgm AS (SELECT *, CASE WHEN a < 0.01 THEN (y0 + 1000) / 4 * (1 - a * a / 12) ELSE (y0 + 1000) * tanh(s / 2) / (2 * s) END AS m,
         CASE WHEN a < 0.01 THEN sqrt((y0 + 1000) / 24 * (1 - a * a / 5)) ELSE sqrt((y0 + 1000) * (2 * tanh(s / 2) - s / (cosh(s / 2) * cosh(s / 2))) / (4 * s * s * s)) END AS sd FROM pg)"""
 SHR = """cell AS (SELECT level, h, species, lam.v AS lv, psi.v AS psi, delta, tau FROM lam JOIN psi USING (level, h, species) JOIN tau USING (level, h))"""
-DRAWS = "d AS (SELECT (i % 2)::INT AS chain, (i // 2)::INT AS draw, param, ((i * 37) % 101) / 100.0::DOUBLE AS v FROM (SELECT unnest(range(400)) AS i), (SELECT unnest(['Beta', 'sigma']) AS param))"
+DRAWS = "d AS (SELECT user_id AS param, (event_id % 2)::INT AS chain, event_id AS draw, value AS v FROM events)"
 KNN = f"nn AS (SELECT a.i, b.i AS j, {D2} AS d, row_number() OVER (PARTITION BY a.i ORDER BY {D2}, b.i) AS rank FROM u a JOIN u b ON b.i < a.i)"
 
 MODEL_DRAWS = f"""{E}, ds AS (
@@ -234,7 +234,7 @@ ORACLES = {
         ll AS (SELECT g, ln(pw) - sum(nc * ln(rho * (j + 1) / 13.0::DOUBLE + 1 - rho) + quad / (rho * (j + 1) / 13.0::DOUBLE + 1 - rho)) / 2 AS ll FROM q, gr GROUP BY g, pw)""",
         f"SELECT g, {r('ll', 4)} AS ll, {r('exp(ll - max(ll) OVER ()) / (SELECT sum(exp(ll - (SELECT max(ll) FROM ll))) FROM ll)', 4)} AS p FROM ll"),
     "taxonomic_similarity": on(B, f"SELECT a.species AS sp1, b.species AS sp2, {r('avg((a.taxon = b.taxon)::INT::DOUBLE)')} AS c FROM tax a JOIN tax b USING (rank) GROUP BY ALL"),
-    "draw_schedule": "SELECT i::INT AS iteration, ((i - 49) // 8 - 1)::INT AS draw FROM (SELECT unnest(range(250)) AS i) WHERE i >= 50 AND (i - 49) % 8 = 0",
+    "draw_schedule": "SELECT event_id AS iteration, ((event_id - 49) // 8 - 1)::INT AS draw FROM events WHERE event_id >= 50 AND (event_id - 49) % 8 = 0",
     "partition_cumcounts": "SELECT part, n, sum(n) OVER (ORDER BY part)::BIGINT AS cum FROM (SELECT (c_custkey % 8 + 1)::INT AS part, count(*) AS n FROM customer GROUP BY 1)",
     "partition_rows": "SELECT c_custkey AS site, (c_custkey % 8 + 1)::INT AS part FROM customer WHERE c_custkey % 8 + 1 BETWEEN 1 AND 3",
     "normalised_times": f"""WITH n AS (SELECT event_type, sum(value) / count(*) AS p FROM events GROUP BY 1)

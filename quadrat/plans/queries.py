@@ -231,8 +231,9 @@ def taxonomic_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def draw_schedule(spark: SparkSession, d: str) -> DataFrame:
-    it = F.col("id")
-    return spark.range(250).filter(recorded(it, 50, 8)).select(it.cast("int").alias("iteration"), draw_of(it, 50, 8).alias("draw"))
+    """All events as iterations: those recorded after a transient phase, every eighth, and their draws."""
+    it = F.col("event_id")
+    return read(spark, d, "events").filter(recorded(it, 50, 8)).select(it.alias("iteration"), draw_of(it, 50, 8).alias("draw"))
 
 
 def partition_cumcounts(spark: SparkSession, d: str) -> DataFrame:
@@ -266,20 +267,22 @@ def predictor_by_unit_covariates(spark: SparkSession, d: str) -> DataFrame:
     return _round(ran.groupBy("level", "species").agg(F.sum("v").alias("v")), "v", digits=4)
 
 
-def _closed_draws(spark: SparkSession) -> DataFrame:
-    return spark.range(400).select((F.col("id") % 2).cast("int").alias("chain"), F.floor(F.col("id") / 2).cast("int").alias("draw"), F.explode(F.array(F.lit("Beta"), F.lit("sigma"))).alias("param"), ((F.col("id") * 37 % 101) / 100).alias("v"))
+def _user_draws(spark: SparkSession, d: str) -> DataFrame:
+    """All events as draws: a user's events, dealt to two chains by their number, in order."""
+    ev = read(spark, d, "events")
+    return ev.select(F.col("user_id").alias("param"), (F.col("event_id") % 2).cast("int").alias("chain"), F.col("event_id").alias("draw"), F.col("value").alias("v"))
 
 
 def posterior_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _round(summary(_closed_draws(spark), "param"), "mean", "sd", "q025", "median", "q975")
+    return _round(summary(_user_draws(spark, d), "param"), "mean", "sd", "q025", "median", "q975")
 
 
 def posterior_r_hat(spark: SparkSession, d: str) -> DataFrame:
-    return _round(r_hat(_closed_draws(spark), "param"), "r_hat")
+    return _round(r_hat(_user_draws(spark, d), "param"), "r_hat")
 
 
 def posterior_ess(spark: SparkSession, d: str) -> DataFrame:
-    return _round(effective_size(_closed_draws(spark), "param"), "ess", digits=4)
+    return _round(effective_size(_user_draws(spark, d), "param"), "ess", digits=4)
 
 
 def _event_draws(spark: SparkSession, d: str) -> DataFrame:
