@@ -30,6 +30,8 @@ def correlations(a: DataFrame, b: DataFrame, grid: DataFrame) -> DataFrame:
 
 #: Cells of the coarse levels that are broadcast when units look for their level; finer levels are joined.
 COARSE_CELLS = 8192
+#: The most coordinates of a place: with three, 125 cells are searched.
+MOST_DIMS = 3
 
 
 def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
@@ -39,9 +41,12 @@ def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
     before it: they lie within the cell's diagonal, so its neighbours are in the cells around, and only those are
     searched. A unit with fewer than k before it searches the coarsest level, which is all of space. Of units at one
     place only the first k can be anyone's neighbours. The driver sees the extent and the number of units, no more.
+    Cells around a cell grow as a power of the coordinates: more than MOST_DIMS of them are refused with an error.
     """
     size = units.select(F.size("p").alias("n")).first()
     dims = range(size["n"] if size else 0)
+    if len(dims) > MOST_DIMS:
+        raise ValueError(f"neighbours are searched among places of at most {MOST_DIMS} coordinates, not {len(dims)}")
     seen = units.agg(F.count("*").alias("n"), *[f(F.col("p")[c]).alias(f"{f.__name__}{c}") for c in dims for f in (F.min, F.max)]).first()
     low = [seen[f"min{c}"] for c in dims]
     extent = max((seen[f"max{c}"] - low[c] for c in dims), default=0.0) or 1.0

@@ -65,6 +65,8 @@ def test_neighbours_equal_those_of_all_pairs(spark):
         want = [(3 * i, r + 1, 3 * int(j)) for i in range(len(xy)) for r, j in enumerate(np.lexsort((np.arange(i), d[i, :i]))[:4])]
         assert got == sorted(want)
     assert spatial.preceding_neighbours(units.limit(0), 4).isEmpty()
+    with pytest.raises(ValueError, match="at most 3"):
+        spatial.preceding_neighbours(spark.createDataFrame([(0, [0.0] * 4)], "i long, p array<double>"), 4)
     assert "NestedLoop" not in spatial.preceding_neighbours(units, 4)._jdf.queryExecution().toString()
 
 
