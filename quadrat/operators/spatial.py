@@ -6,6 +6,7 @@ Gaussian process is made of. Knots and neighbours keep the rest linear in the nu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 from math import isqrt, log2
 
@@ -32,6 +33,16 @@ def correlations(a: DataFrame, b: DataFrame, grid: DataFrame) -> DataFrame:
 COARSE_CELLS = 8192
 #: The most coordinates of a place: with three, 125 cells are searched.
 MOST_DIMS = 3
+#: Levels go on until no cell of the finest holds more than this many times the neighbours asked for, or to the last level.
+CROWD, LAST_LEVEL = 64, 48
+
+
+def _depth(units: DataFrame, cell: Callable[[int], Column], least: int, most: int) -> int:
+    """The first level, of every fourth from least, none of whose cells holds more than most units."""
+    finest = least
+    while finest < LAST_LEVEL and (units.groupBy(cell(finest).alias("c")).count().agg(F.max("count")).first()[0] or 0) > most:
+        finest = min(LAST_LEVEL, finest + 4)
+    return finest
 
 
 def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
@@ -41,7 +52,7 @@ def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
     before it: they lie within the cell's diagonal, so its neighbours are in the cells around, and only those are
     searched. A unit with fewer than k before it searches the coarsest level, which is all of space. Of units at one
     place only the first k can be anyone's neighbours. The driver sees the extent and the number of units, no more.
-    Cells around a cell grow as a power of the coordinates: more than MOST_DIMS of them are refused with an error.
+    Levels go as deep as the densest places need, whatever lies far from them. Cells around a cell grow as a power of the coordinates: more than MOST_DIMS of them are refused with an error.
     """
     size = units.select(F.size("p").alias("n")).first()
     dims = range(size["n"] if size else 0)
@@ -51,8 +62,10 @@ def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
     low = [seen[f"min{c}"] for c in dims]
     extent = max((seen[f"max{c}"] - low[c] for c in dims), default=0.0) or 1.0
     finest = int(log2(max(1.0, seen["n"] / k)) / max(1, len(dims))) + 2
+    first = units.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("i"))).filter(F.col("n") <= k).drop("n")
     ring = isqrt(len(dims)) + 1
     cell = lambda t, off: F.array(*[F.floor((F.col("p")[c] - low[c]) / (F.lit(extent) / F.pow(F.lit(2.0), t))) + off[c] for c in dims])
+    finest = _depth(first, lambda t: cell(F.lit(t), [0] * len(dims)), finest, CROWD * k)
     level = F.explode(F.sequence(F.lit(0), F.lit(finest)))
 
     placed = units.withColumn("t", level).filter("t > 0").select("i", "t", cell(F.col("t"), [0] * len(dims)).alias("cell"))
@@ -66,7 +79,6 @@ def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
     around = F.array(*[cell(F.col("t"), off) for off in product(range(-ring, ring + 1), repeat=len(dims))])
     searching = mine.select("i", "p", "t", F.explode(around).alias("cell"))
     last = mine.groupBy("t").agg(F.max("i").alias("last"))  # one row per level
-    first = units.withColumn("n", F.row_number().over(Window.partitionBy("p").orderBy("i"))).filter(F.col("n") <= k).drop("n")
     others = first.withColumn("t", level).join(F.broadcast(last), "t").filter(F.col("i") < F.col("last"))
     others = others.select(F.col("i").alias("j"), F.col("p").alias("_q"), "t", cell(F.col("t"), [0] * len(dims)).alias("cell"))
     pairs = searching.join(others, ["t", "cell"]).filter(F.col("j") < F.col("i")).select("i", "j", distance(F.col("p"), F.col("_q")).alias("d"))

@@ -70,6 +70,24 @@ def test_neighbours_equal_those_of_all_pairs(spark):
     assert "NestedLoop" not in spatial.preceding_neighbours(units, 4)._jdf.queryExecution().toString()
 
 
+def test_levels_go_deeper_where_one_unit_lies_far_away(spark, monkeypatch):
+    import numpy as np
+
+    from quadrat.operators import spatial
+
+    monkeypatch.setattr(spatial, "CROWD", 3)
+    depths, depth = [], spatial._depth
+    monkeypatch.setattr(spatial, "_depth", lambda *a: depths.append(depth(*a)) or depths[-1])
+    rng = np.random.default_rng(6)
+    xy = np.r_[rng.random((120, 2)), [[1e5, 1e5]]]
+    for places in (xy[:120], xy):
+        units = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(places)], "i long, p array<double>")
+        got = sorted((r.i, r.rank, r.j) for r in spatial.preceding_neighbours(units, 3).collect())
+        d = np.sqrt(((places[:, None] - places[None]) ** 2).sum(-1))
+        assert got == sorted((i, r + 1, int(j)) for i in range(len(places)) for r, j in enumerate(np.lexsort((np.arange(i), d[i, :i]))[:3]))
+    assert depths[0] < 10 <= 17 <= depths[1] < spatial.LAST_LEVEL
+
+
 def test_effective_size_by_all_lags(spark):
     import numpy as np
 
