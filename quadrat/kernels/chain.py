@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 
 import numpy as np
 
@@ -19,11 +20,11 @@ def run(model: Model, chain: int, samples: int, transient: int = 0, thin: int =
     """(draw, parameters) for each recorded iteration: those after the transient phase, every thin-th.
 
     The generator of each update depends on seed, chain, iteration and update only. held: where the chain stands, kept up
-    to date after each iteration; with it, a chain that was ended before iteration `until` goes on as if it had not been.
+    to date after each iteration, first is left as it is; with it, a chain that was ended before iteration `until` goes on as if it had not been.
     """
     held = {} if held is None else held
     if "p" not in held:
-        held.update(p={k: v for k, v in (first or start(model, Noise(seed, chain, 0, 99))).items()}, step=hmc.Step(), next=0)
+        held.update(p=deepcopy(first) if first else start(model, Noise(seed, chain, 0, 99)), step=hmc.Step(), next=0)
     p, step, last = held["p"], held["step"], transient + samples * thin
     for it in range(held["next"], last if until is None else min(until, last)):
         noise = lambda k, it=it: Noise(seed, chain, it + 1, k)
@@ -56,11 +57,12 @@ def run(model: Model, chain: int, samples: int, transient: int = 0, thin: int =
 
 
 def cells(p: dict, keep_eta: bool = True) -> Iterator[tuple[str, int, np.ndarray]]:
-    """(parameter, level, values as a matrix) of a draw; -1 as level where there is none."""
+    """(parameter, level, values as a matrix) of a draw; -1 as level where there is none. Loadings that depend on covariates
+    have these as a third axis."""
     for name in RECORDED:
         if name not in p or (name == "Eta" and not keep_eta):
             continue
         of_level = isinstance(p[name], list)
         for level, v in enumerate(p[name]) if of_level else [(-1, p[name])]:
             v = np.asarray(v, float)
-            yield name, level, v.reshape(len(v), -1)
+            yield name, level, v if v.ndim == 3 else v.reshape(len(v), -1)

@@ -10,7 +10,7 @@ import numpy as np
 
 from quadrat.kernels import spatial
 from quadrat.kernels.random import log_cdf
-from quadrat.kernels.state import NORMAL, POISSON, PROBIT, Model, by_unit, predictor, tau
+from quadrat.kernels.state import NORMAL, POISSON, PROBIT, Model, as_rows, by_unit, features, from_rows, onto_scores, predictor, tau
 from quadrat.kernels.updates import beta_prior_times
 
 
@@ -63,8 +63,8 @@ def log_density(model: Model, p: dict) -> tuple[float, dict]:
         of_scores, pull = score_density(level, eta)
         of_loadings, shrink = loading_density(level, lam, tau(p["Delta"][r]))
         value += of_scores + of_loadings
-        grad["Eta"].append(by_unit(model, r, g @ lam.T) + pull)
-        grad["Lambda"].append(eta[model.Pi[:, r]].T @ g + shrink)
+        grad["Eta"].append(onto_scores(level, by_unit(model, r, g @ as_rows(lam).T)) + pull)
+        grad["Lambda"].append(from_rows(level, features(level, eta)[model.Pi[:, r]].T @ g) + shrink)
     return float(value), grad
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from quadrat.kernels import spatial
 from quadrat.kernels.linear import blocks_times, root_times, solve
 from quadrat.kernels.random import polya_gamma_moments
-from quadrat.kernels.state import POISSON, PROBIT, Model, base_design, by_unit, effective, fixed, masked, predictor, random_part, selection_mask, tau
+from quadrat.kernels.state import POISSON, PROBIT, Model, as_rows, base_design, by_unit, effective, features, fixed, from_rows, masked, onto_scores, predictor, random_part, selection_mask, tau, unit_part
 
 #: Size of the negative binomial that stands for a Poisson.
 NB_R = 1000.0
@@ -74,11 +74,11 @@ def _beta_prior_blocks(model: Model, p: dict) -> np.ndarray:
 def update_beta_lambda(model: Model, p: dict, noise) -> None:
     """Regression coefficients and loadings together: by species, or with phylogeny all at once by conjugate gradients."""
     x, ns, nc = p["Xeff"], model.Y.shape[1], model.nc
-    etas = [e[model.Pi[:, r]] for r, e in enumerate(p["Eta"])]
-    nfs = [e.shape[1] for e in etas]
+    etas = [features(level, e)[model.Pi[:, r]] for r, (level, e) in enumerate(zip(model.levels, p["Eta"], strict=True))]
+    widths = [e.shape[1] for e in etas]
     f = np.concatenate([np.zeros((len(model.Y), 0)), *etas], 1)
     na = nc + f.shape[1]
-    load = np.concatenate([np.zeros((0, ns)), *[psi * tau(d)[:, None] for psi, d in zip(p["Psi"], p["Delta"], strict=True)]])
+    load = np.concatenate([np.zeros((0, ns)), *[as_rows(psi * tau(d)[:, None]) for psi, d in zip(p["Psi"], p["Delta"], strict=True)]])
     mean = p["Gamma"] @ model.T.T
     gram, rhs = np.empty((ns, na, na)), np.empty((ns, na))
     for j in range(ns):
@@ -107,8 +107,8 @@ def update_beta_lambda(model: Model, p: dict, noise) -> None:
         near = np.linalg.inv(own)
         out = solve(times, rhs.reshape(-1), lambda v: blocks_times(near, v.reshape(ns, na)).reshape(-1)).reshape(ns, na)
     p["Beta"], at = out[:, :nc].T, nc
-    for r, nf in enumerate(nfs):
-        p["Lambda"][r], at = out[:, at : at + nf].T, at + nf
+    for r, n in enumerate(widths):
+        p["Lambda"][r], at = from_rows(model.levels[r], out[:, at : at + n].T), at + n
 
 
 def update_gamma_v(model: Model, p: dict, noise) -> None:
@@ -148,9 +148,14 @@ def update_rho(model: Model, p: dict, noise) -> None:
 
 
 def update_lambda_priors(model: Model, p: dict, noise) -> None:
-    """Local and then, one after the other, global precisions of the loadings."""
+    """Local and then, one after the other, global precisions of the loadings; those of each covariate by themselves."""
     for r, level in enumerate(model.levels):
-        p["Psi"][r], p["Delta"][r] = shrinkage(level, p["Lambda"][r], p["Delta"][r], noise)
+        lam, delta = p["Lambda"][r], p["Delta"][r]
+        if level.x is None:
+            p["Psi"][r], p["Delta"][r] = shrinkage(level, lam, delta, noise)
+        else:
+            of = [shrinkage(level, lam[:, :, k], delta[:, k], noise) for k in range(lam.shape[2])]
+            p["Psi"][r], p["Delta"][r] = (np.stack(x, -1) for x in zip(*of, strict=True))
 
 
 def shrinkage(level, lam: np.ndarray, delta: np.ndarray, noise) -> tuple[np.ndarray, np.ndarray]:
@@ -172,16 +177,28 @@ def shrinkage(level, lam: np.ndarray, delta: np.ndarray, noise) -> tuple[np.ndar
 
 def eta_statistics(model: Model, p: dict, r: int) -> tuple[np.ndarray, np.ndarray]:
     """mu [units, factors] and precision [units, factors, factors] of level r's data part."""
-    lam = p["Lambda"][r]
+    level, lam, rows = model.levels[r], p["Lambda"][r], as_rows(p["Lambda"][r])
     rest = p["Z"] - predictor(model, p, without=r)
-    mu = by_unit(model, r, (p["iD"] * rest) @ lam.T)
+    mu = onto_scores(level, by_unit(model, r, (p["iD"] * rest) @ rows.T))
     total = by_unit(model, r, p["iD"])
+    if level.x is not None:
+        return mu, _data_precision(level.x, lam, total)
     if np.allclose(total, total[:1]):  # one matrix does for all units
         one = (lam * total[0]) @ lam.T
         return mu, np.broadcast_to(one, (len(total), *one.shape))
     return mu, np.einsum("hj,uj,kj->uhk", lam, total, lam, optimize=True)
 
 
+def _data_precision(x: np.ndarray, lam: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """[units, factors, factors] by loadings that differ by unit, made for some 4 million numbers at a time."""
+    nf, ns, _ = lam.shape
+    step, out = max(1, 2**22 // max(1, nf * ns)), np.empty((len(x), nf, nf))
+    for a in range(0, len(x), step):
+        own = np.einsum("uk,hjk->uhj", x[a : a + step], lam, optimize=True)
+        out[a : a + step] = (own * total[a : a + step, None, :]) @ np.swapaxes(own, 1, 2)
+    return out
+
+
 def update_eta(model: Model, p: dict, noise) -> None:
     """Factor scores of each level given the levels before it as already drawn."""
     for r, level in enumerate(model.levels):
@@ -265,7 +282,7 @@ def update_sigma(model: Model, p: dict, noise) -> None:
 def factor_choice(level, lam: np.ndarray, iteration: int) -> tuple[np.ndarray, bool]:
     """Which factors stay, and whether one is added. A factor counts as vanished when all its loadings are below 1e-3."""
     nf = len(lam)
-    small = (np.abs(lam) < 1e-3).mean(1) if nf else np.zeros(0)
+    small = (np.abs(lam) < 1e-3).reshape(nf, -1).mean(1) if nf else np.zeros(0)
     every = np.arange(nf)
     all_in_use = (small < 0.995).all()
     if nf < level.nf_min or (iteration > 20 and nf < level.nf_max and all_in_use):
@@ -280,9 +297,9 @@ def update_nf(model: Model, p: dict, noise, iteration: int) -> None:
         if noise.uniform() >= np.exp(-1 - 0.0005 * iteration):
             continue
         stay, more = factor_choice(level, p["Lambda"][r], iteration)
-        ns = p["Lambda"][r].shape[1]
+        one = (1, *p["Lambda"][r].shape[1:])
         half = level.nu / 2
-        new = {"Lambda": np.zeros((1, ns)), "Psi": noise.gamma(np.full((1, ns), half), half), "Delta": np.atleast_1d(noise.gamma(level.a2, level.b2)), "Alpha": np.zeros(1, int), "Eta": noise.normal((1, len(p["Eta"][r])))}
+        new = {"Lambda": np.zeros(one), "Psi": noise.gamma(np.full(one, half), half), "Delta": noise.gamma(np.full((1, *level.axes), level.a2), level.b2), "Alpha": np.zeros(1, int), "Eta": noise.normal((1, len(p["Eta"][r])))}
         for k, extra in new.items():
             rows = p[k][r].T if k == "Eta" else p[k][r]
             rows = np.concatenate([rows[stay], extra[: int(more)]])
@@ -350,8 +367,8 @@ def update_beta_eta(model: Model, p: dict, noise) -> None:
             continue
         cut = nc * ns
 
-        def back(w, lam=lam, r=r):
-            return by_covariate(w), by_unit(model, r, w @ lam.T)
+        def back(w, level=level, lam=lam, r=r):
+            return by_covariate(w), onto_scores(level, by_unit(model, r, w @ as_rows(lam).T))
 
         def flat(beta, eta):
             return np.r_[beta.T.reshape(-1), eta.reshape(-1)]
@@ -361,7 +378,7 @@ def update_beta_eta(model: Model, p: dict, noise) -> None:
 
         def times(v, level=level, alpha=alpha, lam=lam, r=r, parts=parts, back=back):
             beta, eta = parts(v)
-            b, e = back(p["iD"] * (fixed(x, beta) + (eta @ lam)[model.Pi[:, r]]))
+            b, e = back(p["iD"] * (fixed(x, beta) + unit_part(level, eta, lam)[model.Pi[:, r]]))
             return flat(b + beta_prior_times(model, p, beta), e + _columns(level, alpha, eta))
 
         rest = p["Z"] - predictor(model, p, without=r) + fixed(x, p["Beta"])

@@ -52,8 +52,8 @@ def fit_durably(spark: SparkSession, model: Model, path: str, chains: int = 2, s
                 for d, p in run(model, c, samples, transient, thin, seed, first=states[c] if c < len(states) else None, held=held, until=until, **how):
                     x = batch_of(c, d, p, keep_eta)
                     yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.binary()), pa.nulls(x.num_rows, pa.string())], [*x.schema.names, "state", "settings"])
-                none = [pa.nulls(1, t) for t in (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *none, pa.array([pickle.dumps(held)], pa.binary()), pa.array([settings])], ["chain", "draw", "param", "level", "i", "j", "v", "state", "settings"])
+                none = [pa.nulls(1, t) for t in (pa.int32(), pa.string(), *[pa.int32()] * 4, pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *none, pa.array([pickle.dumps(held)], pa.binary()), pa.array([settings])], ["chain", "draw", "param", "level", "i", "j", "k", "v", "state", "settings"])
 
     done = 0
     while done < len(ends) and _committed(spark, path, done):

@@ -15,15 +15,16 @@ def batch_of(chain: int, draw: int, p: dict, keep_eta: bool):
     """A draw as an Arrow batch of its cells."""
     import pyarrow as pa
 
-    out = {k: [] for k in ("param", "level", "i", "j", "v")}
+    out = {c: [] for c in ("param", "level", "i", "j", "k", "v")}
     for name, level, m in cells(p, keep_eta):
-        i, j = (x.ravel() for x in np.indices(m.shape))
-        for k, x in zip(out, (np.full(m.size, name, object), np.full(m.size, level), i, j, m.ravel()), strict=True):
-            out[k].append(x)
-    cat = {k: np.concatenate(v) for k, v in out.items()}
+        i, j, k = (*(x.ravel() for x in np.indices(m.shape)), np.full(m.size, -1))[:3]  # -1: there is no third axis
+        for c, x in zip(out, (np.full(m.size, name, object), np.full(m.size, level), i, j, k, m.ravel()), strict=True):
+            out[c].append(x)
+    cat = {c: np.concatenate(v) for c, v in out.items()}
     n = len(cat["v"])
     ints = [pa.array(x.astype(np.int32)) for x in (np.full(n, chain), np.full(n, draw))]
-    return pa.RecordBatch.from_arrays([*ints, pa.array(cat["param"], pa.string()), *[pa.array(cat[k].astype(np.int32)) for k in ("level", "i", "j")], pa.array(cat["v"].astype(float))], ["chain", "draw", "param", "level", "i", "j", "v"])
+    axes = [pa.array(cat[c].astype(np.int32), mask=cat[c] < (0 if c == "k" else -1)) for c in ("level", "i", "j", "k")]
+    return pa.RecordBatch.from_arrays([*ints, pa.array(cat["param"], pa.string()), *axes, pa.array(cat["v"].astype(float))], ["chain", "draw", "param", "level", "i", "j", "k", "v"])
 
 
 def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, transient: int = 0, thin: int = 1, seed: int = 0, *, states: list[dict] | None = None, only: list[int] | None = None, keep_eta: bool = True, verbose: int = 0, **how) -> DataFrame:

@@ -96,7 +96,9 @@ def load(text: str) -> tuple[Model, list[dict]]:
 def _level(v: dict, given: dict | None) -> Level:
     level = Level(*(float(_scalar(v[k])) for k in ("nu", "a1", "b1", "a2", "b2")), int(_scalar(v["nfMin"])), int(min(_scalar(v["nfMax"]), 10**6)))
     if _scalar(v.get("xDim") or 0):
-        raise ValueError("levels with covariate-dependent loadings can be predicted from, not fitted")
+        level.x = _array(v["xMat"])
+        if level.x.ndim != 2 or level.x.shape[1] != int(_scalar(v["xDim"])):
+            raise ValueError("xMat needs a column for each of the level's xDim covariates")
     if _scalar(v.get("sDim") or 0):
         level.alpha = _array(v["alphapw"])
         a = level.alpha[:, 0]
@@ -111,6 +113,11 @@ def _level(v: dict, given: dict | None) -> Level:
     return level
 
 
+def _by_covariate(model: Model, r: int, v: np.ndarray) -> np.ndarray:
+    """[factors, species, covariates]. The file's numbers, nested or not, go by factors first, then species, then covariates."""
+    return np.ascontiguousarray(v.reshape(*model.levels[r].axes, model.Y.shape[1], -1).transpose(2, 1, 0))
+
+
 def _state(model: Model, s: dict) -> dict:
     from quadrat.kernels.random import Noise
     from quadrat.kernels.state import effective, start
@@ -118,8 +125,8 @@ def _state(model: Model, s: dict) -> dict:
     p = start(model, Noise(0, 0, 0, 99, quiet=True))
     p |= {"Beta": _array(s["Beta"]), "Gamma": _array(s["Gamma"]), "iV": np.linalg.inv(_array(s["V"])), "sigma": _array(s["sigma"]), "rho": np.atleast_1d(_array(s["rho"])).astype(int) - 1}
     for key in ("Eta", "Lambda", "Psi"):
-        p[key] = [np.atleast_2d(_array(v)) for v in s.get(key) or []]
-    p["Delta"] = [np.ravel(_array(v)) for v in s.get("Delta") or []]
+        p[key] = [np.atleast_2d(_array(v)) if key == "Eta" or model.levels[r].x is None else _by_covariate(model, r, _array(v)) for r, v in enumerate(s.get(key) or [])]
+    p["Delta"] = [np.ravel(_array(v)).reshape(-1, *model.levels[r].axes) for r, v in enumerate(s.get("Delta") or [])]
     p["Alpha"] = [np.ravel(_array(v)).astype(int) - 1 for v in s.get("Alpha") or []]
     p["BetaSel"] = [np.ravel(_array(v)).astype(bool) for v in s.get("BetaSel") or []]
     if model.n_rrr:

@@ -159,3 +159,16 @@ def test_csv(spark, tmp_path):
     (tmp_path / "y.csv").write_text("site,a,b\ns1,1,NA\ns2,0.5,2\n")
     got = csv.read_wide(spark, str(tmp_path / "y.csv"), "site", "species", "y").collect()
     assert sorted((r.site, r.species, r.y) for r in got if r.y is not None) == [("s1", "a", 1.0), ("s2", "a", 0.5), ("s2", "b", 2.0)] and len(got) == 4
+
+
+def test_a_chain_leaves_its_first_state_as_it_is(tmp_path):
+    from copy import deepcopy
+
+    from quadrat.kernels.chain import run
+
+    m, states = model_json.load(open(file_of(tmp_path)).read())
+    before = deepcopy(states[0])
+    one, two = ([p["Beta"].copy() for _, p in run(m, 0, 2, seed=1, first=states[0])] for _ in range(2))
+    np.testing.assert_array_equal(one, two)
+    for key in ("Eta", "Lambda", "Alpha", "BetaSel"):
+        np.testing.assert_array_equal(states[0][key][0], before[key][0])
