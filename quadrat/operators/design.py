@@ -31,10 +31,14 @@ def random_part(pi: DataFrame, eta: DataFrame, lam: DataFrame) -> DataFrame:
     return gather(pi, by_unit, ["level", "unit"]).select("level", "site", "species", "v")
 
 
+def unit_part_with_covariates(eta: DataFrame, lam: DataFrame, covariates: DataFrame) -> DataFrame:
+    """level, unit, species, v of loadings lam(level, h, species, k, v) that depend on covariates(level, unit, k, v) of the unit."""
+    return contract(contract(eta, lam, ["level", "h"], ["level", "unit", "species", "k"]), covariates, ["level", "unit", "k"], ["level", "unit", "species"])
+
+
 def random_part_with_covariates(pi: DataFrame, eta: DataFrame, lam: DataFrame, covariates: DataFrame) -> DataFrame:
-    """As random_part for loadings lam(level, h, species, k, v) that depend on covariates(level, unit, k, v) of the unit."""
-    by_unit = contract(contract(eta, lam, ["level", "h"], ["level", "unit", "species", "k"]), covariates, ["level", "unit", "k"], ["level", "unit", "species"])
-    return gather(pi, by_unit, ["level", "unit"]).select("level", "site", "species", "v")
+    """As random_part for loadings that depend on covariates of the unit, as unit_part_with_covariates has them."""
+    return gather(pi, unit_part_with_covariates(eta, lam, covariates), ["level", "unit"]).select("level", "site", "species", "v")
 
 
 def predictor(x: DataFrame, beta: DataFrame, pi: DataFrame, eta: DataFrame, lam: DataFrame, without: int | None = None) -> DataFrame:

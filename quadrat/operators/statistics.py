@@ -129,6 +129,25 @@ def score_statistics(cells: DataFrame, lam: DataFrame) -> DataFrame:
     return parts.groupBy("level", "unit", "c.h", "c.k").agg(F.sum("c.v").alias("v"))
 
 
+def score_statistics_with_covariates(cells: DataFrame, lam: DataFrame, covariates: DataFrame) -> DataFrame:
+    """As score_statistics for loadings lam(level, h, species, c, v) that depend on covariates(level, unit, c, v) of the unit.
+
+    Loadings are those of the unit before anything is summed: a unit's covariates are one small map, met once by each of
+    its species, so the products grow with the factors squared and not with the covariates squared.
+    """
+    folded = cells.groupBy("level", "unit", "species").agg(F.sum(F.col("id") * F.coalesce("s", F.lit(0.0))).alias("ds"), F.sum("id").alias("id"))
+    wide = lam.groupBy("level", "species", "h").agg(F.collect_list(F.struct("c", "v")).alias("cs")).groupBy("level", "species").agg(F.collect_list(F.struct("h", "cs")).alias("hs"))
+    of_unit = covariates.groupBy("level", "unit").agg(as_map("c", "v").alias("x"))
+    met = folded.join(of_unit, ["level", "unit"]).join(wide, ["level", "species"])
+    own = F.transform("hs", lambda a: F.struct(a["h"].alias("h"), dot(a["cs"], "c", "v", F.col("x")).alias("v")))
+    met = met.select("level", "unit", "ds", "id", own.alias("ls"))
+    out = lambda a, k, v: F.struct(a["h"].alias("h"), k.alias("k"), v.alias("v"))
+    linear = F.transform("ls", lambda a: out(a, F.lit(-1), F.col("ds") * a["v"]))
+    square = F.flatten(F.transform("ls", lambda a: F.transform("ls", lambda b: out(a, b["h"], F.col("id") * a["v"] * b["v"]))))
+    parts = met.select("level", "unit", F.explode(F.concat(linear, square)).alias("p"))
+    return parts.groupBy("level", "unit", "p.h", "p.k").agg(F.sum("p.v").alias("v"))
+
+
 def common_precision(pi: DataFrame, cells: DataFrame) -> DataFrame:
     """level, common: do all units of the level see the same summed precision for every species?"""
     by_unit = cells.join(pi, ["level", "site"]).groupBy("level", "unit", "species").agg(F.sum("id").alias("id"))

@@ -189,6 +189,14 @@ ORACLES = {
               FROM cells c JOIN fx USING (site, species) JOIN pi USING (site))""",
         f"""SELECT level, unit, h, -1 AS k, {r('sum(id * coalesce(s, 0) * v)', 4)} AS v FROM s JOIN lam USING (level, species) GROUP BY ALL
         UNION ALL SELECT level, unit, a.h, b.h, {r('sum(id * a.v * b.v)', 4)} FROM s JOIN lam a USING (level, species) JOIN lam b USING (level, species) GROUP BY ALL"""),
+    "eta_scatter_by_unit_covariates": on(f"""{B},
+        ul AS (SELECT level, unit, h, species, sum(v * (c + 1) * CASE WHEN c = 0 THEN 1.0 ELSE unit / 10.0::DOUBLE END) AS v FROM (SELECT DISTINCT level, unit FROM pi) JOIN lam USING (level), (SELECT unnest([0, 1]) AS c) GROUP BY ALL),
+        fx AS (SELECT site, species, sum(x * v) AS f FROM x JOIN beta USING (cov) GROUP BY ALL),
+        rn AS (SELECT level, site, species, sum(eta.v * ul.v) AS r FROM pi JOIN eta USING (level, unit) JOIN ul USING (level, unit, h) GROUP BY ALL),
+        s AS (SELECT c.site, c.species, id, level, unit, z - f - (SELECT sum(r) FROM rn o WHERE o.site = c.site AND o.species = c.species AND o.level <> pi.level) AS s
+              FROM cells c JOIN fx USING (site, species) JOIN pi USING (site))""",
+        f"""SELECT level, unit, h, -1 AS k, {r('sum(id * coalesce(s, 0) * v)', 4)} AS v FROM s JOIN ul USING (level, unit, species) GROUP BY ALL
+        UNION ALL SELECT level, unit, a.h, b.h, {r('sum(id * a.v * b.v)', 4)} FROM s JOIN ul a USING (level, unit, species) JOIN ul b USING (level, unit, species) GROUP BY ALL"""),
     "eta_common_flag": on(B, """SELECT level, bool_and(hi - lo <= 1e-9 * hi) AS common FROM (SELECT level, species, max(id) AS hi, min(id) AS lo FROM
         (SELECT level, unit, species, sum(id) AS id FROM cells JOIN pi USING (site) GROUP BY ALL) GROUP BY ALL) GROUP BY level"""),
     "loading_prior_precision": on(B, f"SELECT level, h, species, {r('v * tau')} AS prec FROM psi JOIN tau USING (level, h)"),
@@ -250,6 +258,8 @@ ORACLES = {
     "model_file_design": on(f"{E}, {PLACE}", f"SELECT place AS site, cov::INT AS cov, {r('x')} AS x FROM x JOIN st USING (site)"),
     "model_file_dims": on(E, "SELECT (SELECT count(DISTINCT site) FROM x)::INT AS ny, (SELECT count(*) FROM esp)::INT AS ns, 2::INT AS nc, 2::INT AS nr"),
     "draws_json_round_trip": on(MODEL_DRAWS, f"SELECT chain::INT AS chain, draw::INT AS draw, param, level::INT AS level, i::INT AS i, j::INT AS j, {r('v')} AS v FROM ds"),
+    "covariate_loadings_json_round_trip": on(E, f"""SELECT (d % 2)::INT AS chain, d::INT AS draw, 'Lambda' AS param, level::INT AS level, h::INT AS i, species::INT AS j, CASE WHEN level = 1 THEN c END::INT AS k, {r('v * (c + 1) + d')} AS v
+        FROM lam, (SELECT unnest([0, 1]) AS c), (SELECT unnest([0, 1, 2, 3, 4]) AS d) WHERE level = 1 OR c = 0"""),
     "draws_summary": on(MODEL_DRAWS, f"SELECT param, level::INT AS level, i::INT AS i, j::INT AS j, count(*) AS n, {r('avg(v)')} AS mean, {r('stddev_samp(v)')} AS sd, {r('quantile_cont(v, 0.5)')} AS median FROM ds GROUP BY param, level, i, j"),
     "nngp_weights_two": on(TWO, f"""SELECT g, i, i AS j, {r('s', 5)} AS v FROM s UNION ALL SELECT g, i, j1, {r('-w1 * s', 5)} FROM s WHERE j1 IS NOT NULL UNION ALL SELECT g, i, j2, {r('-w2 * s', 5)} FROM s WHERE j2 IS NOT NULL
         UNION ALL SELECT g, i, i, 1.0::DOUBLE FROM u, grid WHERE alpha = 0"""),

@@ -267,6 +267,33 @@ def predictor_by_unit_covariates(spark: SparkSession, d: str) -> DataFrame:
     return _round(ran.groupBy("level", "species").agg(F.sum("v").alias("v")), "v", digits=4)
 
 
+def _covariate_level(units: DataFrame, lam: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two covariates of each unit, 1 and a tenth of its number, and loadings that depend on them."""
+    cov = grid(units, "c", 2).select("level", "unit", "c", F.when(F.col("c") == 0, 1.0).otherwise(F.col("unit") / 10).alias("v"))
+    return cov, grid(lam, "c", 2).select("level", "h", "species", "c", (F.col("v") * (F.col("c") + 1)).alias("v"))
+
+
+def eta_scatter_by_unit_covariates(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and linear part of the scores where loadings depend on covariates of the unit."""
+    b = B(spark, d)
+    cov, lam = _covariate_level(b.units, b.lam)
+    ran = b.pi.join(design.unit_part_with_covariates(b.eta, lam.withColumnRenamed("c", "k"), cov.withColumnRenamed("c", "k")), ["level", "unit"])
+    cells = statistics.level_residuals(design.fixed_part(b.x, b.beta), ran, b.cells)
+    return _round(statistics.score_statistics_with_covariates(cells, lam, cov), "v", digits=4)
+
+
+def covariate_loadings_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Five draws of loadings with a covariates' axis, beside loadings without one, as JSON by chain and read back."""
+    e = E(spark, d)
+    _, lam = _covariate_level(e.units, e.lam)
+    third = F.when(F.col("level") == 1, F.col("c"))  # level 0 has no covariates
+    lam = lam.filter("level = 1 or c = 0").select(F.lit("Lambda").alias("param"), "level", F.col("h").alias("i"), F.col("species").alias("j"), third.alias("k"), "v")
+    drawn = grid(lam, "draw", 5).select((F.col("draw") % 2).alias("chain"), "draw", "param", "level", "i", "j", "k", (F.col("v") + F.col("draw")).alias("v"))
+    text = draw_files.to_json(drawn)
+    plain = draw_files.from_json(text, True).withColumn("k", F.lit(None).cast("int"))
+    return _round(draw_files.from_json(text, by_covariate=True).unionByName(plain), "v")
+
+
 def _user_draws(spark: SparkSession, d: str) -> DataFrame:
     """All events as draws: a user's events, dealt to two chains by their number, in order."""
     ev = read(spark, d, "events")
@@ -629,5 +656,6 @@ QUERIES = {
         event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
         z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik, nngp_scores, delta_draws,
         gamma_mean, gamma_draws, iv_draws, similarity_rebuilt, rho_loglik_rotated, gamma_mean_phylogeny, integrated_density,
+        eta_scatter_by_unit_covariates, covariate_loadings_json_round_trip,
     )
 }
