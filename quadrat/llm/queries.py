@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrat.llm import decontamination, filter_audit, language_id, merkle, mixing, ngram_join, packing, pii, quality, suffix_dedup, token_files, topk, url_filters
 from quadrat.llm.common import table
+from quadrat.llm.suffixes import RULES as SUFFIXES
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +138,14 @@ WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 o AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
 hn AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, regexp_replace(host, '(?s)^.*@|:[0-9]*$|\.+$|\.+(:[0-9]*)$', '', 'g') AS name FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-hk AS (SELECT *, regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') AS ip, regexp_matches(name, '(^|\.)(ac|co|com|edu|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}$') AS cc, str_split(name, '.') AS w FROM hn),
-h AS (SELECT host, n, bad, CASE WHEN ip THEN name WHEN cc THEN array_to_string(w[-3:], '.') ELSE array_to_string(w[-2:], '.') END AS domain,
-             CASE WHEN ip THEN '' WHEN cc THEN array_to_string(w[-2:], '.') ELSE w[-1] END AS suffix FROM hk),
+ru AS (SELECT rule, ltrim(rule, '!') AS body, str_split(ltrim(rule, '!'), '.') AS rw, starts_with(rule, '!') AS ex FROM (SELECT unnest(str_split('""" + " ".join(SUFFIXES) + r"""', ' ')) AS rule)),
+hw AS (SELECT *, regexp_matches(name, '^([0-9]+(\.[0-9]+){3}|\[.*\])$') AS ip, str_split(name, '.') AS w FROM hn),
+tl AS (SELECT host, w, unnest(range(1, len(w) + 1)) AS k FROM hw),
+fit AS (SELECT host, max_by(CASE WHEN ex THEN k - 1 ELSE k END, CASE WHEN ex THEN 100000 ELSE k END) AS k
+        FROM tl JOIN ru ON len(rw) = k AND (array_to_string(w[-k:], '.') = body OR (starts_with(body, '*.') AND array_to_string(w[len(w) - k + 2:], '.') = body[3:])) GROUP BY host),
+hk AS (SELECT hw.*, coalesce(fit.k, 1) AS k FROM hw LEFT JOIN fit ON hw.host = fit.host),
+h AS (SELECT host, n, bad, CASE WHEN ip THEN name ELSE array_to_string(w[greatest(len(w) - k, 1):], '.') END AS domain,
+             CASE WHEN ip THEN '' ELSE array_to_string(w[len(w) - k + 1:], '.') END AS suffix FROM hk),
 a AS (SELECT count(*)::DOUBLE AS m, coalesce(sum(n), 0) AS nn, coalesce(sum(n * n), 0) AS n2, coalesce(sum(bad), 0) AS b, coalesce(sum(n * (bad / greatest(n, 1)) * (bad / greatest(n, 1))), 0) AS r2 FROM h WHERE n > 0),
 q AS (SELECT *, CASE WHEN nn > 0 THEN b / greatest(nn, 1) ELSE 0.5 END AS p0, greatest(b - r2, 0) / greatest(nn - m, 1) AS within_, (nn - n2 / greatest(nn, 1)) / greatest(m - 1, 1) AS n0 FROM a),
 q2 AS (SELECT *, greatest(r2 - nn * p0 * p0, 0) / greatest(m - 1, 1) AS between_ FROM q),

@@ -6,9 +6,9 @@ The prior's weight (in pages) is estimated from the hosts by the analysis-of-var
 intra-host correlation. A host is blocked where even the lower posterior bound of its rate of bad pages
 is above the threshold.
 
-The registered domain is the last label and the one before it, or three where a country's registry registers
-under a label of its own (SECOND_LEVEL, a rule in place of a list of suffixes). User, port and a last dot do not count;
-an address is a domain of its own, and all addresses share one suffix.
+The registered domain is the public suffix (quadrat.llm.suffixes: rules, wildcards, exceptions; other rules may be given)
+and the label before it. User, port and a last dot do not count; an address is a domain of its own, and all addresses share
+one suffix; a host that is a suffix itself is its own domain.
 
 Defined cases: a null URL or one without "://" has an empty host and path and is allowed unless a rule
 fits; pages without an outcome count for nothing; a null outcome is no outcome, and a null id has none; several
@@ -19,10 +19,14 @@ Only the id and URL columns are read, so other columns may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.common import ascii_lower
+from quadrat.llm.suffixes import RULES as SUFFIXES
+from quadrat.llm.suffixes import labels_of_suffix
 
 #: Fixed values: (verdict, host and path prefix) of the contract.
 RULES = (
@@ -32,8 +36,6 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Labels under which a country's registry registers domains, as in co.uk or com.au.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")
 HEAD = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -64,29 +66,31 @@ def is_address(name: Column) -> Column:
     return name.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*\])$")
 
 
-def under_country(name: Column) -> Column:
-    """Whether the suffix is two labels: a country's, after one under which it registers domains."""
-    return name.rlike(rf"(?s)(?:^|\.)(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+def _last(host: Column, more: int, address: Column, suffixes: Iterable[str]) -> Column:
+    name = name_of(host)
+    labels, most = labels_of_suffix(name, suffixes)
+    out = F.when(is_address(name), address)
+    for k in range(most, 1, -1):
+        out = out.when(labels == k, F.substring_index(name, ".", -k - more))
+    return out.otherwise(F.substring_index(name, ".", -1 - more))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: Iterable[str] = SUFFIXES) -> Column:
     """What domains are registered under; all addresses have the empty one."""
-    name = name_of(host)
-    return F.when(is_address(name), "").when(under_country(name), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return _last(host, 0, F.lit(""), suffixes)
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: Iterable[str] = SUFFIXES) -> Column:
     """The suffix and the label before it; an address is a domain of its own."""
-    name = name_of(host)
-    return F.when(is_address(name), name).when(under_country(name), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return _last(host, 1, name_of(host), suffixes)
 
 
-def reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
+def reputation(hosts: DataFrame, z: float = 1.645, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """hosts: host, n (labelled pages), bad. Adds the posterior mean and its lower bound (mean - z sd).
 
     One row per host stays one row; everything above hosts is an aggregate of aggregates.
     """
-    hosts = hosts.select("host", "n", "bad", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    hosts = hosts.select("host", "n", "bad", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"))
     n, r = F.col("n").cast("double"), F.col("bad") / F.greatest(F.col("n"), F.lit(1))
     # sums over hosts for the analysis of variance; between = sum n (r - p)^2 = sum n r^2 - N p^2
     s = hosts.filter("n > 0").agg(
@@ -115,7 +119,7 @@ def reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     return out.select("host", "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(F.col("a") * F.col("b") / (ab * ab * (ab + 1)))).alias("lower"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, *, page_id: str = "page_id", url: str = "url", outcome_id: str = "page_id", bad: str = "bad", rules=RULES, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, *, page_id: str = "page_id", url: str = "url", outcome_id: str = "page_id", bad: str = "bad", rules=RULES, suffixes: Iterable[str] = SUFFIXES, threshold: float = 0.5, z: float = 1.645) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. outcomes: an id and 1 (bad) or 0.
 
     The page side of the last join keeps its order of magnitude: it meets blocked hosts only, and a
@@ -128,6 +132,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, page_id: str = "page_id", ur
     counts = seen.select("page_id", "host").join(told, "page_id").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # a host without outcomes has its domain's posterior
     hosts = seen.select("host").distinct().join(counts, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    blocked = reputation(hosts, z).filter((F.col("lower") > threshold) & (F.col("host") != "")).select("host", F.lit("block").alias("learnt"))
+    blocked = reputation(hosts, z, suffixes).filter((F.col("lower") > threshold) & (F.col("host") != "")).select("host", F.lit("block").alias("learnt"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return seen.join(blocked, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "learnt", F.lit("allow")).alias("verdict"))

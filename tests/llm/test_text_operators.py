@@ -280,3 +280,44 @@ def test_redaction_covers_all_kinds_and_overlaps(spark):
     assert got[1] == "pay to iban [iban] now" and got[2] == "my ssn [ssn] is secret" and got[4] == f"{wide} [email] {wide} [ip]{wide}"
     assert "1111" not in got[3] and got[3].endswith(" end") and (got[5], got[6], got[7], got[8]) == ("plain", None, "", "[email]")
     assert got[9] == "x " * 5000 + "[email] " * 3000
+
+
+def test_public_suffixes_with_wildcards_and_exceptions(spark, tmp_path):
+    from quadrat.llm import suffixes
+
+    want = {
+        "www.mofa.go.jp": ("mofa.go.jp", "go.jp"), "x.me.uk": ("x.me.uk", "me.uk"), "a.x.asn.au": ("x.asn.au", "asn.au"), "go.jp": ("go.jp", "go.jp"), "a.b.shop.ck": ("b.shop.ck", "shop.ck"),
+        "a.www.ck": ("www.ck", "ck"), "a.b.c.kobe.jp": ("b.c.kobe.jp", "c.kobe.jp"), "x.city.kobe.jp": ("city.kobe.jp", "kobe.jp"), "ck": ("ck", "ck"), "a.co.example": ("co.example", "example"), "u@x.me.uk.:8": ("x.me.uk", "me.uk"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    got = {r.h: (r.d, r.s) for r in df.select("h", url_filters.domain_of(F.col("h")).alias("d"), url_filters.suffix_of(F.col("h")).alias("s")).collect()}
+    assert got == want
+    path = tmp_path / "rules.dat"
+    path.write_text("// a comment\n\nblog.example  after the blank\n*.b.c.example\n!x.b.c.example\n")
+    rules = suffixes.lines(spark, str(path))
+    assert rules == ("blog.example", "*.b.c.example", "!x.b.c.example")
+    want = {"a.me.blog.example": ("me.blog.example", "blog.example"), "z.y.w.b.c.example": ("y.w.b.c.example", "w.b.c.example"), "z.x.b.c.example": ("x.b.c.example", "b.c.example"), "a.co.uk": ("co.uk", "uk")}
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    got = {r.h: (r.d, r.s) for r in df.select("h", url_filters.domain_of(F.col("h"), rules).alias("d"), url_filters.suffix_of(F.col("h"), rules).alias("s")).collect()}
+    assert got == want
+
+
+def test_reputation_of_public_suffixes_equals_sql(spark, tmp_path):
+    from quadrat.llm.queries import ORACLES, QUERIES
+
+    hosts = ["a.x.go.jp", "x.go.jp", "y.go.jp", "www.ck", "b.www.ck", "c.d.ck", "z.me.uk", "1.2.3.4", "n.com", "city.kobe.jp", "k.v.kobe.jp", "v.kobe.jp", "u:p@q.co.nz:80", "q.co.nz.", ""]
+    n = 12
+    pages = [(i, f"http://{h}/{'a' * 200_000 if i == 0 else i}", "") for i, h in enumerate(h for h in hosts for _ in range(n))]
+    labels = [(i, 0 if i // n % 3 == 0 else 1, 1 if i // n % 5 == 2 else 0) for i in range(len(pages))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cols = ["page_id", "host", "path", "rule", "verdict"]
+    want = sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES['op9_url_filters']})").fetchall(), key=str)
+    got = sorted((tuple(r) for r in QUERIES["op9_url_filters"](spark, str(tmp_path)).select(*cols).collect()), key=str)
+    assert got == want and len({r[4] for r in got}) == 2
