@@ -260,6 +260,16 @@ ORACLES = {
     "draws_json_round_trip": on(MODEL_DRAWS, f"SELECT chain::INT AS chain, draw::INT AS draw, param, level::INT AS level, i::INT AS i, j::INT AS j, {r('v')} AS v FROM ds"),
     "covariate_loadings_json_round_trip": on(E, f"""SELECT (d % 2)::INT AS chain, d::INT AS draw, 'Lambda' AS param, level::INT AS level, h::INT AS i, species::INT AS j, CASE WHEN level = 1 THEN c END::INT AS k, {r('v * (c + 1) + d')} AS v
         FROM lam, (SELECT unnest([0, 1]) AS c), (SELECT unnest([0, 1, 2, 3, 4]) AS d) WHERE level = 1 OR c = 0"""),
+    "model_parts_cells": on(B, f"""SELECT 'y' AS part, site::BIGINT AS i, species::INT AS j, {r('CASE WHEN (site + species) % 7 <> 0 THEN y END')} AS v FROM y
+        UNION ALL SELECT 'x', site, cov::INT, {r('x')} FROM x UNION ALL SELECT 'traits', species::BIGINT, trait::INT, {r('t')} FROM tr UNION ALL SELECT 'pi', site, level::INT, {r('unit')} FROM pi"""),
+    "model_parts_dims": on(E, "SELECT (SELECT count(DISTINCT site) FROM x) AS ny, (SELECT count(*) FROM espec)::INT AS ns, 2::INT AS nc, 0::INT AS nt, 2::INT AS nr"),
+    "model_parts_levels": on(B, """SELECT level::INT AS level, 3.0::DOUBLE AS nu, 50.0::DOUBLE AS a1, 1.0::DOUBLE AS b1, 50.0::DOUBLE AS a2, 1.0::DOUBLE AS b2, 2::INT AS nf_min, count(DISTINCT unit)::INT AS nf_max,
+        CASE WHEN level = 0 THEN 2 ELSE 0 END::INT AS s_dim, CASE WHEN level = 1 THEN 2 ELSE 0 END::INT AS x_dim, CASE WHEN level = 0 THEN 'NNGP' END AS method FROM pi GROUP BY level"""),
+    "model_parts_state": on(f"""{B}, ps AS (SELECT 'Beta' AS param, -1 AS level, cov AS i, species AS j, NULL AS k, v FROM beta
+        UNION ALL SELECT 'Eta', level, unit, h, NULL, v FROM eta
+        UNION ALL SELECT 'Lambda', level, h, species, CASE WHEN level = 1 THEN c END, v * (c + 1) FROM lam, (SELECT unnest([0, 1]) AS c) WHERE level = 1 OR c = 0
+        UNION ALL SELECT DISTINCT 'Alpha', level, h, 0, NULL, h * 2.0::DOUBLE FROM lam)""",
+        f"SELECT chain::INT AS chain, param, level::INT AS level, i::INT AS i, j::INT AS j, k::INT AS k, {r('v + chain')} AS v FROM ps, (SELECT unnest([0, 1]) AS chain)"),
     "draws_summary": on(MODEL_DRAWS, f"SELECT param, level::INT AS level, i::INT AS i, j::INT AS j, count(*) AS n, {r('avg(v)')} AS mean, {r('stddev_samp(v)')} AS sd, {r('quantile_cont(v, 0.5)')} AS median FROM ds GROUP BY param, level, i, j"),
     "nngp_weights_two": on(TWO, f"""SELECT g, i, i AS j, {r('s', 5)} AS v FROM s UNION ALL SELECT g, i, j1, {r('-w1 * s', 5)} FROM s WHERE j1 IS NOT NULL UNION ALL SELECT g, i, j2, {r('-w2 * s', 5)} FROM s WHERE j2 IS NOT NULL
         UNION ALL SELECT g, i, i, 1.0::DOUBLE FROM u, grid WHERE alpha = 0"""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ from quadrat.operators import covariance, dense, design, eigen, predictive, scor
 from quadrat.plans.fit import effective_size, fit, r_hat, sequence_effective_size, summary
 from quadrat.plans.testbed import FACTORS, B, E, G, global_precisions, grid, loadings, local_precisions, read
 from quadrat.sources import draws as draw_files
-from quadrat.sources import csv, model_json
+from quadrat.sources import csv, model_json, model_parts
+from quadrat.sources.state import folder
 
 
 def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -380,6 +383,59 @@ def model_file_dims(spark: SparkSession, d: str) -> DataFrame:
     return model_json.dims(_model_text(E(spark, d))).select("ny", "ns", "nc", "nr")
 
 
+def _parts(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def model_parts_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Responses, design, traits and units of a model of customers, written as lines by matrix and read back."""
+    b, path = B(spark, d), _parts(spark, "model")
+    species = b.y.select("site", "species", F.when((F.col("site") + F.col("species")) % 7 != 0, F.col("y")).alias("y"))
+    model_parts.write_matrix(species, path, "YScaled", "site", "species", "y")
+    model_parts.write_matrix(b.x, path, "XScaled", "site", "cov", "x")
+    model_parts.write_matrix(b.traits, path, "TrScaled", "species", "trait", "t")
+    model_parts.write_matrix(b.pi, path, "Pi", "site", "level", "unit", index=True)
+    t = model_parts.tables(spark, path)
+    parts = (("y", "site", "species", "y"), ("x", "site", "cov", "x"), ("traits", "species", "trait", "t"), ("pi", "site", "level", "unit"))
+    rows = [t[k].select(F.lit(k).alias("part"), F.col(a).cast("bigint").alias("i"), F.col(c).cast("int").alias("j"), F.col(v).cast("double").alias("v")) for k, a, c, v in parts]
+    return _round(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), "v")
+
+
+def model_parts_dims(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of sites, species, covariates, traits and levels, from the lines of a model of users."""
+    e, path = E(spark, d), _parts(spark, "model")
+    model_parts.write_matrix(e.y, path, "YScaled", "site", "species", "y")
+    model_parts.write_matrix(e.x, path, "XScaled", "site", "cov", "x")
+    model_parts.write_matrix(e.pi, path, "Pi", "site", "level", "unit", index=True)
+    return model_parts.dims(spark, path)
+
+
+def model_parts_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Constants of the customers' levels, whose most factors follow from their units, written and read back."""
+    path = _parts(spark, "model")
+    units = B(spark, d).pi.groupBy("level").agg(F.countDistinct("unit").alias("n"))
+    with_covariates = F.col("level") == 1
+    constants = {"nu": F.lit(3.0), "a1": F.lit(50.0), "b1": F.lit(1.0), "a2": F.lit(50.0), "b2": F.lit(1.0), "nf_min": F.lit(2), "nf_max": F.col("n"), "s_dim": F.when(~with_covariates, 2), "x_dim": F.when(with_covariates, 2), "method": F.when(~with_covariates, "NNGP")}
+    model_parts.write_levels(units.select("level", *[c.alias(n) for n, c in constants.items()]), path)
+    return model_parts.levels(spark, path)
+
+
+def model_parts_state(spark: SparkSession, d: str) -> DataFrame:
+    """First states of two chains, loadings of one level by covariates, written and read back."""
+    b, path = B(spark, d), _parts(spark, "model")
+    _, lam = _covariate_level(b.units, b.lam)
+    none = F.lit(None).cast("int")
+    rows = [
+        b.beta.select(F.lit("Beta").alias("param"), F.lit(-1).alias("level"), F.col("cov").alias("i"), F.col("species").alias("j"), none.alias("k"), "v"),
+        b.eta.select(F.lit("Eta").alias("param"), "level", F.col("unit").alias("i"), F.col("h").alias("j"), none.alias("k"), "v"),
+        lam.filter("level = 1 or c = 0").select(F.lit("Lambda").alias("param"), "level", F.col("h").alias("i"), F.col("species").alias("j"), F.when(F.col("level") == 1, F.col("c")).alias("k"), "v"),
+        b.lam.select("level", "h").distinct().select(F.lit("Alpha").alias("param"), "level", F.col("h").alias("i"), F.lit(0).alias("j"), none.alias("k"), (F.col("h") * 2).cast("double").alias("v")),
+    ]
+    both = grid(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), "chain", 2).withColumn("v", F.col("v") + F.col("chain"))
+    model_parts.write_state(both, path)
+    return _round(model_parts.state(spark, path), "v")
+
+
 def csv_responses(spark: SparkSession, d: str) -> DataFrame:
     """Responses as lines of a wide CSV table, a site each, and read back: of cells that are not there, and missing ones, NA."""
     e = E(spark, d)
@@ -656,6 +712,6 @@ QUERIES = {
         event_draws_summary, event_draws_r_hat, event_draws_ess, csv_responses, log_density_terms,
         z_draws, alpha_draws, beta_lambda_mean, beta_lambda_draws, gpp_variances, gpp_information, gpp_loglik, nngp_loglik_two, gp_solution, gp_loglik, nngp_scores, delta_draws,
         gamma_mean, gamma_draws, iv_draws, similarity_rebuilt, rho_loglik_rotated, gamma_mean_phylogeny, integrated_density,
-        eta_scatter_by_unit_covariates, covariate_loadings_json_round_trip,
+        eta_scatter_by_unit_covariates, covariate_loadings_json_round_trip, model_parts_cells, model_parts_dims, model_parts_levels, model_parts_state,
     )
 }
