@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--fp", type=int, choices=(32, 64), default=64, help="precision in which draws are recorded; they are made in 64 bits")
     a.add_argument("--commit-every", type=int, default=0, help="iterations after which chains are stored beside the output; a fit that was ended goes on from there. 0: not")
     a.add_argument("--verbose", type=int, default=0, help="tell of every so many draws on the tasks' standard error; 0: never")
+    a.add_argument("--profile", action="store_true", help="also write calls and seconds of each update, as Parquet beside the output")
     o = a.parse_args(argv)
 
     from pyspark.sql import SparkSession
@@ -32,9 +33,12 @@ def main(argv: list[str] | None = None) -> None:
     from quadrat.plans.fit import fit
     from quadrat.sources import draws, model_json
 
+    def write_profile(path: str) -> None:
+        draws.profile(spark.read.parquet(path)).coalesce(1).write.mode("overwrite").parquet(f"{o.output.rstrip('/')}.profile")
+
     spark = SparkSession.builder.appName("quadrat").getOrCreate()
     model, states = model_json.load(model_json.read_text(spark, o.input).first()["json"])
-    how = dict(states=states, only=o.chains, keep_eta=not o.no_eta, joint=o.joint, hmc_every=o.hmc_every, leaps=o.leaps, marginal_counts=o.marginal_counts)
+    how = dict(states=states, only=o.chains, keep_eta=not o.no_eta, joint=o.joint, hmc_every=o.hmc_every, leaps=o.leaps, marginal_counts=o.marginal_counts, profile=o.profile)
     size = (max(1, len(states)), o.samples, o.transient, o.thin, o.seed)
     began = time.time()
     if o.commit_every:
@@ -45,10 +49,14 @@ def main(argv: list[str] | None = None) -> None:
         out = out.withColumn("v", out["v"].cast("float"))
     if o.format == "parquet":
         draws.write(out, o.output)
+        if o.profile:
+            write_profile(o.output)
         return
     # the fit runs when its draws are written: they are kept as Parquet, so the files hold the time that it took
     kept = f"{o.output.rstrip('/')}.draws"
     draws.write(out, kept)
+    if o.profile:
+        write_profile(kept)
     took = round(time.time() - began, 3)
     (draws.write_json if o.format == "json" else draws.write_rds)(draws.read(spark, kept), o.output, took)
 

@@ -23,14 +23,31 @@ def gather(rows: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(values, on)
 
 
-def with_lists(rows: DataFrame, few: DataFrame, key: str, fields: list[str]) -> DataFrame:
+#: The most cells of a table that goes to all tasks as one row: some 100 MB.
+MOST = 1 << 22
+
+
+def bounded(value: Column, cells: Column, other: str) -> Column:
+    """value, or an error that names the other way where it holds more than MOST cells."""
+    told = F.concat(F.lit("too many parameters for one row: "), cells.cast("string"), F.lit(f"; use {other}"))
+    return F.when(cells <= MOST, value).otherwise(F.raise_error(told))
+
+
+def with_lists(rows: DataFrame, few: DataFrame, key: str, fields: list[str], salts: int = 0) -> DataFrame:
     """Each row with each of few's rows of the same key, their fields as the struct _e.
 
     For a key of few values, on which a shuffle would put all rows into few tasks: few becomes one row, a map from
-    key to list, and goes to all tasks. few holds parameters of the model, of which a chain's state has no more.
+    key to list, and goes to all tasks, if it has no more than MOST rows. With salts, few's lists go to that many
+    shares of each key's rows by a shuffle instead, and may be of any number.
     """
-    lists = few.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("_l")).agg(F.map_from_entries(F.collect_list(F.struct(key, "_l"))).alias("_m"))
-    return rows.crossJoin(F.broadcast(lists)).select(*rows.columns, F.explode(F.col("_m")[F.col(key)]).alias("_e"))
+    lists = few.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("_l"))
+    if salts:
+        dealt = lists.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+        return salted.join(dealt.hint("shuffle_hash"), [key, "_s"]).select(*rows.columns, F.explode("_l").alias("_e"))
+    one = lists.agg(F.map_from_entries(F.collect_list(F.struct(key, "_l"))).alias("_m"), F.coalesce(F.sum(F.size("_l")), F.lit(0)).alias("_n"))
+    one = one.select(bounded(F.col("_m"), F.col("_n"), "with_lists(salts=...)").alias("_m"))
+    return rows.crossJoin(F.broadcast(one)).select(*rows.columns, F.explode(F.col("_m")[F.col(key)]).alias("_e"))
 
 
 def as_map(key: str, value: Column | str) -> Column:

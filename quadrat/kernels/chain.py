@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from copy import deepcopy
+from time import perf_counter
 
 import numpy as np
 
@@ -16,41 +17,50 @@ from quadrat.kernels.state import Model, start
 RECORDED = ("Beta", "Gamma", "iV", "rho", "sigma", "Eta", "Lambda", "Psi", "Delta", "Alpha", "BetaSel", "wRRR", "PsiRRR", "DeltaRRR")
 
 
-def run(model: Model, chain: int, samples: int, transient: int = 0, thin: int = 1, seed: int = 0, *, first: dict | None = None, marginal_counts: bool = False, joint: bool = False, hmc_every: int = 0, leaps: int = 10, held: dict | None = None, until: int | None = None) -> Iterator[tuple[int, dict]]:
+def run(model: Model, chain: int, samples: int, transient: int = 0, thin: int = 1, seed: int = 0, *, first: dict | None = None, marginal_counts: bool = False, joint: bool = False, hmc_every: int = 0, leaps: int = 10, held: dict | None = None, until: int | None = None, seconds: dict | None = None) -> Iterator[tuple[int, dict]]:
     """(draw, parameters) for each recorded iteration: those after the transient phase, every thin-th.
 
     The generator of each update depends on seed, chain, iteration and update only. held: where the chain stands, kept up
-    to date after each iteration, first is left as it is; with it, a chain that was ended before iteration `until` goes on as if it had not been.
+    to date after each iteration, first is left as it is; with it, a chain that was ended before iteration `until` goes on as if
+    it had not been. seconds: filled with [calls, seconds] by name of update.
     """
     held = {} if held is None else held
     if "p" not in held:
         held.update(p=deepcopy(first) if first else start(model, Noise(seed, chain, 0, 99)), step=hmc.Step(), next=0)
+
+    def do(update, k: int, *more):
+        began = perf_counter()
+        out = update(model, p, Noise(seed, chain, it + 1, k), *more)
+        if seconds is not None:
+            told = seconds.setdefault(update.__name__, [0, 0.0])
+            told[0], told[1] = told[0] + 1, told[1] + perf_counter() - began
+        return out
+
     p, step, last = held["p"], held["step"], transient + samples * thin
     for it in range(held["next"], last if until is None else min(until, last)):
-        noise = lambda k, it=it: Noise(seed, chain, it + 1, k)
         if hmc_every and it % hmc_every == 0:
-            chance = hmc.move(model, p, noise(0), step, leaps)
+            chance = do(hmc.move, 0, step, leaps)
             if it < 0.8 * transient:
                 step.tune(chance)
             elif it - hmc_every < 0.8 * transient:
                 step.freeze()
-            u.update_lambda_priors(model, p, noise(1))
-            u.update_alpha(model, p, noise(2))
-        u.update_z(model, p, noise(3), marginal_counts)
-        u.update_beta_lambda(model, p, noise(4))
+            do(u.update_lambda_priors, 1)
+            do(u.update_alpha, 2)
+        do(u.update_z, 3, marginal_counts)
+        do(u.update_beta_lambda, 4)
         if joint:
-            u.update_beta_eta(model, p, noise(5))
-        u.update_rrr(model, p, noise(6))
-        u.update_rrr_priors(model, p, noise(7))
-        u.update_selection(model, p, noise(8))
-        u.update_gamma_v(model, p, noise(9))
-        u.update_rho(model, p, noise(10))
-        u.update_lambda_priors(model, p, noise(11))
-        u.update_eta(model, p, noise(12))
-        u.update_alpha(model, p, noise(13))
-        u.update_sigma(model, p, noise(14))
+            do(u.update_beta_eta, 5)
+        do(u.update_rrr, 6)
+        do(u.update_rrr_priors, 7)
+        do(u.update_selection, 8)
+        do(u.update_gamma_v, 9)
+        do(u.update_rho, 10)
+        do(u.update_lambda_priors, 11)
+        do(u.update_eta, 12)
+        do(u.update_alpha, 13)
+        do(u.update_sigma, 14)
         if it < transient:
-            u.update_nf(model, p, noise(15), it)
+            do(u.update_nf, 15, it)
         if it >= transient and (it - transient + 1) % thin == 0:
             yield (it - transient + 1) // thin - 1, p
         held["next"] = it + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.functions.tensor import as_map, contract, dot, gather, with_lists
+from quadrat.functions.tensor import as_map, bounded, contract, dot, gather, with_lists
 
 
 def by_site(x: DataFrame) -> DataFrame:
@@ -13,14 +13,16 @@ def by_site(x: DataFrame) -> DataFrame:
     return x.groupBy("site").agg(F.collect_list(F.struct("cov", "x")).alias("xs"))
 
 
-def fixed_part(x: DataFrame, beta: DataFrame) -> DataFrame:
+def fixed_part(x: DataFrame, beta: DataFrame, wide: bool = True) -> DataFrame:
     """site, species, v of x(site, cov, x), or of a design by species x(species, site, cov, x), and beta(cov, species, v).
 
-    Covariates are few, so nothing is shuffled by them: a site is one row, and so are the coefficients of all species.
+    Covariates are few, so nothing is shuffled by them: a site is one row, and so are the coefficients of all species, of
+    which there may be tensor.MOST. More need wide=False: a join by covariate, and a sum by site and species.
     """
-    if "species" in x.columns:
-        return contract(x, beta, ["cov", "species"], ["site", "species"], va="x")
-    every = beta.groupBy("species").agg(as_map("cov", "v").alias("b")).agg(F.collect_list(F.struct("species", "b")).alias("all"))
+    if "species" in x.columns or not wide:
+        return contract(x, beta, [c for c in ("cov", "species") if c in x.columns], ["site", "species"], va="x")
+    every = beta.groupBy("species").agg(as_map("cov", "v").alias("b")).agg(F.collect_list(F.struct("species", "b")).alias("all"), F.coalesce(F.sum(F.size("b")), F.lit(0)).alias("n"))
+    every = every.select(bounded(F.col("all"), F.col("n"), "fixed_part(wide=False)").alias("all"))
     cells = by_site(x).crossJoin(F.broadcast(every)).select("site", "xs", F.explode("all").alias("c"))
     return cells.select("site", "c.species", dot(F.col("xs"), "cov", "x", F.col("c.b")).alias("v"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quadrat.kernels.chain import run
 from quadrat.kernels.state import Model
-from quadrat.plans.fit import batch_of
+from quadrat.plans.fit import batch_of, shared, times_of
 from quadrat.sources.draws import SCHEMA
 
 
@@ -35,23 +35,28 @@ def _segment(spark: SparkSession, path: str, segment: int) -> DataFrame:
     return spark.read.schema(f"{SCHEMA}, state binary, settings string").parquet(_table(path, segment))
 
 
-def fit_durably(spark: SparkSession, model: Model, path: str, chains: int = 2, samples: int = 10, transient: int = 0, thin: int = 1, seed: int = 0, *, every: int = 100, states: list[dict] | None = None, only: list[int] | None = None, keep_eta: bool = True, **how) -> DataFrame:
+def fit_durably(spark: SparkSession, model: Model, path: str, chains: int = 2, samples: int = 10, transient: int = 0, thin: int = 1, seed: int = 0, *, every: int = 100, states: list[dict] | None = None, only: list[int] | None = None, keep_eta: bool = True, profile: bool = False, **how) -> DataFrame:
     """Draws of all chains, as fit(), by way of a folder that all executors see; every: iterations of a segment."""
     chosen = [c for c in range(chains) if only is None or c in only]
     settings = json.dumps({"chains": chosen, "samples": samples, "transient": transient, "thin": thin, "seed": seed, "every": every, "shapes": [*model.Y.shape, *model.X.shape], **how}, sort_keys=True)
-    shared = spark.sparkContext.broadcast((model, states or []))
+    given = shared(spark, model, states)
     ends = list(range(every, transient + samples * thin, every)) + [transient + samples * thin]
 
     def draw(batches, until: int):
         import pyarrow as pa
 
-        model, states = shared.value
+        def with_none(x):
+            return pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.binary()), pa.nulls(x.num_rows, pa.string())], [*x.schema.names, "state", "settings"])
+
+        model, states = given.value
         for b in batches:
             for c, state in zip(b.column("chain").to_pylist(), b.column("state").to_pylist(), strict=True):
                 held = pickle.loads(state) if state else {}
-                for d, p in run(model, c, samples, transient, thin, seed, first=states[c] if c < len(states) else None, held=held, until=until, **how):
-                    x = batch_of(c, d, p, keep_eta)
-                    yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.binary()), pa.nulls(x.num_rows, pa.string())], [*x.schema.names, "state", "settings"])
+                seconds = {} if profile else None
+                for d, p in run(model, c, samples, transient, thin, seed, first=states[c] if c < len(states) else None, held=held, until=until, seconds=seconds, **how):
+                    yield with_none(batch_of(c, d, p, keep_eta))
+                if profile:
+                    yield with_none(times_of(c, seconds))
                 none = [pa.nulls(1, t) for t in (pa.int32(), pa.string(), *[pa.int32()] * 4, pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), *none, pa.array([pickle.dumps(held)], pa.binary()), pa.array([settings])], ["chain", "draw", "param", "level", "i", "j", "k", "v", "state", "settings"])
 

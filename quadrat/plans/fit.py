@@ -10,6 +10,9 @@ from quadrat.kernels.chain import cells, run
 from quadrat.kernels.state import Model
 from quadrat.sources.draws import SCHEMA
 
+#: The most bytes of a model that goes to all executors.
+MOST_BYTES = 4 << 30
+
 
 def batch_of(chain: int, draw: int, p: dict, keep_eta: bool):
     """A draw as an Arrow batch of its cells."""
@@ -27,27 +30,55 @@ def batch_of(chain: int, draw: int, p: dict, keep_eta: bool):
     return pa.RecordBatch.from_arrays([*ints, pa.array(cat["param"], pa.string()), *axes, pa.array(cat["v"].astype(float))], ["chain", "draw", "param", "level", "i", "j", "k", "v"])
 
 
-def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, transient: int = 0, thin: int = 1, seed: int = 0, *, states: list[dict] | None = None, only: list[int] | None = None, keep_eta: bool = True, verbose: int = 0, **how) -> DataFrame:
+def times_of(chain: int, seconds: dict):
+    """Calls (i = 0) and seconds (i = 1) of each update, as rows of a draw -1."""
+    import pyarrow as pa
+
+    names = [f"time:{k}" for k in seconds for _ in range(2)]
+    n = len(names)
+    same = lambda x: pa.array(np.full(n, x, np.int32))
+    return pa.RecordBatch.from_arrays([same(chain), same(-1), pa.array(names, pa.string()), same(-1), pa.array(np.arange(n, dtype=np.int32) % 2), same(0), pa.nulls(n, pa.int32()), pa.array([float(x) for v in seconds.values() for x in v], pa.float64())], ["chain", "draw", "param", "level", "i", "j", "k", "v"])
+
+
+def shared(spark: SparkSession, model: Model, states: list[dict] | None):
+    """The model and the first states as a broadcast, if their arrays take no more than MOST_BYTES."""
+
+    def size(x) -> int:
+        if isinstance(x, np.ndarray):
+            return x.nbytes
+        inner = x.values() if isinstance(x, dict) else x if isinstance(x, (list, tuple)) else vars(x).values() if hasattr(x, "__dict__") else x.data.nbytes if hasattr(x, "data") else ()
+        return inner if isinstance(inner, int) else sum(size(y) for y in inner)
+
+    taken = size(model) + size(states or [])
+    if taken > MOST_BYTES:
+        raise ValueError(f"the model's arrays take {taken:,} bytes, and every task of a chain holds them all: {MOST_BYTES:,} at most; updates over tables (quadrat.operators) have no such bound")
+    return spark.sparkContext.broadcast((model, states or []))
+
+
+def fit(spark: SparkSession, model: Model, chains: int = 2, samples: int = 10, transient: int = 0, thin: int = 1, seed: int = 0, *, states: list[dict] | None = None, only: list[int] | None = None, keep_eta: bool = True, verbose: int = 0, profile: bool = False, **how) -> DataFrame:
     """Draws of all chains. Chains are independent tasks; a lost one is drawn again, with the same values.
 
-    The model's arrays go out once per executor as a broadcast: their size is fixed by the model and is
-    what any chain needs in memory anyway. Draws leave a task one at a time. With verbose, a task tells of every
-    verbose-th draw on its standard error.
+    The model's arrays go out once per executor as a broadcast of a checked size, as any chain needs them in memory. Draws
+    leave a task one at a time. With verbose, a task tells of every verbose-th draw on its standard error. With profile, calls
+    and seconds of each update follow a chain's draws, as draw -1: sources.draws.profile() reads them.
     """
     chosen = [c for c in range(chains) if only is None or c in only]
-    shared = spark.sparkContext.broadcast((model, states or []))
+    given = shared(spark, model, states)
 
     def draw(batches):
         import sys
 
-        model, states = shared.value
+        model, states = given.value
         for b in batches:
             for c in b.column("chain").to_pylist():
                 first = states[c] if c < len(states) else None
-                for d, p in run(model, c, samples, transient, thin, seed, first=first, **how):
+                seconds = {} if profile else None
+                for d, p in run(model, c, samples, transient, thin, seed, first=first, seconds=seconds, **how):
                     if verbose and (d + 1) % verbose == 0:
                         print(f"chain {c}: draw {d + 1} of {samples}", file=sys.stderr, flush=True)
                     yield batch_of(c, d, p, keep_eta)
+                if profile:
+                    yield times_of(c, seconds)
 
     tasks = spark.createDataFrame([(c,) for c in chosen], "chain int").repartition(max(1, len(chosen)), "chain")
     return tasks.mapInArrow(draw, SCHEMA)

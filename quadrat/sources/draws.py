@@ -24,9 +24,16 @@ def read(spark: SparkSession, *paths: str, chains: list[int] | None = None) -> D
         one = spark.read.parquet(path)
         one = one.selectExpr("cast(chain as int) chain", "draw", "param", "level", "i", "j", "k" if "k" in one.columns else "cast(null as int) k", "v")
         out = one if out is None else out.unionByName(one)
+    out = out.filter("draw >= 0")
     return out if chains is None else out.filter(F.col("chain").isin(chains))
 
 
+def profile(draws: DataFrame) -> DataFrame:
+    """chain, name, calls, seconds of each update, of a fit with profile=True as it is or as its Parquet; segments are added up."""
+    of = draws.filter("draw = -1").groupBy("chain", F.substring_index("param", ":", -1).alias("name"))
+    return of.agg(F.sum(F.when(F.col("i") == 0, F.col("v"))).cast("long").alias("calls"), F.sum(F.when(F.col("i") == 1, F.col("v"))).alias("seconds"))
+
+
 def to_json(draws: DataFrame, seconds: float | None = None) -> DataFrame:
     """One row per chain: chain, json with a key per draw holding {parameter: matrix, or matrices by level}.
 

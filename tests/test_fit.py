@@ -172,3 +172,38 @@ def test_a_chain_leaves_its_first_state_as_it_is(tmp_path):
     np.testing.assert_array_equal(one, two)
     for key in ("Eta", "Lambda", "Alpha", "BetaSel"):
         np.testing.assert_array_equal(states[0][key][0], before[key][0])
+
+
+def test_profile_counts_every_update(spark, tmp_path):
+    from quadrat.cli import main
+    from quadrat.plans.durable import fit_durably
+
+    size = dict(chains=2, samples=2, transient=1, seed=9)
+    drawn = plans.fit(spark, small(), profile=True, hmc_every=3, leaps=2, **size)
+    told = {(r.chain, r.name): (r.calls, r.seconds) for r in draws.profile(drawn).collect()}
+    assert told[0, "update_z"][0] == 3 and told[1, "update_nf"][0] == 1 and told[0, "move"][0] == 1 and told[0, "update_lambda_priors"][0] == 4 and min(t for _, t in told.values()) > 0
+    kept = fit_durably(spark, small(), str(tmp_path / "chains"), every=2, profile=True, **size)
+    assert {r.calls for r in draws.profile(kept).filter("name = 'update_z'").collect()} == {3}
+    assert drawn.filter("draw >= 0").exceptAll(plans.fit(spark, small(), hmc_every=3, leaps=2, **size)).isEmpty()
+    main([file_of(tmp_path), str(tmp_path / "out"), "--samples", "1", "--profile"])
+    assert spark.read.parquet(str(tmp_path / "out.profile")).filter("name = 'update_sigma'").count() == 2
+    assert draws.read(spark, str(tmp_path / "out")).filter("draw < 0 or param like 'time%'").isEmpty()
+
+
+def test_what_goes_to_all_tasks_has_a_bound(spark, monkeypatch):
+    from quadrat.functions import tensor
+    from quadrat.operators import design
+
+    x = spark.createDataFrame([(s, c, float(s + c)) for s in range(6) for c in range(2)], "site long, cov int, x double")
+    beta = spark.createDataFrame([(c, j, float(c - j)) for c in range(2) for j in range(3)], "cov int, species int, v double")
+    one, other = (sorted(map(tuple, design.fixed_part(x, beta, wide).collect())) for wide in (True, False))
+    assert one == other and len(one) == 18
+    lists = [sorted((r.site, r.cov, r["_e"].species) for r in tensor.with_lists(x, beta, "cov", ["species", "v"], salts).collect()) for salts in (0, 4)]
+    assert lists[0] == lists[1] and len(lists[0]) == 36
+    monkeypatch.setattr(tensor, "MOST", 5)
+    for df, other in ((design.fixed_part(x, beta), "wide=False"), (tensor.with_lists(x, beta, "cov", ["species"]), "salts")):
+        with pytest.raises(Exception, match=f"too many parameters.*{other}"):
+            df.collect()
+    monkeypatch.setattr(plans, "MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="arrays take"):
+        plans.fit(spark, small())
