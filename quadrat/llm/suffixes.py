@@ -2,8 +2,8 @@
 
 A rule is a suffix (co.uk), a wildcard (*.ck: any label before ck) or an exception to one (!www.ck). An exception counts
 before all others, and stands for itself without its first label; else the rule with most labels counts; where none fits,
-the last label is the suffix. The whole list has thousands of rules and changes weekly: lines() reads a copy of it, and
-RULES has the countries' rules that have been the same for years.
+the last label is the suffix. The whole list has thousands of rules and changes weekly: lines() reads a copy of it;
+RULES has some countries' rules as known without one, not compared with the list.
 """
 
 from __future__ import annotations
