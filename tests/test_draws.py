@@ -213,6 +213,25 @@ def test_tiles_of_no_units_and_of_units_at_one_place(spark):
     assert [r.unit for r in dense.solutions(units.filter("i > 0"), grid, scores, 1).orderBy("unit").collect()] == [1, 2]
 
 
+@pytest.mark.parametrize("block", [4, 100])
+def test_products_equal_dense_algebra_and_make_no_pairs(spark, block):
+    from quadrat.operators import dense
+
+    rng = np.random.default_rng(block)
+    xy, v = rng.random((21, 2)), rng.normal(size=(2, 21, 2))
+    xy[20] = xy[3]
+    units, grid = place(spark, xy, "i long, p array<double>"), spark.createDataFrame([(7, 0.0), (3, 0.4)], "g int, alpha double")
+    values = spark.createDataFrame([((7, 3)[g], i, h, float(v[g, i, h])) for g in range(2) for i in range(20) for h in range(2)], "g int, i long, h int, v double")
+    v[:, 20] = 0
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    w = np.stack([(d == 0).astype(float), np.exp(-d / 0.4)])
+    got = {(r.g, r.i, r.h): r.v for r in dense.products(units, grid, values, block).collect()}
+    np.testing.assert_allclose([[[got[g, i, h] for h in range(2)] for i in range(21)] for g in (7, 3)], w @ v, rtol=1e-12, atol=1e-12)
+    sums = dense.products(units, grid, block=block)
+    assert {(r.g, r.i): round(r.v, 9) for r in sums.collect()} == {((7, 3)[g], i): round(float(w[g, i].sum()), 9) for g in range(2) for i in range(21)}
+    assert dense.products(units.limit(0), grid).isEmpty()
+
+
 def test_global_precisions_are_drawn_one_after_the_other(spark):
     from quadrat.operators.statistics import sequential_delta
 
