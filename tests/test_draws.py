@@ -232,6 +232,24 @@ def test_products_equal_dense_algebra_and_make_no_pairs(spark, block):
     assert dense.products(units.limit(0), grid).isEmpty()
 
 
+def test_solutions_without_tiles_equal_dense_algebra(spark):
+    from quadrat.operators import dense
+
+    n = 40
+    rng = np.random.default_rng(n)
+    xy, eta = rng.random((n, 2)), rng.normal(size=(n, 2))
+    units, grid = place(spark, xy, "i long, p array<double>"), spark.createDataFrame([(0, 0.0), (1, 0.4)], "g int, alpha double")
+    scores = spark.createDataFrame([(k, h, float(eta[k, h])) for k in range(n) for h in range(2)], "unit long, h int, v double")
+    got = {(r.g, r.unit, r.h): r.v for r in dense.iterated(units, grid, scores, 4, block=16).collect()}
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    for g, w in ((0, np.eye(n)), (1, np.exp(-d / 0.4))):
+        np.testing.assert_allclose([[got[g, i, h] for h in range(2)] for i in range(n)], np.linalg.solve(w, eta), rtol=1e-6, atol=1e-8)
+    with pytest.raises(ValueError, match="one place"):
+        dense.iterated(units.union(units.select(F.col("i") + n, "p")), grid, scores)
+    with pytest.raises(ArithmeticError):
+        dense.iterated(units, grid, scores, 4, rounds=1)
+
+
 def test_global_precisions_are_drawn_one_after_the_other(spark):
     from quadrat.operators.statistics import sequential_delta
 
