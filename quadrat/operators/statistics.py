@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import draws
 from quadrat.functions.scalar import polya_gamma
 from quadrat.functions.tensor import as_map, contract, cumulative_product, dot, gram, softmax, suffix_sum, widen, with_lists
-from quadrat.operators.design import by_site
+from quadrat.operators.design import by_site, total
 from quadrat.operators.solve import equations
 
 NB_R = 1000.0
@@ -114,6 +114,12 @@ def level_residuals(fixed: DataFrame, ran: DataFrame, cells: DataFrame) -> DataF
     return met.filter("id is not null").select("site", "species", "z", "id", "f", "all", F.explode("owns").alias("o")).select("o.level", "o.unit", "site", "species", left.alias("s"), "id")
 
 
+def residuals_at_cells(cells: DataFrame) -> DataFrame:
+    """As level_residuals, of design.at_cells() of cells(site, species, z, id): no cell is shuffled."""
+    own = cells.select("site", "species", "z", "id", "f", total("owns").alias("all"), F.explode("owns").alias("o"))
+    return own.select("o.level", "o.unit", "site", "species", (F.col("z") - F.col("f") - F.col("all") + F.col("o.v")).alias("s"), "id")
+
+
 def score_statistics(cells: DataFrame, lam: DataFrame) -> DataFrame:
     """level, unit, h, k, v: precision of the scores, and the linear part as k = -1. cells(level, unit, species, s, id): s
     without the level's own part.

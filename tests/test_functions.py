@@ -75,3 +75,22 @@ def test_polya_gamma_in_columns_equals_kernel_and_is_stable(spark):
 def test_recorded_draws(spark):
     d = spark.range(20).filter(scalar.recorded(F.col("id"), 5, 3)).select(scalar.draw_of(F.col("id"), 5, 3).alias("d"), "id").orderBy("id")
     assert [tuple(r) for r in d.collect()] == [(0, 7), (1, 10), (2, 13), (3, 16), (4, 19)]
+
+
+def test_cells_meet_their_parts_without_a_shuffle_of_levels(spark):
+    from quadrat.operators import design, statistics
+    from quadrat.functions.tensor import contract
+
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    x = frame([(s, c, 0.5 * s + c) for s in range(4) for c in range(2)], "site long, cov int, x double")
+    beta = frame([(c, p, 1.0 + c - p) for c in range(2) for p in range(3)], "cov int, species int, v double")
+    pi = frame([(s, r, s % (2 + r)) for s in range(4) for r in range(2)], "site long, level int, unit int")
+    eta = frame([(r, u, h, u + 0.1 * h - r) for r in range(2) for u in range(2 + r) for h in range(2)], "level int, unit int, h int, v double")
+    lam = frame([(r, h, p, 0.3 * h + p - r) for r in range(2) for h in range(2) for p in range(3)], "level int, h int, species int, v double")
+    cells = frame([(s, p, None if (s + p) % 3 == 0 else 1.5 * s - p, float((s + p) % 3 > 0)) for s in range(4) for p in range(3)], "site long, species int, z double, id double")
+    by_unit = contract(eta, lam, ["level", "h"], ["level", "unit", "species"])
+    got = design.at_cells(cells, x, beta, pi, by_unit)
+    tidy = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
+    want = statistics.level_residuals(design.fixed_part(x, beta), pi.join(by_unit, ["level", "unit"]), cells)
+    assert tidy(statistics.residuals_at_cells(got)) == tidy(want.select("level", "unit", "site", "species", "s", "id"))
+    assert tidy(got.select("site", "species", (F.col("f") + design.total("owns")).alias("l"))) == tidy(design.predictor(x, beta, pi, eta, lam))
