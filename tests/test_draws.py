@@ -1,5 +1,6 @@
 """Draws in columns, many small systems, knot processes: against known answers, exact moments and dense algebra."""
 
+import os
 import statistics as exact
 
 import numpy as np
@@ -202,6 +203,19 @@ def test_tiles_equal_dense_algebra(spark, n, tile):
             np.testing.assert_allclose([got[g, h].log_det, got[g, h].quad], [np.linalg.slogdet(w)[1], eta[:, h] @ x[:, h]], rtol=1e-7, atol=1e-9)
 
 
+def test_tiles_that_are_used_up_are_deleted(spark, monkeypatch):
+    from quadrat.operators import dense
+
+    units, grid = place(spark, np.random.default_rng(0).random((9, 2)), "i long, p array<double>"), spark.createDataFrame([(0, 0.5, 1.0)], "g int, alpha double, pw double")
+    stored, kept = [], dense.kept
+    monkeypatch.setattr(dense, "kept", lambda df, name: stored.append((name, kept(df, name))) or stored[-1][1])
+    assert dense.cholesky(dense.tiles(units, grid, tile=3)).count() == 6
+    paths = {name: [f.rsplit("/", 1)[0].removeprefix("file:").replace("//", "/") for f in df.inputFiles()[:1]] for name, df in stored if name != "tiles"}
+    assert all(os.path.isdir(p[0]) for p in paths.values() if p)
+    left = [d for p in paths["diagonal"] for d in os.listdir(os.path.dirname(p)) if d.startswith("tiles-")]
+    assert len([df for name, df in stored if name == "tiles"]) == 3 and not left
+
+
 def test_tiles_of_no_units_and_of_units_at_one_place(spark):
     from quadrat.operators import dense
 
