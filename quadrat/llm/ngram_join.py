@@ -10,9 +10,11 @@ each of which has different k-grams of equal hash itself.
 Candidates are met by prefix n-gram in two steps, so that a group of many near copies never makes all its
 pairs. First each n-gram's documents are paired with a hub of theirs (length and positional filters),
 verified, and joined to components. Then, per n-gram, the pairs whose documents are still in different
-components are all taken, with the length and suffix (bucket count) filters, and kept if they share enough
+components are all taken, with the length and suffix (parity) filters, and kept if they share enough
 prefix n-grams; pairs inside a component cannot change the result. The suffix filter is a bound on what two
-sets can share, from their counts in buckets of the hash. Every pair is verified once, on the words of whole texts, with
+sets can share: each n-gram flips one bit of its set's parities, so two sets differ in at least as many n-grams as
+bits. There are as many bits as the set's size asks for, so that copies of one text that are a little too far apart, and
+long texts, are told apart before a row is made of a pair. Every pair is verified once, on the words of whole texts, with
 the exact sizes of intersection and union. Components are the contract's; their number of verified links is not all
 links.
 
@@ -43,7 +45,9 @@ from quadrat.llm.components import components
 
 #: Frequent n-grams that are ordered by count; n-grams of a task among which those that occur again are counted at once.
 FREQUENT, SLICE = 1 << 19, 1 << 22
-BITMAP, BUCKETS, PARTNERS, HUBS = 1 << 20, 128, 64, 8
+BITMAP, PARTNERS, HUBS = 1 << 20, 64, 8
+#: Bits of a set's parities, at least and at most: half as many as it has n-grams, as a power of two.
+BITS, MOST_BITS = 1 << 10, 1 << 13
 #: Occurrences of an n-gram beyond which its documents are dealt to several tasks, and documents of a block of pairs.
 HOT, BLOCK = 1 << 14, 512
 MOST = 1 << 14
@@ -110,6 +114,58 @@ def overlap_needed(na, nb, t: Fraction):
     return -((-up * (na + nb)) // down)
 
 
+def parities(s) -> bytes:
+    """A bit for each bucket of hashes: whether an odd number of the set's (different) hashes lies in it. Of half as many bits, it is the halves' XOR."""
+    import numpy as np
+
+    bits = BITS
+    while bits < MOST_BITS and 2 * bits < len(s):
+        bits *= 2
+    at = (s >> np.uint64(40)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+class Parities:
+    """Of many sets; differ() is how many bits pairs of them differ in, at the length of the shorter."""
+
+    def __init__(self, column):
+        import numpy as np
+
+        self.of = column.to_pylist()
+        self.length = np.fromiter(map(len, self.of), np.int64, len(self.of))
+        self.folded = {}
+
+    def at(self, length: int):
+        """(where each set is, the sets of at least this length as rows of words)"""
+        import numpy as np
+
+        if length not in self.folded:
+            where, rows = np.cumsum(self.length >= length) - 1, []
+            for size in np.unique(self.length[self.length >= length]).tolist():
+                which = np.flatnonzero(self.length == size)
+                x = np.frombuffer(b"".join(self.of[i] for i in which), np.uint64).reshape(len(which), -1)
+                while x.shape[1] * 8 > length:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                rows.append((which, x))
+            out = np.empty((sum(len(w) for w, _ in rows), length // 8), np.uint64)
+            for which, x in rows:
+                out[where[which]] = x
+            self.folded[length] = where, out
+        return self.folded[length]
+
+    def differ(self, i, other: Parities, j):
+        import numpy as np
+
+        shorter, out = np.minimum(self.length[i], other.length[j]), np.zeros(len(i), np.int64)
+        for length in np.unique(shorter).tolist():
+            (wi, xi), (wj, xj) = self.at(length), other.at(length)
+            which = np.flatnonzero(shorter == length)
+            for lo in range(0, len(which), (1 << 22) // length):  # so many at once that they take 4 MB
+                some = which[lo : lo + (1 << 22) // length]
+                out[some] = np.bitwise_count(xi[wi[i[some]]] ^ xj[wj[j[some]]]).sum(1, dtype=np.int64)
+        return out
+
+
 def ids_and_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -158,7 +214,7 @@ def hot_of(rows: DataFrame) -> list[tuple[int, int]]:
 
 
 def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """doc_id, n, rare (n-grams per thousand that are not frequent), digest (of the words), prefix (n-grams, rarest first), counts (by bucket of hash)."""
+    """doc_id, n, rare (n-grams per thousand that are not frequent), digest (of the words), prefix (n-grams, rarest first), parity (by bucket of hash)."""
     import numpy as np
 
     known, often = frequent(docs, k)
@@ -171,7 +227,7 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
 
         known, often = shared.value
         for b in sliced(batches):
-            ns, rares, digests, prefixes, counts = [], [], [], [], []
+            ns, rares, digests, prefixes, odd = [], [], [], [], []
             for doc, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(x)
                 every = hashed(words, k)
@@ -182,7 +238,7 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                     rares.append(None)
                     digests.append(None)
                     prefixes.append(None)
-                    counts.append(None)
+                    odd.append(None)
                     continue
                 digests.append(sha256(b" ".join(words)).digest())
                 rank = np.zeros(n, np.int64)
@@ -192,10 +248,10 @@ def sets_of(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                 rares.append(int((rank == 0).sum()) * 1000 // n)
                 first = n + ((-t.numerator * n) // t.denominator) + 1
                 prefixes.append(s[np.lexsort((s, rank))[:first]].view(np.int64))
-                counts.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(rares, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "n", "rare", "digest", "prefix", "counts"])
+                odd.append(parities(s))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(rares, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["doc_id", "n", "rare", "digest", "prefix", "parity"])
 
-    return stored(docs.mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, counts binary"), "sets")
+    return stored(docs.mapInArrow(run, "doc_id long, n long, rare long, digest binary, prefix array<long>, parity binary"), "sets")
 
 
 def met(rows: DataFrame, t: Fraction) -> DataFrame:
@@ -266,7 +322,7 @@ def meet(rows: DataFrame, t: Fraction) -> DataFrame:
 def across(rows: DataFrame, t: Fraction) -> DataFrame:
     """All pairs of sets that share prefix n-grams, are in different components and pass the filters.
 
-    rows: g, m (how many rows g has), a, n, label, counts, of n-grams that occur in several components. All
+    rows: g, m (how many rows g has), a, n, label, parity, of n-grams that occur in several components. All
     n-grams that two sets share up to where the first of their prefixes ends are among these, and at most
     ceil(t n) - 1 come after a prefix: too few shared ones in the prefixes rule a pair out. An n-gram's rows
     are dealt into blocks of about BLOCK; each pair of blocks is a group of its own, so that no task needs
@@ -280,8 +336,7 @@ def across(rows: DataFrame, t: Fraction) -> DataFrame:
         def pairs(x, crossed):
             """Of one group, whose rows are sorted by n; crossed: of different blocks only."""
             a, n, label, own = (x.column(c).to_numpy() for c in ("a", "n", "label", "own"))
-            counts = np.frombuffer(b"".join(x.column("counts").to_pylist()), np.uint8).reshape(len(a), BUCKETS)
-            full = (counts == 255).any(1)  # beyond what a counter holds: no bound
+            odd = Parities(x.column("parity"))
             end = np.searchsorted(n, (n * t.denominator) // t.numerator, side="right")
             many = end - np.arange(len(a)) - 1
             lo = 0
@@ -295,7 +350,7 @@ def across(rows: DataFrame, t: Fraction) -> DataFrame:
                 i, j = i[ok], j[ok]
                 for at in range(0, len(i), 1 << 15):
                     k, m = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                    ok = full[k] | full[m] | (np.minimum(counts[k], counts[m]).sum(1, dtype=np.int64) >= overlap_needed(n[k], n[m], t))
+                    ok = n[k] + n[m] - odd.differ(k, odd, m) >= 2 * overlap_needed(n[k], n[m], t)
                     k, m = k[ok], m[ok]
                     if len(k):
                         yield np.stack([np.minimum(a[k], a[m]), np.maximum(a[k], a[m]), n[k], n[m], np.ones(len(k), np.int64)], 1)
@@ -343,7 +398,7 @@ def across(rows: DataFrame, t: Fraction) -> DataFrame:
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("a"), blocks).cast("int")
     to = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("one"), F.greatest(x, F.col("own")).alias("two")))
-    rows = rows.select("g", "m", own.alias("own"), "a", "n", "label", "counts").select("g", "own", "a", "n", "label", "counts", F.explode(to).alias("to")).select("g", "to.one", "to.two", "own", "a", "n", "label", "counts")
+    rows = rows.select("g", "m", own.alias("own"), "a", "n", "label", "parity").select("g", "own", "a", "n", "label", "parity", F.explode(to).alias("to")).select("g", "to.one", "to.two", "own", "a", "n", "label", "parity")
     spread = rows.repartition(tasks_for(rows.sparkSession), "g", "one", "two").sortWithinPartitions("g", "one", "two", "n", "a")
     shared = spread.mapInArrow(run, "a long, b long, small long, large long, c long").groupBy("a", "b", "small", "large").agg(F.sum("c").alias("c"))
     up, down = t.numerator, t.numerator + t.denominator
@@ -353,10 +408,10 @@ def across(rows: DataFrame, t: Fraction) -> DataFrame:
 
 
 def close(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs whose bucket counts and sizes allow the similarity (suffix filter), each once."""
-    s = sets.select("doc_id", "n", "counts")
-    a, b = (s.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}")) for c in "ab")
-    up, down = t.numerator, t.numerator + t.denominator
+    """Pairs whose parities and sizes allow the similarity (suffix filter), each once."""
+    s = sets.select("doc_id", "n", "parity")
+    a, b = (s.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in "ab")
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -364,11 +419,10 @@ def close(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
         for x in batches:
             if not x.num_rows:
                 continue
-            ca, cb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("ca", "cb"))
-            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
-            ok = np.minimum(ca, cb).sum(1, dtype=np.int64) * down >= up * (na + nb)
-            full = (ca == 255).any(1) | (cb == 255).any(1)  # beyond what a counter holds: no bound
-            yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(ok | full)), x.column("b").filter(pa.array(ok | full))], ["a", "b"])
+            na, nb, each = x.column("na").to_numpy(), x.column("nb").to_numpy(), np.arange(x.num_rows)
+            differ = Parities(x.column("pa")).differ(each, Parities(x.column("pb")), each)
+            ok = pa.array(na + nb - differ >= 2 * overlap_needed(na, nb, t))
+            yield pa.RecordBatch.from_arrays([x.column("a").filter(ok), x.column("b").filter(ok)], ["a", "b"])
 
     return pairs.distinct().join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
@@ -437,7 +491,7 @@ def join(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10),
     small_batches(docs.sparkSession)
     docs = ids_and_texts(docs, doc_id, text)
     sets = sets_of(docs, k, similarity)
-    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"))
+    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "parity")).alias("r"))
     reps = stored(classes.select("digest", "r.*"), "classes")
     rows = reps.select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
     near = met(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), similarity)
@@ -449,7 +503,7 @@ def join(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10),
     shared = near.filter("kind = 1").select("g", "a", "n")
     named = shared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     mixed = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("g", "m")
-    left = named.join(mixed, "g").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a")
+    left = named.join(mixed, "g").join(reps.select(F.col("doc_id").alias("a"), "parity"), "a")
     second = stored(across(left, similarity).join(first, ["a", "b"], "left_anti"), "second")
     if not second.isEmpty():
         labels = components(links.union(verified(docs, second, k, similarity)).union(labels.select("node", "label")))
@@ -488,14 +542,14 @@ def links(docs: DataFrame, *, k: int = 5, similarity: Fraction = Fraction(8, 10)
     small_batches(docs.sparkSession)
     docs = ids_and_texts(docs, doc_id, text)
     sets = sets_of(docs, k, similarity)
-    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "counts")).alias("r"), F.count("*").alias("m"))
+    classes = sets.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "rare", "prefix", "parity")).alias("r"), F.count("*").alias("m"))
     reps = stored(classes.select("m", "r.*"), "classes")
     rows = reps.select(F.col("doc_id").alias("a"), "n", "rare", F.posexplode("prefix").alias("pos", "g"))
     near = met(rows.select("g", "a", "n", "rare", F.col("pos").cast("long").alias("pos")), similarity)
     # each set is its own component: nothing is skipped
     shared = near.filter("kind = 1").select("g", "a", "n", F.col("a").alias("label"))
     many = shared.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-    pairs = stored(across(shared.join(many, "g").join(reps.select(F.col("doc_id").alias("a"), "counts"), "a"), similarity), "pairs")
+    pairs = stored(across(shared.join(many, "g").join(reps.select(F.col("doc_id").alias("a"), "parity"), "a"), similarity), "pairs")
     found = verified(docs, pairs, k, similarity)
     labels = components(found)
 

@@ -261,6 +261,41 @@ def test_join_of_groups_of_edited_copies(spark, seed):
     assert joined(spark, rows, 2, 70) == brute.jaccard(rows, 2, 70)
 
 
+def test_join_tells_few_pairs_of_copies_a_little_too_far_apart(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(400)]
+    rows = [(len(base) + i, " ".join(f"e{rng.randint(0, 9999)}" if j in edits else w for j, w in enumerate(base))) for i in range(60) for edits in [set(rng.sample(range(400), 8))]]
+    told, of = [], type(docs_of(spark, []))
+    run = of.mapInArrow
+
+    def counted(self, f, schema, *more, **how):
+        out = run(self, f, schema, *more, **how)
+        if "small long" in str(schema):
+            told.append(out.count())
+        return out
+
+    monkeypatch.setattr(of, "mapInArrow", counted)
+    assert joined(spark, rows, 5, 80) == brute.jaccard(rows, 5, 80)
+    assert len(told) == 1 and told[0] <= 60  # of 1,770 pairs, each of which a task may tell
+
+
+def test_parities_differ_no_more_than_the_sets():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (0, 1, 7, 300, 2048, 2049, 5000, 40000):
+        s = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        sets += [s, np.unique(np.r_[s[n // 50 :], rng.integers(0, 1 << 64, n // 40 + 3, np.uint64)])]
+    of = ngram_join.Parities(pa.array([ngram_join.parities(s) for s in sets], pa.binary()))
+    assert of.length.min() == ngram_join.BITS // 8 and of.length.max() == ngram_join.MOST_BITS // 8
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    got = of.differ(i, of, j)
+    for a, b, d in zip(i.tolist(), j.tolist(), got.tolist(), strict=True):
+        apart = len(np.setxor1d(sets[a], sets[b], assume_unique=True))
+        assert d <= apart and (apart - d) % 2 == 0 and (apart > 300 or d >= apart * 0.7)
+
+
 def test_join_at_low_similarity_keeps_links_of_short_texts(spark):
     rows = [(1, "a b c"), (2, "a b c d"), (3, "q r"), (4, "x y z"), (5, "w x y z"), (6, "x y z w v"), (7, "q")]
     assert joined(spark, rows, 3, 50) == brute.jaccard(rows, 3, 50)
