@@ -86,6 +86,25 @@ def preceding_neighbours(units: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).select("i", "j", "rank", "d")
 
 
+def parts(units: DataFrame, most: int) -> DataFrame:
+    """i, part, t, cell: cells of space of at most so many units each; part numbers them. units(i, p).
+
+    Space is halved from level to level, and a unit's cell is the coarsest that is small enough. Levels go as deep as the
+    densest places need; what is left too large at the last one is dealt by a hash. No row of a unit reaches the driver.
+    """
+    seen = units.agg(F.count("*").alias("n"), F.max(F.size("p")).alias("dims")).first()
+    dims = range(seen["dims"] or 0)
+    ends = units.agg(F.lit(0), *[f(F.col("p")[c]).alias(f"{f.__name__}{c}") for c in dims for f in (F.min, F.max)]).first()
+    low, extent = [ends[f"min{c}"] for c in dims], max((ends[f"max{c}"] - ends[f"min{c}"] for c in dims), default=0.0) or 1.0
+    cell = lambda t: F.array(*[F.floor((F.col("p")[c] - low[c]) / (F.lit(extent) / F.pow(F.lit(2.0), t))) for c in dims])
+    finest = _depth(units, lambda t: cell(F.lit(t)), int(log2(max(1.0, seen["n"] / most)) / max(1, len(dims))) + 1, most)
+    placed = units.select("i", "p", F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("t")).select("i", "t", cell(F.col("t")).alias("cell"))
+    fits = placed.groupBy("t", "cell").agg(F.count("*").alias("n")).filter((F.col("n") <= most) | (F.col("t") == finest))
+    mine = placed.join(fits, ["t", "cell"]).groupBy("i").agg(F.min(F.struct("t", "cell", "n")).alias("c")).select("i", "c.*")
+    dealt = F.pmod(F.xxhash64("i"), F.ceil(F.col("n") / most))
+    return mine.select("i", F.xxhash64("t", "cell", dealt).alias("part"), "t", "cell")
+
+
 def one_neighbour_log_likelihood(nearest: DataFrame, eta: DataFrame, grid: DataFrame) -> DataFrame:
     """g, h, ll with one neighbour: weight a = exp(-d / alpha), variance 1 - a^2. nearest(i, j, d), j null for the first.
 
