@@ -246,6 +246,33 @@ def test_products_equal_dense_algebra_and_make_no_pairs(spark, block):
     assert dense.products(units.limit(0), grid).isEmpty()
 
 
+def test_decays_take_one_power_for_ranges_that_go_into_each_other(monkeypatch):
+    from quadrat.operators import dense
+
+    d, calls, exp = np.random.default_rng(2).random((7, 9)) * 3, [], np.exp
+    d[0, 0] = 0
+    monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
+    alphas = [(0, 0.0), (1, 0.05), (2, 0.2), (3, 1.0), (4, 0.03)]
+    got = {n: w.copy() for n, w in dense._decays(d, alphas, np.empty_like(d), np.empty_like(d))}
+    assert len(calls) == 2  # 1 and 0.03; 0.2 is a fifth and 0.05 a fourth of the one before
+    for n, alpha in alphas:
+        np.testing.assert_allclose(got[n], exp(-d / alpha) if alpha else d == 0, rtol=3e-13)
+
+
+def test_close_predecessors_are_about_the_nearest(spark):
+    rng = np.random.default_rng(3)
+    xy = np.r_[rng.random((250, 2)), rng.random((50, 2)) * 0.01]
+    units = place(spark, xy, "i long, p array<double>")
+    got = {}
+    for r in spatial.close_predecessors(units, 4, 20, 30).collect():
+        got.setdefault(r.i, set()).add(r.j)
+    assert all(len(got.get(i, ())) == min(i, 4) and max(got.get(i, [-1])) < i for i in range(300))
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    same = sum(len(got[i] & set(np.argsort(d[i, :i])[:4].tolist())) for i in range(1, 300))
+    assert same > 0.95 * (300 * 4 - 10)
+    assert spatial.close_predecessors(units.limit(0), 4).isEmpty()
+
+
 def test_solutions_without_tiles_equal_dense_algebra(spark):
     from quadrat.operators import dense
 
